@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality_rules import BASE, quality_stats
+from .rule_ensemble import THRESHOLD, bucket, fit_quality, score_quality
 from .simhash import hex_bits, simhash_components
 
 
@@ -20,8 +22,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_bits().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the robust outlier verdict of all documents."""
+    found = quality_stats(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *BASE, "base_failed", "kept", "d2")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels outside the held-out quarter."""
+    docs = _read(spark, sf_dir, "documents")
+    model = fit_quality(docs, _read(spark, sf_dir, "labels"), bucket("doc_id", 4) != 2)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op10_quality_classifier": op10_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_extract import extract_text
+from .license_scan import scan_licenses
 from .quality_rules import BASE, quality_stats
 from .rule_ensemble import THRESHOLD, bucket, fit_quality, score_quality
 from .simhash import hex_bits, simhash_components
+from .url_filter import judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +25,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_bits().alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the robust outlier verdict of all documents."""
     found = quality_stats(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", *BASE, "base_failed", "kept", "d2")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures in all documents."""
+    found = scan_licenses(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    return judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from labels outside the held-out quarter."""
     docs = _read(spark, sf_dir, "documents")
@@ -37,7 +56,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_quality_rules": op3_quality_rules, "op10_quality_classifier": op10_quality_classifier}
+    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op6_url_filter, op10_quality_classifier)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embed_dedup import near_duplicates
 from .html_extract import extract_text
 from .license_scan import scan_licenses
+from .packing import pack_documents
 from .quality_rules import BASE, quality_stats
 from .rule_ensemble import THRESHOLD, bucket, fit_quality, score_quality
 from .simhash import hex_bits, simhash_components
@@ -47,6 +49,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op7_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all embeddings."""
+    return near_duplicates(_read(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences of at most 1024 ids."""
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from labels outside the held-out quarter."""
     docs = _read(spark, sf_dir, "documents")
@@ -56,7 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op6_url_filter, op10_quality_classifier)
+    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op10_quality_classifier)
     return {f.__name__: f for f in found}
 
 

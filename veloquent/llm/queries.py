@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .embed_dedup import near_duplicates
 from .html_extract import extract_text
 from .license_scan import scan_licenses
+from .ngram_lm import score_texts
 from .packing import pack_documents
 from .quality_rules import BASE, quality_stats
 from .rule_ensemble import THRESHOLD, bucket, fit_quality, score_quality
@@ -59,6 +60,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base scores and trie scores of all documents."""
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from labels outside the held-out quarter."""
     docs = _read(spark, sf_dir, "documents")
@@ -68,7 +74,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op10_quality_classifier)
+    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier)
     return {f.__name__: f for f in found}
 
 

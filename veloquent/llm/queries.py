@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .embed_dedup import near_duplicates
 from .html_extract import extract_text
 from .license_scan import scan_licenses
+from .mixing import TARGETS, mix
 from .ngram_lm import score_texts
 from .packing import pack_documents
 from .quality_rules import BASE, quality_stats
@@ -45,6 +46,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and mixing rates of all documents."""
+    found = mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("doc_id", "tokens", *(F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(TARGETS)), "rate", "copies")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all page URLs."""
     return judge_urls(_read(spark, sf_dir, "pages"))
@@ -74,7 +81,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier)
+    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op5_mixing, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier)
     return {f.__name__: f for f in found}
 
 

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import service, timeline, transcript
+from .base import Query
 
-from pyspark.sql import DataFrame, SparkSession
+GROUPS = (transcript.query, service.query, timeline.query)
 
-from . import transcript
 
-GROUPS = (transcript,)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for group in GROUPS for name, f in group.QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return {name: f for group in GROUPS for name, f in group.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for group in GROUPS for name, sql in group.ORACLE.items()}
+    return {name: sql for group in GROUPS for name, sql in group.sql.items()}

@@ -7,11 +7,24 @@ from pyspark.sql import functions as F
 
 from ..operators.islands import number_islands
 from ..session import table
+from .base import Group
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+query = Group()
 
 
+@query(
+    "transcript_blocks",
+    """
+WITH t AS (SELECT * FROM conversations WHERE turn % 3 <> 1),
+f AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS s
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM f),
+g AS (SELECT conv_id, CAST(block AS BIGINT) AS block, role, min(turn) AS first_turn, count(*) AS n_turns,
+             string_agg(text, ' ' ORDER BY turn) AS text FROM b GROUP BY conv_id, block, role),
+r AS (SELECT conv_id, role, CAST(sum(length(text)) AS BIGINT) AS role_chars FROM t GROUP BY conv_id, role)
+SELECT g.*, r.role_chars FROM g JOIN r USING (conv_id, role)
+""",
+)
 def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge consecutive turns of one role into blocks and join each role's total length."""
     turns = table(spark, sf_dir, "conversations").where("turn % 3 <> 1")
@@ -22,16 +35,3 @@ def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     totals = turns.groupBy("conv_id", "role").agg(F.sum(F.length("text")).alias("role_chars"))
     return blocks.join(totals, ["conv_id", "role"]).orderBy("conv_id", "block")
-
-
-QUERIES["transcript_blocks"] = transcript_blocks
-ORACLE["transcript_blocks"] = """
-WITH t AS (SELECT * FROM conversations WHERE turn % 3 <> 1),
-f AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS s
-      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-b AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM f),
-g AS (SELECT conv_id, CAST(block AS BIGINT) AS block, role, min(turn) AS first_turn, count(*) AS n_turns,
-             string_agg(text, ' ' ORDER BY turn) AS text FROM b GROUP BY conv_id, block, role),
-r AS (SELECT conv_id, role, CAST(sum(length(text)) AS BIGINT) AS role_chars FROM t GROUP BY conv_id, role)
-SELECT g.*, r.role_chars FROM g JOIN r USING (conv_id, role)
-"""

@@ -123,15 +123,15 @@ def agg_file_count(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "agg_rate_limit",
     """SELECT event_id, user_id, CAST(count(*) OVER w AS BIGINT) AS n_recent, count(*) OVER w > 3 AS limited,
-    86400000 - (epoch_ms(ts) - epoch_ms(min(ts) OVER w)) AS unlock_ms
+    86400000000 - (epoch_us(ts) - epoch_us(min(ts) OVER w)) AS unlock_us
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""",
 )
 def agg_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """Trailing-window counts per user and the milliseconds until the oldest counted event leaves the window."""
+    """Trailing-window counts per user and the microseconds until the oldest counted event leaves the window."""
     events = table(spark, sf, "events").withColumn("at", F.expr("unix_micros(cast(ts as timestamp))"))
     w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86_400_000_000, 0)
     n = F.count(F.lit(1)).over(w)
-    return events.select("event_id", "user_id", n.alias("n_recent"), (n > 3).alias("limited"), (86_400_000 - (F.floor(F.col("at") / 1000) - F.floor(F.min("at").over(w) / 1000))).alias("unlock_ms"))
+    return events.select("event_id", "user_id", n.alias("n_recent"), (n > 3).alias("limited"), (86_400_000_000 - (F.col("at") - F.min("at").over(w))).alias("unlock_us"))
 
 
 @query("top_oldest_idle", _with(_SESSIONS) + "SELECT session_id, last_heartbeat FROM sessions WHERE is_anonymous ORDER BY last_heartbeat, session_id LIMIT 1")

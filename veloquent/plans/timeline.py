@@ -21,7 +21,7 @@ BUCKET = 4000
 
 def diar(spark: SparkSession, sf: str) -> DataFrame:
     """All events as speaker segments: file_id, pos, speaker, start_ms, end_ms."""
-    start = F.floor((F.expr("unix_millis(cast(ts as timestamp))") - 1704067200000) / 4000)
+    start = F.floor((F.expr("unix_micros(cast(ts as timestamp))") - 1704067200000000) / 4000000)
     e = table(spark, sf, "events").select((F.col("user_id") % 32).alias("file_id"), F.col("event_id").alias("pos"), F.floor(F.col("user_id") / 32 % 3).cast("bigint").alias("speaker"), start.alias("start_ms"), F.floor(F.col("value") * 100).alias("d"), "event_type")
     return e.select("file_id", "pos", "speaker", "start_ms", (F.col("start_ms") + 1 + F.greatest("d", F.lit(0))).alias("end_ms"), "event_type")
 
@@ -41,7 +41,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 _D = """d AS (SELECT user_id % 32 AS file_id, event_id AS pos, user_id // 32 % 3 AS speaker, s AS start_ms,
   s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0) AS end_ms, event_type
-  FROM (SELECT *, CAST(floor((epoch_ms(ts) - 1704067200000) / 4000.0) AS BIGINT) AS s FROM events))"""
+  FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
 _S = "s AS (SELECT file_id, pos, start_ms, end_ms FROM d WHERE event_type IN ('view', 'click'))"
 _T = "t AS (SELECT file_id, pos, speaker, start_ms, end_ms FROM d WHERE event_type NOT IN ('view', 'click'))"
 _W = "w AS (SELECT file_id, pos, start_ms, least(end_ms, start_ms + 400) AS end_ms FROM s)"

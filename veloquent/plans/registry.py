@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import service, timeline, transcript
+from . import service, text, timeline, transcript
 from .base import Query
 
-GROUPS = (transcript.query, service.query, timeline.query)
+GROUPS = (transcript.query, service.query, timeline.query, text.query)
 
 
 def queries() -> dict[str, Query]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import service, text, timeline, transcript
+from . import scores, service, text, timeline, transcript, transcript_json
 from .base import Query
 
-GROUPS = (transcript.query, service.query, timeline.query, text.query)
+GROUPS = (transcript.query, service.query, timeline.query, text.query, scores.query, transcript_json.query)
 
 
 def queries() -> dict[str, Query]:

@@ -91,7 +91,8 @@ def _nearest(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     run = Window.partitionBy("grp").orderBy("bin")
     total = Window.partitionBy("grp")
     cuts = counts.select("grp", "bin", F.sum("k").over(run).alias("upto"), F.sum("k").over(total).alias("all"))
-    return binned, cuts.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("grp").agg(F.min("bin").alias("cut"))
+    # Written, the cuts have a known small size, and the rows meet them without a shuffle while it stays small.
+    return binned, materialize(cuts.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("grp").agg(F.min("bin").alias("cut")))
 
 
 def _with(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -156,8 +157,8 @@ def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = good.groupBy("own").agg(F.count(F.lit(1)).alias("size"))
     large = materialize(sizes.where(F.col("size") >= MIN_GROUP).select(F.col("own").alias("grp")))
     shared = F.lit("*")
-    either = good.select(F.explode(F.array("own", shared)).alias("grp"), *FEATURES)
-    fit = materialize(mcd_estimates(either.join(large.unionByName(large.sparkSession.range(1).select(shared.alias("grp"))), "grp")))
+    grouped = good.withColumnRenamed("own", "grp").join(large, "grp").select("grp", *FEATURES)
+    fit = materialize(mcd_estimates(grouped.unionByName(good.select(shared.alias("grp"), *FEATURES))))
     names = fit.select(F.col("grp").alias("own"), F.lit(True).alias("__known"))
     placed = rows.join(names, "own", "left").withColumn("grp", F.when(F.col("__known"), F.col("own")).otherwise(shared))
     measured = _distance(placed.join(fit, "grp", "left")).withColumn("d2", F.col("d2") / F.col("scale"))

@@ -144,8 +144,9 @@ def align_sentences(files: DataFrame, reach: int = 50, accept: float = 0.7) -> D
         have, at = [norm(w) for w in words], 0
         for k, s in enumerate(sentences):
             want = [x for x in map(norm, s.split()) if x]
-            best = max(((*score(want, have[b : b + 2 * len(want) + 2]), -b) for b in range(at, min(at + reach, len(have)))), default=(0.0, 0, -at))
-            first, n = (-best[2], best[1]) if best[0] >= accept else (at, min(len(want), len(have) - at))
+            tried = ((*score(want, have[b : b + 2 * len(want) + 2]), b) for b in range(at, min(at + reach, len(have))))
+            best = max(tried, key=lambda t: (t[0], -t[1], -t[2]), default=(0.0, 0, at))
+            first, n = (best[2], best[1]) if best[0] >= accept else (at, min(len(want), len(have) - at))
             yield k, first, first + n, best[0] >= accept
             at = first + n
 

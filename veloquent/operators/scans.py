@@ -112,7 +112,7 @@ def plan_chunks(silences: DataFrame, target: int = 30_000, slack: int = 2_000, l
         end, at, out = int(p.end_ms.max()), 0, []
         while end - at > target:
             goal = at + target
-            near = [m for m in middles if abs(m - goal) <= slack and m - at >= least]
+            near = [m for m in middles if abs(m - goal) <= slack and m - at >= least and m < end]
             cut = min(near, key=lambda m: (abs(m - goal), m), default=goal)
             out.append((at, cut))
             at = cut

@@ -21,8 +21,8 @@ def _scan(rows: DataFrame, step, schema: str) -> DataFrame:
     return rows.groupBy("file_id").applyInPandas(one, schema)
 
 
-def smooth_speakers(rows: DataFrame) -> DataFrame:
-    """Three left-to-right rules on speaker labels, each over the labels that the one before left.
+def smooth_speakers(rows: DataFrame, rules: tuple[str, ...] = ("island", "lead", "trail")) -> DataFrame:
+    """Up to three left-to-right rules on speaker labels, each over the labels that the one before left.
 
     An island of at most 1.5 s or four words between two rows of one speaker joins them. A lone word
     behind a pause of 1.2 s and before a longer row within 2.5 s joins that row. Up to two words that
@@ -31,14 +31,15 @@ def smooth_speakers(rows: DataFrame) -> DataFrame:
 
     def step(p: pd.DataFrame) -> pd.DataFrame:
         who, a, b, n, ends = p.speaker.tolist(), p.start_ms.tolist(), p.end_ms.tolist(), p.n_words.tolist(), p.ends_sentence.tolist()
-        for i in range(1, len(p) - 1):
+        span = lambda rule, first: range(first, len(p) - 1) if rule in rules else ()
+        for i in span("island", 1):
             if who[i - 1] == who[i + 1] != who[i] and (b[i] - a[i] <= 1500 or n[i] <= 4):
                 who[i] = who[i - 1]
-        for i in range(len(p) - 1):
+        for i in span("lead", 0):
             alone = n[i] == 1 and b[i] - a[i] <= 800 and not ends[i] and n[i + 1] >= 2
             if alone and who[i] != who[i + 1] and (i == 0 or a[i] - b[i - 1] >= 1200) and a[i + 1] - b[i] <= 2500:
                 who[i] = who[i + 1]
-        for i in range(1, len(p) - 1):
+        for i in span("trail", 1):
             tail = n[i + 1] <= 2 and b[i + 1] - a[i + 1] <= 900 and ends[i + 1] and not ends[i] and a[i + 1] - b[i] <= 250
             if tail and who[i + 1] != who[i] == who[i - 1] and a[i] - b[i - 1] <= 1000:
                 who[i + 1] = who[i]
@@ -78,7 +79,7 @@ def natural_turns(rows: DataFrame, max_pause: int = 2000, few_words: int = 3) ->
 WORDS = "file_id bigint, pos bigint, speaker bigint, start_ms bigint, end_ms bigint, inside boolean"
 
 
-def move_boundary_words(rows: DataFrame, max_gap: int = 300) -> DataFrame:
+def move_boundary_words(rows: DataFrame, max_gap: int = 300, rules: tuple[str, ...] = ("lead", "trail")) -> DataFrame:
     """Words at a speaker change move to the side that they belong to.
 
     ``inside`` says that a word lies in its own speaker's diarization. Leading words of the later
@@ -89,10 +90,10 @@ def move_boundary_words(rows: DataFrame, max_gap: int = 300) -> DataFrame:
     def step(p: pd.DataFrame) -> pd.DataFrame:
         who, a, b, inside = p.speaker.tolist(), p.start_ms.tolist(), p.end_ms.tolist(), p.inside.tolist()
         moved = [False] * len(p)
-        for i in range(1, len(p)):
+        for i in range(1, len(p)) if "lead" in rules else ():
             if who[i] != who[i - 1] and a[i] - b[i - 1] < max_gap and not inside[i]:
                 who[i], moved[i] = who[i - 1], True
-        for i in range(1, len(p) - 1):
+        for i in range(1, len(p) - 1) if "trail" in rules else ():
             if who[i] == who[i - 1] and who[i + 1] != who[i] and not inside[i] and not moved[i]:
                 who[i] = who[i + 1]
         return p.assign(speaker=who)

@@ -28,16 +28,30 @@ def win_smooth_speakers(spark: SparkSession, sf: str) -> DataFrame:
     return scans.smooth_speakers(segments(spark, sf))
 
 
+for _name, _rule in (("win_island_smooth", "island"), ("win_lead_singleton", "lead"), ("win_trail_particle", "trail")):
+    query(_name)(lambda spark, sf, rule=_rule: scans.smooth_speakers(segments(spark, sf), (rule,)))
+
+
 @query("win_natural_turn")
 def win_natural_turn(spark: SparkSession, sf: str) -> DataFrame:
     """Back-channels inside turns relabelled."""
     return scans.natural_turns(segments(spark, sf))
 
 
-@query("win_boundary_words")
-def win_boundary_words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words at speaker changes moved (win_continuity, win_trailing_word)."""
-    return scans.move_boundary_words(diar(spark, sf).select("file_id", "pos", "speaker", "start_ms", F.least("end_ms", F.col("start_ms") + 400).alias("end_ms"), (F.col("pos") % 3 != 0).alias("inside")))
+def short_words(spark: SparkSession, sf: str) -> DataFrame:
+    return diar(spark, sf).select("file_id", "pos", "speaker", "start_ms", F.least("end_ms", F.col("start_ms") + 400).alias("end_ms"), (F.col("pos") % 3 != 0).alias("inside"))
+
+
+@query("win_continuity")
+def win_continuity(spark: SparkSession, sf: str) -> DataFrame:
+    """Leading words of a block that belong to the one before move there."""
+    return scans.move_boundary_words(short_words(spark, sf), rules=("lead",))
+
+
+@query("win_trailing_word")
+def win_trailing_word(spark: SparkSession, sf: str) -> DataFrame:
+    """Last words of a block outside their speaker's diarization move to the next."""
+    return scans.move_boundary_words(short_words(spark, sf), rules=("trail",))
 
 
 @query("fn_chunk_plan")
@@ -111,6 +125,13 @@ def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     return g
 
 
+@query("set_chunk_union", "SELECT conv_id * 1000 + turn AS file_id, CAST(w.i AS BIGINT) AS pos, w.x AS word FROM (SELECT conv_id, turn, unnest(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), lambda x, i: {'x': x, 'i': i})) AS w FROM conversations)")
+def set_chunk_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of successive chunks as one list: chunks appended, what they share kept once."""
+    merged = alignment.merge_chunks(chunked(spark, sf)).where("n_words > 0")
+    return merged.select("file_id", F.posexplode(F.split("text", " ")).alias("i", "word")).select("file_id", (F.col("i") + 1).cast("bigint").alias("pos"), "word")
+
+
 @query("aln_rover")
 def aln_rover(spark: SparkSession, sf: str) -> DataFrame:
     """Vote of two hypotheses."""
@@ -178,6 +199,37 @@ def clu_ahc_vbx(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.cluster(vectors(spark, sf), "bayes")
 
 
+@query("fn_affine", "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * ((i - 1) * 7 % 5 - 2))) + 0.5, 5) AS y0, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * ((i - 1) * 7 % 3 - 1))) - 0.5, 5) AS y1 FROM embeddings")
+def fn_affine(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors through an affine map; the matrix is a literal, so the work stays inside the JVM."""
+    from ..functions.vectors import dot
+
+    row = lambda m, c: F.array(*(F.lit(float(i * 7 % m - c)) for i in range(64)))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(dot(F.col("embedding"), row(5, 2)) + 0.5, 5).alias("y0"), F.round(dot(F.col("embedding"), row(3, 1)) - 0.5, 5).alias("y1"))
+
+
+@query("str_endpoint_model")
+def str_endpoint_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Utterances whose end the model flags, or that grow too long: the same machine, a flag column, no quiet frames allowed."""
+    e = read_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame"), (F.col("event_type") != "error").alias("speech"))
+    return drain(endpoints(e, quiet=0, longest=12))
+
+
+@query("str_backpressure", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM events) WHERE r <= 2 AND NOT (n > 4 AND event_type = 'view')")
+def str_backpressure(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounded queue per stream and day: the oldest are dropped, and partials while it is long."""
+    day = Window.partitionBy("user_id", F.to_date("ts"))
+    e = table(spark, sf, "events").withColumns({"r": F.row_number().over(day.orderBy(F.desc("ts"), F.desc("event_id"))), "n": F.count(F.lit(1)).over(day)})
+    return e.where("r <= 2 and not (n > 4 and event_type = 'view')").select("event_id")
+
+
+@query("str_cache", "SELECT event_id, coalesce(ts < lag(ts) OVER w + INTERVAL 2 HOUR, false) AS hit FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def str_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """Lookups that find their key looked up within its time to live."""
+    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    return table(spark, sf, "events").withColumn("b", before).select("event_id", F.coalesce(F.expr("ts < b + interval 2 hours"), F.lit(False)).alias("hit"))
+
+
 @query("str_endpoint")
 def str_endpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Utterances of live streams, one per user: speech where the value is high."""

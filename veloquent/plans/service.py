@@ -314,6 +314,14 @@ def str_session_gap(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
 
+@query("fn_timestamps", f"SELECT event_id, epoch_us(ts) - epoch_us({NOW} - INTERVAL 120 MINUTE) AS since_cutoff_us, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events WHERE ts < {NOW} - INTERVAL 120 MINUTE")
+def fn_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Times before a cutoff, their distance to it, and their text."""
+    e = table(spark, sf, "events").where(F.expr(f"ts < {NOW} - INTERVAL 120 MINUTE"))
+    micros = lambda x: f"unix_micros(cast({x} as timestamp))"
+    return e.select("event_id", F.expr(f"{micros('ts')} - {micros(f'{NOW} - INTERVAL 120 MINUTE')}").alias("since_cutoff_us"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
 @query("str_heartbeat_expiry", _with(_SESSIONS) + f"SELECT session_id, CASE WHEN last_heartbeat < {NOW} - INTERVAL 7 DAY THEN 'purged' WHEN is_anonymous AND last_heartbeat < {NOW} - INTERVAL 2 HOUR THEN 'expired' ELSE 'live' END AS state FROM sessions")
 def str_heartbeat_expiry(spark: SparkSession, sf: str) -> DataFrame:
     """State of each session by its last heartbeat."""

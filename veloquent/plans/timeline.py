@@ -308,6 +308,13 @@ def win_pause_segment(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("island", "part")
 
 
+@query("win_consecutive", f"WITH {_D}, c AS (SELECT *, CASE WHEN speaker = lag(speaker) OVER (PARTITION BY file_id ORDER BY start_ms, speaker, pos) THEN 0 ELSE 1 END AS n FROM d), i AS (SELECT *, CAST(sum(n) OVER (PARTITION BY file_id ORDER BY start_ms, speaker, pos) AS BIGINT) AS run FROM c) SELECT file_id, run, min(speaker) AS speaker, min(start_ms) AS start_ms, count(*) AS n FROM i GROUP BY file_id, run")
+def win_consecutive(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of one speaker."""
+    runs = number_islands(diar(spark, sf), ["file_id"], ORDER, F.col("speaker"), "run")
+    return runs.groupBy("file_id", "run").agg(F.min("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.count(F.lit(1)).alias("n"))
+
+
 @query("agg_speaker_time", f"WITH {_D}, a AS (SELECT file_id, speaker, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, min((start_ms, speaker, pos)) AS first FROM d GROUP BY ALL) SELECT file_id, speaker, total_ms, row_number() OVER (PARTITION BY file_id ORDER BY total_ms DESC, first) - 1 AS place FROM a")
 def agg_speaker_time(spark: SparkSession, sf: str) -> DataFrame:
     """Speaking time by speaker, ranked; ties go to who spoke first."""

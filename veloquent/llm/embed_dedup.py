@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from .components import connected_components
 from .scratch import materialize
@@ -21,8 +22,12 @@ SEED = 20240229
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
-    """Bits of a signature and tables: bits grow with the logarithm of the rows, tables keep ``RECALL`` at the threshold."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))), 16), 56)
+    """Bits of a signature and tables: bits grow with the logarithm of the rows, tables keep ``RECALL`` at the threshold.
+
+    Three bits beyond the logarithm leave unrelated vectors in buckets of their own, which are dropped
+    before any vector is shuffled.
+    """
+    bits = min(max(math.ceil(math.log2(max(n, 2))) + 3, 16), 56)
     share = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - share))
 
@@ -93,7 +98,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     with nothing; vectors of different lengths never meet. A row with a null id counts as a link of
     others but names no component.
     """
-    rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), _numbers(table, vector_col).alias("v"))
+    kind = rows.schema["v"].dataType.simpleString()
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
     reps = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -110,7 +116,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 held = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel(), pa.int64()), tables).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*mine.columns, held], names=["v", "rep", "n", "dim", "sig"])
 
-    signed = reps.mapInArrow(sign, "v array<double>, rep bigint, n bigint, dim int, sig array<bigint>")
+    signed = reps.mapInArrow(sign, f"v {kind}, rep bigint, n bigint, dim int, sig array<bigint>")
     spread = signed.select("*", F.posexplode("sig").alias("tab", "key"))
     sizes = materialize(spread.groupBy("dim", "tab", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     small = sizes.where(F.col("size") <= BLOCK).select("dim", "tab", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("part"))
@@ -164,6 +170,12 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
 
 
+def _numbers(table: DataFrame, column: str) -> Column:
+    """The vectors as they are stored if of floats, else as doubles: the shuffle carries no wider numbers than the table."""
+    element = table.schema[column].dataType.elementType
+    return F.col(column) if isinstance(element, (FloatType, DoubleType)) else F.col(column).cast("array<double>")
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     """The batches and then None, for the last group."""
     yield from batches

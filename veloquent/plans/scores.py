@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, norm, softmax, total, unit
+from ..functions.vectors import cosine, softmax, total, unit
 from ..session import table
 from .base import Group
 from .text import WORDS, words

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.islands import number_islands
 from ..session import table
+from ..sources.files import parse_hotwords, parse_tokens
 from .base import Group
 
 query = Group()
@@ -135,18 +136,13 @@ _LINE = "CASE item_id % 5 WHEN 0 THEN '# note' WHEN 1 THEN replace(substr(text,
 )
 def src_hotwords(spark: SparkSession, sf: str) -> DataFrame:
     """Lines ``phrase [:score]``: blank and comment lines skipped, a suffix that is no number stays in the phrase."""
-    lines = table(spark, sf, "benchmark").select("item_id", F.trim(F.expr(_LINE)).alias("l")).where("l <> '' and not startswith(l, '#')")
-    s = F.expr("try_cast(nullif(trim(regexp_extract(l, ':([^:]*)$', 1)), '') as double)")
-    p = lines.withColumn("s", s)
-    phrase = F.when(F.col("s").isNull(), F.col("l")).otherwise(F.trim(F.regexp_replace("l", ":[^:]*$", "")))
-    return p.select("item_id", F.upper(phrase).alias("phrase"), F.coalesce("s", F.lit(1.5)).alias("score"))
+    return parse_hotwords(table(spark, sf, "benchmark").select("item_id", F.expr(_LINE).alias("l")), "l")
 
 
 @query("src_tokens", "SELECT CAST(split_part(l, ' ', 2) AS BIGINT) AS id, split_part(l, ' ', 1) AS token FROM (SELECT p_brand || ' ' || p_partkey AS l FROM part)")
 def src_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """``token id`` lines as a table."""
-    l = table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string")).alias("l"))  # noqa: E741
-    return l.select(F.split_part("l", F.lit(" "), F.lit(2)).cast("bigint").alias("id"), F.split_part("l", F.lit(" "), F.lit(1)).alias("token"))
+    return parse_tokens(table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string")).alias("l")), "l")
 
 
 @query("src_vocab", "SELECT namespace, token, row_number() OVER (PARTITION BY namespace ORDER BY first) + 1 AS id FROM (SELECT p_type AS namespace, p_name AS token, min(p_partkey) AS first FROM part GROUP BY ALL)")

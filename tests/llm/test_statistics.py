@@ -6,7 +6,6 @@ import re
 import zlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from veloquent.llm import quality_rules as Q

@@ -85,7 +85,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Fit the posterior on at most ``max_train`` labelled documents.
 
     The words are those whose document counts over the domains stray most from independence.
-    Domains without a labelled row get the prior of one row.
+    A domain without a labelled row has no documents; with one domain alone all
+    documents share the labels' frequencies.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -123,7 +124,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     weights[: len(found)], intercepts[: len(bias)] = found, bias
     for k in range(len(TARGETS)):
         if k not in sizes:
-            intercepts[k] = intercepts.max() - np.log(total)
+            intercepts[k] = -np.inf
     return DomainModel(words, weights, intercepts)
 
 

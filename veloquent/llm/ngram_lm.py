@@ -28,12 +28,15 @@ PRIOR = 8.0
 #: Codes of the quantised log-probabilities.
 LEVELS = 1 << 12
 #: Occurrences in a shard, about.
-SHARD = 6_000_000
+SHARD = 4_000_000
 #: Occurrences that a task gathers before it deals them to the shards.
 CHUNK = 3_000_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
 END_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
 START_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n start"))
+#: What a packet says of each document, and what a shard returns: its place in the chunk, id, split and sums.
+ABOUT = np.dtype([("place", np.int32), ("doc_id", np.int64), ("train", bool), ("null", bool)])
+SUMS = np.dtype([*ABOUT.descr, ("tokens", np.int32), ("known", np.int32), ("base", np.float64), ("model", np.float64)])
 
 
 class EliasFano:
@@ -175,17 +178,17 @@ def _before(word: np.ndarray) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
-    """Packets ``(shard, docs, payload)`` of occurrences.
+    """Packets of the occurrences that one chunk of documents sends to one shard.
 
     A frequent word's occurrences are dealt by the word and the one before it, all others by the
     word alone, so a hot word spreads and still meets its counts: those every task knows.
     """
     shared = rows.sparkSession.sparkContext.broadcast(head)
 
-    def packets(held: list[tuple[int, int | None, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def packets(chunk: int, held: list[tuple[int | None, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        size = np.array([len(h[3]) for h in held])
-        word = np.concatenate([h[3] for h in held])
+        size = np.array([len(h[2]) for h in held])
+        word = np.concatenate([h[2] for h in held])
         ends = np.cumsum(size)
         before = np.empty_like(word)
         before[1:] = word[:-1]
@@ -197,8 +200,11 @@ def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
         shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((~is_head, shard))
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        meta = [np.array([h[k] if h[k] is not None else 0 for h in held], np.int64) for k in (0, 1, 2)]
-        null = np.array([h[1] is None for h in held])
+        about = np.zeros(len(held), ABOUT)
+        about["place"] = np.arange(len(held))
+        about["doc_id"] = [0 if h[0] is None else h[0] for h in held]
+        about["null"] = [h[0] is None for h in held]
+        about["train"] = [h[1] for h in held]
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if not len(mine):
@@ -206,53 +212,52 @@ def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
             heads = int(is_head[mine].sum())
             docs, local = np.unique(doc[mine], return_inverse=True)
             payload = b"".join(x.tobytes() for x in (rank[mine[:heads]].astype(np.uint16), word[mine[heads:]], _before(before[mine]), local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
-            about = b"".join(m[docs].tobytes() for m in meta) + null[docs].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([heads], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([about], pa.binary()), pa.array([payload], pa.binary())], names=["shard", "n", "heads", "n_docs", "about", "payload"])
+            numbers = [pa.array([x], pa.int64()) for x in (s, chunk, len(mine), heads)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([about[docs].tobytes()], pa.binary()), pa.array([payload], pa.binary())], names=["shard", "chunk", "n", "heads", "about", "payload"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seen = TaskContext.get().partitionId() << 40, 0
+        chunk = TaskContext.get().partitionId() << 32
         held: list = []
         size = 0
         for batch in _with_end(batches):
             if batch is not None:
                 for doc, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    held.append((base + seen, doc, train, _hashes(text.as_py())))
-                    seen += 1
-                    size += len(held[-1][3])
+                    held.append((doc, train, _hashes(text.as_py())))
+                    size += len(held[-1][2])
                 if size < CHUNK and len(held) < 1 << 20:
                     continue
             if held:
-                yield from packets(held)
+                yield from packets(chunk, held)
+                chunk += 1
                 held, size = [], 0
 
-    return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard int, n bigint, heads bigint, n_docs bigint, about binary, payload binary")
+    return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard bigint, chunk bigint, n bigint, heads bigint, about binary, payload binary")
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """All occurrences of a shard: ``(is_head, rank or word, before, doc)`` and the documents' ``(row, doc_id, train, null)``."""
+    """All occurrences of a shard: ``(is_head, rank or word, before, doc)``, the documents, and how many each packet has."""
     heads, words, befores, docs, about, shift = [], [], [], [], [], 0
-    for n, h, d, a, p in zip(*(table[c].to_pylist() for c in ("n", "heads", "n_docs", "about", "payload"))):
-        kind = np.uint32 if d > 65535 else np.uint16
+    for n, h, a, p in zip(*(table[c].to_pylist() for c in ("n", "heads", "about", "payload"))):
+        about.append(np.frombuffer(a, ABOUT))
+        kind = np.uint32 if len(about[-1]) > 65535 else np.uint16
         cut = np.cumsum([0, 2 * h, 8 * (n - h), 4 * n])
         ranks = np.frombuffer(p, np.uint16, h, cut[0]).astype(np.uint64)
         words.append(np.concatenate((ranks, np.frombuffer(p, np.uint64, n - h, cut[1]))))
         heads.append(np.arange(n) < h)
         befores.append(np.frombuffer(p, np.uint32, n, cut[2]))
         docs.append(np.frombuffer(p, kind, n, cut[3]).astype(np.int64) + shift)
-        about.append((np.frombuffer(a, np.int64, 3 * d).reshape(3, d), np.frombuffer(a, bool, d, 24 * d)))
-        shift += d
-    meta = np.concatenate([x[0] for x in about], axis=1)
-    return np.concatenate(heads), np.concatenate(words), np.concatenate(befores), np.concatenate(docs), meta, np.concatenate([x[1] for x in about])
+        shift += len(about[-1])
+    return np.concatenate(heads), np.concatenate(words), np.concatenate(befores), np.concatenate(docs), np.concatenate(about), np.array([len(a) for a in about])
 
 
 def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: float, distinct: float, starts: float, prior: float) -> pa.Table:
-    """Sums per document over one shard's occurrences."""
-    is_head, word, before, doc, meta, null = _unpacked(table)
+    """Sums per document over one shard's occurrences, packed in one row per packet that came in."""
+    is_head, word, before, doc, about, packets = _unpacked(table)
     word = word.copy()
     word[is_head] = head[word[is_head].astype(np.int64)]
     order = np.lexsort((before, word))
     word, before, doc, is_head = word[order], before[order], doc[order], is_head[order]
-    train = meta[2].astype(bool)[doc]
+    train = about["train"][doc]
     new_word = np.concatenate(([True], word[1:] != word[:-1]))
     new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
     word_no, pair_no = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
@@ -275,19 +280,29 @@ def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: f
     # A pair without a successor falls back to the shorter context's share.
     joint_log = np.where(np.isnan(joint_log), np.log10(prior * unigram[pair_word]), joint_log)
     context = np.where(word[first_word] == END_MARK, 0.0, np.log10(count + prior))
-    docs = meta.shape[1]
-    per = lambda w: np.bincount(doc, weights=w, minlength=docs)
+    per = lambda w: np.bincount(doc, weights=w, minlength=len(about))
     opening = (before == _before(np.array([START_MARK]))[0]).astype(float)
-    out = {
-        "row": meta[0], "doc_id": pa.array(meta[1], mask=null), "train": train_flags(meta[2]),
-        "tokens": np.bincount(doc, minlength=docs), "known": per((count > 0)[word_no].astype(float)).astype(np.int64),
-        "base": per(np.log10(count + 0.5)[word_no]), "model": per(joint_log[pair_no] - context[word_no] - opening * np.log10(starts + prior)),
-    }
-    return pa.table({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in out.items()})
-
-
-def train_flags(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(bool))
+    out = np.zeros(len(about), SUMS)
+    for name in ABOUT.names:
+        out[name] = about[name]
+    out["tokens"] = np.bincount(doc, minlength=len(about))
+    out["known"] = per((count > 0)[word_no].astype(float))
+    out["base"] = per(np.log10(count + 0.5)[word_no])
+    out["model"] = per(joint_log[pair_no] - context[word_no] - opening * np.log10(starts + prior))
+    parts = np.split(out, np.cumsum(packets)[:-1])
+    return pa.table({"chunk": table["chunk"], "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+
+def _merge_chunk(table: pa.Table) -> pa.Table:
+    """Documents of one chunk from its sums in all shards."""
+    parts = np.concatenate([np.frombuffer(p, SUMS) for p in table["sums"].to_pylist()])
+    n = int(parts["place"].max()) + 1
+    first = np.empty(n, np.int64)
+    first[parts["place"]] = np.arange(len(parts))
+    one = parts[first]
+    total = {c: np.bincount(parts["place"], weights=parts[c], minlength=n) for c in ("tokens", "known", "base", "model")}
+    whole = {c: pa.array(total[c].astype(np.int64)) for c in ("tokens", "known")}
+    return pa.table({"doc_id": pa.array(one["doc_id"], mask=one["null"]), "train": pa.array(one["train"]), **whole, "base": pa.array(total["base"]), "model": pa.array(total["model"])})
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_size: int = HEAD, prior: float = PRIOR, shard_size: int = SHARD) -> DataFrame:
@@ -311,16 +326,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words, ns = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.float64)
     by = np.argsort(words)
     head, head_n = words[by], ns[by]
-    ended = ns[words == END_MARK]
-    starts = float(ended[0]) if len(ended) else 0.0
+    ended = kept.where(F.col("word") == int(END_MARK.astype(np.int64))).first()  # texts start as often as they end
+    starts = float(ended["n"]) if ended else 0.0
     shards = max(1, int(np.ceil(1.25 * total / shard_size)))
     known = rows.sparkSession.sparkContext.broadcast((head, head_n))
 
     def score(table: pa.Table) -> pa.Table:
         return _score_shard(table, *known.value, total, distinct, starts, prior)
 
-    sums = _dealt(rows, head, shards).groupBy("shard").applyInArrow(score, "row bigint, doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
-    per = sums.groupBy("row", "doc_id", "train").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "model")))
+    sums = _dealt(rows, head, shards).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary")
+    per = sums.groupBy("chunk").applyInArrow(_merge_chunk, "doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
     share = F.lit(np.log10(total + 0.5 * (distinct + 1)).item())
     return per.select(
         "doc_id", (~F.col("train")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),

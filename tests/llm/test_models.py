@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -153,7 +154,7 @@ def test_trie(tmp_path):
     assert np.isnan(trie.find(words + np.uint64(1), before[starts[:-1]])).all()
 
 
-def score(rows, prior=L.PRIOR):
+def score(rows, head):
     tokens = [[*(t or "").encode().lower().split(), "end"] for _, t, *_ in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, *_ in rows]
     c, pairs, starts = Counter(), Counter(), 0
@@ -164,8 +165,16 @@ def score(rows, prior=L.PRIOR):
             starts += 1
     n, v = sum(c.values()), len(c)
     p = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
+    key = lambda x: xxhash.xxh64_intdigest(b"\n end" if x == "end" else x)
+    top = sorted(c, key=lambda x: (-c[x], (key(x) + (1 << 63)) % (1 << 64)))[:head]
+
+    def m(x):
+        if x != "start" and x not in top:
+            return L.SCALE
+        return L.SCALE * 2 ** (L.POWER * round(math.log2(max(starts if x == "start" else c[x], 1)) * L.STEPS) / L.STEPS)
+
     for (i, *_), w, h in zip(rows, tokens, held):
-        model = sum(math.log10((pairs[a, b] + prior * p(b)) / ((starts if a == "start" else c[a]) + prior)) for a, b in zip(["start", *w], w))
+        model = sum(math.log10((pairs[a, b] + m(a) * p(b)) / ((starts if a == "start" else c[a]) + m(a))) for a, b in zip(["start", *w], w))
         yield i, h, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), model
 
 
@@ -177,7 +186,7 @@ def test_language_model(spark, monkeypatch, shard, head, chunk):
     rows += [(500, None, "x", 0), (501, " \n", "x", 0), (None, "the of a", "x", 0), (7, rows[7][1], "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, train string, tokens int")
     got = sorted(map(tuple, L.score_texts(docs, head_size=head, shard_size=shard).collect()), key=str)
-    want = sorted(score(rows), key=str)
+    want = sorted(score(rows, head), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert math.isclose(g[5], w[5], abs_tol=1e-6) and abs(g[6] - w[6]) < 0.002 * w[2]

@@ -23,8 +23,11 @@ from .scratch import materialize
 
 #: Words whose counts every task holds: a fixed number, the most frequent ones.
 HEAD = 1 << 16
-#: Pseudo-occurrences that a context gives to the shorter context's estimate.
-PRIOR = 8.0
+#: Pseudo-occurrences that a context gives to the shorter context's estimate: SCALE times a power of its count for
+#: frequent words, whose successors are many, and SCALE for all others.
+SCALE, POWER = 3.0, 0.9
+#: Steps to an octave in which a frequent context's count travels with each occurrence, in one byte; 255 says infrequent.
+STEPS = 8
 #: Codes of the quantised log-probabilities.
 LEVELS = 1 << 12
 #: Occurrences in a shard, about.
@@ -137,6 +140,16 @@ class Trie:
         return out
 
 
+def _context_code(count: np.ndarray) -> np.ndarray:
+    """Byte that stands for a frequent context's count."""
+    return np.minimum(np.rint(np.log2(np.maximum(count, 1.0)) * STEPS), 254).astype(np.uint8)
+
+
+def _prior(code: np.ndarray) -> np.ndarray:
+    """Pseudo-occurrences of a context by its byte."""
+    return SCALE * np.where(code == 255, 1.0, np.exp2(code / STEPS)) ** POWER
+
+
 def _hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words after lower-casing A-Z, then the end mark."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -177,16 +190,16 @@ def _before(word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(32)).astype(np.uint32)
 
 
-def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
+def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float, shards: int) -> DataFrame:
     """Packets of the occurrences that one chunk of documents sends to one shard.
 
     A frequent word's occurrences are dealt by the word and the one before it, all others by the
     word alone, so a hot word spreads and still meets its counts: those every task knows.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(head)
+    shared = rows.sparkSession.sparkContext.broadcast((head, _context_code(head_n), _context_code(np.array([starts]))[0]))
 
     def packets(chunk: int, held: list[tuple[int | None, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        frequent, codes, start_code = shared.value
         size = np.array([len(h[2]) for h in held])
         word = np.concatenate([h[2] for h in held])
         ends = np.cumsum(size)
@@ -196,6 +209,9 @@ def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
         doc = np.repeat(np.arange(len(held), dtype=np.int32), size)
         rank = np.minimum(np.searchsorted(frequent, word), max(len(frequent) - 1, 0))
         is_head = frequent[rank] == word if len(frequent) else np.zeros(len(word), bool)
+        code = np.where(is_head, codes[rank] if len(codes) else 255, 255).astype(np.uint8)
+        code[1:] = code[:-1].copy()
+        code[np.concatenate(([0], ends[:-1]))] = start_code
         mixed = np.where(is_head, (word ^ (before * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9), word)
         shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((~is_head, shard))
@@ -211,7 +227,7 @@ def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
                 continue
             heads = int(is_head[mine].sum())
             docs, local = np.unique(doc[mine], return_inverse=True)
-            payload = b"".join(x.tobytes() for x in (rank[mine[:heads]].astype(np.uint16), word[mine[heads:]], _before(before[mine]), local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
+            payload = b"".join(x.tobytes() for x in (rank[mine[:heads]].astype(np.uint16), word[mine[heads:]], _before(before[mine]), code[mine], local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
             numbers = [pa.array([x], pa.int64()) for x in (s, chunk, len(mine), heads)]
             yield pa.RecordBatch.from_arrays([*numbers, pa.array([about[docs].tobytes()], pa.binary()), pa.array([payload], pa.binary())], names=["shard", "chunk", "n", "heads", "about", "payload"])
 
@@ -235,28 +251,29 @@ def _dealt(rows: DataFrame, head: np.ndarray, shards: int) -> DataFrame:
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """All occurrences of a shard: ``(is_head, rank or word, before, doc)``, the documents, and how many each packet has."""
-    heads, words, befores, docs, about, shift = [], [], [], [], [], 0
+    """All occurrences of a shard: ``(is_head, rank or word, before, code, doc)``, the documents, and how many each packet has."""
+    heads, words, befores, codes, docs, about, shift = [], [], [], [], [], [], 0
     for n, h, a, p in zip(*(table[c].to_pylist() for c in ("n", "heads", "about", "payload"))):
         about.append(np.frombuffer(a, ABOUT))
         kind = np.uint32 if len(about[-1]) > 65535 else np.uint16
-        cut = np.cumsum([0, 2 * h, 8 * (n - h), 4 * n])
+        cut = np.cumsum([0, 2 * h, 8 * (n - h), 4 * n, n])
         ranks = np.frombuffer(p, np.uint16, h, cut[0]).astype(np.uint64)
         words.append(np.concatenate((ranks, np.frombuffer(p, np.uint64, n - h, cut[1]))))
         heads.append(np.arange(n) < h)
         befores.append(np.frombuffer(p, np.uint32, n, cut[2]))
-        docs.append(np.frombuffer(p, kind, n, cut[3]).astype(np.int64) + shift)
+        codes.append(np.frombuffer(p, np.uint8, n, cut[3]))
+        docs.append(np.frombuffer(p, kind, n, cut[4]).astype(np.int64) + shift)
         shift += len(about[-1])
-    return np.concatenate(heads), np.concatenate(words), np.concatenate(befores), np.concatenate(docs), np.concatenate(about), np.array([len(a) for a in about])
+    return np.concatenate(heads), np.concatenate(words), np.concatenate(befores), np.concatenate(codes), np.concatenate(docs), np.concatenate(about), np.array([len(a) for a in about])
 
 
-def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: float, distinct: float, starts: float, prior: float) -> pa.Table:
+def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: float, distinct: float, starts: float) -> pa.Table:
     """Sums per document over one shard's occurrences, packed in one row per packet that came in."""
-    is_head, word, before, doc, about, packets = _unpacked(table)
+    is_head, word, before, code, doc, about, packets = _unpacked(table)
     word = word.copy()
     word[is_head] = head[word[is_head].astype(np.int64)]
     order = np.lexsort((before, word))
-    word, before, doc, is_head = word[order], before[order], doc[order], is_head[order]
+    word, before, code, doc, is_head = word[order], before[order], code[order], doc[order], is_head[order]
     train = about["train"][doc]
     new_word = np.concatenate(([True], word[1:] != word[:-1]))
     new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
@@ -271,7 +288,8 @@ def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: f
     # The trie holds the pairs of the training texts, words in order and predecessors in order below them.
     pair_word = word_no[first_pair]
     seen = pair_n > 0
-    joint = np.log10(pair_n[seen] + prior * unigram[pair_word[seen]])
+    prior = _prior(code[first_pair])
+    joint = np.log10(pair_n[seen] + prior[seen] * unigram[pair_word[seen]])
     used, starts_at = np.unique(pair_word[seen], return_index=True)
     with tempfile.TemporaryDirectory() as folder:
         trie = Trie(folder, word[first_word][used], np.append(starts_at, len(joint)), before[first_pair][seen], joint)
@@ -279,7 +297,8 @@ def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: f
         del trie
     # A pair without a successor falls back to the shorter context's share.
     joint_log = np.where(np.isnan(joint_log), np.log10(prior * unigram[pair_word]), joint_log)
-    context = np.where(word[first_word] == END_MARK, 0.0, np.log10(count + prior))
+    as_context = _prior(np.where(frequent, _context_code(count), 255))
+    context = np.where(word[first_word] == END_MARK, 0.0, np.log10(count + as_context))
     per = lambda w: np.bincount(doc, weights=w, minlength=len(about))
     opening = (before == _before(np.array([START_MARK]))[0]).astype(float)
     out = np.zeros(len(about), SUMS)
@@ -288,7 +307,7 @@ def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: f
     out["tokens"] = np.bincount(doc, minlength=len(about))
     out["known"] = per((count > 0)[word_no].astype(float))
     out["base"] = per(np.log10(count + 0.5)[word_no])
-    out["model"] = per(joint_log[pair_no] - context[word_no] - opening * np.log10(starts + prior))
+    out["model"] = per(joint_log[pair_no] - context[word_no] - opening * np.log10(starts + _prior(_context_code(np.array([starts])))[0]))
     parts = np.split(out, np.cumsum(packets)[:-1])
     return pa.table({"chunk": table["chunk"], "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
 
@@ -305,12 +324,13 @@ def _merge_chunk(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(one["doc_id"], mask=one["null"]), "train": pa.array(one["train"]), **whole, "base": pa.array(total["base"]), "model": pa.array(total["model"])})
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_size: int = HEAD, prior: float = PRIOR, shard_size: int = SHARD) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_size: int = HEAD, shard_size: int = SHARD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Counts come from all rows that ``held_out`` (by default: CRC-32 of the id's text modulo 5 is 1)
     leaves. Words are told apart by 64-bit hashes. The model is a bigram trie with Dirichlet
-    smoothing: p(w | v) = (c(v w) + prior p(w)) / (c(v) + prior), p(w) the smoothed unigram share.
+    smoothing: p(w | v) = (c(v w) + m(v) p(w)) / (c(v) + m(v)), p(w) the smoothed unigram share and
+    m(v) = SCALE c(v)^POWER for frequent words, c rounded to an eighth of an octave, else SCALE.
     Its logarithm falls apart into one term that belongs to w and its predecessor and one that belongs to
     v alone, so each is summed where its counts are. A null text holds the end mark alone; a null id
     counts as the empty text for the split; rows that repeat an id are scored each. With no training
@@ -332,9 +352,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = rows.sparkSession.sparkContext.broadcast((head, head_n))
 
     def score(table: pa.Table) -> pa.Table:
-        return _score_shard(table, *known.value, total, distinct, starts, prior)
+        return _score_shard(table, *known.value, total, distinct, starts)
 
-    sums = _dealt(rows, head, shards).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary")
+    sums = _dealt(rows, head, head_n, starts, shards).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary")
     per = sums.groupBy("chunk").applyInArrow(_merge_chunk, "doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
     share = F.lit(np.log10(total + 0.5 * (distinct + 1)).item())
     return per.select(

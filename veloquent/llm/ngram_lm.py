@@ -31,7 +31,7 @@ STEPS = 8
 #: Codes of the quantised log-probabilities.
 LEVELS = 1 << 12
 #: Occurrences in a shard, about.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Occurrences that a task gathers before it deals them to the shards.
 CHUNK = 3_000_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.

@@ -37,9 +37,25 @@ CHUNK = 3_000_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
 END_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
 START_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n start"))
-#: What a packet says of each document, and what a shard returns: its place in the chunk, id, split and sums.
-ABOUT = np.dtype([("place", np.int32), ("doc_id", np.int64), ("train", bool), ("null", bool)])
-SUMS = np.dtype([*ABOUT.descr, ("tokens", np.int32), ("known", np.int32), ("base", np.float64), ("model", np.float64)])
+#: What a chunk says once of each document; what each packet says of it, by its place in the chunk; what a shard returns.
+IDS = np.dtype([("doc_id", np.int64), ("train", bool), ("null", bool)])
+ABOUT = np.dtype([("place", np.int32), ("train", bool)])
+SUMS = np.dtype([("place", np.int32), ("tokens", np.int32), ("known", np.int32), ("base", np.float64), ("model", np.float64)])
+
+
+def _to_bytes(rows: np.ndarray) -> bytes:
+    """Column by column, places as steps, so that the shuffle's compression finds runs."""
+    return b"".join((np.diff(rows[c], prepend=0).astype(np.int32) if c == "place" else rows[c]).tobytes() for c in rows.dtype.names)
+
+
+def _from_bytes(data: bytes, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(data) // kind.itemsize, kind)
+    at = 0
+    for c in kind.names:
+        column = np.frombuffer(data, kind[c], len(out), at)
+        out[c] = np.cumsum(column) if c == "place" else column
+        at += column.nbytes
+    return out
 
 
 class EliasFano:
@@ -191,13 +207,17 @@ def _before(word: np.ndarray) -> np.ndarray:
 
 
 def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float, shards: int) -> DataFrame:
-    """Packets of the occurrences that one chunk of documents sends to one shard.
+    """Packets of the occurrences that one chunk of documents sends to one shard, and one packet of its ids to any.
 
     A frequent word's occurrences are dealt by the word and the one before it, all others by the
     word alone, so a hot word spreads and still meets its counts: those every task knows.
     """
     shared = rows.sparkSession.sparkContext.broadcast((head, _context_code(head_n), _context_code(np.array([starts]))[0]))
 
+    def packet(*values) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "chunk", "n", "heads", "about", "payload", "ids"])
+
     def packets(chunk: int, held: list[tuple[int | None, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         frequent, codes, start_code = shared.value
         size = np.array([len(h[2]) for h in held])
@@ -216,11 +236,12 @@ def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float,
         shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((~is_head, shard))
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        about = np.zeros(len(held), ABOUT)
+        about, ids = np.zeros(len(held), ABOUT), np.zeros(len(held), IDS)
         about["place"] = np.arange(len(held))
-        about["doc_id"] = [0 if h[0] is None else h[0] for h in held]
-        about["null"] = [h[0] is None for h in held]
-        about["train"] = [h[1] for h in held]
+        ids["doc_id"] = [0 if h[0] is None else h[0] for h in held]
+        ids["null"] = [h[0] is None for h in held]
+        ids["train"] = about["train"] = [h[1] for h in held]
+        yield packet(((chunk >> 32) + chunk) % (1 << 32) % shards, chunk, 0, 0, b"", b"", _to_bytes(ids))
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if not len(mine):
@@ -228,8 +249,7 @@ def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float,
             heads = int(is_head[mine].sum())
             docs, local = np.unique(doc[mine], return_inverse=True)
             payload = b"".join(x.tobytes() for x in (rank[mine[:heads]].astype(np.uint16), word[mine[heads:]], _before(before[mine]), code[mine], local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
-            numbers = [pa.array([x], pa.int64()) for x in (s, chunk, len(mine), heads)]
-            yield pa.RecordBatch.from_arrays([*numbers, pa.array([about[docs].tobytes()], pa.binary()), pa.array([payload], pa.binary())], names=["shard", "chunk", "n", "heads", "about", "payload"])
+            yield packet(s, chunk, len(mine), heads, _to_bytes(about[docs]), payload, None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
@@ -247,14 +267,14 @@ def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float,
                 chunk += 1
                 held, size = [], 0
 
-    return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard bigint, chunk bigint, n bigint, heads bigint, about binary, payload binary")
+    return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard bigint, chunk bigint, n bigint, heads bigint, about binary, payload binary, ids binary")
 
 
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     """All occurrences of a shard: ``(is_head, rank or word, before, code, doc)``, the documents, and how many each packet has."""
     heads, words, befores, codes, docs, about, shift = [], [], [], [], [], [], 0
     for n, h, a, p in zip(*(table[c].to_pylist() for c in ("n", "heads", "about", "payload"))):
-        about.append(np.frombuffer(a, ABOUT))
+        about.append(_from_bytes(a, ABOUT))
         kind = np.uint32 if len(about[-1]) > 65535 else np.uint16
         cut = np.cumsum([0, 2 * h, 8 * (n - h), 4 * n, n])
         ranks = np.frombuffer(p, np.uint16, h, cut[0]).astype(np.uint64)
@@ -268,7 +288,12 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: float, distinct: float, starts: float) -> pa.Table:
-    """Sums per document over one shard's occurrences, packed in one row per packet that came in."""
+    """Sums per document over one shard's occurrences, packed in one row per packet that came in; ids pass."""
+    passing = table.filter(table["ids"].is_valid())
+    passing = pa.table({"chunk": passing["chunk"], "sums": pa.nulls(len(passing), pa.binary()), "ids": passing["ids"]})
+    table = table.filter(table["ids"].is_null())
+    if not len(table):
+        return passing
     is_head, word, before, code, doc, about, packets = _unpacked(table)
     word = word.copy()
     word[is_head] = head[word[is_head].astype(np.int64)]
@@ -302,24 +327,20 @@ def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: f
     per = lambda w: np.bincount(doc, weights=w, minlength=len(about))
     opening = (before == _before(np.array([START_MARK]))[0]).astype(float)
     out = np.zeros(len(about), SUMS)
-    for name in ABOUT.names:
-        out[name] = about[name]
+    out["place"] = about["place"]
     out["tokens"] = np.bincount(doc, minlength=len(about))
     out["known"] = per((count > 0)[word_no].astype(float))
     out["base"] = per(np.log10(count + 0.5)[word_no])
     out["model"] = per(joint_log[pair_no] - context[word_no] - opening * np.log10(starts + _prior(_context_code(np.array([starts])))[0]))
     parts = np.split(out, np.cumsum(packets)[:-1])
-    return pa.table({"chunk": table["chunk"], "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+    return pa.concat_tables([pa.table({"chunk": table["chunk"], "sums": pa.array([_to_bytes(p) for p in parts], pa.binary()), "ids": pa.nulls(len(parts), pa.binary())}), passing])
 
 
 def _merge_chunk(table: pa.Table) -> pa.Table:
     """Documents of one chunk from its sums in all shards."""
-    parts = np.concatenate([np.frombuffer(p, SUMS) for p in table["sums"].to_pylist()])
-    n = int(parts["place"].max()) + 1
-    first = np.empty(n, np.int64)
-    first[parts["place"]] = np.arange(len(parts))
-    one = parts[first]
-    total = {c: np.bincount(parts["place"], weights=parts[c], minlength=n) for c in ("tokens", "known", "base", "model")}
+    parts = np.concatenate([_from_bytes(p, SUMS) for p in table["sums"].drop_null().to_pylist()])
+    one = _from_bytes(table["ids"].drop_null()[0].as_py(), IDS)
+    total = {c: np.bincount(parts["place"], weights=parts[c], minlength=len(one)) for c in ("tokens", "known", "base", "model")}
     whole = {c: pa.array(total[c].astype(np.int64)) for c in ("tokens", "known")}
     return pa.table({"doc_id": pa.array(one["doc_id"], mask=one["null"]), "train": pa.array(one["train"]), **whole, "base": pa.array(total["base"]), "model": pa.array(total["model"])})
 
@@ -354,7 +375,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(table: pa.Table) -> pa.Table:
         return _score_shard(table, *known.value, total, distinct, starts)
 
-    sums = _dealt(rows, head, head_n, starts, shards).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary")
+    sums = _dealt(rows, head, head_n, starts, shards).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary, ids binary")
     per = sums.groupBy("chunk").applyInArrow(_merge_chunk, "doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
     share = F.lit(np.log10(total + 0.5 * (distinct + 1)).item())
     return per.select(

@@ -198,3 +198,33 @@ def test_language_model_without_training_rows(spark):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = L.score_texts(spark.createDataFrame([(only, "a b")], docs.schema)).first()
     assert r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"])
+
+
+@pytest.mark.parametrize("head", [1 << 16, 1, 0])
+def test_hot_pair_reaches_no_shard(spark, monkeypatch, tmp_path, head):
+    monkeypatch.setattr(L, "CHUNK", 500)
+    rows = [(i, "of the " * 40 + f"w{i}" if i % 3 else f"the w{i % 7} of", "x", 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, train string, tokens int")
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+    whole = L._unpacked
+
+    def spy(table):
+        out = whole(table)
+        (sizes / str(random.getrandbits(64))).write_text(str(len(out[1])))
+        return out
+
+    monkeypatch.setattr(L, "_unpacked", spy)
+    inner = L._score_shard
+
+    def score_shard(*args):
+        L._unpacked = spy
+        return inner(*args)
+
+    monkeypatch.setattr(L, "_score_shard", score_shard)
+    got = sorted(map(tuple, L.score_texts(docs, head_size=head, shard_size=1000).collect()), key=str)
+    want = sorted(score(rows, head), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert math.isclose(g[5], w[5], abs_tol=1e-6) and abs(g[6] - w[6]) < 0.002 * w[2]
+    assert max(int(f.read_text()) for f in sizes.iterdir()) < 1000  # "of the" and "the of" occur 4000 times each

@@ -32,6 +32,8 @@ STEPS = 8
 LEVELS = 1 << 12
 #: Occurrences in a shard, about.
 SHARD = 2_000_000
+#: A pair of frequent words with more occurrences than a shard's over this is scored where it is read.
+HOT_PART = 4
 #: Occurrences that a task gathers before it deals them to the shards.
 CHUNK = 3_000_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
@@ -176,24 +178,64 @@ def _hashes(text: str | None) -> np.ndarray:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """``(word, n)``: hash and count of every token of the rows ``(text, train)`` with ``train`` set."""
+    """``(word, n, load)``: hash of every token of the rows ``(text, train)``, its count where ``train`` is set, and in all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in _with_end(batches):
-            if batch is not None:
-                for text, train in zip(batch.column(0), batch.column(1).to_pylist()):
-                    if train:
-                        held.append(_hashes(text.as_py()))
-                        size += len(held[-1])
-                if size < CHUNK:
-                    continue
-            if held:
-                words, n = np.unique(np.concatenate(held), return_counts=True)
-                held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    return rows.select("text", "train").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        for held in _chunks(batches):
+            words, load = np.unique(np.concatenate([h for *_, h in held]), return_counts=True)
+            own, own_n = np.unique(np.concatenate([h[:0] if not t else h for _, t, h in held]), return_counts=True)
+            n = np.zeros(len(words), np.int64)
+            n[np.searchsorted(words, own)] = own_n
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(load)], names=["word", "n", "load"])
+
+    counted = rows.select("doc_id", "text", "train").mapInArrow(count, "word bigint, n bigint, load bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("load").alias("load"))
+
+
+def hot_pairs(rows: DataFrame, big: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the pairs of words in ``big`` with at least ``least`` occurrences in all rows, and their counts in training.
+
+    ``big`` is sorted and holds every word with so many occurrences. A key is the first word's place in ``big`` (its
+    length for the start mark) times its length, plus the second word's place. At most one in ``least`` pairs comes back.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(big)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches):
+            size = np.array([len(h) for *_, h in held])
+            train = np.repeat([t for _, t, _ in held], size)
+            word = np.concatenate([h for *_, h in held])
+            held.clear()
+            key = _pair_keys(word, size, shared.value)
+            del word
+            keys, load = np.unique(key[key >= 0], return_counts=True)
+            own, own_n = np.unique(key[(key >= 0) & train], return_counts=True)
+            n = np.zeros(len(keys), np.int64)
+            n[np.searchsorted(keys, own)] = own_n
+            del key, train
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(load)], names=["key", "n", "load"])
+
+    counted = rows.select("doc_id", "text", "train").mapInArrow(count, "key bigint, n bigint, load bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("load").alias("load"))
+    got = counted.where(F.col("load") >= least).orderBy("key").toArrow()  # bounded: all occurrences over ``least``
+    return got["key"].to_numpy(), got["n"].to_numpy().astype(np.float64)
+
+
+def _pair_keys(word: np.ndarray, size: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """Each occurrence's key of ``hot_pairs``, -1 where a word of the pair is not in ``big``; texts of ``size`` tokens."""
+    if not len(big):
+        return np.full(len(word), -1)
+    place = np.searchsorted(big, word).astype(np.int32)
+    np.minimum(place, len(big) - 1, out=place)
+    place[big[place] != word] = -1
+    key = np.empty(len(word), np.int64)
+    key[1:] = place[:-1]
+    key[np.cumsum(size) - size] = len(big)
+    none = (place < 0) | (key < 0)
+    key *= len(big)
+    key += place
+    key[none] = -1
+    return key
 
 
 def _with_end(batches):
@@ -201,71 +243,117 @@ def _with_end(batches):
     yield None
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bool, np.ndarray]]]:
+    """Rows ``(doc_id, text, train)`` as lists of ``(doc_id, train, hashes)`` of about ``CHUNK`` tokens."""
+    held: list = []
+    size = 0
+    for batch in _with_end(batches):
+        if batch is not None:
+            for doc, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                held.append((doc, train, _hashes(text.as_py())))
+                size += len(held[-1][2])
+            if size < CHUNK and len(held) < 1 << 20:
+                continue
+        if held:
+            yield held
+            held, size = [], 0
+
+
 def _before(word: np.ndarray) -> np.ndarray:
     """32 bits of a preceding word's hash: they tell the successors of one context apart."""
     return (word >> np.uint64(32)).astype(np.uint32)
 
 
-def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float, shards: int) -> DataFrame:
+def _hot_places(key: np.ndarray, hot_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hot pairs occur, and each one's place in ``hot_keys``."""
+    own = np.flatnonzero(key >= 0)
+    if not len(hot_keys):
+        return own[:0], own[:0]
+    at = np.minimum(np.searchsorted(hot_keys, key[own]), len(hot_keys) - 1)
+    hit = hot_keys[at] == key[own]
+    return own[hit], at[hit]
+
+
+def _hot_sums(hot: tuple[np.ndarray, ...], head: np.ndarray, total: float, distinct: float, starts: float) -> np.ndarray:
+    """What one occurrence of each hot pair adds to its document; ``hot`` is the words, their counts, the keys and theirs."""
+    big, big_n, keys, n = hot
+    first, second = np.divmod(keys, max(len(big), 1))
+    opening = first == len(big)
+    in_head = np.append(np.isin(big, head), True)
+    count = np.append(big_n, starts)
+    prior = _prior(np.where(in_head, _context_code(count), 255))
+    out = np.zeros(len(keys), SUMS)
+    out["known"] = count[second] > 0
+    out["base"] = np.log10(count[second] + 0.5)
+    joint = np.log10(n + prior[first] * (count[second] + 0.5) / (total + 0.5 * (distinct + 1)))
+    context = np.where(np.append(big, START_MARK)[second] == END_MARK, 0.0, np.log10(count[second] + prior[second]))
+    out["model"] = joint - context - opening * np.log10(starts + prior[-1])
+    return out
+
+
+def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float, shards: int, hot: tuple[np.ndarray, ...]) -> DataFrame:
     """Packets of the occurrences that one chunk of documents sends to one shard, and one packet of its ids to any.
 
+    ``hot`` is the words and keys of ``hot_pairs`` and ``_hot_sums`` of them. All that a hot pair's score needs is known,
+    so its occurrences are summed here, go with the ids, and reach no shard.
+
     A frequent word's occurrences are dealt by the word and the one before it, all others by the
     word alone, so a hot word spreads and still meets its counts: those every task knows.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((head, _context_code(head_n), _context_code(np.array([starts]))[0]))
+    shared = rows.sparkSession.sparkContext.broadcast((head, _context_code(head_n), _context_code(np.array([starts]))[0], *hot))
 
     def packet(*values) -> pa.RecordBatch:
         kinds = [pa.int64()] * 4 + [pa.binary()] * 3
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "chunk", "n", "heads", "about", "payload", "ids"])
 
     def packets(chunk: int, held: list[tuple[int | None, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        frequent, codes, start_code = shared.value
+        frequent, codes, start_code, big, hot_keys, hot_sums = shared.value
         size = np.array([len(h[2]) for h in held])
         word = np.concatenate([h[2] for h in held])
+        about, ids = np.zeros(len(held), ABOUT), np.zeros(len(held), IDS)
+        about["place"] = np.arange(len(held))
+        ids["doc_id"] = [0 if h[0] is None else h[0] for h in held]
+        ids["null"] = [h[0] is None for h in held]
+        ids["train"] = about["train"] = [h[1] for h in held]
+        held.clear()
+        own, value = _hot_places(_pair_keys(word, size, big), hot_keys)
         ends = np.cumsum(size)
         before = np.empty_like(word)
         before[1:] = word[:-1]
         before[np.concatenate(([0], ends[:-1]))] = START_MARK
-        doc = np.repeat(np.arange(len(held), dtype=np.int32), size)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         rank = np.minimum(np.searchsorted(frequent, word), max(len(frequent) - 1, 0))
         is_head = frequent[rank] == word if len(frequent) else np.zeros(len(word), bool)
         code = np.where(is_head, codes[rank] if len(codes) else 255, 255).astype(np.uint8)
         code[1:] = code[:-1].copy()
         code[np.concatenate(([0], ends[:-1]))] = start_code
+        rank = rank.astype(np.uint16)
         mixed = np.where(is_head, (word ^ (before * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9), word)
         shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+        shard[own] = shards
+        del mixed
         order = np.lexsort((~is_head, shard))
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        about, ids = np.zeros(len(held), ABOUT), np.zeros(len(held), IDS)
-        about["place"] = np.arange(len(held))
-        ids["doc_id"] = [0 if h[0] is None else h[0] for h in held]
-        ids["null"] = [h[0] is None for h in held]
-        ids["train"] = about["train"] = [h[1] for h in held]
-        yield packet(((chunk >> 32) + chunk) % (1 << 32) % shards, chunk, 0, 0, b"", b"", _to_bytes(ids))
+        tokens = np.bincount(doc[own], minlength=len(size))
+        sums = np.zeros(len(size), SUMS)
+        sums["place"], sums["tokens"] = np.arange(len(size)), tokens
+        for name in ("known", "base", "model"):
+            sums[name] = np.bincount(doc[own], weights=hot_sums[name][value], minlength=len(size))
+        sums = sums[tokens > 0]
+        yield packet(((chunk >> 32) + chunk) % (1 << 32) % shards, chunk, 0, 0, b"", _to_bytes(sums), _to_bytes(ids))
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if not len(mine):
                 continue
             heads = int(is_head[mine].sum())
             docs, local = np.unique(doc[mine], return_inverse=True)
-            payload = b"".join(x.tobytes() for x in (rank[mine[:heads]].astype(np.uint16), word[mine[heads:]], _before(before[mine]), code[mine], local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
+            payload = b"".join(x.tobytes() for x in (rank[mine[:heads]], word[mine[heads:]], _before(before[mine]), code[mine], local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
             yield packet(s, chunk, len(mine), heads, _to_bytes(about[docs]), payload, None)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        held: list = []
-        size = 0
-        for batch in _with_end(batches):
-            if batch is not None:
-                for doc, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                    held.append((doc, train, _hashes(text.as_py())))
-                    size += len(held[-1][2])
-                if size < CHUNK and len(held) < 1 << 20:
-                    continue
-            if held:
-                yield from packets(chunk, held)
-                chunk += 1
-                held, size = [], 0
+        first = TaskContext.get().partitionId() << 32
+        for chunk, held in enumerate(_chunks(batches), first):
+            yield from packets(chunk, held)
 
     return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard bigint, chunk bigint, n bigint, heads bigint, about binary, payload binary, ids binary")
 
@@ -287,10 +375,10 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     return np.concatenate(heads), np.concatenate(words), np.concatenate(befores), np.concatenate(codes), np.concatenate(docs), np.concatenate(about), np.array([len(a) for a in about])
 
 
-def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: float, distinct: float, starts: float) -> pa.Table:
+def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, big: np.ndarray, big_n: np.ndarray, total: float, distinct: float, starts: float) -> pa.Table:
     """Sums per document over one shard's occurrences, packed in one row per packet that came in; ids pass."""
     passing = table.filter(table["ids"].is_valid())
-    passing = pa.table({"chunk": passing["chunk"], "sums": pa.nulls(len(passing), pa.binary()), "ids": passing["ids"]})
+    passing = pa.table({"chunk": passing["chunk"], "sums": passing["payload"], "ids": passing["ids"]})
     table = table.filter(table["ids"].is_null())
     if not len(table):
         return passing
@@ -308,6 +396,9 @@ def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, total: f
     count = here.copy()
     frequent = is_head[first_word]
     count[frequent] = head_n[np.searchsorted(head, word[first_word][frequent])]
+    if len(big):  # some of their occurrences may be in hot pairs, which are not here
+        place = np.minimum(np.searchsorted(big, word[first_word]), len(big) - 1)
+        count = np.where(big[place] == word[first_word], big_n[place], count)
     pair_n = np.bincount(pair_no, weights=train)
     unigram = (count + 0.5) / (total + 0.5 * (distinct + 1))
     # The trie holds the pairs of the training texts, words in order and predecessors in order below them.
@@ -345,6 +436,13 @@ def _merge_chunk(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(one["doc_id"], mask=one["null"]), "train": pa.array(one["train"]), **whole, "base": pa.array(total["base"]), "model": pa.array(total["model"])})
 
 
+def _by_word(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Words in order and their counts."""
+    words, n = table["word"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(np.float64)
+    by = np.argsort(words)
+    return words[by], n[by]
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_size: int = HEAD, shard_size: int = SHARD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
@@ -361,21 +459,22 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), (~held).alias("train"))
     counts = word_counts(rows)
     kept = materialize(counts)
-    size = kept.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = float(size["n"] or 0), float(size["v"])
+    size = kept.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("load").alias("load")).first()
+    total, distinct, load = float(size["n"] or 0), float(size["v"]), size["load"] or 0
     top = kept.orderBy(F.desc("n"), "word").limit(head_size).toArrow()  # bounded by head_size
-    words, ns = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.float64)
-    by = np.argsort(words)
-    head, head_n = words[by], ns[by]
+    head, head_n = _by_word(top)
+    least = max(1, shard_size // HOT_PART)
+    big, big_n = _by_word(kept.where(F.col("load") >= least).toArrow())  # bounded: all occurrences over ``least``
+    hot_keys, hot_n = hot_pairs(rows, big, least) if len(big) else (np.empty(0, np.int64), np.empty(0))
     ended = kept.where(F.col("word") == int(END_MARK.astype(np.int64))).first()  # texts start as often as they end
     starts = float(ended["n"]) if ended else 0.0
-    shards = max(1, int(np.ceil(1.25 * total / shard_size)))
-    known = rows.sparkSession.sparkContext.broadcast((head, head_n))
+    shards = max(1, int(np.ceil(load / shard_size)))
+    known = rows.sparkSession.sparkContext.broadcast((head, head_n, big, big_n))
 
     def score(table: pa.Table) -> pa.Table:
         return _score_shard(table, *known.value, total, distinct, starts)
 
-    sums = _dealt(rows, head, head_n, starts, shards).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary, ids binary")
+    sums = _dealt(rows, head, head_n, starts, shards, (big, hot_keys, _hot_sums((big, big_n, hot_keys, hot_n), head, total, distinct, starts))).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary, ids binary")
     per = sums.groupBy("chunk").applyInArrow(_merge_chunk, "doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
     share = F.lit(np.log10(total + 0.5 * (distinct + 1)).item())
     return per.select(

@@ -5,7 +5,7 @@ Built-in Spark expressions only.
 
 from __future__ import annotations
 
-from functools import reduce
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,14 +20,23 @@ FEATURES = ["x_length", "x_word", "x_symbols", "x_lines", "x_repeats"]
 SUBSET = 0.75
 #: Squared distance beyond which a document goes; a chi-square with five degrees passes 35 about once in a million.
 CUTOFF = 35.0
-#: Groups with fewer documents use the estimates over all documents.
-MIN_GROUP = 100
-#: Concentration steps at most.
-STEPS = 8
+#: Documents that a group's own estimate has to outweigh: the language counts as so many documents in a group's estimate,
+#: and all documents as so many in a language's. So every group has its own estimate, whatever its size.
+PRIOR = 50.0
+#: Concentration steps at most, and the change of a log determinant below which all groups have settled.
+STEPS, SETTLED = 30, 0.02
 #: Smallest variance of each feature, so that constant features never make a singular matrix.
 FLOORS = [0.3, 0.1, 0.05, 0.12, 0.3]
 #: Width of the bins in which squared distances are ranked, as a share of the distance.
-BIN = 0.01
+BIN = 0.02
+#: Groups up to which their table of estimates, some 500 bytes a group, is broadcast; beyond, rows and estimates meet by group and salt.
+BROADCAST_GROUPS, SALTS = 20_000, 64
+#: Median of a chi-square with five degrees of freedom.
+MEDIAN = 4.351
+
+PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+#: An estimate as one array: means, then the lower half of the covariance.
+NUMBERS = len(FEATURES) + len(PAIRS)
 
 
 def transformed(docs: DataFrame) -> DataFrame:
@@ -48,97 +57,145 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _moments() -> list[Column]:
-    """Means and covariances of the features, by map-side combine."""
-    means = [F.avg(x).alias(f"m{i}") for i, x in enumerate(FEATURES)]
-    covs = [F.covar_pop(x, FEATURES[j]).alias(f"c{i}_{j}") for i, x in enumerate(FEATURES) for j in range(i + 1)]
-    return [F.count(F.lit(1)).alias("n"), *means, *covs]
+def _sums() -> Column:
+    """Count, sums and sums of products of the features as one array: moments that add up over groups."""
+    products = [f"sum({FEATURES[i]} * {FEATURES[j]})" for i, j in PAIRS]
+    return F.expr(f"array(cast(count(1) as double), {', '.join([f'sum({x})' for x in FEATURES] + products)})").alias("s")
 
 
-def _factor(stats: DataFrame) -> DataFrame:
-    """Add the lower Cholesky factor ``l{i}_{j}`` and the log determinant of each group's covariance, floors added."""
-    out = stats
-    for i in range(len(FEATURES)):
-        for j in range(i + 1):
-            before = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}"), range(j), F.col(f"c{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0))
-            out = out.withColumn(f"l{i}_{j}", F.sqrt(F.greatest(before, F.lit(FLOORS[i] ** 2))) if i == j else before / F.col(f"l{j}_{j}"))
-    return out.withColumn("logdet", reduce(lambda a, b: a + b, (2 * F.log(f"l{i}_{i}") for i in range(len(FEATURES)))))
+def _added() -> Column:
+    """The arrays of several rows, added place by place."""
+    return F.expr(f"array({', '.join(f'sum(s[{k}])' for k in range(NUMBERS + 1))})").alias("s")
 
 
-def _distance(rows: DataFrame) -> DataFrame:
-    """Add ``d2``, the squared Mahalanobis distance by forward substitution against the row's factor."""
-    out = rows
-    for i, x in enumerate(FEATURES):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}_{k}") * F.col(f"z{k}"), range(i), F.col(x) - F.col(f"m{i}"))
-        out = out.withColumn(f"z{i}", rest / F.col(f"l{i}_{i}"))
-    return out.withColumn("d2", reduce(lambda a, b: a + b, (F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(FEATURES)))))
+def _estimate() -> Column:
+    """Means and covariances from the sums, zeros without rows."""
+    mean = lambda k: f"coalesce(try_divide(s[{k}], s[0]), 0D)"
+    n = len(FEATURES)
+    means, covs = [mean(1 + i) for i in range(n)], [f"{mean(1 + n + k)} - {mean(1 + i)} * {mean(1 + j)}" for k, (i, j) in enumerate(PAIRS)]
+    return F.expr(f"array({', '.join(means + covs)})").alias("e")
+
+
+def _drawn(own: str, n: str, other: str) -> str:
+    """``own``, an array from ``n`` documents, drawn to ``other``, which counts as ``PRIOR`` documents."""
+    return f"zip_with({own}, {other}, (x, y) -> ({n} * x + {PRIOR}D * y) / ({n} + {PRIOR}D))"
+
 
+def _shrunk(own: DataFrame) -> DataFrame:
+    """``grp, lang, e``: estimates of a written table ``(grp, lang, n, e)`` drawn to those of ``lang``, and they to those of all.
+
+    The rows of the other levels carry null keys: ``(null, lang, n, e)`` for a language, ``(null, null, n, e)`` for all.
+    """
+    lang = own.where("grp is null and lang is not null").select(F.col("lang").alias("__l"), F.col("n").alias("l_n"), F.col("e").alias("l_e"))
+    everything = own.where("lang is null").select(F.col("e").alias("a_e"))
+    both = own.where("grp is not null").join(lang, F.col("lang") == F.col("__l")).crossJoin(F.broadcast(everything))  # one row
+    return both.selectExpr("grp", "lang", _drawn("e", "n", _drawn("l_e", "l_n", "a_e")) + " AS e")
 
-def _kept_stats(stats: DataFrame) -> DataFrame:
-    names = ["grp", "n", *(f"m{i}" for i in range(5)), *(f"c{i}_{j}" for i in range(5) for j in range(i + 1))]
-    return stats.select(*names)
 
+def _factor(estimates: DataFrame) -> DataFrame:
+    """``grp, lang, m{i}``, the lower Cholesky factor ``l{i}_{j}`` and the log determinant of each estimate, floors added."""
+    n = len(FEATURES)
+    out = estimates.selectExpr("grp", "lang", *(f"e[{k}] AS m{k}" for k in range(n)), *(f"e[{n + k}] + {FLOORS[i] ** 2 if i == j else 0}D AS c{i}_{j}" for k, (i, j) in enumerate(PAIRS)))
+    for j in range(n):  # column by column: a column needs those before it
+        out = out.selectExpr("*", f"sqrt(greatest(c{j}_{j}{''.join(f' - l{j}_{k} * l{j}_{k}' for k in range(j))}, {FLOORS[j] ** 2}D)) AS l{j}_{j}")
+        if j + 1 < n:
+            out = out.selectExpr("*", *(f"(c{i}_{j}{''.join(f' - l{i}_{k} * l{j}_{k}' for k in range(j))}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, n)))
+    det = " + ".join(f"2 * ln(l{i}_{i})" for i in range(n))
+    return out.selectExpr("grp", "lang", *(f"m{i}" for i in range(n)), *(f"l{i}_{j}" for i, j in PAIRS), f"{det} AS logdet")
 
-def _bin() -> Column:
-    """Fixed logarithmic bins of the squared distance."""
-    return F.floor(F.log(F.col("d2") + 1e-6) / BIN).cast("int")
+
+def _distance(rows: DataFrame) -> DataFrame:
+    """Add ``d2``, the squared Mahalanobis distance by forward substitution against the row's factor."""
+    out = rows
+    for i, x in enumerate(FEATURES):
+        out = out.selectExpr("*", f"({x} - m{i}{''.join(f' - l{i}_{k} * z{k}' for k in range(i))}) / l{i}_{i} AS z{i}")
+    return out.selectExpr("*", " + ".join(f"z{i} * z{i}" for i in range(len(FEATURES))) + " AS d2")
 
 
-def _nearest(rows: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """Per group the bin that holds the ``share`` quantile of ``d2``, from a bounded histogram; ``(rows with bins, cuts)``."""
-    binned = rows.withColumn("bin", _bin())
-    counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("k"))
-    run = Window.partitionBy("grp").orderBy("bin")
-    total = Window.partitionBy("grp")
-    cuts = counts.select("grp", "bin", F.sum("k").over(run).alias("upto"), F.sum("k").over(total).alias("all"))
-    # Written, the cuts have a known small size, and the rows meet them without a shuffle while it stays small.
-    return binned, materialize(cuts.where(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("grp").agg(F.min("bin").alias("cut")))
+def _meet(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
+    """Every row with its group's estimate: by broadcast while there are few groups, else by group and salt, so that no group fills a task."""
+    fit = fit.drop("lang")
+    if groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(fit), "grp", "left")
+    salted = fit.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*FEATURES), F.lit(SALTS)).cast("int")).join(salted, ["grp", "__salt"], "left").drop("__salt")
 
 
-def _with(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    return rows.join(stats, "grp")
+def _quantiles(counts: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
+    """``keys, n, q``: the bins at which the running count of ``n`` reaches each share, per ``keys``; a few hundred bins a key."""
+    run = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumns({"__u": F.sum("n").over(run), "__t": F.sum("n").over(Window.partitionBy(*keys))})
+    cuts = [F.min(F.when(F.col("__u") >= F.ceil(F.col("__t") * q - 1e-9), F.col("bin"))).cast("double") for q in at]
+    return upto.groupBy(*keys).agg(F.max("__t").cast("double").alias("n"), F.array(*cuts).alias("q"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Estimates to start from: medians, and spreads from the middle half, off-diagonals zero.
+    """Estimates to start from: medians, and spreads from the middle half, off-diagonals zero, drawn together like all later ones.
 
     Quantiles come from fixed bins of a thousandth, so they are the same under any partitioning.
     """
-    long = rows.select("grp", F.posexplode(F.array(*FEATURES)).alias("i", "x")).withColumn("bin", F.floor(F.col("x") / 0.001).cast("bigint"))
-    counts = long.groupBy("grp", "i", "bin").agg(F.count(F.lit(1)).alias("k"))
-    run, total = Window.partitionBy("grp", "i").orderBy("bin"), Window.partitionBy("grp", "i")
-    upto = counts.select("grp", "i", "bin", F.sum("k").over(run).alias("u"), F.sum("k").over(total).alias("t"))
-    at = lambda q: F.min(F.when(F.col("u") >= F.col("t") * q, F.col("bin"))) * 0.001
-    spread = upto.groupBy("grp", "i").agg(F.max("t").alias("n"), at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
-    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    means = [pick("mid", i).alias(f"m{i}") for i in range(5)]
-    covs = [(F.pow(pick("s", i), F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(5) for j in range(i + 1)]
-    return spread.groupBy("grp").agg(F.max("n").alias("n"), *means, *covs)
+    long = rows.select("grp", "lang", F.posexplode(F.array(*FEATURES)).alias("i", "x")).withColumn("bin", F.floor(F.col("x") / 0.001).cast("bigint"))
+    own = materialize(long.groupBy("grp", "lang", "i", "bin").agg(F.count(F.lit(1)).alias("n")))
+    none = F.lit(None).cast("string")
+    lang = own.groupBy(none.alias("grp"), "lang", "i", "bin").agg(F.sum("n").alias("n"))
+    everything = own.groupBy(none.alias("grp"), none.alias("lang"), "i", "bin").agg(F.sum("n").alias("n"))
+    q = _quantiles(own.unionByName(lang).unionByName(everything), ["grp", "lang", "i"], [0.25, 0.5, 0.75])
+    pick = lambda c, i: f"max(if(i = {i}, {c}, null))"
+    spread = f"pow((q[2] - q[0]) * {0.001 / 1.349}D, 2D)"
+    numbers = [*(pick("q[1] * 0.001D", i) for i in range(len(FEATURES))), *(pick(spread, i) if i == j else "0D" for i, j in PAIRS)]
+    return _shrunk(materialize(q.groupBy("grp", "lang").agg(F.max("n").alias("n"), F.expr(f"array({', '.join(numbers)})").alias("e"))))
+
+
+def _ranked(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
+    """Sums of the rows of each group and bin of squared distance: one pass, one map-side combined aggregation, a few hundred rows a group."""
+    binned = _distance(_meet(rows, fit, groups)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) / BIN).cast("bigint"))
+    return materialize(binned.groupBy("grp", "lang", "bin").agg(_sums()))
+
+
+def _cuts(bins: DataFrame, share: float) -> DataFrame:
+    """``grp, cut``: the bin of the ``share`` quantile of each group's distances, drawn to that of all documents."""
+    counts = bins.select("grp", "bin", F.expr("s[0]").alias("n"))
+    everything = _quantiles(counts.groupBy(F.lit(0).alias("one"), "bin").agg(F.sum("n").alias("n")), ["one"], [share]).select(F.col("q").alias("a_q"))
+    own = _quantiles(counts, ["grp"], [share]).crossJoin(F.broadcast(everything))  # one row
+    return own.select("grp", F.expr(f"ceil({_drawn('q', 'n', 'a_q')}[0])").alias("cut"))
+
+
+def _concentrated(bins: DataFrame, share: float) -> DataFrame:
+    """Shrunk estimates from the rows of each group up to its cut; a group without any has its language's."""
+    within = bins.join(_cuts(bins, share), "grp").withColumn("s", F.expr(f"if(bin <= cut, s, array_repeat(0D, {NUMBERS + 1}))"))
+    own = materialize(within.groupBy("grp", "lang").agg(_added()))
+    none = F.lit(None).cast("string")
+    lang = own.groupBy(none.alias("grp"), "lang").agg(_added())
+    everything = own.groupBy(none.alias("grp"), none.alias("lang")).agg(_added())
+    every = own.unionByName(lang).unionByName(everything)
+    return _shrunk(every.select("grp", "lang", F.expr("s[0]").alias("n"), _estimate()))
 
 
 def mcd_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant location and scatter per ``grp``, consistent at the normal.
-
-    Deterministic: concentration steps from a coordinate-wise robust start. Each step keeps the rows
-    whose distance lies up to the ``subset`` quantile's bin and takes their mean and covariance;
-    a step's estimates replace the last ones only where the determinant falls. Every step is two
-    aggregations with map-side combine; what returns to the driver is one number.
+    """Minimum-covariance-determinant location and scatter per ``grp`` of a written table ``(grp, lang, features)``.
+
+    Deterministic: concentration steps from a coordinate-wise robust start. Each step ranks a group's
+    rows by their distance, keeps those up to the ``subset`` quantile's bin, and takes their mean and
+    covariance, drawn to the language's and to all documents' (``PRIOR``); so do the cuts, and a
+    few odd rows alone in a group neither move its estimate nor pass by it. Steps end when no
+    determinant moves by ``SETTLED``; a warning tells if ``steps`` were not enough. Rows are passed once a step and summed
+    by group and bin where they are read; the rest works on a few hundred rows a group. What returns to
+    the driver is two numbers a step.
     """
     best = materialize(_factor(_start(rows)))
-    last = None
-    for k in range(steps):
-        binned, cuts = _nearest(_distance(_with(rows, best)).select("grp", *FEATURES, "d2"), subset)
-        new = _factor(_with(binned, cuts).where("bin <= cut").groupBy("grp").agg(*_moments()))
+    groups = best.count()
+    for _ in range(steps):
+        new = materialize(_factor(_concentrated(_ranked(rows, best, groups), subset)))
         old = best.select(F.col("grp").alias("__g"), F.col("logdet").alias("__old"))
-        both = materialize(new.join(old, F.col("grp") == F.col("__g")).drop("__g"))
-        moved = both.agg(F.max(F.abs(F.col("logdet") - F.col("__old"))).alias("x")).first()["x"] if k else None
-        best = both.drop("__old")
-        if last is not None and moved is not None and moved < 1e-3:
+        moved = new.join(old, F.col("grp") == F.col("__g")).agg(F.max(F.abs(F.col("logdet") - F.col("__old"))).alias("x")).first()["x"]
+        best = new
+        if moved is None or moved < SETTLED:
             break
-        last = moved
-    # The median of the squared distances is set to that of a chi-square with five degrees of freedom.
-    _, mid = _nearest(_distance(_with(rows, best)).select("grp", *FEATURES, "d2"), 0.5)
-    scale = mid.select("grp", F.greatest(F.exp((F.col("cut") + 1) * BIN) / 4.351, F.lit(1.0)).alias("scale"))
+    else:
+        warnings.warn(f"estimates still moved after {steps} steps: a log determinant by {moved:.3g}", stacklevel=2)
+    # The median of the squared distances is set to that of a chi-square.
+    mid = _cuts(_ranked(rows, best, groups), 0.5)
+    scale = mid.select("grp", F.greatest(F.exp((F.col("cut") + 1) * BIN) / MEDIAN, F.lit(1.0)).alias("scale"))
     return materialize(best.join(scale, "grp"))
 
 
@@ -146,22 +203,16 @@ def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base statistics, ``base_failed``, the distance ``d2`` and ``kept`` for every row.
 
     Base failures never enter the estimates. A group is a language and a source, a null being a
-    value of its own; groups under ``MIN_GROUP`` documents are measured against the estimates over
-    all documents, and where there is none, base rules decide alone. The estimates' table is joined
-    without a hint: Spark broadcasts it while its measured size allows and splits hot groups otherwise.
+    value of its own; each has an estimate of its own, the more drawn to its language's and to that of all documents the
+    fewer documents it has. Where there is no document to estimate from, base rules decide alone. Texts of any length
+    count whole; repeated rows count and are judged each; an empty table gives an empty result; other columns are ignored.
     """
     stat = transformed(with_base_stats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))))
     group = F.to_json(F.struct("lang", "source"))
-    rows = materialize(stat.select("doc_id", *BASE, *FEATURES, group.alias("own"), base_failed().alias("base_failed")))
-    good = rows.where("not base_failed")
-    sizes = good.groupBy("own").agg(F.count(F.lit(1)).alias("size"))
-    large = materialize(sizes.where(F.col("size") >= MIN_GROUP).select(F.col("own").alias("grp")))
-    shared = F.lit("*")
-    grouped = good.withColumnRenamed("own", "grp").join(large, "grp").select("grp", *FEATURES)
-    fit = materialize(mcd_estimates(grouped.unionByName(good.select(shared.alias("grp"), *FEATURES))))
-    names = fit.select(F.col("grp").alias("own"), F.lit(True).alias("__known"))
-    placed = rows.join(names, "own", "left").withColumn("grp", F.when(F.col("__known"), F.col("own")).otherwise(shared))
-    measured = _distance(placed.join(fit, "grp", "left")).withColumn("d2", F.col("d2") / F.col("scale"))
+    rows = materialize(stat.select("doc_id", *BASE, *FEATURES, group.alias("grp"), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), base_failed().alias("base_failed")))
+    good = rows.where("not base_failed").select("grp", "lang", *FEATURES)
+    fit = mcd_estimates(good)
+    measured = _distance(_meet(rows, fit, fit.count())).withColumn("d2", F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
     return measured.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "d2")
 

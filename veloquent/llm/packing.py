@@ -155,15 +155,15 @@ class Search:
 
     def _into(self, low: int, size: int) -> int | None:
         """The fullest other bin with room for ``size``, no emptier than ``low``."""
-        for gap in sorted(g for g in self.by_gap if g >= size):
+        for gap in sorted(g for g in self.by_gap if size <= g <= self.gap[low]):
             for b in self.by_gap[gap]:
-                if b != low and gap <= self.gap[low]:
+                if b != low:
                     return b
         return None
 
     def _for(self, low: int, size: int) -> tuple[int, int] | None:
         """A bin and an item of it, smaller than ``size`` by what its gap allows, that leaves the least gap."""
-        widest = max(self.by_gap, default=0)
+        widest = min(max(self.by_gap, default=0), self.gap[low])
         for less in range(min(widest, size - 1), 0, -1):
             for b in self.holding.get(size - less, ()):
                 if b != low and less <= self.gap[b] <= self.gap[low]:
@@ -189,21 +189,16 @@ class Search:
         return False
 
     def run(self) -> list[list[int]]:
-        """Empty the emptiest bins until no step helps or as few bins are left as the sum of sizes needs."""
+        """Pass over the underfull bins, the emptiest first, until a whole pass finds no step or as few bins are left as the sum of sizes needs."""
         least = -(-sum(self.sizes) // self.capacity)
-        stuck: set[int] = set()
-        while len(self.bins) > least:
-            low = max((b for b in self.bins if self.gap[b] > 0 and b not in stuck), key=lambda b: (self.gap[b], -b), default=None)
-            if low is None:
-                break
-            while low in self.bins and self.step(low):
-                pass
-            if low in self.bins:
-                stuck.add(low)
-                if len(stuck) > 8:
+        moved = True
+        while moved and len(self.bins) > least:
+            moved = False
+            for low in sorted((b for b in self.bins if self.gap[b] > 0), key=lambda b: (-self.gap[b], b)):
+                while low in self.bins and self.gap[low] > 0 and self.step(low):
+                    moved = True
+                if len(self.bins) <= least:
                     break
-            else:
-                stuck.clear()
         return list(self.bins.values())
 
 

@@ -8,22 +8,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import materialize
+
 # The rules (host and path prefix) and their verdicts.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 #: Longest context in characters; shorter ones are backed off to.
 ORDER = 5
-#: Slots of each order's table: n-grams are hashed, so the model's size is fixed.
-SLOTS = 1 << 18
+#: An n-gram stays in its model if it makes up at least one in so many of the kind's characters: a bound on the model's size
+#: that is the same share of any input. Where the characters are fewer, all n-grams stay.
+PRUNE = 1 << 18
 #: Strength of the shorter context's estimate in each step of the smoothing.
 BACKOFF = 2.0
+#: N-gram occurrences that a task counts at once.
+CHUNK = 4_000_000
 #: One in so many URLs that rules decide is kept from training, for calibration.
 CALIBRATION = 5
 
@@ -47,47 +52,58 @@ def rule_of(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column
     return out
 
 
-def _grams(urls: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash slots of all n-grams: ``slots[o, i]`` of the (o+1)-gram that ends at character ``i``, of all URLs joined.
+def _grams(urls: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact keys ``[o, i]`` of the (o+1)-gram that ends at character ``i``, of all URLs joined, and each character's url number.
 
-    Also each character's url number and the slots of its contexts, ``contexts[o, i]`` the o characters before it.
+    A key holds its n-gram's bytes, the last one lowest, and its order above them; a URL has ``order``
+    marks before its first byte and one behind its last.
     """
     coded = [b"\x02" * order + (u or "").lower().encode("utf-8", "surrogatepass") + b"\x03" for u in urls]
-    flat = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
     size = np.fromiter(map(len, coded), np.int64, len(coded))
     starts = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
     owner = np.repeat(np.arange(len(coded)), size)
     real = np.flatnonzero(np.arange(len(flat)) - starts[owner] >= order) if len(coded) else np.empty(0, np.int64)
-    mix = lambda h: ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)
-    slots, contexts = np.empty((order + 1, len(real)), np.int64), np.empty((order + 1, len(real)), np.int64)
+    keys = np.empty((order + 1, len(real)), np.int64)
+    value = np.zeros(len(real), np.int64)
     for o in range(order + 1):
-        h = np.full(len(real), 0x9E3779B97F4A7C15 + o, np.uint64)
-        for back in range(o, 0, -1):
-            h = h * np.uint64(0x100000001B3) + flat[real - back] + np.uint64(1)
-        contexts[o] = (mix(h) % np.uint64(SLOTS)).astype(np.int64)
-        slots[o] = (mix(h * np.uint64(0x100000001B3) + flat[real] + np.uint64(1)) % np.uint64(SLOTS)).astype(np.int64)
-    return slots, owner[real], contexts
+        value = value | flat[real - o] << (8 * o)
+        keys[o] = value | (o + 1) << 56
+    return keys, owner[real]
 
 
 @dataclass
 class UrlModel:
-    """Count tables ``[class, order, slot]`` of n-grams and of contexts, and the calibration's slope and offset."""
+    """Per kind, accepted and rejected: sorted n-gram keys with counts, sorted contexts with the sums of their n-grams' counts."""
 
-    grams: np.ndarray
-    contexts: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray]]
+    order: int
     slope: float = 1.0
     offset: float = 0.0
 
+    @classmethod
+    def build(cls, counts: list[tuple[np.ndarray, np.ndarray]], order: int) -> UrlModel:
+        """From each kind's sorted keys and counts. A context counts what its n-grams in the model count, so probabilities add up to one."""
+        contexts = []
+        for keys, n in counts:
+            above = keys >> 56 << 56 | (keys & ((1 << 56) - 1)) >> 8  # the order stays, the last character goes
+            names, at = np.unique(above, return_inverse=True)
+            contexts.append((names, np.bincount(at, weights=n, minlength=len(names))))
+        return cls(counts, contexts, order)
+
+    def probabilities(self, keys: np.ndarray, kind: int) -> np.ndarray:
+        """Smoothed probability of each character after its context, from the shortest context to the longest."""
+        p = np.full(keys.shape[1], 1 / 256)
+        for o in range(self.order + 1):
+            above = np.int64(o + 1) << 56 | (keys[o] & ((1 << 56) - 1)) >> 8
+            p = (_looked_up(self.grams[kind], keys[o]) + BACKOFF * p) / (_looked_up(self.contexts[kind], above) + BACKOFF)
+        return p
+
     def ratio(self, urls: list[str | None]) -> np.ndarray:
         """Mean log-likelihood difference per character, rejected minus accepted, the end mark included."""
-        order = self.grams.shape[1] - 1
-        slots, owner, contexts = _grams(urls, order)
-        logs = []
-        for kind in (0, 1):
-            p = np.full(slots.shape[1], 1 / 128)
-            for o in range(order + 1):
-                p = (self.grams[kind, o][slots[o]] + BACKOFF * p) / (self.contexts[kind, o][contexts[o]] + BACKOFF)
-            logs.append(np.log(np.maximum(p, 1e-12)))
+        keys, owner = _grams(urls, self.order)
+        logs = [np.log(self.probabilities(keys, kind)) for kind in (0, 1)]
         n = np.bincount(owner, minlength=len(urls))
         return np.bincount(owner, weights=logs[1] - logs[0], minlength=len(urls)) / np.maximum(n, 1)
 
@@ -96,36 +112,61 @@ class UrlModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratio(urls) + self.offset, -50, 50)))
 
 
-def train(urls: DataFrame, order: int = ORDER) -> UrlModel:
+def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Counts of keys in a sorted table, zero where it lacks one."""
+    names, n = table
+    if not len(names):
+        return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+    return np.where(names[at] == keys, n[at], 0.0)
+
+
+def train(urls: DataFrame, order: int = ORDER, prune: int = PRUNE) -> UrlModel:
     """Fit on rows ``(url, kind)`` with kind 0 accepted, 1 rejected; all rows count.
 
-    Tasks count n-grams into hashed slots, Spark sums the slots, and a table of fixed size
-    (2 classes x ``order`` + 1 orders x ``SLOTS``) comes back. Without any row of a kind its model
+    Tasks count n-grams exactly, Spark sums them, and those that make up at least one in ``prune`` of the
+    kind's characters come back: at most ``prune`` n-grams a kind and order, whatever the input. Without any row of a kind its model
     is the uniform one.
     """
+    if not 0 <= order <= 6:
+        raise ValueError("order must be 0 to 6")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            kinds = np.asarray(batch.column(1).to_pylist(), np.int64)
-            slots, owner, contexts = _grams(batch.column(0).to_pylist(), order)
-            for kind in (0, 1):
-                mine = kinds[owner] == kind if len(owner) else np.empty(0, bool)
-                for o in range(order + 1):
-                    for table, at in ((0, slots), (1, contexts)):
-                        key = (table, kind, o)
-                        sums[key] = sums.get(key, 0) + np.bincount(at[o][mine], minlength=SLOTS)
-        for (table, kind, o), total in sums.items():
-            at = np.flatnonzero(total)
-            ids = ((table * 2 + kind) * (order + 1) + o) * SLOTS + at
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
-
-    counted = urls.select("url", F.col("kind").cast("bigint")).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # bounded: 2 tables x 2 kinds x (order + 1) x SLOTS rows at most
-    flat = np.zeros(4 * (order + 1) * SLOTS, np.float32)
-    flat[got["slot"].to_numpy()] = got["n"].to_numpy()
-    both = flat.reshape(2, 2, order + 1, SLOTS)
-    return UrlModel(both[0], both[1])
+        held, size = [], 0
+        for batch in _with_end(batches):
+            if batch is not None:
+                kinds = np.asarray(batch.column(1).to_pylist(), np.int64)
+                keys, owner = _grams(batch.column(0).to_pylist(), order)
+                held.append((keys.ravel(), np.tile(kinds[owner], order + 1)))
+                size += keys.size
+                if size < CHUNK:
+                    continue
+            if held:
+                keys, kinds = (np.concatenate(x) for x in zip(*held))
+                for kind in (0, 1):
+                    names, n = np.unique(keys[kinds == kind], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names), pa.array(n)], names=["kind", "gram", "n"])
+                held, size = [], 0
+
+    counted = urls.select("url", F.col("kind").cast("bigint")).mapInArrow(count, "kind int, gram bigint, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+    counted = materialize(counted)
+    end = 1 << 56  # order one: every character once
+    total = {r["kind"]: r["n"] for r in counted.where((F.col("gram") >= end) & (F.col("gram") < 2 * end)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
+    least = F.when(F.col("kind") == 0, total.get(0, 0) / prune).otherwise(total.get(1, 0) / prune)
+    got = counted.where(F.col("n") >= least).toArrow()  # bounded: order + 1 times prune a kind
+    kinds, keys, n = (got[c].to_numpy() for c in ("kind", "gram", "n"))
+    counts = []
+    for kind in (0, 1):
+        mine = np.flatnonzero(kinds == kind)
+        mine = mine[np.argsort(keys[mine])]
+        counts.append((keys[mine], n[mine].astype(np.float64)))
+    return UrlModel.build(counts, order)
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches and then None, for the last chunk."""
+    yield from batches
+    yield None
 
 
 def _scored(urls: DataFrame, model: UrlModel, what: str, keep: list[str]) -> DataFrame:
@@ -160,7 +201,7 @@ def calibrate(model: UrlModel, held: DataFrame, bins: int = 4096, steps: int = 2
         theta = theta - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return UrlModel(model.grams, model.contexts, float(theta[0]), float(theta[1]))
+    return replace(model, slope=float(theta[0]), offset=float(theta[1]))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, order: int = ORDER) -> DataFrame:
@@ -168,8 +209,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     URLs that a rule decides are the models' training rows, but for one in ``CALIBRATION`` by CRC-32
     that calibrate. The verdict is the rule's, else block where the calibrated probability of
-    rejection exceeds one half. A null URL counts as empty and is judged by the models. With no
-    decided URL of one kind the other URLs are allowed: there is nothing to compare with.
+    rejection exceeds one half. A null URL counts as empty and is judged by the models; URLs of any length count
+    whole. With no decided URL of one kind the other URLs are allowed: there is nothing to compare with. Repeated rows
+    count and are judged each; an empty table gives an empty result; other columns are ignored.
     """
     host, path = parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumn("host", host).withColumn("path", path)
@@ -178,8 +220,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     decided = rows.where("rule is not null").select("url", kind.alias("kind"))
     held = F.crc32(F.col("url").cast("binary")) % CALIBRATION == 0
     model = calibrate(train(decided.where(~held), order), decided.where(held))
-    if not all(model.contexts[k, 0].sum() for k in (0, 1)):
-        model = UrlModel(model.grams * 0, model.contexts * 0, 0.0, -math.inf)
+    if not all(len(keys) for keys, _ in model.grams):
+        model = replace(model, slope=0.0, offset=-math.inf)
     judged = _scored(rows, model, "rejected", ["page_id", "host", "path", "rule"])
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin([r for r, v in rules.items() if v == "block"]), "block").otherwise("allow")).when(F.col("rejected") > 0.5, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "rejected")

@@ -19,6 +19,8 @@ RECALL = 0.98
 #: Vectors of a bucket compared in one task; larger buckets are cut into pairs of parts of this size.
 BLOCK = 1024
 SEED = 20240229
+#: Vectors whose rows all have a null id stand under numbers from here on; ids lie below.
+NAMELESS = 1 << 62
 
 
 def plan(n: int, threshold: float) -> tuple[int, int]:
@@ -50,13 +52,13 @@ def _labels(adjacent: np.ndarray) -> np.ndarray:
         now = low
 
 
-def _compare(block: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _compare(block: dict[str, np.ndarray], threshold: float, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links inside one block: ``(rows, weighted link counts)`` and the edges that join their components.
 
     A pair counts in the first table in which its signatures meet, and in no later one. In a block of
     two parts only pairs across count.
     """
-    unit, sig, part, table = block["unit"], block["sig"], block["part"], int(block["tab"][0])
+    unit, part, table = block["unit"], block["part"], int(block["tab"][0])
     near = unit @ unit.T >= threshold
     np.fill_diagonal(near, False)
     if part.any():
@@ -66,6 +68,11 @@ def _compare(block: dict[str, np.ndarray], threshold: float) -> tuple[np.ndarray
         return none, none, none, none
     i, j = np.nonzero(near)
     first = np.ones(len(i), bool)
+    # Signatures are short work beside the shuffle that they would cost, so they are taken anew from the vectors.
+    sig = np.zeros((len(unit), table), np.int64)
+    met = np.unique(i)
+    if table:
+        sig[met] = _signatures(unit[met], bits, tables)[:, :table]
     for at in range(0, len(i), 1 << 18):
         x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
         first[at : at + (1 << 18)] = ~(sig[x, :table] == sig[y, :table]).any(1)
@@ -96,14 +103,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     sees more than two parts and no pair is lost. Only sums of links and edges between components
     leave a task. Vectors that are null, empty, zero, or hold null or non-finite components link
     with nothing; vectors of different lengths never meet. A row with a null id counts as a link of
-    others but names no component.
+    others but names no component: one of such rows alone has null. Repeated rows count as links of each other; an empty
+    table gives an empty result; other columns are ignored.
     """
     rows = table.select(F.col(id_col).cast("bigint").alias("vec_id"), _numbers(table, vector_col).alias("v"))
     kind = rows.schema["v"].dataType.simpleString()
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
     reps = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = materialize(reps.where("rep is not null").withColumn("dim", F.size("v")))
+    reps = materialize(reps.withColumn("rep", F.coalesce("rep", F.pmod(F.xxhash64("v"), F.lit(1 << 61)) + NAMELESS)).withColumn("dim", F.size("v")))
     count = reps.count()
     bits, tables = plan(count, threshold)
 
@@ -117,7 +125,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 yield pa.RecordBatch.from_arrays([*mine.columns, held], names=["v", "rep", "n", "dim", "sig"])
 
     signed = reps.mapInArrow(sign, f"v {kind}, rep bigint, n bigint, dim int, sig array<bigint>")
-    spread = signed.select("*", F.posexplode("sig").alias("tab", "key"))
+    spread = signed.select("v", "rep", "n", "dim", F.posexplode("sig").alias("tab", "key"))
     sizes = materialize(spread.groupBy("dim", "tab", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     small = sizes.where(F.col("size") <= BLOCK).select("dim", "tab", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("part"))
     blocks = spread.join(small, ["dim", "tab", "key"])
@@ -127,7 +135,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
         every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, mine).alias("p"), F.greatest(o, mine).alias("q"), (o < mine).cast("int").alias("part")))
         blocks = blocks.unionByName(cut.withColumn("b", F.explode(every)).select(*spread.columns, "b.p", "b.q", "b.part"))
-    blocks = blocks.select("v", "rep", "n", "dim", "sig", "tab", "key", "p", "q", "part")
+    blocks = blocks.select("v", "rep", "n", "dim", "tab", "key", "p", "q", "part")
     keyed = ["dim", "tab", "key", "p", "q"]
     dealt = blocks.repartition(*keyed).sortWithinPartitions(*keyed, "rep")
 
@@ -138,7 +146,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 held = batch if held is None else pa.concat_batches([held, batch])
             if held is None or not held.num_rows:
                 continue
-            ids = np.stack([held.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6, 7, 8)])
+            ids = np.stack([held.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4, 5, 6, 7)])
             edges = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1
             starts = np.concatenate(([0], edges, [held.num_rows] if batch is None else []))
             out: list[tuple] = []
@@ -148,13 +156,12 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 group = held.slice(a, b - a)
                 got = {
                     "unit": _unit(_stack(group.column(0), int(ids[0, a]))),
-                    "sig": _stack_ints(group.column(4), tables),
                     "rep": group.column(1).to_numpy(),
                     "n": group.column(2).to_numpy(),
                     "tab": ids[1, a : a + 1],
-                    "part": group.column(9).to_numpy() + 1 if ids[3, a] != ids[4, a] else np.zeros(b - a, np.int64),
+                    "part": group.column(8).to_numpy() + 1 if ids[3, a] != ids[4, a] else np.zeros(b - a, np.int64),
                 }
-                out.append(_compare(got, threshold))
+                out.append(_compare(got, threshold, bits, tables))
             held = held.slice(int(starts[-1])) if batch is not None else None
             if out:
                 x, c, s, t = (np.concatenate(z) for z in zip(*out))
@@ -165,7 +172,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     links = found.where("links > 0").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("rep <> to").select("rep", "to"), "rep", "to")
     named = reps.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.xxhash64("v").alias("h"), "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = named.select(F.xxhash64("v").alias("h"), "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")).withColumn("component", F.when(F.col("component") < NAMELESS, F.col("component")))
     out = rows.withColumn("h", F.xxhash64("v")).join(named, ["h", "v"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
 
@@ -180,7 +187,3 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     """The batches and then None, for the last group."""
     yield from batches
     yield None
-
-
-def _stack_ints(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.int64).reshape(len(column), width)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -49,24 +50,25 @@ SIGNATURES = [
     (90, "apache-1.1", "apache", r"apache (?:software )?license(?: version| v)? ?1 1", 0.98),
     (90, "apache-1.0", "apache", r"apache (?:software )?license(?: version| v)? ?1 0", 0.98),
     (85, "apache-2.0", "apache", r"(?:www )?apache org licenses license 2 0", 0.99),
-    (70, "apache-2.0", "apache", r"(?:asl|al|apache) 2 0(?: licen[cs]ed?)?", 0.85),
+    (70, "apache-2.0", "apache", r"apache 2 0(?: licen[cs]ed?)?", 0.85),
+    (70, "apache-2.0", "asl", r"asl ?v?2 0(?: licen[cs]ed?)?", 0.85),
     (75, "apache", "apache", r"apache (?:software )?licen[cs]e", 0.93),
     (65, "apache", "apache", r"licensed to the apache software foundation", 0.93),
     (95, "mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.99),
     (75, "mit", "mit", r"(?:the )?mit licen[cs]e", 0.95),
     (80, "mit-0", "mit", r"mit no attribution(?: licen[cs]e)?", 0.96),
     (70, "mit", "mit", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit", 0.9),
-    (70, "x11", "x11", r"(?:x11|x consortium) licen[cs]e", 0.9),
+    (70, "x11", "x11", r"x11 licen[cs]e", 0.9),
+    (70, "x11", "consortium", r"x consortium licen[cs]e", 0.9),
     (60, "expat", "expat", r"expat licen[cs]e", 0.9),
     (95, "isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.98),
     (75, "isc", "isc", r"isc licen[cs]e", 0.93),
-    (96, "bsd-4-clause", "redistribution", r"redistribution and use in source and binary forms.{0,900}?all advertising materials mentioning features", 0.97),
-    (95, "bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms.{0,900}?neither the names? of", 0.97),
     (94, "bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 0.95),
     (85, "bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd(?: licen[cs]e)?|bsd 4 clause(?: licen[cs]e)?", 0.95),
     (85, "bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd(?: licen[cs]e)?|bsd 3 clause(?: licen[cs]e)?", 0.95),
     (85, "bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?", 0.95),
-    (85, "0bsd", "bsd", r"(?:zero clause|0 clause|free public) bsd(?: licen[cs]e)?|0bsd", 0.93),
+    (85, "0bsd", "bsd", r"(?:zero clause|0 clause) bsd(?: licen[cs]e)?|0bsd", 0.93),
+    (85, "0bsd", "free", r"free public licen[cs]e(?: 1 0 0)?", 0.9),
     (75, "bsd", "bsd", r"bsd(?: style| type)? licen[cs]ed?", 0.9),
     (90, "mpl-1.0", "mozilla", r"mozilla public license(?: version| v)? ?1 0", 0.98),
     (90, "mpl-1.1", "mozilla", r"mozilla public license(?: version| v)? ?1 1", 0.98),
@@ -137,8 +139,108 @@ SIGNATURES = [
     (75, "odc-by", "commons", r"open data commons attribution licen[cs]e", 0.95),
     (75, "pddl", "dedication", r"public domain dedication and licen[cs]e", 0.95),
     (75, "ogl-uk", "government", r"open government licen[cs]e", 0.93),
-    (75, "openrail", "openrail", r"(?:creativeml |bigscience )?(?:open rail|openrail)(?: m)?(?: licen[cs]e)?", 0.9),
+    (75, "openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: ?m)?(?: licen[cs]e)?", 0.9),
+    (75, "openrail", "rail", r"(?:creativeml |bigscience )?open rail(?: m)?(?: licen[cs]e)?", 0.9),
     (75, "llama", "llama", r"llama(?: ?[234])?(?: [123])? community licen[cs]e", 0.93),
+    (91, "agpl-3.0-or-later", "affero", r"gnu affero general public license as published by the free software foundation either version 3(?: 0)? of the license or at your option any later version", 0.99),
+    (71, "agpl-3.0-only", "agpl", r"agpl ?v?3(?: 0)? only", 0.95),
+    (91, "lgpl-2.1-or-later", "lesser", r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", 0.99),
+    (91, "lgpl-3.0-or-later", "lesser", r"gnu lesser general public license as published by the free software foundation either version 3(?: 0)? of the license or at your option any later version", 0.99),
+    (71, "gpl-2.0-only", "gpl", r"gpl ?v?2(?: 0)? only", 0.95),
+    (71, "gpl-3.0-only", "gpl", r"gpl ?v?3(?: 0)? only", 0.95),
+    (85, "gpl-font-exception", "font", r"(?:gpl )?font exception", 0.8),
+    (85, "gpl-linking-exception", "linking", r"(?:gpl |static )?linking exception", 0.8),
+    (85, "gcc-exception", "runtime", r"gcc runtime library exception", 0.95),
+    (85, "autoconf-exception", "autoconf", r"autoconf (?:configure script )?exception", 0.9),
+    (85, "bison-exception", "bison", r"bison exception", 0.9),
+    (80, "gpl", "copyleft", r"copyleft(?:ed)? under the gpl", 0.8),
+    (70, "gpl", "copying", r"see the file copying for (?:details|license)", 0.5),
+    (88, "apache-2.0", "apache", r"dual licensed under (?:the )?apache(?: license)?(?: version)? 2 0 and (?:the )?mit", 0.95),
+    (66, "llvm-exception", "llvm", r"(?:apache 2 0 with )?llvm exceptions?", 0.93),
+    (76, "mit", "expat", r"mit expat licen[cs]e", 0.93),
+    (76, "mit-cmu", "cmu", r"cmu (?:mit )?licen[cs]e", 0.85),
+    (76, "mit-modern", "modern", r"modern mit licen[cs]e", 0.85),
+    (76, "hpnd", "historical", r"historical permission notice and disclaimer", 0.95),
+    (86, "hpnd", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose(?: and without fee)? is hereby granted", 0.9),
+    (76, "icu", "icu", r"icu licen[cs]e", 0.85),
+    (76, "bsd-3-clause-clear", "bsd", r"(?:clear bsd|bsd 3 clause clear)(?: licen[cs]e)?", 0.95),
+    (76, "bsd-1-clause", "bsd", r"(?:bsd 1 clause|1 clause bsd)(?: licen[cs]e)?", 0.93),
+    (76, "bsd-patent", "bsd", r"bsd (?:2 clause )?plus patent(?: licen[cs]e)?", 0.93),
+    (76, "bsd-source-code", "bsd", r"bsd source code attribution", 0.9),
+    (76, "intel-osl", "intel", r"intel open source licen[cs]e", 0.93),
+    (76, "intel-simplified", "intel", r"intel simplified software licen[cs]e", 0.93),
+    (76, "nvidia", "nvidia", r"nvidia (?:software|source code|open model) licen[cs]e", 0.9),
+    (76, "amd", "amd", r"amd software licen[cs]e", 0.85),
+    (76, "ipl-1.0", "ibm", r"ibm public license(?: version)? 1 0", 0.95),
+    (76, "sun-isl", "sun", r"sun industry standards source licen[cs]e", 0.95),
+    (76, "spl-1.0", "sun", r"sun public licen[cs]e", 0.93),
+    (76, "sleepycat", "sleepycat", r"sleepycat licen[cs]e", 0.93),
+    (76, "nokia", "nokia", r"nokia open source licen[cs]e", 0.93),
+    (76, "motosoto", "motosoto", r"motosoto open source licen[cs]e", 0.93),
+    (76, "naumen", "naumen", r"naumen public licen[cs]e", 0.93),
+    (76, "ngpl", "nethack", r"nethack general public licen[cs]e", 0.95),
+    (76, "oclc-2.0", "oclc", r"oclc research public licen[cs]e", 0.93),
+    (76, "opl", "opencontent", r"opencontent licen[cs]e", 0.9),
+    (76, "open-publication", "publication", r"open publication licen[cs]e", 0.93),
+    (76, "rpl-1.5", "reciprocal", r"reciprocal public licen[cs]e(?: 1 5)?", 0.95),
+    (76, "ricoh", "ricoh", r"ricoh source code public licen[cs]e", 0.93),
+    (76, "rpsl", "realnetworks", r"realnetworks public source licen[cs]e", 0.93),
+    (76, "simpl-2.0", "simple", r"simple public licen[cs]e(?: 2 0)?", 0.9),
+    (76, "sugarcrm", "sugarcrm", r"sugarcrm public licen[cs]e", 0.93),
+    (76, "tcp-wrappers", "wrappers", r"tcp wrappers licen[cs]e", 0.9),
+    (76, "vsl-1.0", "vovida", r"vovida software licen[cs]e", 0.93),
+    (76, "watcom", "sybase", r"sybase open watcom public licen[cs]e", 0.95),
+    (76, "wxwindows", "wxwindows", r"wxwindows library licen[cs]e", 0.95),
+    (76, "xnet", "x", r"x net licen[cs]e", 0.85),
+    (76, "zpl", "zope", r"zope public licen[cs]e(?: version)?(?: 2 [01])?", 0.95),
+    (76, "entessa", "entessa", r"entessa public licen[cs]e", 0.93),
+    (76, "eudatagrid", "datagrid", r"eu datagrid software licen[cs]e", 0.93),
+    (76, "fair", "fair", r"fair licen[cs]e", 0.75),
+    (76, "frameworx", "frameworx", r"frameworx (?:open )?licen[cs]e", 0.93),
+    (76, "lucent", "lucent", r"lucent public licen[cs]e", 0.93),
+    (76, "miros", "miros", r"miros licen[cs]e", 0.9),
+    (76, "multics", "multics", r"multics licen[cs]e", 0.9),
+    (76, "nasa", "nasa", r"nasa open source agreement", 0.95),
+    (76, "ntp", "ntp", r"ntp licen[cs]e", 0.85),
+    (76, "latex", "latex", r"latex project public licen[cs]e(?: 1 3c?)?", 0.96),
+    (66, "latex", "lppl", r"lppl", 0.85),
+    (76, "attribution-assurance", "assurance", r"attribution assurance licen[cs]e", 0.93),
+    (76, "cua-opl", "cua", r"cua office public licen[cs]e", 0.93),
+    (76, "efl-2.0", "eiffel", r"eiffel forum licen[cs]e", 0.93),
+    (76, "liliq", "quebec", r"licence libre du quebec", 0.9),
+    (76, "etalab", "etalab", r"licence ouverte(?: etalab)?|etalab (?:open )?licen[cs]e", 0.9),
+    (76, "dl-de-by", "datenlizenz", r"datenlizenz deutschland(?: namensnennung)?(?: (?:version )?2 0)?", 0.95),
+    (76, "cdla-permissive", "community", r"community data license agreement permissive(?: version)?(?: [12] 0)?", 0.96),
+    (76, "cdla-sharing", "community", r"community data license agreement sharing(?: version)?(?: 1 0)?", 0.96),
+    (76, "o-uda", "data", r"open use of data agreement", 0.93),
+    (76, "c-uda", "computational", r"computational use of data agreement", 0.93),
+    (76, "gemma", "gemma", r"gemma terms of use", 0.93),
+    (76, "falcon", "falcon", r"(?:tii )?falcon (?:llm )?licen[cs]e", 0.9),
+    (76, "deepseek", "deepseek", r"deepseek (?:model )?licen[cs]e(?: agreement)?", 0.9),
+    (76, "qwen", "qwen", r"(?:tongyi )?qwen (?:research )?licen[cs]e(?: agreement)?", 0.9),
+    (76, "confluent", "confluent", r"confluent community licen[cs]e", 0.95),
+    (76, "timescale", "timescale", r"timescale licen[cs]e", 0.93),
+    (76, "fsl", "functional", r"functional source licen[cs]e", 0.95),
+    (76, "blueoak", "blue", r"blue oak model licen[cs]e", 0.95),
+    (76, "hippocratic", "hippocratic", r"hippocratic licen[cs]e", 0.95),
+    (76, "parity", "parity", r"parity public licen[cs]e", 0.95),
+    (76, "prosperity", "prosperity", r"prosperity public licen[cs]e", 0.95),
+    (76, "ofl-1.0", "font", r"sil open font license(?: version)? 1 0", 0.97),
+    (76, "bitstream-vera", "vera", r"bitstream vera (?:fonts )?(?:copyright|licen[cs]e)", 0.93),
+    (76, "ubuntu-font", "ubuntu", r"ubuntu font licen[cs]e", 0.95),
+    (76, "cern-ohl", "cern", r"cern open hardware licen[cs]e(?: version)?(?: [12](?: [02])?)?", 0.95),
+    (76, "tapr-ohl", "tapr", r"tapr open hardware licen[cs]e", 0.95),
+    (76, "solderpad", "solderpad", r"solderpad (?:hardware )?licen[cs]e", 0.95),
+    (76, "glide", "glide", r"3dfx glide (?:source code )?(?:general public )?licen[cs]e", 0.93),
+    (76, "jython", "jython", r"jython licen[cs]e", 0.9),
+    (76, "tcl", "tcl", r"tcl tk licen[cs]e", 0.9),
+    (76, "imagemagick", "imagemagick", r"imagemagick licen[cs]e", 0.93),
+    (76, "info-zip", "zip", r"info zip licen[cs]e", 0.93),
+    (76, "bzip2", "bzip2", r"bzip2 (?:and libbzip2 )?licen[cs]e", 0.9),
+    (76, "ijg", "jpeg", r"independent jpeg group(?: licen[cs]e)?", 0.85),
+    (76, "freetype", "freetype", r"freetype (?:project )?licen[cs]e", 0.93),
+    (76, "oracle-bcl", "oracle", r"oracle binary code licen[cs]e", 0.93),
+    (76, "otn", "oracle", r"oracle technology network licen[cs]e", 0.93),
     (85, "cc0-1.0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 0.95),
     (85, "cc0-1.0", "zero", r"creative commons zero(?: v?1 0)?(?: universal)?", 0.95),
     (60, "cc", "creative", r"creative commons(?: public)? licen[cs]e", 0.85),
@@ -156,6 +258,13 @@ SIGNATURES = [
     (20, "license-notice", "license", r"(?:licensed|released|distributed) under the (?:terms of the )?(?:following )?licen[cs]e", 0.5),
 ]
 
+# Notices told apart by what follows them anywhere before the next such notice: a signature's pattern, then the second half.
+TWO_HALVES = [
+    (97, "bsd-4-clause", "redistribution", r"redistribution and use in source and binary forms", 0.97, r"all advertising materials mentioning features"),
+    (96, "bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms", 0.97, r"neither the names? of"),
+    (97, "mit-no-endorsement", "granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 0.9, r"shall not be used in advertising or otherwise to promote the sale"),
+]
+
 # The Creative Commons families; versions and wordings follow by rule.
 CC_TERMS = {"by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative)?s?", "by-nc": "attribution non ?commercial", "by-nc-sa": "attribution non ?commercial share ?alike", "by-nc-nd": "attribution non ?commercial no ?deriv(?:ative)?s?"}
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
@@ -171,22 +280,37 @@ class Signature:
     keyword: str
     pattern: re.Pattern
     confidence: float
+    then: re.Pattern | None = None
+
+    def matches(self, text: str) -> Iterator[tuple[int, int]]:
+        """Places of the pattern; if there is a second half, those that it follows before the pattern's next place."""
+        places = [m.span() for m in self.pattern.finditer(text)]
+        if not self.then or not places:
+            yield from places
+            return
+        seconds = [m.start() for m in self.then.finditer(text)]
+        for (a, b), limit in zip(places, [a for a, _ in places[1:]] + [len(text)]):
+            at = bisect_left(seconds, b - 1)
+            if at < len(seconds) and seconds[at] < limit:
+                yield a, b
 
 
 @lru_cache(1)
 def signatures() -> tuple[Signature, ...]:
     """All rules in order: higher priority first, then as written."""
-    rows = list(SIGNATURES)
+    rows = [(*r, None) for r in SIGNATURES] + TWO_HALVES
+    between = r"(?: (?:international|unported|generic|public|licen[cs]e|version|v|the))*"
     for code, words in CC_TERMS.items():
         short = code.replace("-", " ")
         for version in CC_VERSIONS:
-            rows.append((88, f"cc-{code}-{version.replace(' ', '.')}", "cc", rf"cc {short} {version}", 0.97))
-            rows.append((88, f"cc-{code}-{version.replace(' ', '.')}", "creative", rf"creative commons {words}(?: \w+){{0,3}} {version}(?: international| unported| generic)?", 0.97))
-            rows.append((88, f"cc-{code}-{version.replace(' ', '.')}", "creativecommons", rf"creativecommons org licenses {short} {version}", 0.99))
-        rows.append((78, f"cc-{code}", "cc", rf"cc {short}", 0.9))
-        rows.append((78, f"cc-{code}", "creative", rf"creative commons {words}", 0.93))
+            rows.append((88, f"cc-{code}-{version.replace(' ', '.')}", "cc", rf"cc {short} {version}", 0.97, None))
+            rows.append((88, f"cc-{code}-{version.replace(' ', '.')}", "creative", rf"creative commons {words}{between} {version}(?: international| unported| generic)?", 0.97, None))
+            rows.append((88, f"cc-{code}-{version.replace(' ', '.')}", "creativecommons", rf"creativecommons org licenses {short} {version}", 0.99, None))
+        rows.append((78, f"cc-{code}", "cc", rf"cc {short}", 0.9, None))
+        rows.append((78, f"cc-{code}", "creative", rf"creative commons {words}", 0.93, None))
     rows.sort(key=lambda r: -r[0])
-    return tuple(Signature(i, p, label, key, re.compile(f"(?<= )(?:{pattern})(?= )", re.S), c) for i, (p, label, key, pattern, c) in enumerate(rows))
+    whole = lambda x: re.compile(f"(?<= )(?:{x})(?= )") if x else None
+    return tuple(Signature(i, p, label, key, whole(pattern), c, whole(then)) for i, (p, label, key, pattern, c, then) in enumerate(rows))
 
 
 @lru_cache(1)
@@ -253,7 +377,7 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, set[str],
     detected: list[tuple[int, int, str, float]] = []
     if hits:
         readable = joined.decode("utf-8", "replace")
-        found = [(m.start(), m.end(), rule) for k in hits for rule in rules[k] for m in rule.pattern.finditer(readable)]
+        found = [(*span, rule) for k in hits for rule in rules[k] for span in rule.matches(readable)]
         done = word = 0
         for group in _stretches(found):
             for start, end, rule in resolve(group):
@@ -275,7 +399,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: base counts, labels, score and the surviving detections.
 
     A null text counts as empty: no words, no labels, score zero. The score is the chance that at
-    least one detection is right. Base labels always stay, whatever the signatures find. No shuffle.
+    least one detection is right. Base labels always stay, whatever the signatures find. Texts of any length are scanned
+    whole, repeated rows each; an empty table gives an empty result; other columns are ignored. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

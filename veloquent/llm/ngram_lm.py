@@ -1,15 +1,18 @@
 """N-gram language-model scores from an Elias-Fano trie.
 
-The corpus is dealt by word: all occurrences of a word, with the words before them, meet in one shard.
-Each shard counts, builds its part of the trie in memory-mapped files, and scores the occurrences that it
-holds; sums per document leave it. Nothing of the size of the vocabulary is gathered in one place.
+The corpus is dealt by word: all n-grams that end in a word, with the two words before it, meet in one shard. A chunk of documents
+sends each of its distinct n-grams once. The shard counts them, builds its trie in memory-mapped files and answers
+every n-gram of every chunk from it; a chunk's answers meet its documents again, where scores are summed. Nothing of the
+size of the vocabulary is gathered in one place. A trie can also be kept and asked about other texts (``fit_model``).
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,43 +24,23 @@ from pyspark.sql import functions as F
 from .rule_ensemble import bucket
 from .scratch import materialize
 
-#: Words whose counts every task holds: a fixed number, the most frequent ones.
+#: Words whose counts every task holds, the most frequent ones. They are dealt by the word before as well, so that none
+#: fills a shard; the model does not depend on it.
 HEAD = 1 << 16
-#: Pseudo-occurrences that a context gives to the shorter context's estimate: SCALE times a power of its count for
-#: frequent words, whose successors are many, and SCALE for all others.
-SCALE, POWER = 3.0, 0.9
-#: Steps to an octave in which a frequent context's count travels with each occurrence, in one byte; 255 says infrequent.
-STEPS = 8
-#: Codes of the quantised log-probabilities.
-LEVELS = 1 << 12
+#: Pseudo-occurrences that a context gives to the shorter context's estimate: a multiple of a power of its count, for
+#: contexts of one and of two words.
+SCALE, POWER = (3.0, 2.0), 0.9
+#: Steps to an octave in which probabilities are quantised: 64 octaves below one make 4096 codes.
+STEPS = 64
 #: Occurrences in a shard, about.
 SHARD = 2_000_000
-#: A pair of frequent words with more occurrences than a shard's over this is scored where it is read.
+#: A pair of frequent words with more occurrences than a shard's over this is dealt by the word before it too.
 HOT_PART = 4
-#: Occurrences that a task gathers before it deals them to the shards.
+#: Tokens that a task gathers before it deals their n-grams to the shards.
 CHUNK = 3_000_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
 END_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
 START_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n start"))
-#: What a chunk says once of each document; what each packet says of it, by its place in the chunk; what a shard returns.
-IDS = np.dtype([("doc_id", np.int64), ("train", bool), ("null", bool)])
-ABOUT = np.dtype([("place", np.int32), ("train", bool)])
-SUMS = np.dtype([("place", np.int32), ("tokens", np.int32), ("known", np.int32), ("base", np.float64), ("model", np.float64)])
-
-
-def _to_bytes(rows: np.ndarray) -> bytes:
-    """Column by column, places as steps, so that the shuffle's compression finds runs."""
-    return b"".join((np.diff(rows[c], prepend=0).astype(np.int32) if c == "place" else rows[c]).tobytes() for c in rows.dtype.names)
-
-
-def _from_bytes(data: bytes, kind: np.dtype) -> np.ndarray:
-    out = np.empty(len(data) // kind.itemsize, kind)
-    at = 0
-    for c in kind.names:
-        column = np.frombuffer(data, kind[c], len(out), at)
-        out[c] = np.cumsum(column) if c == "place" else column
-        at += column.nbytes
-    return out
 
 
 class EliasFano:
@@ -80,8 +63,10 @@ class EliasFano:
         rank = np.concatenate(([0], np.cumsum(unary.reshape(-1, 64).sum(1, dtype=np.int64)))).astype(np.int64)
         return cls(low, high, rank, n, bits)
 
-    def slice(self, start: int, stop: int) -> np.ndarray:
-        """Values ``start`` to ``stop``: select the first high bit, then decode onward."""
+    def slice(self, start: int, stop: int, block: int = 1 << 16) -> np.ndarray:
+        """Values ``start`` to ``stop``: select the first high bit, then decode onward, a block at a time."""
+        if stop - start > block:
+            return np.concatenate([self.slice(a, min(a + block, stop), block) for a in range(start, stop, block)])
         if stop <= start:
             return np.empty(0, np.uint64)
         word = int(np.searchsorted(self.rank, start, "right")) - 1
@@ -97,77 +82,96 @@ class EliasFano:
         return (high.astype(np.uint64) << np.uint64(self.bits)) | low
 
 
+def to_codes(count: np.ndarray) -> np.ndarray:
+    """Codes of n-grams' probabilities: the logarithm of count over total in steps of ``STEPS`` to an octave, counted from one
+    occurrence, so that a code means the same whatever the total. Zero is for none."""
+    return np.where(count > 0, np.rint(np.log2(np.maximum(count, 1.0)) * STEPS) + 1, 0).astype(np.uint16)
+
+
+def from_codes(codes: np.ndarray) -> np.ndarray:
+    """Counts, that is probabilities times the total, by their codes."""
+    return np.where(codes > 0, np.exp2((codes.astype(np.float64) - 1) / STEPS), 0.0)
+
+
 class Trie:
-    """Two levels under a root: words, and for each word the words before it.
+    """Three levels under a root: words, the words before them, and the words before those.
 
-    Level one holds the words in order and pointers to where their successors begin; level two holds
-    the successors, relative to their context: each is kept as its own value plus the context's rank
-    times the width of a value, so that the whole level is one monotone sequence. Probabilities are
-    codes into a table of quantised logarithms. All arrays lie in memory-mapped files of one folder.
+    Each level holds its nodes in order. A node below the first level is kept relative to its context: its own label, some
+    bits of the word's hash, plus the context's rank times the width of a label, so that a whole level is one
+    monotone sequence. Monotone pointers say where a node's successors begin in the next level. Codes are quantised
+    probabilities. All arrays lie in memory-mapped files of one folder.
     """
 
-    WIDTH = 32
-
-    def __init__(self, folder: str, words: np.ndarray, starts: np.ndarray, before: np.ndarray, logs: np.ndarray):
-        """``words`` sorted; ``starts`` one longer, into ``before`` (sorted in each word's range) and ``logs``."""
-        self.folder, self.n = folder, len(words)
-        owner = np.repeat(np.arange(len(words), dtype=np.uint64), np.diff(starts))
-        level = owner << np.uint64(self.WIDTH) | before.astype(np.uint64)
-        span = int(len(words)) << self.WIDTH
-        low, top = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
-        self.table = np.linspace(low, top, LEVELS)
-        codes = np.rint((logs - low) / max(top - low, 1e-12) * (LEVELS - 1)).astype(np.uint16)
-        self.words = self._mapped("words", EliasFano.build(words, 1 << 64))
-        self.pointers = self._mapped("pointers", EliasFano.build(starts, len(before) + 1))
-        self.level = self._mapped("level", EliasFano.build(level, max(span, 1)))
-        self.codes = self._file("codes", codes)
-
-    def _file(self, name: str, values: np.ndarray) -> np.ndarray:
-        if not values.size:
-            return values
+    #: Bits of a label on the second and third level.
+    WIDTH = (32, 24)
+    FILES = tuple(f"{level}.{part}" for level in ("words", "level1", "level2", "pointers0", "pointers1") for part in ("low", "high", "rank", "size")) + ("codes0", "codes1", "codes2")
+
+    def __init__(self, folder: str):
+        """Map what ``write`` left in ``folder``."""
+        self.folder = folder
+        self.words, *self.levels = (self._sequence(n) for n in ("words", "level1", "level2"))
+        self.pointers = [self._sequence(f"pointers{k}") for k in range(2)]
+        self.codes = [self._array(f"codes{k}", np.uint16) for k in range(3)]
+
+    @classmethod
+    def write(cls, folder: str, words: np.ndarray, starts: tuple[np.ndarray, np.ndarray], labels: tuple[np.ndarray, np.ndarray], codes: tuple[np.ndarray, ...]) -> Trie:
+        """``words`` sorted; ``starts[k]`` where the successors of level k begin in ``labels[k]``, sorted in each node's range."""
+        put = lambda name, values: values.tofile(os.path.join(folder, name))
+
+        def sequence(name: str, values: np.ndarray, universe: int) -> None:
+            ef = EliasFano.build(values, max(universe, 1))
+            for part, value in (("low", ef.low), ("high", ef.high), ("rank", ef.rank), ("size", np.array([ef.n, ef.bits]))):
+                put(f"{name}.{part}", value)
+
+        sequence("words", words, 1 << 64)
+        above = len(words)
+        for k in range(2):
+            owner = np.repeat(np.arange(above, dtype=np.uint64), np.diff(starts[k]))
+            sequence(f"level{k + 1}", owner << np.uint64(cls.WIDTH[k]) | labels[k].astype(np.uint64), above << cls.WIDTH[k])
+            sequence(f"pointers{k}", starts[k], len(labels[k]) + 1)
+            above = len(labels[k])
+        for k in range(3):
+            put(f"codes{k}", codes[k].astype(np.uint16))
+        return cls(folder)
+
+    def _array(self, name: str, kind) -> np.ndarray:
         path = os.path.join(self.folder, name)
-        values.tofile(path)
-        return np.memmap(path, values.dtype, "r")
+        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
-    def _mapped(self, name: str, ef: EliasFano) -> EliasFano:
-        return EliasFano(self._file(f"{name}.low", ef.low), self._file(f"{name}.high", ef.high), self._file(f"{name}.rank", ef.rank), ef.n, ef.bits)
+    def _sequence(self, name: str) -> EliasFano:
+        n, bits = np.fromfile(os.path.join(self.folder, f"{name}.size"), np.int64)
+        return EliasFano(self._array(f"{name}.low", np.uint8), self._array(f"{name}.high", np.uint8), self._array(f"{name}.rank", np.int64), int(n), int(bits))
 
-    def find(self, words: np.ndarray, before: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-        """Quantised log-probabilities of sorted pairs, NaN where the trie lacks one.
+    def find(self, words: np.ndarray, labels: tuple[np.ndarray, np.ndarray], block: int = 1 << 16) -> np.ndarray:
+        """Codes ``[level, i]`` of n-grams sorted by word and labels, zero where the trie lacks one.
 
-        Words are found block by block in level one; the pointers give the block's range of level
-        two, in which each pair is searched relative to its context.
+        Words are found block by block; the pointers give the ranges of the next levels, in which each
+        n-gram's successor is searched relative to its context.
         """
-        out = np.full(len(words), np.nan)
-        for first in range(0, self.n, block):
-            stop = min(first + block, self.n)
+        out = np.zeros((3, len(words)), np.uint16)
+        for first in range(0, self.words.n, block):
+            stop = min(first + block, self.words.n)
             own = self.words.slice(first, stop)
             a, b = np.searchsorted(words, own[0], "left"), np.searchsorted(words, own[-1], "right")
             if a == b:
                 continue
             rank = np.searchsorted(own, words[a:b])
-            known = own[np.minimum(rank, len(own) - 1)] == words[a:b]
-            begin, end = self.pointers.slice(first, first + 1)[0], self.pointers.slice(stop, stop + 1)[0]
-            level = self.level.slice(int(begin), int(end))
-            key = (rank + first).astype(np.uint64) << np.uint64(self.WIDTH) | before[a:b].astype(np.uint64)
-            at = np.searchsorted(level, key)
-            hit = known & (at < len(level))
-            hit[hit] = level[at[hit]] == key[hit]
-            found = np.flatnonzero(hit)
-            out[a + found] = self.table[self.codes[int(begin) + at[found]]]
+            at = np.flatnonzero(own[np.minimum(rank, len(own) - 1)] == words[a:b])
+            rank = rank[at] + first
+            out[0, a + at] = self.codes[0][rank]
+            span = (first, stop)
+            for k in range(2):
+                span = (int(self.pointers[k].slice(span[0], span[0] + 1)[0]), int(self.pointers[k].slice(span[1], span[1] + 1)[0]))
+                level = self.levels[k].slice(*span)
+                key = rank.astype(np.uint64) << np.uint64(self.WIDTH[k]) | labels[k][a + at].astype(np.uint64)
+                place = np.searchsorted(level, key)
+                hit = place < len(level)
+                hit[hit] = level[place[hit]] == key[hit]
+                at, rank = at[hit], place[hit] + span[0]
+                out[k + 1, a + at] = self.codes[k + 1][rank]
         return out
 
 
-def _context_code(count: np.ndarray) -> np.ndarray:
-    """Byte that stands for a frequent context's count."""
-    return np.minimum(np.rint(np.log2(np.maximum(count, 1.0)) * STEPS), 254).astype(np.uint8)
-
-
-def _prior(code: np.ndarray) -> np.ndarray:
-    """Pseudo-occurrences of a context by its byte."""
-    return SCALE * np.where(code == 255, 1.0, np.exp2(code / STEPS)) ** POWER
-
-
 def _hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words after lower-casing A-Z, then the end mark."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -259,181 +263,236 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None
             held, size = [], 0
 
 
-def _before(word: np.ndarray) -> np.ndarray:
-    """32 bits of a preceding word's hash: they tell the successors of one context apart."""
-    return (word >> np.uint64(32)).astype(np.uint32)
-
-
-def _hot_places(key: np.ndarray, hot_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where hot pairs occur, and each one's place in ``hot_keys``."""
-    own = np.flatnonzero(key >= 0)
-    if not len(hot_keys):
-        return own[:0], own[:0]
-    at = np.minimum(np.searchsorted(hot_keys, key[own]), len(hot_keys) - 1)
-    hit = hot_keys[at] == key[own]
-    return own[hit], at[hit]
-
-
-def _hot_sums(hot: tuple[np.ndarray, ...], head: np.ndarray, total: float, distinct: float, starts: float) -> np.ndarray:
-    """What one occurrence of each hot pair adds to its document; ``hot`` is the words, their counts, the keys and theirs."""
-    big, big_n, keys, n = hot
-    first, second = np.divmod(keys, max(len(big), 1))
-    opening = first == len(big)
-    in_head = np.append(np.isin(big, head), True)
-    count = np.append(big_n, starts)
-    prior = _prior(np.where(in_head, _context_code(count), 255))
-    out = np.zeros(len(keys), SUMS)
-    out["known"] = count[second] > 0
-    out["base"] = np.log10(count[second] + 0.5)
-    joint = np.log10(n + prior[first] * (count[second] + 0.5) / (total + 0.5 * (distinct + 1)))
-    context = np.where(np.append(big, START_MARK)[second] == END_MARK, 0.0, np.log10(count[second] + prior[second]))
-    out["model"] = joint - context - opening * np.log10(starts + prior[-1])
-    return out
+@dataclass(frozen=True)
+class Frequent:
+    """What every task knows: sorted frequent words with their counts, sorted words of hot pairs, their keys (``hot_pairs``) and counts."""
+
+    head: np.ndarray
+    head_n: np.ndarray
+    big: np.ndarray
+    hot: np.ndarray
+    hot_n: np.ndarray
+
+
+@dataclass
+class Grams:
+    """A chunk's distinct n-grams in the order in which they are dealt: by shard, word and labels."""
 
+    shard: np.ndarray
+    word: np.ndarray
+    labels: tuple[np.ndarray, np.ndarray]
+    train: np.ndarray
+    #: Each token's n-gram.
+    place: np.ndarray
 
-def _dealt(rows: DataFrame, head: np.ndarray, head_n: np.ndarray, starts: float, shards: int, hot: tuple[np.ndarray, ...]) -> DataFrame:
-    """Packets of the occurrences that one chunk of documents sends to one shard, and one packet of its ids to any.
 
-    ``hot`` is the words and keys of ``hot_pairs`` and ``_hot_sums`` of them. All that a hot pair's score needs is known,
-    so its occurrences are summed here, go with the ids, and reach no shard.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
-    A frequent word's occurrences are dealt by the word and the one before it, all others by the
-    word alone, so a hot word spreads and still meets its counts: those every task knows.
+
+def _grams(held: list[tuple[int | None, bool, np.ndarray]], known: Frequent, shards: int) -> Grams:
+    """Distinct n-grams of a chunk's texts, how often each occurs in training texts, and where.
+
+    A frequent word's n-grams are dealt by the word before too, those of a hot pair by both words before.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((head, _context_code(head_n), _context_code(np.array([starts]))[0], *hot))
-
-    def packet(*values) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 3
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["shard", "chunk", "n", "heads", "about", "payload", "ids"])
-
-    def packets(chunk: int, held: list[tuple[int | None, bool, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        frequent, codes, start_code, big, hot_keys, hot_sums = shared.value
-        size = np.array([len(h[2]) for h in held])
-        word = np.concatenate([h[2] for h in held])
-        about, ids = np.zeros(len(held), ABOUT), np.zeros(len(held), IDS)
-        about["place"] = np.arange(len(held))
-        ids["doc_id"] = [0 if h[0] is None else h[0] for h in held]
-        ids["null"] = [h[0] is None for h in held]
-        ids["train"] = about["train"] = [h[1] for h in held]
-        held.clear()
-        own, value = _hot_places(_pair_keys(word, size, big), hot_keys)
-        ends = np.cumsum(size)
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[np.concatenate(([0], ends[:-1]))] = START_MARK
-        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        rank = np.minimum(np.searchsorted(frequent, word), max(len(frequent) - 1, 0))
-        is_head = frequent[rank] == word if len(frequent) else np.zeros(len(word), bool)
-        code = np.where(is_head, codes[rank] if len(codes) else 255, 255).astype(np.uint8)
-        code[1:] = code[:-1].copy()
-        code[np.concatenate(([0], ends[:-1]))] = start_code
-        rank = rank.astype(np.uint16)
-        mixed = np.where(is_head, (word ^ (before * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9), word)
-        shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
-        shard[own] = shards
-        del mixed
-        order = np.lexsort((~is_head, shard))
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        tokens = np.bincount(doc[own], minlength=len(size))
-        sums = np.zeros(len(size), SUMS)
-        sums["place"], sums["tokens"] = np.arange(len(size)), tokens
-        for name in ("known", "base", "model"):
-            sums[name] = np.bincount(doc[own], weights=hot_sums[name][value], minlength=len(size))
-        sums = sums[tokens > 0]
-        yield packet(((chunk >> 32) + chunk) % (1 << 32) % shards, chunk, 0, 0, b"", _to_bytes(sums), _to_bytes(ids))
-        for s in range(shards):
-            mine = order[cuts[s] : cuts[s + 1]]
-            if not len(mine):
-                continue
-            heads = int(is_head[mine].sum())
-            docs, local = np.unique(doc[mine], return_inverse=True)
-            payload = b"".join(x.tobytes() for x in (rank[mine[:heads]], word[mine[heads:]], _before(before[mine]), code[mine], local.astype(np.uint32 if len(docs) > 65535 else np.uint16)))
-            yield packet(s, chunk, len(mine), heads, _to_bytes(about[docs]), payload, None)
+    size = np.array([len(h[2]) for h in held])
+    word = np.concatenate([h[2] for h in held])
+    train = np.repeat(np.array([h[1] for h in held]), size)
+    begins = np.cumsum(size) - size
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[begins] = START_MARK
+    second = np.empty_like(word)
+    second[1:] = before[:-1]
+    second[begins] = START_MARK
+    hot_key = _pair_keys(word, size, known.big)
+    key = word.copy()
+    if len(known.head):
+        place = np.minimum(np.searchsorted(known.head, word), len(known.head) - 1)
+        frequent = known.head[place] == word
+        key[frequent] ^= _mixed(before[frequent])
+    if len(known.hot):
+        at = np.minimum(np.searchsorted(known.hot, hot_key), len(known.hot) - 1)
+        hot = known.hot[at] == hot_key
+        key[hot] = _mixed(word[hot] ^ _mixed(before[hot])) ^ second[hot]
+    shard = ((_mixed(key) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+    both = (before >> np.uint64(32)) << np.uint64(24) | second >> np.uint64(40)
+    del key, before, second, hot_key
+    order = np.lexsort((both, word, shard))
+    shard, word, both = shard[order], word[order], both[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (shard[1:] != shard[:-1]) | (word[1:] != word[:-1]) | (both[1:] != both[:-1])
+    number = np.cumsum(new) - 1
+    place = np.empty(len(order), np.int32)
+    place[order] = number
+    n = np.bincount(number, weights=train[order], minlength=int(number[-1]) + 1).astype(np.uint32)
+    both = both[new]
+    return Grams(shard[new], word[new], ((both >> np.uint64(24)).astype(np.uint32), (both & np.uint64(0xFFFFFF)).astype(np.uint32)), n, place)
+
+
+def _dealt(rows: DataFrame, known, shards: int) -> DataFrame:
+    """One row of n-grams per chunk and shard that share any: ``(shard, chunk, n, grams)``."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for chunk, held in enumerate(_chunks(batches), first):
-            yield from packets(chunk, held)
-
-    return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard bigint, chunk bigint, n bigint, heads bigint, about binary, payload binary, ids binary")
-
-
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """All occurrences of a shard: ``(is_head, rank or word, before, code, doc)``, the documents, and how many each packet has."""
-    heads, words, befores, codes, docs, about, shift = [], [], [], [], [], [], 0
-    for n, h, a, p in zip(*(table[c].to_pylist() for c in ("n", "heads", "about", "payload"))):
-        about.append(_from_bytes(a, ABOUT))
-        kind = np.uint32 if len(about[-1]) > 65535 else np.uint16
-        cut = np.cumsum([0, 2 * h, 8 * (n - h), 4 * n, n])
-        ranks = np.frombuffer(p, np.uint16, h, cut[0]).astype(np.uint64)
-        words.append(np.concatenate((ranks, np.frombuffer(p, np.uint64, n - h, cut[1]))))
-        heads.append(np.arange(n) < h)
-        befores.append(np.frombuffer(p, np.uint32, n, cut[2]))
-        codes.append(np.frombuffer(p, np.uint8, n, cut[3]))
-        docs.append(np.frombuffer(p, kind, n, cut[4]).astype(np.int64) + shift)
-        shift += len(about[-1])
-    return np.concatenate(heads), np.concatenate(words), np.concatenate(befores), np.concatenate(codes), np.concatenate(docs), np.concatenate(about), np.array([len(a) for a in about])
-
-
-def _score_shard(table: pa.Table, head: np.ndarray, head_n: np.ndarray, big: np.ndarray, big_n: np.ndarray, total: float, distinct: float, starts: float) -> pa.Table:
-    """Sums per document over one shard's occurrences, packed in one row per packet that came in; ids pass."""
-    passing = table.filter(table["ids"].is_valid())
-    passing = pa.table({"chunk": passing["chunk"], "sums": passing["payload"], "ids": passing["ids"]})
-    table = table.filter(table["ids"].is_null())
-    if not len(table):
-        return passing
-    is_head, word, before, code, doc, about, packets = _unpacked(table)
-    word = word.copy()
-    word[is_head] = head[word[is_head].astype(np.int64)]
-    order = np.lexsort((before, word))
-    word, before, code, doc, is_head = word[order], before[order], code[order], doc[order], is_head[order]
-    train = about["train"][doc]
-    new_word = np.concatenate(([True], word[1:] != word[:-1]))
-    new_pair = new_word | np.concatenate(([True], before[1:] != before[:-1]))
-    word_no, pair_no = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
-    first_word, first_pair = np.flatnonzero(new_word), np.flatnonzero(new_pair)
-    here = np.bincount(word_no, weights=train).astype(np.float64)
-    count = here.copy()
-    frequent = is_head[first_word]
-    count[frequent] = head_n[np.searchsorted(head, word[first_word][frequent])]
-    if len(big):  # some of their occurrences may be in hot pairs, which are not here
-        place = np.minimum(np.searchsorted(big, word[first_word]), len(big) - 1)
-        count = np.where(big[place] == word[first_word], big_n[place], count)
-    pair_n = np.bincount(pair_no, weights=train)
-    unigram = (count + 0.5) / (total + 0.5 * (distinct + 1))
-    # The trie holds the pairs of the training texts, words in order and predecessors in order below them.
-    pair_word = word_no[first_pair]
-    seen = pair_n > 0
-    prior = _prior(code[first_pair])
-    joint = np.log10(pair_n[seen] + prior[seen] * unigram[pair_word[seen]])
-    used, starts_at = np.unique(pair_word[seen], return_index=True)
-    with tempfile.TemporaryDirectory() as folder:
-        trie = Trie(folder, word[first_word][used], np.append(starts_at, len(joint)), before[first_pair][seen], joint)
-        joint_log = trie.find(word[first_pair], before[first_pair])
-        del trie
-    # A pair without a successor falls back to the shorter context's share.
-    joint_log = np.where(np.isnan(joint_log), np.log10(prior * unigram[pair_word]), joint_log)
-    as_context = _prior(np.where(frequent, _context_code(count), 255))
-    context = np.where(word[first_word] == END_MARK, 0.0, np.log10(count + as_context))
-    per = lambda w: np.bincount(doc, weights=w, minlength=len(about))
-    opening = (before == _before(np.array([START_MARK]))[0]).astype(float)
-    out = np.zeros(len(about), SUMS)
-    out["place"] = about["place"]
-    out["tokens"] = np.bincount(doc, minlength=len(about))
-    out["known"] = per((count > 0)[word_no].astype(float))
-    out["base"] = per(np.log10(count + 0.5)[word_no])
-    out["model"] = per(joint_log[pair_no] - context[word_no] - opening * np.log10(starts + _prior(_context_code(np.array([starts])))[0]))
-    parts = np.split(out, np.cumsum(packets)[:-1])
-    return pa.concat_tables([pa.table({"chunk": table["chunk"], "sums": pa.array([_to_bytes(p) for p in parts], pa.binary()), "ids": pa.nulls(len(parts), pa.binary())}), passing])
-
-
-def _merge_chunk(table: pa.Table) -> pa.Table:
-    """Documents of one chunk from its sums in all shards."""
-    parts = np.concatenate([_from_bytes(p, SUMS) for p in table["sums"].drop_null().to_pylist()])
-    one = _from_bytes(table["ids"].drop_null()[0].as_py(), IDS)
-    total = {c: np.bincount(parts["place"], weights=parts[c], minlength=len(one)) for c in ("tokens", "known", "base", "model")}
-    whole = {c: pa.array(total[c].astype(np.int64)) for c in ("tokens", "known")}
-    return pa.table({"doc_id": pa.array(one["doc_id"], mask=one["null"]), "train": pa.array(one["train"]), **whole, "base": pa.array(total["base"]), "model": pa.array(total["model"])})
+            g = _grams(held, known.value, shards)
+            held.clear()
+            ends = np.flatnonzero(np.append(g.shard[1:] != g.shard[:-1], True)) + 1
+            for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                runs = np.flatnonzero(np.append(True, g.word[a + 1 : b] != g.word[a : b - 1]))
+                low = g.labels[1][a:b]
+                parts = (g.word[a:b][runs], np.diff(np.append(runs, b - a)).astype(np.uint32), g.train[a:b], g.labels[0][a:b], (low & np.uint32(0xFFFF)).astype(np.uint16), (low >> np.uint32(16)).astype(np.uint8))
+                payload = b"".join(x.tobytes() for x in parts)
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((int(g.shard[a]), chunk, b - a, payload), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "chunk", "n", "grams"])
+
+    return rows.select("doc_id", "text", "train").mapInArrow(deal, "shard bigint, chunk bigint, n bigint, grams binary")
+
+
+def _unpacked(n: int, grams: bytes) -> tuple[np.ndarray, ...]:
+    """``(word, first label, second label, occurrences in training)`` of one packet."""
+    runs = (len(grams) - 11 * n) // 12
+    cut = np.cumsum([0, 8 * runs, 4 * runs, 4 * n, 4 * n, 2 * n]).tolist()
+    at = lambda k, kind, m: np.frombuffer(grams, kind, m, cut[k])
+    word = np.repeat(at(0, np.uint64, runs), at(1, np.uint32, runs))
+    return word, at(3, np.uint32, n), at(4, np.uint16, n).astype(np.uint32) | at(5, np.uint8, n).astype(np.uint32) << np.uint32(16), at(2, np.uint32, n)
+
+
+def _placed(rows: DataFrame, known, shards: int) -> DataFrame:
+    """One row per chunk: its documents, their sizes, and each token's n-gram by its place among the chunk's.
+
+    Tokens are read a second time, since these numbers would otherwise pass through the shards with the n-grams.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for chunk, held in enumerate(_chunks(batches), first):
+            docs = pa.array([h[0] for h in held], pa.int64())
+            train = pa.array([h[1] for h in held], pa.bool_())
+            sizes = pa.array([len(h[2]) for h in held], pa.int64())
+            at = _grams(held, known.value, shards).place
+            held.clear()
+            payload = (at & 0xFFFF).astype(np.uint16).tobytes() + (at >> 16).astype(np.uint8 if len(at) < 1 << 24 else np.uint16).tobytes()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, train, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([payload], pa.binary())], names=["chunk", "docs", "train", "sizes", "places"])
+
+    return rows.select("doc_id", "text", "train").mapInArrow(place, "chunk bigint, docs array<bigint>, train array<boolean>, sizes array<bigint>, places binary")
+
+
+def _summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def _build(folder: str, word: np.ndarray, labels: tuple[np.ndarray, np.ndarray], n: np.ndarray, known: Frequent) -> tuple[Trie, np.ndarray, np.ndarray]:
+    """The trie of a shard's sorted n-grams, its words and their exact counts; only those with a training occurrence enter.
+
+    Counts of frequent words and of hot pairs, which lie in several shards, are what every task knows.
+    """
+    seen = n > 0
+    word, first, second, n = word[seen], labels[0][seen], labels[1][seen], n[seen].astype(np.float64)
+    change = lambda *columns: np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(word) else np.empty(0, np.int64)
+    at1, at2, at3 = change(word), change(word, first), change(word, first, second)
+    words = word[at1]
+    count = _summed(n, at1)
+    if len(known.head):
+        place = np.minimum(np.searchsorted(known.head, words), len(known.head) - 1)
+        count = np.where(known.head[place] == words, known.head_n[place], count)
+    pairs = _summed(n, at2)
+    if len(known.hot):
+        # A pair's first word is known by its label alone, so hot pairs are looked up by the second word and that label.
+        left, right = np.divmod(known.hot, len(known.big))
+        mark = np.append(known.big, START_MARK)
+        name = lambda w, b: _mixed(w) ^ b.astype(np.uint64)
+        hot = name(known.big[right], mark[left] >> np.uint64(32))
+        by = np.argsort(hot)
+        mine = name(word[at2], first[at2])
+        place = np.minimum(np.searchsorted(hot[by], mine), len(hot) - 1)
+        pairs = np.where(hot[by][place] == mine, known.hot_n[by][place], pairs)
+    starts = np.append(np.searchsorted(at2, at1), len(at2)), np.append(np.searchsorted(at3, at2), len(at3))
+    trie = Trie.write(folder, words, starts, (first[at2], second[at3]), (to_codes(count), to_codes(pairs), to_codes(_summed(n, at3))))
+    return trie, words, count
+
+
+def _answers(table: pa.Table, trie: Trie, words: np.ndarray, count: np.ndarray, unpacked: list[tuple[np.ndarray, ...]], order: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.Table:
+    """Per packet: exact counts of its n-grams' words, and the codes of their pairs and triples, in the packet's order."""
+    word, first, second = columns
+    codes = trie.find(word, (first, second))
+    at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
+    exact = np.where(words[at] == word, count[at], 0.0).astype(np.uint64) if len(words) else np.zeros(len(word), np.uint64)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    out, begin = [], 0
+    for packet in unpacked:
+        mine = back[begin : begin + len(packet[0])]
+        begin += len(packet[0])
+        out.append(zlib.compress(exact[mine].tobytes() + codes[1][mine].tobytes() + codes[2][mine].tobytes(), 1))
+    return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(out, pa.binary())})
+
+
+def _read_packets(table: pa.Table):
+    """The packets' n-grams, their common sorted order, and the columns in it."""
+    unpacked = [_unpacked(n, g) for n, g in zip(table["n"].to_pylist(), table["grams"].to_pylist())]
+    word, first, second, n = (np.concatenate(x) for x in zip(*unpacked))
+    order = np.lexsort((second, first, word))
+    return unpacked, order, (word[order], first[order], second[order]), n[order]
+
+
+ANSWER = "chunk bigint, shard bigint, answer binary"
+
+
+def _asked(dealt: DataFrame, known) -> DataFrame:
+    """Every shard's trie built from its n-grams, and all of them answered from it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        unpacked, order, columns, n = _read_packets(table)
+        with tempfile.TemporaryDirectory() as folder:
+            trie, words, count = _build(folder, columns[0], columns[1:], n, known.value)
+            return _answers(table, trie, words, count, unpacked, order, columns)
+
+    return dealt.groupBy("shard").applyInArrow(run, ANSWER)
+
+
+def _merge(one: pa.Table, answers: pa.Table, total: float, distinct: float, starts: float) -> pa.Table:
+    """Scores of a chunk's documents from the answers to its n-grams."""
+    by = np.argsort(answers["shard"].to_numpy())
+    exact, pairs, triples = [], [], []
+    packets = answers["answer"].to_pylist()
+    for k in by.tolist():
+        data = zlib.decompress(packets[k])
+        n = len(data) // 12
+        exact.append(np.frombuffer(data, np.uint64, n))
+        pairs.append(np.frombuffer(data, np.uint16, n, 8 * n))
+        triples.append(np.frombuffer(data, np.uint16, n, 10 * n))
+    docs, train, sizes = (one[c].combine_chunks()[0].values for c in ("docs", "train", "sizes"))
+    size = np.asarray(sizes, np.int64)
+    tokens = int(size.sum())
+    raw = one["places"][0].as_py()
+    high = np.frombuffer(raw, np.uint8 if len(raw) == 3 * tokens else np.uint16, tokens, 2 * tokens)
+    place = np.frombuffer(raw, np.uint16, tokens).astype(np.int64) | high.astype(np.int64) << 16
+    exact = np.concatenate(exact).astype(np.float64)
+    first = np.cumsum(size) - size
+    c1 = exact[place]
+    c2 = from_codes(np.concatenate(pairs))[place]
+    c3 = from_codes(np.concatenate(triples))[place]
+    p, base = smoothed(c1, c2, c3, first, total, distinct, starts)
+    per = lambda x: np.add.reduceat(x, first)
+    return pa.table({"doc_id": docs, "train": train, "tokens": sizes, "known": pa.array(per((c1 > 0).astype(np.int64))), "base": pa.array(per(base)), "model": pa.array(per(np.log10(p)))})
+
+
+def smoothed(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, first: np.ndarray, total: float, distinct: float, starts: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's probability after the two words before it, and log10 of its base share, from counts of what ends in it.
+
+    ``first`` is where texts begin. A context's count is that of what ends in the token before, or of the starts of texts.
+    """
+    one, two = np.append(starts, c1[:-1]), np.append(starts, c2[:-1])
+    one[first] = two[first] = starts
+    share = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
+    p = share
+    for count, context, scale in ((c2, one, SCALE[0]), (c3, two, SCALE[1])):
+        mass = scale * np.maximum(context, 1.0) ** POWER
+        # Quantised, an n-gram may count a little more than its context.
+        p = (np.minimum(count, context) + mass * p) / (context + mass)
+    return p, np.log10(share)
 
 
 def _by_word(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -443,41 +502,115 @@ def _by_word(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return words[by], n[by]
 
 
+@dataclass
+class Totals:
+    """Training tokens, distinct ones, texts, and tokens of all rows."""
+
+    tokens: float
+    distinct: float
+    texts: float
+    load: int
+
+
+def _surveyed(rows: DataFrame, head_size: int, shard_size: int) -> tuple[Totals, Frequent]:
+    """Totals and what every task has to know, from the words' counts; all that comes back is bounded by the parameters or ``least``."""
+    kept = materialize(word_counts(rows))
+    size = kept.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("load").alias("load")).first()
+    head, head_n = _by_word(kept.orderBy(F.desc("n"), "word").limit(head_size).toArrow())
+    least = max(1, shard_size // HOT_PART)
+    big, _ = _by_word(kept.where(F.col("load") >= least).toArrow())  # bounded: all occurrences over ``least``
+    hot, hot_n = hot_pairs(rows, big, least) if len(big) else (np.empty(0, np.int64), np.empty(0))
+    ended = kept.where(F.col("word") == int(END_MARK.astype(np.int64))).first()  # texts start as often as they end
+    return Totals(float(size["n"] or 0), float(size["v"]), float(ended["n"]) if ended else 0.0, size["load"] or 0), Frequent(head, head_n, big, hot, hot_n)
+
+
+def _finished(rows: DataFrame, answers: DataFrame, known, shards: int, totals: Totals) -> DataFrame:
+    """Chunks' documents with their answers: the columns of ``score_texts``."""
+
+    def merge(one: pa.Table, mine: pa.Table) -> pa.Table:
+        return _merge(one, mine, totals.tokens, totals.distinct, totals.texts)
+
+    placed = _placed(rows, known, shards)
+    per = placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(merge, "doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
+    return per.select("doc_id", (~F.col("train")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(int(totals.tokens)).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("model").alias("score"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, held_out) -> DataFrame:
+    held = F.coalesce(held_out if held_out is not None else bucket(id_col, 5) == 1, F.lit(False))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), (~held).alias("train"))
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_size: int = HEAD, shard_size: int = SHARD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Counts come from all rows that ``held_out`` (by default: CRC-32 of the id's text modulo 5 is 1)
-    leaves. Words are told apart by 64-bit hashes. The model is a bigram trie with Dirichlet
-    smoothing: p(w | v) = (c(v w) + m(v) p(w)) / (c(v) + m(v)), p(w) the smoothed unigram share and
-    m(v) = SCALE c(v)^POWER for frequent words, c rounded to an eighth of an octave, else SCALE.
-    Its logarithm falls apart into one term that belongs to w and its predecessor and one that belongs to
-    v alone, so each is summed where its counts are. A null text holds the end mark alone; a null id
-    counts as the empty text for the split; rows that repeat an id are scored each. With no training
-    row all counts are zero.
+    leaves. The model is a trie of one to three words with Dirichlet smoothing from each order to the next:
+    p(w | v) = (c(v w) + m(v) p(w)) / (c(v) + m(v)) for contexts v of one and of two words, m(v) = SCALE c(v)^POWER for every
+    context alike, p(w) the smoothed unigram share; c of two and three words are quantised in the trie. Words are told apart by
+    64-bit hashes, the words before them by 32 and 24 bits. A null text holds the end mark alone; a null id
+    counts as the empty text for the split; rows that repeat an id are scored each; texts of any length count whole. With no training
+    row all counts are zero; an empty table gives an empty result; other columns are ignored.
     """
-    held = F.coalesce(held_out if held_out is not None else bucket(id_col, 5) == 1, F.lit(False))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), (~held).alias("train"))
-    counts = word_counts(rows)
-    kept = materialize(counts)
-    size = kept.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("load").alias("load")).first()
-    total, distinct, load = float(size["n"] or 0), float(size["v"]), size["load"] or 0
-    top = kept.orderBy(F.desc("n"), "word").limit(head_size).toArrow()  # bounded by head_size
-    head, head_n = _by_word(top)
-    least = max(1, shard_size // HOT_PART)
-    big, big_n = _by_word(kept.where(F.col("load") >= least).toArrow())  # bounded: all occurrences over ``least``
-    hot_keys, hot_n = hot_pairs(rows, big, least) if len(big) else (np.empty(0, np.int64), np.empty(0))
-    ended = kept.where(F.col("word") == int(END_MARK.astype(np.int64))).first()  # texts start as often as they end
-    starts = float(ended["n"]) if ended else 0.0
-    shards = max(1, int(np.ceil(load / shard_size)))
-    known = rows.sparkSession.sparkContext.broadcast((head, head_n, big, big_n))
-
-    def score(table: pa.Table) -> pa.Table:
-        return _score_shard(table, *known.value, total, distinct, starts)
-
-    sums = _dealt(rows, head, head_n, starts, shards, (big, hot_keys, _hot_sums((big, big_n, hot_keys, hot_n), head, total, distinct, starts))).groupBy("shard").applyInArrow(score, "chunk bigint, sums binary, ids binary")
-    per = sums.groupBy("chunk").applyInArrow(_merge_chunk, "doc_id bigint, train boolean, tokens bigint, known bigint, base double, model double")
-    share = F.lit(np.log10(total + 0.5 * (distinct + 1)).item())
-    return per.select(
-        "doc_id", (~F.col("train")).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
-        F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("tokens") * share).alias("base_score"), F.col("model").alias("score"),
-    )
+    rows = _rows(docs, id_col, text_col, held_out)
+    totals, frequent = _surveyed(rows, head_size, shard_size)
+    shards = max(1, int(np.ceil(totals.load / shard_size)))
+    known = rows.sparkSession.sparkContext.broadcast(frequent)
+    answers = _asked(_dealt(rows, known, shards).repartition(shards, "shard"), known)
+    return _finished(rows, answers, known, shards, totals)
+
+
+@dataclass
+class LanguageModel:
+    """A trie kept as a table ``(shard, file, data)`` in the shared folder, with what its shards are found by."""
+
+    files: DataFrame
+    totals: Totals
+    frequent: Frequent
+    shards: int
+
+    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The columns of ``score_texts`` for any texts; none of them is a training text here."""
+        rows = _rows(docs, id_col, text_col, F.lit(True))
+        known = rows.sparkSession.sparkContext.broadcast(self.frequent)
+
+        def run(table: pa.Table, files: pa.Table) -> pa.Table:
+            if not len(table):
+                return pa.table({"chunk": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "answer": pa.array([], pa.binary())})
+            unpacked, order, columns, _ = _read_packets(table)
+            with tempfile.TemporaryDirectory() as folder:
+                for name, data in zip(files["file"].to_pylist(), files["data"].to_pylist()):
+                    with open(os.path.join(folder, name), "wb") as f:
+                        f.write(data)
+                if not len(files):  # no training text has an n-gram here
+                    none = np.empty(0, np.uint32)
+                    Trie.write(folder, np.empty(0, np.uint64), (np.zeros(1, np.int64),) * 2, (none, none), (none,) * 3)
+                    np.empty(0).tofile(os.path.join(folder, "counts"))
+                trie = Trie(folder)
+                words = trie.words.slice(0, trie.words.n)
+                return _answers(table, trie, words, np.fromfile(os.path.join(folder, "counts")), unpacked, order, columns)
+
+        answers = _dealt(rows, known, self.shards).groupBy("shard").cogroup(self.files.groupBy("shard")).applyInArrow(run, ANSWER)
+        return _finished(rows, answers, known, self.shards, self.totals)
+
+
+def fit_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, head_size: int = HEAD, shard_size: int = SHARD) -> LanguageModel:
+    """Count the training rows as ``score_texts`` does and keep the trie, to score other texts with it."""
+    rows = _rows(docs, id_col, text_col, held_out).where("train")
+    totals, frequent = _surveyed(rows, head_size, shard_size)
+    shards = max(1, int(np.ceil(totals.load / shard_size)))
+    known = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(table: pa.Table) -> pa.Table:
+        _, _, columns, n = _read_packets(table)
+        with tempfile.TemporaryDirectory() as folder:
+            _, _, count = _build(folder, columns[0], columns[1:], n, known.value)
+            count.tofile(os.path.join(folder, "counts"))
+            names = [*Trie.FILES, "counts"]
+            data = []
+            for name in names:
+                with open(os.path.join(folder, name), "rb") as f:
+                    data.append(f.read())
+        return pa.table({"shard": pa.array([table["shard"][0].as_py()] * len(names), pa.int64()), "file": pa.array(names), "data": pa.array(data, pa.binary())})
+
+    files = materialize(_dealt(rows, known, shards).repartition(shards, "shard").groupBy("shard").applyInArrow(run, "shard bigint, file string, data binary"))
+    return LanguageModel(files, totals, frequent, shards)

@@ -2,15 +2,16 @@
 
 import math
 import random
+import tempfile
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from veloquent.llm import embed_dedup as E
@@ -87,6 +88,23 @@ def test_ids_of_odd_texts(text):
     assert P.encode(text, path, public_tokenizers.path(P.RANKS)) == Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_across_the_length_at_which_the_library_changes():
+    path = public_tokenizers.path(P.VOCABULARY)
+    for n in (P.LONG, P.LONG + 1):
+        text = ("some words, 42 and more é\n" * (n // 20))[:n]
+        assert P.encode(text, path, public_tokenizers.path(P.RANKS)) == P._fast(public_tokenizers.path(P.RANKS)).encode_ordinary(text)
+
+
+def test_search_goes_on_to_the_end():
+    rng = random.Random(5)
+    for n in (300, 4000):
+        sizes = [rng.randint(150, 500) for _ in range(n)]
+        search = P.Search(sizes, P.best_fit(sizes))
+        bins = search.run()
+        assert len(bins) < len(P.best_fit(sizes))
+        assert len(bins) == -(-sum(sizes) // 1024) or not any(search.step(b) for b in list(search.bins) if search.gap[b] > 0)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_packing_holds_everything(sizes):
@@ -140,56 +158,95 @@ def test_elias_fano(values, data):
     assert (ef.slice(a, b) == values[a:b]).all()
 
 
-def test_trie(tmp_path):
-    rng = np.random.default_rng(2)
-    words = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
-    size = rng.integers(1, 9, len(words))
-    starts = np.concatenate(([0], np.cumsum(size)))
-    before = np.concatenate([np.sort(rng.choice(1 << 31, n, replace=False)) for n in size]).astype(np.uint32)
-    logs = -rng.random(len(before)) * 8
-    trie = L.Trie(str(tmp_path), words, starts, before, logs)
-    asked = np.repeat(words, size)
-    assert np.abs(trie.find(asked, before, block=64) - logs).max() < 8 / L.LEVELS
-    assert np.isnan(trie.find(words, np.full(len(words), 0xFFFFFFFF, np.uint32))).all()
-    assert np.isnan(trie.find(words + np.uint64(1), before[starts[:-1]])).all()
+def test_codes():
+    n = np.array([0, 1, 2, 3, 1000, 10**12])
+    assert np.allclose(L.from_codes(L.to_codes(n)), n, rtol=0.006) and L.to_codes(n)[0] == 0 < L.to_codes(n)[1]
+
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 9), st.integers(0, 5)), max_size=200), st.integers(1, 50))
+def test_trie(grams, block):
+    counts = Counter((w << 57 | 5, b << 20, s) for w, b, s in grams)
+    rows = sorted(counts)
+    word, first, second = (np.array([r[k] for r in rows], t) for k, t in enumerate((np.uint64, np.uint32, np.uint32)))
+    known = L.Frequent(*(np.empty(0, np.uint64) for _ in range(3)), np.empty(0, np.int64), np.empty(0))
+    with tempfile.TemporaryDirectory() as folder:
+        n = np.array([counts[r] for r in rows], np.uint32)
+        trie, words, count = L._build(folder, word, (first, second), n, known)
+        asked = sorted(set(rows) | {(w, b, 77) for w, b, _ in rows} | {(w, 1 << 31, s) for w, _, s in rows} | {(w + 1, b, s) for w, b, s in rows})
+        columns = [np.array([r[k] for r in asked], t) for k, t in enumerate((np.uint64, np.uint32, np.uint32))]
+        got = L.from_codes(L.Trie(folder).find(columns[0], columns[1:], block))
+    want = [[sum(c for g, c in counts.items() if g[: k + 1] == r[: k + 1]) for r in asked] for k in range(3)]
+    assert np.allclose(got, np.array(want).reshape(3, -1), rtol=0.006)
+    assert dict(zip(words.tolist(), count.tolist())) == {w: sum(c for g, c in counts.items() if g[0] == w) for w in {r[0] for r in rows}}
 
-def score(rows, head):
+
+def score(rows, held=None):
     tokens = [[*(t or "").encode().lower().split(), "end"] for _, t, *_ in rows]
-    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, *_ in rows]
-    c, pairs, starts = Counter(), Counter(), 0
+    held = held or [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, *_ in rows]
+    c, starts = Counter(), 0
     for w, h in zip(tokens, held):
         if not h:
-            c.update(w)
-            pairs.update(zip(["start", *w], w))
             starts += 1
-    n, v = sum(c.values()), len(c)
-    p = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
-    key = lambda x: xxhash.xxh64_intdigest(b"\n end" if x == "end" else x)
-    top = sorted(c, key=lambda x: (-c[x], (key(x) + (1 << 63)) % (1 << 64)))[:head]
-
-    def m(x):
-        if x != "start" and x not in top:
-            return L.SCALE
-        return L.SCALE * 2 ** (L.POWER * round(math.log2(max(starts if x == "start" else c[x], 1)) * L.STEPS) / L.STEPS)
+            for g in zip(["start", "start", *w], ["start", *w], w):
+                c.update([g[2:], g[1:], g])
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    q = lambda x: 2 ** (round(math.log2(x) * L.STEPS) / L.STEPS) if x else 0
+    base = lambda x: (c[x,] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p(s, b, w):
+        one = starts if b == "start" else c[b,]
+        two = starts if b == "start" else q(c[s, b])
+        m1, m2 = L.SCALE[0] * max(one, 1) ** L.POWER, L.SCALE[1] * max(two, 1) ** L.POWER
+        short = (min(q(c[b, w]), one) + m1 * base(w)) / (one + m1)
+        return (min(q(c[s, b, w]), two) + m2 * short) / (two + m2)
 
     for (i, *_), w, h in zip(rows, tokens, held):
-        model = sum(math.log10((pairs[a, b] + m(a) * p(b)) / ((starts if a == "start" else c[a]) + m(a))) for a, b in zip(["start", *w], w))
-        yield i, h, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p(x)) for x in w), model
+        model = sum(math.log10(p(*g)) for g in zip(["start", "start", *w], ["start", *w], w))
+        yield i, h, len(w), sum(c[x,] > 0 for x in w), n, sum(math.log10(base(x)) for x in w), model
+
+
+def same_scores(got, want):
+    got, want = sorted(map(tuple, got), key=str), sorted(want, key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert math.isclose(g[5], w[5], abs_tol=1e-6) and math.isclose(g[6], w[6], abs_tol=1e-6)
+
+
+def texts(n=150):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("the of A a b c Dog cat \u00c9".split()) if rng.random() < 0.6 else f"w{rng.randrange(200)}" for _ in range(rng.randrange(60))), "x", 0) for i in range(n)]
+    return rows + [(500, None, "x", 0), (501, " \n", "x", 0), (None, "the of a", "x", 0), (7, rows[7][1], "x", 0), (502, "the of a " * 20000, "x", 0)]
+
+
+DOCS = "doc_id bigint, text string, train string, tokens int"
 
 
 @pytest.mark.parametrize("shard, head, chunk", [(10**6, 1 << 16, 3_000_000), (300, 20, 3_000_000), (300, 0, 100)])
 def test_language_model(spark, monkeypatch, shard, head, chunk):
     monkeypatch.setattr(L, "CHUNK", chunk)
-    rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice("the of A a b c Dog cat É".split()) if rng.random() < 0.6 else f"w{rng.randrange(200)}" for _ in range(rng.randrange(60))), "x", 0) for i in range(150)]
-    rows += [(500, None, "x", 0), (501, " \n", "x", 0), (None, "the of a", "x", 0), (7, rows[7][1], "x", 0)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, train string, tokens int")
-    got = sorted(map(tuple, L.score_texts(docs, head_size=head, shard_size=shard).collect()), key=str)
-    want = sorted(score(rows, head), key=str)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    for g, w in zip(got, want):
-        assert math.isclose(g[5], w[5], abs_tol=1e-6) and abs(g[6] - w[6]) < 0.002 * w[2]
+    rows = texts()
+    same_scores(L.score_texts(spark.createDataFrame(rows, DOCS), head_size=head, shard_size=shard).collect(), score(rows))
+
+
+def test_hot_pair_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", 500)
+    rows = [(i, " ".join(f"w{i}x{k} of the" for k in range(40)) if i % 3 else f"the w{i % 7} of", "x", 0) for i in range(150)]
+    docs = spark.createDataFrame(rows, DOCS)
+    same_scores(L.score_texts(docs, head_size=3, shard_size=2000).collect(), score(rows))
+    plain = L._rows(docs, "doc_id", "text", None)
+    totals, frequent = L._surveyed(plain, 3, 2000)
+    assert len(frequent.hot)
+    dealt = L._dealt(plain, spark.sparkContext.broadcast(frequent), 8).groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert max(r["n"] for r in dealt) < 0.4 * sum(r["n"] for r in dealt)
+
+
+def test_kept_model_scores_other_texts(spark):
+    rows = texts()
+    model = L.fit_model(spark.createDataFrame(rows, DOCS), held_out=F.lit(False), shard_size=300)
+    other = [(9000, "the of a cat unheard", "x", 0), (9001, None, "x", 0), (9002, rows[3][1], "x", 0)]
+    want = [w for w in score(rows + other, [False] * len(rows) + [True] * len(other)) if w[1]]
+    same_scores(model.score(spark.createDataFrame(other, DOCS)).collect(), want)
 
 
 def test_language_model_without_training_rows(spark):
@@ -198,33 +255,3 @@ def test_language_model_without_training_rows(spark):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = L.score_texts(spark.createDataFrame([(only, "a b")], docs.schema)).first()
     assert r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"])
-
-
-@pytest.mark.parametrize("head", [1 << 16, 1, 0])
-def test_hot_pair_reaches_no_shard(spark, monkeypatch, tmp_path, head):
-    monkeypatch.setattr(L, "CHUNK", 500)
-    rows = [(i, "of the " * 40 + f"w{i}" if i % 3 else f"the w{i % 7} of", "x", 0) for i in range(150)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, train string, tokens int")
-    sizes = tmp_path / "sizes"
-    sizes.mkdir()
-    whole = L._unpacked
-
-    def spy(table):
-        out = whole(table)
-        (sizes / str(random.getrandbits(64))).write_text(str(len(out[1])))
-        return out
-
-    monkeypatch.setattr(L, "_unpacked", spy)
-    inner = L._score_shard
-
-    def score_shard(*args):
-        L._unpacked = spy
-        return inner(*args)
-
-    monkeypatch.setattr(L, "_score_shard", score_shard)
-    got = sorted(map(tuple, L.score_texts(docs, head_size=head, shard_size=1000).collect()), key=str)
-    want = sorted(score(rows, head), key=str)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    for g, w in zip(got, want):
-        assert math.isclose(g[5], w[5], abs_tol=1e-6) and abs(g[6] - w[6]) < 0.002 * w[2]
-    assert max(int(f.read_text()) for f in sizes.iterdir()) < 1000  # "of the" and "the of" occur 4000 times each

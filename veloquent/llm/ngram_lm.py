@@ -273,6 +273,20 @@ class Frequent:
     hot: np.ndarray
     hot_n: np.ndarray
 
+    def of_words(self, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """``count``, but what is known for frequent words, which lie in several shards."""
+        return _told(self.head, self.head_n, words, count)
+
+    def of_pairs(self, words: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """``count``, but what is known for hot pairs, by the second word and the label of the first."""
+        if not len(self.hot):
+            return count
+        left, right = np.divmod(self.hot, len(self.big))
+        name = lambda w, b: _mixed(w) ^ b.astype(np.uint64)
+        hot = name(self.big[right], np.append(self.big, START_MARK)[left] >> np.uint64(32))
+        by = np.argsort(hot)
+        return _told(hot[by], self.hot_n[by], name(words, before), count)
+
 
 @dataclass
 class Grams:
@@ -286,6 +300,14 @@ class Grams:
     place: np.ndarray
 
 
+def _told(names: np.ndarray, values: np.ndarray, asked: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Values by sorted name, ``otherwise`` where there is none."""
+    if not len(names):
+        return otherwise
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return np.where(names[at] == asked, values[at], otherwise)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -393,39 +415,28 @@ def _build(folder: str, word: np.ndarray, labels: tuple[np.ndarray, np.ndarray],
     change = lambda *columns: np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(word) else np.empty(0, np.int64)
     at1, at2, at3 = change(word), change(word, first), change(word, first, second)
     words = word[at1]
-    count = _summed(n, at1)
-    if len(known.head):
-        place = np.minimum(np.searchsorted(known.head, words), len(known.head) - 1)
-        count = np.where(known.head[place] == words, known.head_n[place], count)
-    pairs = _summed(n, at2)
-    if len(known.hot):
-        # A pair's first word is known by its label alone, so hot pairs are looked up by the second word and that label.
-        left, right = np.divmod(known.hot, len(known.big))
-        mark = np.append(known.big, START_MARK)
-        name = lambda w, b: _mixed(w) ^ b.astype(np.uint64)
-        hot = name(known.big[right], mark[left] >> np.uint64(32))
-        by = np.argsort(hot)
-        mine = name(word[at2], first[at2])
-        place = np.minimum(np.searchsorted(hot[by], mine), len(hot) - 1)
-        pairs = np.where(hot[by][place] == mine, known.hot_n[by][place], pairs)
+    count = known.of_words(words, _summed(n, at1))
+    pairs = known.of_pairs(word[at2], first[at2], _summed(n, at2))
     starts = np.append(np.searchsorted(at2, at1), len(at2)), np.append(np.searchsorted(at3, at2), len(at3))
     trie = Trie.write(folder, words, starts, (first[at2], second[at3]), (to_codes(count), to_codes(pairs), to_codes(_summed(n, at3))))
     return trie, words, count
 
 
-def _answers(table: pa.Table, trie: Trie, words: np.ndarray, count: np.ndarray, unpacked: list[tuple[np.ndarray, ...]], order: np.ndarray, columns: tuple[np.ndarray, ...]) -> pa.Table:
+def _answers(table: pa.Table, trie: Trie, words: np.ndarray, count: np.ndarray, unpacked: list[tuple[np.ndarray, ...]], order: np.ndarray, columns: tuple[np.ndarray, ...], known: Frequent) -> pa.Table:
     """Per packet: exact counts of its n-grams' words, and the codes of their pairs and triples, in the packet's order."""
     word, first, second = columns
     codes = trie.find(word, (first, second))
-    at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
-    exact = np.where(words[at] == word, count[at], 0.0).astype(np.uint64) if len(words) else np.zeros(len(word), np.uint64)
+    # A shard may hold no training text with a frequent word or a hot pair of its n-grams.
+    exact = known.of_words(word, _told(words, count, word, np.zeros(len(word)))).astype(np.uint64)
+    pairs = to_codes(known.of_pairs(word, first, np.zeros(len(word))))
+    pairs = np.where(pairs > 0, pairs, codes[1])
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     out, begin = [], 0
     for packet in unpacked:
         mine = back[begin : begin + len(packet[0])]
         begin += len(packet[0])
-        out.append(zlib.compress(exact[mine].tobytes() + codes[1][mine].tobytes() + codes[2][mine].tobytes(), 1))
+        out.append(zlib.compress(exact[mine].tobytes() + pairs[mine].tobytes() + codes[2][mine].tobytes(), 1))
     return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(out, pa.binary())})
 
 
@@ -447,7 +458,7 @@ def _asked(dealt: DataFrame, known) -> DataFrame:
         unpacked, order, columns, n = _read_packets(table)
         with tempfile.TemporaryDirectory() as folder:
             trie, words, count = _build(folder, columns[0], columns[1:], n, known.value)
-            return _answers(table, trie, words, count, unpacked, order, columns)
+            return _answers(table, trie, words, count, unpacked, order, columns, known.value)
 
     return dealt.groupBy("shard").applyInArrow(run, ANSWER)
 
@@ -516,9 +527,11 @@ def _surveyed(rows: DataFrame, head_size: int, shard_size: int) -> tuple[Totals,
     """Totals and what every task has to know, from the words' counts; all that comes back is bounded by the parameters or ``least``."""
     kept = materialize(word_counts(rows))
     size = kept.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v"), F.sum("load").alias("load")).first()
-    head, head_n = _by_word(kept.orderBy(F.desc("n"), "word").limit(head_size).toArrow())
     least = max(1, shard_size // HOT_PART)
-    big, _ = _by_word(kept.where(F.col("load") >= least).toArrow())  # bounded: all occurrences over ``least``
+    many = kept.where(F.col("load") >= least)  # bounded: all occurrences over ``least``
+    big, _ = _by_word(many.toArrow())
+    # All words of hot pairs are among the frequent ones, as they too lie in several shards.
+    head, head_n = _by_word(kept.orderBy(F.desc("n"), "word").limit(head_size).union(many).distinct().toArrow())
     hot, hot_n = hot_pairs(rows, big, least) if len(big) else (np.empty(0, np.int64), np.empty(0))
     ended = kept.where(F.col("word") == int(END_MARK.astype(np.int64))).first()  # texts start as often as they end
     return Totals(float(size["n"] or 0), float(size["v"]), float(ended["n"]) if ended else 0.0, size["load"] or 0), Frequent(head, head_n, big, hot, hot_n)
@@ -587,7 +600,7 @@ class LanguageModel:
                     np.empty(0).tofile(os.path.join(folder, "counts"))
                 trie = Trie(folder)
                 words = trie.words.slice(0, trie.words.n)
-                return _answers(table, trie, words, np.fromfile(os.path.join(folder, "counts")), unpacked, order, columns)
+                return _answers(table, trie, words, np.fromfile(os.path.join(folder, "counts")), unpacked, order, columns, known.value)
 
         answers = _dealt(rows, known, self.shards).groupBy("shard").cogroup(self.files.groupBy("shard")).applyInArrow(run, ANSWER)
         return _finished(rows, answers, known, self.shards, self.totals)

@@ -33,11 +33,11 @@ SCALE, POWER = (3.0, 2.0), 0.9
 #: Steps to an octave in which probabilities are quantised: 64 octaves below one make 4096 codes.
 STEPS = 64
 #: Occurrences in a shard, about.
-SHARD = 2_000_000
+SHARD = 1_500_000
 #: A pair of frequent words with more occurrences than a shard's over this is dealt by the word before it too.
 HOT_PART = 4
 #: Tokens that a task gathers before it deals their n-grams to the shards.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
 END_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
 START_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n start"))
@@ -337,9 +337,15 @@ def _grams(held: list[tuple[int | None, bool, np.ndarray]], known: Frequent, sha
         at = np.minimum(np.searchsorted(known.hot, hot_key), len(known.hot) - 1)
         hot = known.hot[at] == hot_key
         key[hot] = _mixed(word[hot] ^ _mixed(before[hot])) ^ second[hot]
+    del hot_key
     shard = ((_mixed(key) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
-    both = (before >> np.uint64(32)) << np.uint64(24) | second >> np.uint64(40)
-    del key, before, second, hot_key
+    del key
+    both = before >> np.uint64(32)
+    del before
+    both <<= np.uint64(24)
+    second >>= np.uint64(40)
+    both |= second
+    del second
     order = np.lexsort((both, word, shard))
     shard, word, both = shard[order], word[order], both[order]
     new = np.ones(len(order), bool)

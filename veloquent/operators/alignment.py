@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections import deque
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,70 +37,149 @@ def norm(word: str) -> str:
     return re.sub(r"\W", "", word.lower())
 
 
-def best_overlap(tail: list[str], head: list[str], most: int = 100) -> tuple[int, int, int]:
-    """``(matches, tail words dropped, head words dropped)`` of the best shift of a chunk's head over the last one's tail.
+@lru_cache(1 << 16)
+def alike(a: str, b: str, least: float = 0.8) -> bool:
+    """Two normalised words match: equal, one in the other, or by ratio; empty ones never do."""
+    if not a or not b:
+        return False
+    if a == b or len(a) > 2 and len(b) > 2 and (a in b or b in a):
+        return True
+    return 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= least
 
-    A shift counts if half of the words in reach match; the first of the best wins. The cut falls
-    behind the last match. No shift gives zeros.
+
+def _mean(values: list[float]) -> float:
+    return sum(values) / len(values) if values else 0.0
+
+
+def best_overlap(tail: list[tuple[str, float]], head: list[tuple[str, float]], most: int = 100) -> tuple[int, int, int]:
+    """``(matches, tail words dropped, head words dropped)`` where a chunk's head, ``(word, probability)``, meets the last one's tail.
+
+    Every shift of the two against each other is tried, over ``most`` words of each; one counts if half of the words in its overlap
+    match, and the first of the best wins. The cut falls behind the last match. With no match, or with unmatched
+    words behind it while the shorter side is not matched in full, probability decides: the more probable side of what
+    differs stays, and the other whole side goes.
     """
-    tail, head = [norm(w) for w in tail[-most:]], [norm(w) for w in head[:most]]
-    best = (0, 0, 0)
-    for shift in range(len(tail)):
-        width = min(len(tail) - shift, len(head))
-        same = [j for j in range(width) if tail[shift + j] and tail[shift + j] == head[j]]
-        if width and 2 * len(same) >= width and len(same) > best[0]:
-            best = (len(same), len(tail) - shift - same[-1] - 1, same[-1] + 1)
-    return best
+    if not tail or not head:
+        return 0, 0, 0
+    a, b = [norm(w) for w, _ in tail[-most:]], [norm(w) for w, _ in head[:most]]
+    matches, behind, cut = 0, 0, 0
+    for shift in range(1 - len(a), len(b)):
+        span = range(max(0, -shift), min(len(a), len(b) - shift))
+        hits = [i for i in span if alike(a[i], b[i + shift])]
+        if len(hits) > matches and 2 * len(hits) >= len(span):
+            matches, behind, cut = len(hits), len(a) - 1 - hits[-1], hits[-1] + shift + 1
+    if matches and not (behind and matches < min(len(a), len(b))):
+        return matches, behind, cut
+    old, new = (tail[-behind:], head[cut:]) if matches else (tail, head)
+    if _mean([p for _, p in old]) > _mean([p for _, p in new]):
+        return matches, 0, len(head)
+    return matches, len(tail), 0
+
+
+def _reach(words, probs, dur: int, step: int, last: bool, reach_ms: int) -> list[tuple[str, float]]:
+    """The words that start in the last or the first ``reach_ms`` of a chunk of words ``step`` apart."""
+    return [(w, p) for i, (w, p) in enumerate(zip(words, probs)) if (step * i >= dur - reach_ms if last else step * i < reach_ms)]
 
 
 def overlaps(chunks: DataFrame) -> DataFrame:
-    """Matches and cuts at each boundary of chunks ``(file_id, chunk_no, tail, head)``: tail of the last, head of this one."""
+    """Matches and cuts at each boundary of chunks ``(file_id, chunk_no, tail, head)``, arrays of (text, prob): tail of the last, head of this one."""
 
     def run(batches):
         for p in batches:
-            got = [best_overlap(list(t), list(h)) for t, h in zip(p["tail"], p["head"])]
+            pairs = lambda ws: [(w["text"], w["prob"]) for w in ws]
+            got = [best_overlap(pairs(t), pairs(h)) for t, h in zip(p["tail"], p["head"])]
             yield pd.DataFrame({"file_id": p.file_id, "chunk_no": p.chunk_no, "matches": [g[0] for g in got], "drop_tail": [g[1] for g in got], "drop_head": [g[2] for g in got]})
 
     return chunks.select("file_id", "chunk_no", "tail", "head").mapInPandas(run, "file_id bigint, chunk_no bigint, matches bigint, drop_tail bigint, drop_head bigint")
 
 
-def merge_chunks(chunks: DataFrame, reach: int = 10) -> DataFrame:
-    """Fold chunks ``(file_id, chunk_no, words)`` of a file left to right; popping reaches into what was merged."""
+def merge_chunks(chunks: DataFrame, step: int = 300, reach_ms: int = 3000) -> DataFrame:
+    """Fold chunks ``(file_id, chunk_no, words, probs)`` of a file left to right; words start ``step`` ms apart.
+
+    Each boundary is decided from the two raw chunks; words dropped from a tail are popped from what was merged.
+    """
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
         out: list[str] = []
-        for words in p.sort_values("chunk_no").words:
+        tail: list[tuple[str, float]] = []
+        for words, probs in p.sort_values("chunk_no")[["words", "probs"]].itertuples(index=False):
             words = list(words)
-            _, drop_tail, drop_head = best_overlap(out[-reach:], words[:reach])
-            out = out[: len(out) - drop_tail] + words[drop_head:]
+            _, drop_tail, drop_head = best_overlap(tail, _reach(words, probs, 0, step, False, reach_ms))
+            out = out[: max(len(out) - drop_tail, 0)] + words[drop_head:]
+            tail = _reach(words, probs, step * len(words), step, True, reach_ms)
         return pd.DataFrame({"file_id": [p.file_id.iloc[0]], "n_words": [len(out)], "text": [" ".join(out)]})
 
     return chunks.groupBy("file_id").applyInPandas(fold, "file_id bigint, n_words bigint, text string")
 
 
-def rover(pairs: DataFrame, least: float = 0.2) -> DataFrame:
-    """Vote of two hypotheses per block: ``(file_id, pos, a, b)``, arrays of (text, conf).
+def hot_share(words: list[str], phrases: tuple[str, ...], before: list[str] = [], after: list[str] = []) -> float:  # noqa: B006
+    """Share of the words that touch a hot phrase, looked for in the words with their neighbours around them."""
+    every = [norm(w) for w in [*before, *words, *after]]
+    text = " ".join(every)
+    hot = bytearray(len(text) + 1)
+    for phrase in phrases:
+        at = text.find(phrase)
+        while at >= 0:
+            hot[at : at + len(phrase)] = b"\x01" * len(phrase)
+            at = text.find(phrase, at + 1)
+    starts = [0, *accumulate(len(w) + 1 for w in every)]
+    touched = [any(hot[s : s + len(w)]) for s, w in zip(starts, every)]
+    return sum(touched[len(before) : len(before) + len(words)]) / len(words) if words else 0.0
 
-    Equal words stay; of differing stretches the one of higher mean confidence wins; words of the
-    second alone need more than ``least``. Words that differ are marked.
-    """
 
-    def vote(a: list, b: list) -> list[tuple[str, bool]]:
-        mean = lambda ws: sum(w["conf"] for w in ws) / len(ws) if ws else 0.0
-        out: list[tuple[str, bool]] = []
-        for kind, i, j, k, l in SequenceMatcher(None, [norm(w["text"]) for w in a], [norm(w["text"]) for w in b], autojunk=False).get_opcodes():  # noqa: E741
-            x, y = a[i:j], b[k:l]
-            if kind == "equal":
-                out += [(w["text"], False) for w in x]
-            elif kind == "insert":
-                out += [(w["text"], True) for w in y if w["conf"] > least]
-            else:
-                out += [(w["text"], True) for w in (y if kind == "replace" and mean(y) > mean(x) else x)]
-        return out
+def hot_shares(blocks: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
+    """``(file_id, pos, ratio)`` of blocks ``(file_id, pos, w, before, after)``."""
 
     def run(batches):
         for p in batches:
-            got = [vote(list(a), list(b)) for a, b in zip(p.a, p.b)]
+            got = [hot_share(list(w), phrases, list(b), list(a)) for w, b, a in zip(p.w, p.before, p.after)]
+            yield pd.DataFrame({"file_id": p.file_id, "pos": p.pos, "ratio": got})
+
+    return blocks.select("file_id", "pos", "w", "before", "after").mapInPandas(run, "file_id bigint, pos bigint, ratio double")
+
+
+def vote(a: list, b: list, phrases: tuple[str, ...] = (), least: float = 0.2, bonus: float = 0.5, context: int = 3) -> list[tuple[str, bool]]:
+    """Words of two hypotheses, lists of (text, start_ms, conf), by vote, and whether the two differ there.
+
+    Equal words stay, and words of the first alone; of differing stretches the one of higher mean confidence wins, where one side
+    alone touches hot phrases (seen with the equal words around) it gains ``bonus`` times its share; words of the second alone need more than
+    ``least``. In start order, a word that came from the second alone goes if the same word starts within 150 ms.
+    """
+    if not a or not b:
+        return [(w["text"], False) for w in a or b]
+    out: list[tuple[int, str, bool, bool]] = []
+    take = lambda ws, differs=False, extra=False: out.extend((w["start_ms"], w["text"], differs, extra) for w in ws)
+    steps = SequenceMatcher(None, [norm(w["text"]) for w in a], [norm(w["text"]) for w in b], autojunk=False).get_opcodes()
+    for k, (kind, i, j, m, n) in enumerate(steps):
+        if kind == "insert":
+            take((w for w in b[m:n] if w["conf"] > least), True, True)
+        elif kind != "replace":
+            take(a[i:j])
+        else:
+            equal = [k > 0 and steps[k - 1][0] == "equal", k + 1 < len(steps) and steps[k + 1][0] == "equal"]
+            sides = []
+            for words, first, last, low, high in ((a, i, j, 1, 2), (b, m, n, 3, 4)):
+                before = words[max(steps[k - 1][low], first - context) : first] if equal[0] else []
+                after = words[last : min(steps[k + 1][high], last + context)] if equal[1] else []
+                texts = [[w["text"] for w in ws] for ws in (words[first:last], before, after)]
+                sides.append((words[first:last], _mean([w["conf"] for w in words[first:last]]), hot_share(texts[0], phrases, *texts[1:])))
+            (x, conf_x, hot_x), (y, conf_y, hot_y) = sides
+            gain = lambda mine, other: bonus * mine if mine and not other else 0.0
+            take(y if conf_y + gain(hot_y, hot_x) > conf_x + gain(hot_x, hot_y) else x, True)
+    out.sort(key=lambda w: w[0])
+    kept: list[tuple[int, str, bool, bool]] = []
+    for w in out:
+        if not (w[3] and any(not o[3] and abs(o[0] - w[0]) < 150 and norm(o[1]) == norm(w[1]) for o in kept)):
+            kept.append(w)
+    return [(text, differs) for _, text, differs, _ in kept]
+
+
+def rover(pairs: DataFrame, phrases: tuple[str, ...] = ()) -> DataFrame:
+    """Vote of two hypotheses per block: ``(file_id, pos, a, b)``, arrays of (text, start_ms, conf); words that differ are marked."""
+
+    def run(batches):
+        for p in batches:
+            got = [vote(list(a), list(b), phrases) for a, b in zip(p.a, p.b)]
             yield pd.DataFrame({"file_id": p.file_id, "pos": p.pos, "text": [" ".join(w for w, _ in g) for g in got], "n_disagree": [sum(d for _, d in g) for g in got]})
 
     return pairs.select("file_id", "pos", "a", "b").mapInPandas(run, "file_id bigint, pos bigint, text string, n_disagree bigint")
@@ -124,35 +205,56 @@ def disagreements(pairs: DataFrame) -> DataFrame:
     return pairs.select("file_id", "pos", "a", "b").mapInPandas(run, "file_id bigint, pos bigint, word bigint")
 
 
-def align_sentences(files: DataFrame, reach: int = 50, accept: float = 0.7) -> DataFrame:
-    """Greedy forward map of sentences to words: ``(file_id, words, sentences)`` arrays.
+def _near(a: str, b: str) -> bool:
+    return bool(b) and a == b or len(a) > 2 and len(b) > 2 and (a in b or b in a)
+
+
+def place_sentences(words: list[str], sentences: list[str], reach: int = 50, accept: float = 0.7, sure: float = 0.95) -> list[tuple[int, int, int, bool]]:
+    """``(sentence, first word, word after the last, matched)`` by a greedy forward map.
 
-    From a cursor each sentence looks ahead for the start at which most of its words match in order,
-    one word of each side skipped at most; below ``accept`` it takes as many words as it has.
+    From the cursor a sentence looks ahead for words like its first one and follows it from there, one surplus word skipped at
+    most at each step, until one differs. The first best start wins, at once if ``sure``. Below ``accept`` the sentence
+    starts at the next word that holds its first one or lies in it, else at the cursor, and takes as many words as it has.
+    Sentences without a word are passed over.
     """
 
-    def score(want: list[str], have: list[str]) -> tuple[float, int]:
-        hits = i = 0
-        for w in want:
-            for skip in (0, 1):
-                if i + skip < len(have) and have[i + skip] == w:
-                    hits, i = hits + 1, i + skip + 1
+    def follow(want: list[str], at: int) -> tuple[float, int]:
+        hits, last, k = 1, at, at + 1
+        for w in want[1:]:
+            step = next((s for s in (0, 1) if k + s < len(have) and _near(have[k + s], w)), None)
+            if step is None:
+                break
+            hits, last, k = hits + 1, k + step, k + step + 1
+        return hits / len(want), last
+
+    have, at, out = [norm(w) for w in words], 0, []
+    for number, sentence in enumerate(sentences):
+        want = [w for w in map(norm, sentence.split()) if w]
+        if not want or not have:
+            continue
+        best = (0.0, 0, 0)
+        for start in range(at, min(at + reach, len(have))):
+            if _near(have[start], want[0]):
+                score, last = follow(want, start)
+                best = max(best, (score, start, last), key=lambda x: x[0])
+                if score >= sure:
                     break
-        return hits / max(len(want), 1), i
-
-    def place(words: list[str], sentences: list[str]):
-        have, at = [norm(w) for w in words], 0
-        for k, s in enumerate(sentences):
-            want = [x for x in map(norm, s.split()) if x]
-            tried = ((*score(want, have[b : b + 2 * len(want) + 2]), b) for b in range(at, min(at + reach, len(have))))
-            best = max(tried, key=lambda t: (t[0], -t[1], -t[2]), default=(0.0, 0, at))
-            first, n = (best[2], best[1]) if best[0] >= accept else (at, min(len(want), len(have) - at))
-            yield k, first, first + n, best[0] >= accept
-            at = first + n
+        if best[0] >= accept:
+            _, first, last = best
+        else:
+            first = next((i for i in range(at, len(have)) if want[0] in have[i] or have[i] in want[0]), min(at, len(have) - 1))
+            last = min(first + len(want), len(have)) - 1
+        out.append((number, first, last + 1, best[0] >= accept))
+        at = last + 1
+    return out
+
+
+def align_sentences(files: DataFrame) -> DataFrame:
+    """Words of each sentence of files ``(file_id, words, sentences)``, by ``place_sentences``."""
 
     def run(batches):
         for p in batches:
-            rows = [(f, *r) for f, w, s in zip(p.file_id, p.words, p.sentences) for r in place(list(w), list(s))]
+            rows = [(f, *r) for f, w, s in zip(p.file_id, p.words, p.sentences) for r in place_sentences(list(w), list(s))]
             yield pd.DataFrame(rows, columns=["file_id", "sentence", "first_word", "after_word", "matched"])
 
     return files.select("file_id", "words", "sentences").mapInPandas(run, "file_id bigint, sentence bigint, first_word bigint, after_word bigint, matched boolean")
@@ -180,48 +282,51 @@ def merge_token_chunks(chunks: DataFrame, overlap: int = 16, trim: int = 6) -> D
 
 
 class Trie:
-    """Phrases of tokens with scores and failure links; a match pays out and returns to the root."""
+    """Phrases of tokens with scores. A state is the longest suffix of the tokens that begins a phrase; it is paid token by token.
+
+    As soon as a whole phrase lies at the state's end, be it a shorter one than the state is on the way to, that phrase's payment
+    alone stays and the state returns to the root.
+    """
 
     def __init__(self, phrases: dict[tuple[str, ...], float]):
         self.next: list[dict[str, int]] = [{}]
-        self.gain, self.paid, self.ends, self.fail = [0.0], [0.0], [0.0], [0]
+        self.paid, self.fail = [0.0], [0]
+        whole: set[int] = set()
+        gain = [0.0]
         for phrase, score in sorted(phrases.items()):
             at = 0
             for token in phrase:
-                if token not in self.next[at]:
-                    self.next[at][token] = len(self.next)
+                child = self.next[at].setdefault(token, len(self.next))
+                if child == len(self.next):
                     self.next.append({})
-                    self.gain.append(0.0)
-                    self.paid.append(0.0)
-                    self.ends.append(0.0)
-                    self.fail.append(0)
-                child = self.next[at][token]
-                self.gain[child] = max(self.gain[child], score)
-                self.paid[child] = self.paid[at] + self.gain[child]
+                    for column in (self.paid, self.fail, gain):
+                        column.append(0)
+                gain[child] = max(gain[child], score)
                 at = child
-            self.ends[at] = self.paid[at]
-        todo = deque(self.next[0].values())
+            whole.add(at)
+        self.pays: list[float | None] = [None] * len(self.next)
+        todo = deque([0])
         while todo:
             at = todo.popleft()
             for token, child in self.next[at].items():
-                back = self.fail[at]
-                while back and token not in self.next[back]:
-                    back = self.fail[back]
-                self.fail[child] = self.next[back].get(token, 0) if self.next[back].get(token, 0) != child else 0
+                self.paid[child] = self.paid[at] + gain[child]
+                self.fail[child] = self._step(self.fail[at], token) if at else 0
+                self.pays[child] = self.paid[child] if child in whole else self.pays[self.fail[child]]
                 todo.append(child)
 
+    def _step(self, at: int, token: str) -> int:
+        while at and token not in self.next[at]:
+            at = self.fail[at]
+        return self.next[at].get(token, 0)
+
     def score(self, tokens: list[str]) -> float:
         """Sum of the payments; what an unfinished phrase was paid is taken back."""
         total, at = 0.0, 0
         for token in tokens:
-            here = at
-            while here and token not in self.next[here]:
-                here = self.fail[here]
-            here = self.next[here].get(token, 0)
-            total += self.paid[here] - self.paid[at]
-            at = here
-            if self.ends[at]:
-                at = 0
+            here = self._step(at, token)
+            pays = self.pays[here]
+            total += (self.paid[here] if pays is None else pays) - self.paid[at]
+            at = here if pays is None else 0
         return total - self.paid[at]
 
 

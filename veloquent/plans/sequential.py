@@ -9,7 +9,7 @@ from ..functions.text import sentences
 from ..operators import alignment, clustering, scans
 from ..session import table
 from ..streaming.endpoint import changed_partials, endpoints
-from ..streaming.run import drain, read_stream
+from ..streaming.run import drain, drain_updates, read_stream
 from .base import Group
 from .text import words
 from .timeline import diar, segs
@@ -98,16 +98,19 @@ def fn_fuzzy_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunked(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as overlapping chunks of 40 words every 30."""
+    """Turns as overlapping chunks of 40 words every 30, 300 ms a word, with probabilities."""
     w = turn_words(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("w") - 1) / 30), F.lit(0)).cast("int"))))
-    return w.select((F.col("file_id") * 1000 + F.col("pos")).alias("file_id"), F.col("i").cast("bigint").alias("chunk_no"), F.slice("w", F.col("i") * 30 + 1, F.lit(40)).alias("words"))
+    c = w.select((F.col("file_id") * 1000 + F.col("pos")).alias("file_id"), F.col("i").cast("bigint").alias("chunk_no"), F.slice("w", F.col("i") * 30 + 1, F.lit(40)).alias("words"))
+    return c.withColumn("probs", F.transform("words", lambda x, i: (i * 7 + F.col("chunk_no") * 3) % 10 / 10))
 
 
 @query("aln_overlap")
 def aln_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Best shift at each boundary of overlapping chunks."""
-    c = chunked(spark, sf).withColumn("before", F.lag("words").over(Window.partitionBy("file_id").orderBy("chunk_no")))
-    return alignment.overlaps(c.where("before is not null").select("file_id", "chunk_no", F.slice("before", -F.least(F.size("before"), F.lit(10)), F.lit(10)).alias("tail"), F.slice("words", 1, 10).alias("head")))
+    """Best shift at each boundary of overlapping chunks; every fourth chunk lost its place, so that probability decides."""
+    pairs = F.transform(F.arrays_zip("words", "probs"), lambda x: F.struct(x["words"].alias("text"), x["probs"].alias("prob")))
+    c = chunked(spark, sf).withColumn("x", F.when(F.col("chunk_no") % 4 == 3, F.reverse(pairs)).otherwise(pairs))
+    c = c.withColumn("tail", F.lag("x").over(Window.partitionBy("file_id").orderBy("chunk_no")))
+    return alignment.overlaps(c.where("tail is not null").select("file_id", "chunk_no", "tail", F.col("x").alias("head")))
 
 
 @query("aln_merge_chunks", "SELECT conv_id * 1000 + turn AS file_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS BIGINT) AS n_words, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> ''), ' ') AS text FROM conversations")
@@ -119,8 +122,8 @@ def aln_merge_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     """Two hypotheses of each turn: the second lacks, doubles or changes some words."""
     w = words(spark, sf).withColumn("conf", F.col("k") / 100.0)
-    item = F.struct("pos", "text", "conf")
-    other = F.when(F.col("k") % 17 == 0, F.lit(None)).otherwise(F.struct("pos", F.when(F.col("k") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"), (1 - F.col("conf")).alias("conf")))
+    item = F.when(F.col("k") % 19 == 0, F.lit(None)).otherwise(F.struct("pos", "text", "start_ms", "conf"))
+    other = F.when(F.col("k") % 17 == 0, F.lit(None)).otherwise(F.struct("pos", F.when(F.col("k") % 13 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"), "start_ms", (1 - F.col("conf")).alias("conf")))
     g = w.withColumn("x", item).withColumn("y", other).groupBy("file_id", F.col("seg_no").alias("pos")).agg(F.array_sort(F.collect_list("x")).alias("a"), F.array_sort(F.collect_list("y")).alias("b"))
     return g
 
@@ -135,7 +138,7 @@ def set_chunk_union(spark: SparkSession, sf: str) -> DataFrame:
 @query("aln_rover")
 def aln_rover(spark: SparkSession, sf: str) -> DataFrame:
     """Vote of two hypotheses."""
-    return alignment.rover(hypotheses(spark, sf))
+    return alignment.rover(hypotheses(spark, sf), HOT)
 
 
 @query("aln_disagree")
@@ -159,6 +162,7 @@ def aln_chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.merge_token_chunks(turn_words(spark, sf).select("file_id", "pos", F.transform(starts, lambda i: F.slice("w", i * 40 + 1, F.lit(56))).alias("chunks")))
 
 
+HOT = ("the of", "der die", "und")
 PHRASES = {("der", "die"): 1.5, ("die", "und"): 2.0, ("the", "of", "the"): 1.0, ("of",): 0.5}
 
 
@@ -171,14 +175,17 @@ def aln_trie(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fn_hotword_ratio")
 def fn_hotword_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of a turn's words that lie in hot words."""
-    hot = F.array(*(F.lit(p[0]) for p in PHRASES))
-    t = turn_words(spark, sf).where(F.size("w") > 0)
-    return t.select("file_id", "pos", (F.size(F.filter("w", lambda x: F.array_contains(hot, F.lower(x)))) / F.size("w")).alias("ratio"))
+    """Share of a turn's words that touch a hot phrase, with three words of the turns before and after as context."""
+    w = Window.partitionBy("file_id").orderBy("pos")
+    none = F.array().cast("array<string>")
+    t = turn_words(spark, sf).withColumns({"p": F.coalesce(F.lag("w").over(w), none), "n": F.coalesce(F.lead("w").over(w), none)}).where(F.size("w") > 0)
+    last = F.slice("p", F.greatest(F.size("p") - 2, F.lit(1)), F.lit(3))
+    return alignment.hot_shares(t.select("file_id", "pos", "w", last.alias("before"), F.slice("n", 1, 3).alias("after")), HOT)
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select((F.col("vec_id") % 8).alias("file_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+    """Recordings of 128 vectors each, so that their number grows with the table."""
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 128).alias("file_id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
 
 
 @query("clu_spectral")
@@ -247,9 +254,7 @@ def str_partial_final(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("str_late", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS began, count(*) AS n FROM events GROUP BY began")
 def str_late(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily counts over a stream with a watermark, read to its end; the last open windows are counted from the same rows."""
+    """Daily counts over a stream with a watermark, from the stream's own updates: of each window the last one counts."""
     e = read_stream(spark, f"{sf}/events.parquet").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 day")
-    counted = drain(e.groupBy(F.window("at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("began"), "n"))
-    closed = counted.select(F.col("began").cast("timestamp_ntz").alias("began"), "n")
-    batch = table(spark, sf, "events").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("began"), "n")
-    return closed.unionByName(batch.join(closed.select("began"), "began", "left_anti"))
+    counted = e.groupBy(F.window("at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("began"), "n")
+    return drain_updates(counted, ["began"])

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,21 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     running = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def drain_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Process all available input once in update mode and return each key's last update.
+
+    A batch writes its updates to a folder of its own, which a repeated batch replaces.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/{number:08d}")
+
+    running = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, __batch int").option("recursiveFileLookup", "true").parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("__x")).select(*keys, *(F.col(f"__x.{c}").alias(c) for c in rest))

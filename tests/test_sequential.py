@@ -51,20 +51,21 @@ def test_line_packing(spark):
 
 
 def test_overlap_and_merge(spark):
-    assert A.best_overlap("a b c d".split(), "c d e".split()) == (2, 0, 2)
-    assert A.best_overlap("a b c x".split(), "b c d".split()) == (2, 1, 2)
-    assert A.best_overlap("a b".split(), "x y".split()) == (0, 0, 0)
-    rows = [(1, 0, "a b c d e".split()), (1, 1, "d e f g".split()), (1, 2, "g h".split())]
-    got = A.merge_chunks(spark.createDataFrame(rows, "file_id bigint, chunk_no bigint, words array<string>")).first()
+    w = lambda s, p=0.5: [(x, p) for x in s.split()]
+    assert A.best_overlap(w("a b c d"), w("c d e")) == (2, 0, 2)
+    assert A.best_overlap(w("a b c x", 0.9), w("b c d")) == (2, 0, 3)  # the tail's rest is more probable: the head goes
+    assert A.best_overlap(w("a b c x"), w("b c d")) == (2, 4, 0)
+    rows = [(1, 0, "a b c d e".split(), [0.5] * 5), (1, 1, "d e f g".split(), [0.5] * 4), (1, 2, "g h".split(), [0.5] * 2)]
+    got = A.merge_chunks(spark.createDataFrame(rows, "file_id bigint, chunk_no bigint, words array<string>, probs array<double>")).first()
     assert got["text"] == "a b c d e f g h"
 
 
 def test_rover(spark):
-    w = lambda s, c: [(x, c) for x in s.split()]
+    w = lambda s, c: [(x, 300 * i, c) for i, x in enumerate(s.split())]
     rows = [(1, 1, w("the cat sat", 0.5), w("the bat sat down", 0.9)), (1, 2, w("x y", 0.5), [])]
-    kind = "file_id bigint, pos bigint, a array<struct<text string, conf double>>, b array<struct<text string, conf double>>"
+    kind = "file_id bigint, pos bigint, a array<struct<text string, start_ms bigint, conf double>>, b array<struct<text string, start_ms bigint, conf double>>"
     got = {r["pos"]: (r["text"], r["n_disagree"]) for r in A.rover(spark.createDataFrame(rows, kind)).collect()}
-    assert got == {1: ("the bat sat down", 2), 2: ("x y", 2)}
+    assert got == {1: ("the bat sat down", 2), 2: ("x y", 0)}
 
 
 def test_words_match(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,24 +48,48 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.?!])\s+")
 
 
+# What restored punctuation is rewritten to, in this order: before short sentences lose commas, and after. The
+# result depends on each pattern and on the order.
+MARKS_FIRST = ((r":", " "), (r",+", ","), (r"\.{4,}", "..."), (r",\s*\.", "."))
+MARKS_LAST = ((r"([,.!?])([^\s])", "$1 $2"), (r"\s+([,.!?])", "$1"), (r"^,\s*", ""), (r"\.\s*,", ". "), (r"\s+", " "))
+#: Words below which a sentence keeps its first comma alone.
+SHORT = 8
+
+
+def _rewritten(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
+
+
 def clean_punctuation(text: Column) -> Column:
-    """The nine rewrites of restored punctuation, in order."""
-    t = F.replace(text, F.lit(":"), F.lit(" "))
-    for pattern, to in ((r",+", ","), (r"\.{4,}", "..."), (r",\s*\.", ".")):
-        t = F.regexp_replace(t, pattern, to)
-    thin = lambda s: F.concat(F.split_part(s, F.lit(","), F.lit(1)), F.lit(","), F.replace(F.regexp_extract(s, r"(?s)^[^,]*,(.*)$", 1), F.lit(","), F.lit("")))
-    few = lambda s: (F.size(F.filter(F.split(s, r"\s+"), lambda w: w != "")) < 8) & (F.length(s) - F.length(F.replace(s, F.lit(","), F.lit(""))) > 1)
-    t = F.array_join(F.transform(sentences(t), lambda s: F.when(few(s), thin(s)).otherwise(s)), " ")
-    for pattern, to in ((r"([,.!?])([^\s])", "$1 $2"), (r"\s+([,.!?])", "$1"), (r"^,\s*", ""), (r"\.\s*,", ". "), (r"\s+", " ")):
-        t = F.regexp_replace(t, pattern, to)
-    upper = lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
-    return F.trim(F.array_join(F.transform(sentences(t), upper), " "))
+    """Restored punctuation tidied: marks rewritten, short sentences with one comma at most, sentences begun in upper case."""
+
+    def one_comma(sentence: Column) -> Column:
+        clauses = F.split(sentence, ",")
+        words = F.filter(F.split(sentence, r"\s+"), lambda w: w != "")
+        rest = F.array_join(F.slice(clauses, 2, F.greatest(F.size(clauses) - 1, F.lit(0))), "")
+        return F.when((F.size(words) < SHORT) & (F.size(clauses) > 2), F.concat_ws(",", F.get(clauses, F.lit(0)), rest)).otherwise(sentence)
+
+    def begun(sentence: Column) -> Column:
+        return F.concat(F.upper(F.left(sentence, F.lit(1))), F.substr(sentence, F.lit(2)))
+
+    thinned = F.array_join(F.transform(sentences(_rewritten(text, MARKS_FIRST)), one_comma), " ")
+    return F.trim(F.array_join(F.transform(sentences(_rewritten(thinned, MARKS_LAST)), begun), " "))
 
 
 def parse_llm_json(raw: Column) -> Column:
-    """A reply's JSON text: thinking dropped, then as it is, fenced, or between the outermost braces; else ``{}``."""
-    t = F.trim(F.regexp_replace(F.trim(raw), r"(?s)<think>.*?</think>", ""))
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    outer = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    ok = lambda x: F.when(F.try_parse_json(F.nullif(x, F.lit(""))).isNotNull(), x)
-    return F.coalesce(ok(t), ok(fenced), ok(outer), F.lit("{}"))
+    """A reply's JSON text, thinking aside: the first that parses of the whole, what lies inside a fence, and what lies from the
+    first brace to the last; else ``{}``."""
+
+    def between(t: Column, first: Column, after: Column) -> Column:
+        return F.when((first > 0) & (after > first), F.substring(t, first, after - first))
+
+    def last(t: Column) -> Column:
+        """Place behind the last closing brace."""
+        return F.length(t) + 2 - F.locate("}", F.reverse(t))
+
+    thought = F.split(F.trim(raw), "<think>")
+    spoken = F.array_join(F.transform(thought, lambda x, i: F.when((i > 0) & F.contains(x, F.lit("</think>")), F.substr(x, F.locate("</think>", x) + 8)).when(i > 0, F.concat(F.lit("<think>"), x)).otherwise(x)), "")
+    text = F.trim(spoken)
+    inside = F.get(F.split(text, "```"), F.lit(1))
+    asked = [text, between(inside, F.locate("{", inside), last(inside)), between(text, F.locate("{", text), last(text))]
+    return F.coalesce(*(F.when(F.try_parse_json(F.nullif(x, F.lit(""))).isNotNull(), x) for x in asked), F.lit("{}"))

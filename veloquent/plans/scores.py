@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.vectors import cosine, softmax, total, unit
 from ..session import table
@@ -142,21 +147,35 @@ def fn_log_add(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.round(F.greatest("a", "b") + F.log1p(F.exp(-F.abs(F.col("a") - F.col("b")))), 6).alias("total"))
 
 
-_POLY = "least(greatest(-0.05 * x * x + 1.3 * x + 0.1, 1), 5)"
+# Polynomials from raw to mean opinion scores, highest power first.
+MOS = {"sig": (-0.08397278, 1.22083953, 0.0052439), "bak": (-0.13166888, 1.60915514, -0.39604546), "ovrl": (-0.06766283, 1.11546468, 0.04602535)}
+#: Where in a recording its quality is sampled.
+SAMPLES = (0.15, 0.5, 0.85)
+
 
+def _mos(name: str) -> str:
+    a, b, c = MOS[name]
+    return f"least(greatest(({a!r} * x * x) + ({b!r} * x) + ({c!r}), 1.0), 5.0)"
 
-@query("fn_poly", f"SELECT event_id, round({_POLY}, 6) AS mos FROM (SELECT event_id, value / 20 AS x FROM events)")
+
+@query("fn_poly", f"SELECT event_id, {', '.join(f'round({_mos(n)}, 6) AS {n}' for n in MOS)} FROM (SELECT event_id, CAST(value / 20 AS DOUBLE) AS x FROM events)")
 def fn_poly(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw quality mapped by a polynomial and clipped to 1 to 5."""
-    return table(spark, sf, "events").select("event_id", (F.col("value") / 20).alias("x")).select("event_id", F.round(F.expr(_POLY), 6).alias("mos"))
+    """Raw quality of signal, background and the whole mapped by their polynomials and clipped to 1 to 5."""
+    x = table(spark, sf, "events").select("event_id", (F.col("value") / 20).alias("x"))
+    return x.select("event_id", *(F.round(F.expr(_mos(n)), 6).alias(n) for n in MOS))
 
 
-@query("agg_dnsmos", f"SELECT user_id, round(avg({_POLY}), 2) AS mos FROM (SELECT user_id, value / 20 AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r <= 3 GROUP BY user_id")
+@query(
+    "agg_dnsmos",
+    f"""WITH e AS (SELECT user_id, CAST(value / 20 AS DOUBLE) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+    SELECT user_id, {', '.join(f'round(avg({_mos(n)}), 2) AS {n}' for n in MOS)} FROM e, (SELECT unnest([{', '.join(map(str, SAMPLES))}]) AS share) WHERE r = CAST(floor(n * CAST(share AS DOUBLE)) AS BIGINT) GROUP BY user_id""",
+)
 def agg_dnsmos(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean quality over three samples."""
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    x = table(spark, sf, "events").select("user_id", (F.col("value") / 20).alias("x"), r.alias("r")).where("r <= 3")
-    return x.groupBy("user_id").agg(F.round(F.avg(F.expr(_POLY)), 2).alias("mos"))
+    """Mean scores over three samples of each recording, at fixed shares of its length."""
+    w = Window.partitionBy("user_id")
+    e = table(spark, sf, "events").select("user_id", (F.col("value") / 20).alias("x"), (F.row_number().over(w.orderBy("ts", "event_id")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    hits = e.withColumn("at", F.explode(F.array(*map(F.lit, SAMPLES)))).where(F.col("r") == F.floor(F.col("n") * F.col("at")))
+    return hits.groupBy("user_id").agg(*(F.round(F.avg(F.expr(_mos(n))), 2).alias(n) for n in MOS))
 
 
 @query("agg_rms", "WITH r AS (SELECT user_id, event_type, sqrt(avg(value * value)) AS rms FROM events GROUP BY ALL), m AS (SELECT user_id, median(rms) AS target FROM r WHERE rms > 1e-8 GROUP BY user_id) SELECT user_id, event_type, round(rms, 6) AS rms, round(least(greatest(20 * log10(target / rms), -20), 20), 4) AS gain_db FROM r JOIN m USING (user_id) WHERE rms > 1e-8")
@@ -184,10 +203,32 @@ def agg_pctl_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return e.join(e.groupBy("user_id").agg((0.1 * F.percentile("value", 0.95)).alias("t")), "user_id").where("value > t").select("event_id")
 
 
-@query("agg_gap_features", "SELECT user_id, event_id // 20 AS gap_no, round(max(value) - min(value), 6) AS erange, count(*) AS n FROM events GROUP BY ALL")
+@F.pandas_udf(DoubleType())
+def band_share(samples: pd.Series) -> pd.Series:
+    """Share of a signal's spectral energy in the band of speech."""
+    rate, low, high = 8000.0, 300.0, 3000.0
+
+    def one(x) -> float:
+        power = np.abs(np.fft.rfft(np.asarray(x, float))) ** 2
+        f = np.fft.rfftfreq(len(x), 1 / rate)
+        return float(power[(f >= low) & (f <= high)].sum() / max(power.sum(), 1e-12))
+
+    return samples.map(one)
+
+
+@query(
+    "agg_gap_features",
+    """WITH s AS (SELECT user_id, event_id // 200 AS gap_no, value AS v, row_number() OVER (PARTITION BY user_id, event_id // 200 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id, event_id // 200) AS n FROM events),
+    k AS (SELECT user_id, gap_no, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT user_id, gap_no, n FROM s)),
+    p AS (SELECT user_id, gap_no, k, n, pow(sum(v * cos(2 * pi() * k * i / n)), 2) + pow(sum(v * sin(2 * pi() * k * i / n)), 2) AS p FROM s JOIN k USING (user_id, gap_no, n) GROUP BY ALL),
+    b AS (SELECT user_id, gap_no, sum(CASE WHEN k * 8000.0 / n BETWEEN 300 AND 3000 THEN p ELSE 0 END) / greatest(sum(p), 1e-12) AS band FROM p GROUP BY ALL)
+    SELECT user_id, gap_no, round(max(v) - min(v), 6) AS erange, count(*) AS n, round(any_value(band), 5) AS band FROM s JOIN b USING (user_id, gap_no) GROUP BY ALL""",
+)
 def agg_gap_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Range of the energies in each gap."""
-    return table(spark, sf, "events").groupBy("user_id", F.floor(F.col("event_id") / 20).alias("gap_no")).agg(F.round(F.max("value") - F.min("value"), 6).alias("erange"), F.count(F.lit(1)).alias("n"))
+    """Range of the energies in each gap, and the share of its energy in the band of speech."""
+    g = table(spark, sf, "events").groupBy("user_id", F.floor(F.col("event_id") / 200).alias("gap_no"))
+    x = g.agg(F.round(F.max("value") - F.min("value"), 6).alias("erange"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("x"))
+    return x.select("user_id", "gap_no", "erange", "n", F.round(band_share("x"), 5).alias("band"))
 
 
 @query(
@@ -228,18 +269,28 @@ def join_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", (-near["l"]).alias("nearest"))
 
 
+SIDES = 3
+
+
 @query(
     "join_assign_optimal",
-    f"""WITH v AS (SELECT vec_id // 2 AS chunk, vec_id % 2 AS side, {_E} AS v FROM embeddings), p AS (SELECT a.chunk, a.v AS a0, b.v AS a1, c.v AS b0, d.v AS b1 FROM v a JOIN v b ON a.chunk = b.chunk AND a.side = 0 AND b.side = 1 JOIN v c ON c.chunk = a.chunk + 1 AND c.side = 0 JOIN v d ON d.chunk = c.chunk AND d.side = 1)
-    SELECT chunk, list_cosine_similarity(a0, b0) + list_cosine_similarity(a1, b1) >= list_cosine_similarity(a0, b1) + list_cosine_similarity(a1, b0) AS straight FROM p""",
+    f"""WITH v AS (SELECT vec_id // {SIDES} AS chunk, vec_id % {SIDES} AS side, {_E} AS v FROM embeddings), p AS (SELECT a.chunk, a.side AS i, b.side AS j, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a JOIN v b ON b.chunk = a.chunk + 1),
+    m AS (SELECT x.i AS a, y.i AS b, z.i AS c FROM range({SIDES}) x(i), range({SIDES}) y(i), range({SIDES}) z(i) WHERE x.i <> y.i AND y.i <> z.i AND x.i <> z.i),
+    t AS (SELECT p.chunk, m.a, m.b, m.c, round(sum(p.s), 6) AS total FROM p JOIN m ON (p.i = 0 AND p.j = m.a) OR (p.i = 1 AND p.j = m.b) OR (p.i = 2 AND p.j = m.c) GROUP BY ALL)
+    SELECT chunk, [a, b, c] AS partner, total FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY total DESC, a, b, c) AS r FROM t) WHERE r = 1""",
 )
 def join_assign_optimal(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairing of two speakers with those of the next chunk: as they are, or crossed, by summed similarity."""
-    pair = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 2).alias("chunk")).agg(F.max(F.when(F.col("vec_id") % 2 == 0, F.col("embedding"))).alias("x0"), F.max(F.when(F.col("vec_id") % 2 == 1, F.col("embedding"))).alias("x1"))
-    pair = pair.where("x0 is not null and x1 is not null")
-    nxt = pair.select((F.col("chunk") - 1).alias("chunk"), F.col("x0").alias("y0"), F.col("x1").alias("y1"))
-    c = lambda a, b: cosine(F.col(a), F.col(b))
-    return pair.join(nxt, "chunk").select("chunk", (c("x0", "y0") + c("x1", "y1") >= c("x0", "y1") + c("x1", "y0")).alias("straight"))
+    """One-to-one partners of a chunk's speakers among the next chunk's, by the largest summed similarity.
+
+    Three a side make six orders to compare; a side with fewer leaves places empty, which add nothing.
+    """
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / SIDES).alias("chunk"), (F.col("vec_id") % SIDES).cast("int").alias("side"), "embedding")
+    right = e.select((F.col("chunk") - 1).alias("chunk"), F.col("side").alias("j"), F.col("embedding").alias("other"))
+    pairs = e.join(right, "chunk").select("chunk", F.struct("side", "j").alias("at"), F.round(cosine(F.col("embedding"), F.col("other")), 9).alias("s"))
+    orders = list(permutations(range(SIDES)))
+    sums = [F.round(sum((F.coalesce(F.sum(F.when((F.col("at.side") == i) & (F.col("at.j") == j), F.col("s"))), F.lit(0.0)) for i, j in enumerate(o)), F.lit(0.0)), 6) for o in orders]
+    best = F.array_min(F.array(*(F.struct((-s).alias("cost"), F.array(*(F.lit(j).cast("bigint") for j in o)).alias("partner")) for s, o in zip(sums, orders))))
+    return pairs.groupBy("chunk").agg(best.alias("b")).select("chunk", "b.partner", (-F.col("b.cost")).alias("total"))
 
 
 @query("agg_masked_stats", f"WITH x AS (SELECT label, s.i AS i, s.v AS v, CAST(vec_id % 3 AS DOUBLE) AS w FROM (SELECT label, vec_id, unnest(list_transform({_E}, lambda v, i: {{'v': v, 'i': i}})) AS s FROM embeddings)), m AS (SELECT label, i, sum(w) AS v1, sum(w * w) AS v2, sum(w * v) / (sum(w) + 1e-8) AS mean, sum(w * v * v) AS q, sum(w * v) AS l FROM x GROUP BY ALL) SELECT label, CAST(i AS BIGINT) AS dim, round(mean, 5) AS mean, round(sqrt(greatest(q - 2 * mean * l + mean * mean * v1, 0) / (v1 - v2 / (v1 + 1e-8) + 1e-8)), 4) AS std FROM m")

@@ -28,8 +28,25 @@ def win_smooth_speakers(spark: SparkSession, sf: str) -> DataFrame:
     return scans.smooth_speakers(segments(spark, sf))
 
 
+_SEGMENTS = """g AS (SELECT user_id % 32 AS file_id, event_id AS pos, user_id // 32 % 3 AS speaker, s AS start_ms, s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0) AS end_ms, 1 + event_id % 6 AS n_words, event_id % 4 = 0 AS ends_sentence,
+  row_number() OVER (PARTITION BY user_id % 32 ORDER BY s, event_id) AS r FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
+#: What each rule gives row x, from the row a before it with its new speaker, and the row b behind it.
+_SMOOTH = {
+    "island": "CASE WHEN a.who = b.speaker AND b.speaker <> x.speaker AND (x.end_ms - x.start_ms <= 1500 OR x.n_words <= 4) THEN a.who ELSE x.speaker END",
+    "lead": "CASE WHEN x.n_words = 1 AND x.end_ms - x.start_ms <= 800 AND NOT x.ends_sentence AND b.n_words >= 2 AND x.speaker <> b.speaker AND (a.r = 0 OR x.start_ms - a.end_ms >= 1200) AND b.start_ms - x.end_ms <= 2500 THEN b.speaker ELSE x.speaker END",
+    "trail": "CASE WHEN a.r > 1 AND x.n_words <= 2 AND x.end_ms - x.start_ms <= 900 AND x.ends_sentence AND NOT a.ends_sentence AND x.start_ms - a.end_ms <= 250 AND x.speaker <> a.who AND a.who = a.before AND a.start_ms - a.before_end <= 1000 THEN a.who ELSE x.speaker END",
+}
+
+
+def _smooth_sql(rule: str) -> str:
+    return f"""WITH RECURSIVE {_SEGMENTS},
+    s AS (SELECT file_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS start_ms, CAST(NULL AS BIGINT) AS end_ms, CAST(NULL AS BOOLEAN) AS ends_sentence, CAST(NULL AS BIGINT) AS before, CAST(NULL AS BIGINT) AS before_end, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS n_words FROM (SELECT DISTINCT file_id FROM g)
+      UNION ALL SELECT x.file_id, x.r, coalesce({_SMOOTH[rule]}, x.speaker), x.start_ms, x.end_ms, x.ends_sentence, a.who, a.end_ms, x.pos, x.n_words FROM s a JOIN g x ON x.file_id = a.file_id AND x.r = a.r + 1 LEFT JOIN g b ON b.file_id = x.file_id AND b.r = x.r + 1)
+    SELECT file_id, pos, who AS speaker, start_ms, end_ms, n_words, ends_sentence FROM s WHERE r > 0"""
+
+
 for _name, _rule in (("win_island_smooth", "island"), ("win_lead_singleton", "lead"), ("win_trail_particle", "trail")):
-    query(_name)(lambda spark, sf, rule=_rule: scans.smooth_speakers(segments(spark, sf), (rule,)))
+    query(_name, _smooth_sql(_rule))(lambda spark, sf, rule=_rule: scans.smooth_speakers(segments(spark, sf), (rule,)))
 
 
 @query("win_natural_turn")
@@ -42,13 +59,28 @@ def short_words(spark: SparkSession, sf: str) -> DataFrame:
     return diar(spark, sf).select("file_id", "pos", "speaker", "start_ms", F.least("end_ms", F.col("start_ms") + 400).alias("end_ms"), (F.col("pos") % 3 != 0).alias("inside"))
 
 
-@query("win_continuity")
+_SHORT = """d AS (SELECT user_id % 32 AS file_id, event_id AS pos, user_id // 32 % 3 AS speaker, s AS start_ms, least(s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0), s + 400) AS end_ms, event_id % 3 <> 0 AS inside,
+  row_number() OVER (PARTITION BY user_id % 32 ORDER BY s, event_id) AS r FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
+_BOUNDARY = {
+    "lead": "CASE WHEN a.r > 0 AND x.speaker <> a.who AND x.start_ms - a.end_ms < 300 AND NOT x.inside THEN a.who ELSE x.speaker END",
+    "trail": "CASE WHEN a.r > 0 AND x.speaker = a.who AND b.speaker <> x.speaker AND NOT x.inside THEN b.speaker ELSE x.speaker END",
+}
+
+
+def _boundary_sql(rule: str) -> str:
+    return f"""WITH RECURSIVE {_SHORT},
+    s AS (SELECT file_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS who, CAST(NULL AS BIGINT) AS start_ms, CAST(NULL AS BIGINT) AS end_ms, CAST(NULL AS BOOLEAN) AS inside, CAST(NULL AS BIGINT) AS pos FROM (SELECT DISTINCT file_id FROM d)
+      UNION ALL SELECT x.file_id, x.r, coalesce({_BOUNDARY[rule]}, x.speaker), x.start_ms, x.end_ms, x.inside, x.pos FROM s a JOIN d x ON x.file_id = a.file_id AND x.r = a.r + 1 LEFT JOIN d b ON b.file_id = x.file_id AND b.r = x.r + 1)
+    SELECT file_id, pos, who AS speaker, start_ms, end_ms, inside FROM s WHERE r > 0"""
+
+
+@query("win_continuity", _boundary_sql("lead"))
 def win_continuity(spark: SparkSession, sf: str) -> DataFrame:
     """Leading words of a block that belong to the one before move there."""
     return scans.move_boundary_words(short_words(spark, sf), rules=("lead",))
 
 
-@query("win_trailing_word")
+@query("win_trailing_word", _boundary_sql("trail"))
 def win_trailing_word(spark: SparkSession, sf: str) -> DataFrame:
     """Last words of a block outside their speaker's diarization move to the next."""
     return scans.move_boundary_words(short_words(spark, sf), rules=("trail",))
@@ -60,7 +92,14 @@ def fn_chunk_plan(spark: SparkSession, sf: str) -> DataFrame:
     return scans.plan_chunks(segs(spark, sf))
 
 
-@query("fn_chunk_lines")
+@query(
+    "fn_chunk_lines",
+    """WITH RECURSIVE l AS (SELECT conv_id AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CAST(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS upto, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+    c AS (SELECT f, CAST(-1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z, n, CAST(0 AS BIGINT) AS nxt FROM (SELECT DISTINCT f, n FROM l)
+      UNION ALL SELECT f, k + 1, nxt, z2, n, CASE WHEN z2 = n THEN n ELSE greatest(z2 - 5, nxt + 1) END FROM (
+        SELECT c.f, c.k, c.nxt, c.n, greatest((SELECT count(*) FROM l WHERE l.f = c.f AND l.upto - coalesce((SELECT upto FROM l q WHERE q.f = c.f AND q.i = c.nxt - 1), 0) <= 12000), c.nxt + 1) AS z2 FROM c WHERE c.nxt < c.n))
+    SELECT f AS file_id, k AS chunk_no, a AS first_line, z AS after_line FROM c WHERE k >= 0""",
+)
 def fn_chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Transcript lines packed for a model."""
     return scans.pack_lines(table(spark, sf, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("pos"), F.length("text").cast("bigint").alias("n_chars")))
@@ -215,7 +254,20 @@ def fn_affine(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.round(dot(F.col("embedding"), row(5, 2)) + 0.5, 5).alias("y0"), F.round(dot(F.col("embedding"), row(3, 1)) - 0.5, 5).alias("y1"))
 
 
-@query("str_endpoint_model")
+def _endpoint_sql(speech: str, quiet: int, longest: int) -> str:
+    """The endpoint machine as a recursive query: one row per stream and step."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_id AS f, {speech} AS speech, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS opened, CAST(-1 AS BIGINT) AS last, CAST(0 AS BIGINT) AS silent, CAST(0 AS BIGINT) AS frames, CAST(NULL AS BIGINT) AS o, CAST(NULL AS BIGINT) AS l, CAST(NULL AS VARCHAR) AS reason FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT user_id, r, CASE WHEN why IS NOT NULL THEN -1 ELSE opened END, CASE WHEN why IS NOT NULL THEN -1 ELSE last END, CASE WHEN why IS NOT NULL THEN 0 ELSE silent END, CASE WHEN why IS NOT NULL THEN 0 ELSE frames END,
+        CASE WHEN why IS NOT NULL THEN opened END, CASE WHEN why IS NOT NULL THEN last END, why FROM (
+        SELECT *, CASE WHEN was >= 0 AND silent > {quiet} THEN 'silence' WHEN was >= 0 AND frames > {longest} THEN 'length' END AS why FROM (
+          SELECT e.user_id, e.r, s.opened AS was, CASE WHEN s.opened < 0 THEN CASE WHEN speech THEN f ELSE -1 END ELSE s.opened END AS opened, CASE WHEN speech THEN f ELSE s.last END AS last,
+            CASE WHEN s.opened < 0 OR speech THEN 0 ELSE s.silent + 1 END AS silent, CASE WHEN s.opened < 0 THEN CASE WHEN speech THEN 1 ELSE 0 END ELSE s.frames + 1 END AS frames
+          FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)))
+    SELECT user_id AS stream_id, o AS first_frame, l AS last_frame, reason FROM s WHERE reason IS NOT NULL"""
+
+
+@query("str_endpoint_model", _endpoint_sql("event_type <> 'error'", 0, 12))
 def str_endpoint_model(spark: SparkSession, sf: str) -> DataFrame:
     """Utterances whose end the model flags, or that grow too long: the same machine, a flag column, no quiet frames allowed."""
     e = read_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame"), (F.col("event_type") != "error").alias("speech"))
@@ -237,18 +289,25 @@ def str_cache(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("b", before).select("event_id", F.coalesce(F.expr("ts < b + interval 2 hours"), F.lit(False)).alias("hit"))
 
 
-@query("str_endpoint")
+@query("str_endpoint", _endpoint_sql("value >= 20", 2, 12))
 def str_endpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Utterances of live streams, one per user: speech where the value is high."""
     e = read_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame"), (F.col("value") >= 20).alias("speech"))
     return drain(endpoints(e, quiet=2, longest=12))
 
 
-@query("str_partial_final")
+@query(
+    "str_partial_final",
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, event_type || props AS text, event_type = 'purchase' AS final, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS r, '' AS shown, CAST(-1152921504606846976 AS BIGINT) AS sent, CAST(NULL AS BIGINT) AS at_ms, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS BOOLEAN) AS is_final FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT e.user_id, e.r, CASE WHEN final THEN '' WHEN e.text <> s.shown AND e.at_ms - s.sent >= 3600000 THEN e.text ELSE s.shown END, CASE WHEN final THEN -1152921504606846976 WHEN e.text <> s.shown AND e.at_ms - s.sent >= 3600000 THEN e.at_ms ELSE s.sent END,
+        CASE WHEN final OR (e.text <> s.shown AND e.at_ms - s.sent >= 3600000) THEN e.at_ms END, e.text, final FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)
+    SELECT user_id AS stream_id, at_ms, text, is_final FROM s WHERE at_ms IS NOT NULL""",
+)
 def str_partial_final(spark: SparkSession, sf: str) -> DataFrame:
     """Changed partials and finals of live streams."""
     at = F.expr("unix_millis(cast(ts as timestamp))")
-    e = read_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("stream_id"), at.alias("at_ms"), F.concat("event_type", "props").alias("text"), (F.col("event_type") == "purchase").alias("is_final"))
+    e = read_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("stream_id"), at.alias("at_ms"), "event_id", F.concat("event_type", "props").alias("text"), (F.col("event_type") == "purchase").alias("is_final"))
     return drain(changed_partials(e, least=3_600_000))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
+from ..streaming.queue import queue_changes
+from ..streaming.run import drain, read_stream
 from .base import Group
 
 query = Group()
@@ -120,18 +122,32 @@ def agg_file_count(spark: SparkSession, sf: str) -> DataFrame:
     return users(spark, sf).join(counts, "user_id", "left").select("user_id", "username", "is_active", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 
+# What is counted, its trailing window in seconds, and the most that passes.
+LIMITS = {"ip": (300, 5), "session": (60, 10), "user": (900, 10)}
+#: Stand-ins for addresses and sessions, and real microseconds to a second of the limits.
+_KEYS = {"ip": "user_id % 16", "session": "user_id * 8 + event_id % 8", "user": "user_id"}
+_SECOND = 288_000_000
+
+
 @query(
     "agg_rate_limit",
-    """SELECT event_id, user_id, CAST(count(*) OVER w AS BIGINT) AS n_recent, count(*) OVER w > 3 AS limited,
-    86400000000 - (epoch_us(ts) - epoch_us(min(ts) OVER w)) AS unlock_us
-    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)""",
+    " UNION ALL ".join(
+        f"""SELECT '{kind}' AS kind, event_id, CAST(count(*) OVER w{kind} AS BIGINT) AS n_recent, count(*) OVER w{kind} > {most} AS limited, {window * _SECOND} - (epoch_us(ts) - min(epoch_us(ts)) OVER w{kind}) AS unlock_us
+    FROM events WINDOW w{kind} AS (PARTITION BY {_KEYS[kind]} ORDER BY epoch_us(ts) RANGE BETWEEN {window * _SECOND - 1} PRECEDING AND CURRENT ROW)"""
+        for kind, (window, most) in LIMITS.items()
+    ),
 )
 def agg_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    """Trailing-window counts per user and the microseconds until the oldest counted event leaves the window."""
+    """Trailing-window counts by address, session and user, which are over their limit, and when the oldest counted event leaves the window."""
     events = table(spark, sf, "events").withColumn("at", F.expr("unix_micros(cast(ts as timestamp))"))
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-86_400_000_000, 0)
-    n = F.count(F.lit(1)).over(w)
-    return events.select("event_id", "user_id", n.alias("n_recent"), (n > 3).alias("limited"), (86_400_000_000 - (F.col("at") - F.min("at").over(w))).alias("unlock_us"))
+
+    def one(kind: str) -> DataFrame:
+        window, most = LIMITS[kind][0] * _SECOND, LIMITS[kind][1]
+        w = Window.partitionBy(F.expr(_KEYS[kind])).orderBy("at").rangeBetween(-(window - 1), 0)
+        n = F.count(F.lit(1)).over(w)
+        return events.select(F.lit(kind).alias("kind"), "event_id", n.alias("n_recent"), (n > most).alias("limited"), (window - (F.col("at") - F.min("at").over(w))).alias("unlock_us"))
+
+    return one("ip").unionByName(one("session")).unionByName(one("user"))
 
 
 @query("top_oldest_idle", _with(_SESSIONS) + "SELECT session_id, last_heartbeat FROM sessions WHERE is_anonymous ORDER BY last_heartbeat, session_id LIMIT 1")
@@ -322,18 +338,37 @@ def fn_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.expr(f"{micros('ts')} - {micros(f'{NOW} - INTERVAL 120 MINUTE')}").alias("since_cutoff_us"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("str_heartbeat_expiry", _with(_SESSIONS) + f"SELECT session_id, CASE WHEN last_heartbeat < {NOW} - INTERVAL 7 DAY THEN 'purged' WHEN is_anonymous AND last_heartbeat < {NOW} - INTERVAL 2 HOUR THEN 'expired' ELSE 'live' END AS state FROM sessions")
+_BUSY = "busy AS (SELECT DISTINCT user_id AS b FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-29 00:00:00')"
+_EXPIRY = """CASE WHEN last_heartbeat < {now} - INTERVAL 7 DAY THEN 'purged' WHEN session_id % 7 = 0 THEN 'connected' WHEN is_anonymous THEN CASE WHEN last_heartbeat < {now} - INTERVAL 2 HOUR THEN 'expired' ELSE 'live' END
+  WHEN created_at < {now} - INTERVAL 24 HOUR AND last_heartbeat < {now} - INTERVAL 24 HOUR THEN 'killed' WHEN last_heartbeat < {now} - INTERVAL 1 HOUR AND b IS NULL THEN 'expired' ELSE 'live' END"""
+
+
+@query("str_heartbeat_expiry", _with(_SESSIONS, _BUSY) + f"SELECT session_id, {_EXPIRY.format(now=NOW)} AS state FROM sessions LEFT JOIN busy ON session_id = b")
 def str_heartbeat_expiry(spark: SparkSession, sf: str) -> DataFrame:
-    """State of each session by its last heartbeat."""
-    state = F.when(F.expr(f"last_heartbeat < {NOW} - INTERVAL 7 DAY"), "purged").when(F.expr(f"is_anonymous and last_heartbeat < {NOW} - INTERVAL 2 HOUR"), "expired").otherwise("live")
-    return sessions(spark, sf).select("session_id", state.alias("state"))
+    """State of each session by its last heartbeat: what is connected stays, anonymous ones expire by timeout, logged-in ones
+    when idle without queued work or, past a day, whatever they run; a week later the row goes."""
+    busy = table(spark, sf, "events").where("event_type = 'purchase' and ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'").select(F.col("user_id").alias("b")).distinct()
+    rows = sessions(spark, sf).join(busy, F.col("session_id") == F.col("b"), "left")
+    return rows.select("session_id", F.expr(_EXPIRY.format(now=NOW)).alias("state"))
+
+
+_ACTIONS = {"signup": "enqueue", "view": "start", "purchase": "complete", "error": "fail", "click": "cancel"}
 
 
-@query("str_queue", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_changes FROM events GROUP BY user_id")
+@query(
+    "str_queue",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+    s AS (SELECT user_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, 'none' AS status, false AS changed FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL SELECT e.user_id, e.r, e.event_id, CASE WHEN n.status IS NULL THEN s.status ELSE n.status END, n.status IS NOT NULL FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1,
+      LATERAL (SELECT CASE WHEN e.t = 'signup' AND s.status NOT IN ('waiting', 'processing') THEN 'waiting' WHEN e.t = 'view' AND s.status = 'waiting' THEN 'processing' WHEN e.t = 'purchase' AND s.status = 'processing' THEN 'completed'
+        WHEN e.t = 'error' AND s.status = 'processing' THEN 'error' WHEN e.t = 'click' AND s.status IN ('waiting', 'processing') THEN 'cancelled' END AS status) n)
+    SELECT user_id AS stream_id, event_id, status FROM s WHERE changed""",
+)
 def str_queue(spark: SparkSession, sf: str) -> DataFrame:
-    """Latest status of each key from its status changes."""
-    got = table(spark, sf, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x"), F.count(F.lit(1)).alias("n_changes"))
-    return got.select("user_id", F.col("x.event_type").alias("status"), "n_changes")
+    """Status changes of each session's queue item, from the live stream of its actions; what its status does not allow is refused."""
+    action = F.create_map(*(F.lit(x) for pair in _ACTIONS.items() for x in pair))[F.col("event_type")]
+    e = read_stream(spark, f"{sf}/events.parquet").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("frame"), action.alias("action"))
+    return drain(queue_changes(e))
 
 
 @query("str_eviction", _with(_SESSIONS) + "SELECT session_id FROM (SELECT session_id, row_number() OVER (ORDER BY last_heartbeat, session_id) AS r, count(*) OVER () AS n FROM sessions WHERE is_anonymous) WHERE r = 1 AND n >= 5")

@@ -125,19 +125,30 @@ def fn_comma_split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fn_split_long",
-    """WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM conversations),
-    p AS (SELECT *, len(w) AS n, len(w) * 300 AS d, CASE WHEN len(w) * 300 <= 12000 THEN 1 WHEN len(w) * 300 % 12000 = 0 THEN greatest(len(w) * 300 // 12000, 2) ELSE len(w) * 300 // 12000 + 1 END AS k FROM w)
-    SELECT conv_id, turn, i AS part, array_to_string(w[CAST(i * (n // k) + least(i, n % k) + 1 AS BIGINT):CAST((i + 1) * (n // k) + least(i + 1, n % k) AS BIGINT)], ' ') AS text, 300 * (i * (n // k) + least(i, n % k)) AS start_ms, 300 * ((i + 1) * (n // k) + least(i + 1, n % k)) AS end_ms FROM p, range(200) r(i) WHERE i < k""",
+    """WITH w AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS total, trim(text, ' \t\n' || chr(11) || chr(12) || chr(13)) AS text FROM conversations),
+    c AS (SELECT conv_id, turn, total, unnest(list_transform(CASE WHEN total * 300 > 12000 THEN string_split(regexp_replace(text, ',[ \\t\\n\\x0B\\f\\r]+', ',' || chr(1), 'g'), chr(1)) ELSE [text] END, lambda x, i: {'s': x, 'c': i}), recursive := true) FROM w),
+    n AS (SELECT conv_id, turn, c, list_filter(regexp_split_to_array(s, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM c),
+    o AS (SELECT *, len(w) AS n, CAST(sum(len(w)) OVER (PARTITION BY conv_id, turn ORDER BY c) - len(w) AS BIGINT) AS before FROM n WHERE len(w) > 0),
+    k AS (SELECT *, CASE WHEN n * 300 <= 12000 THEN 1 WHEN n * 300 % 12000 = 0 THEN greatest(n * 300 // 12000, 2) ELSE n * 300 // 12000 + 1 END AS k FROM o)
+    SELECT conv_id, turn, CAST(c AS BIGINT) AS clause, i AS part, array_to_string(w[CAST(i * (n // k) + least(i, n % k) + 1 AS BIGINT):CAST((i + 1) * (n // k) + least(i + 1, n % k) AS BIGINT)], ' ') AS text, 300 * (before + i * (n // k) + least(i, n % k)) AS start_ms, 300 * (before + (i + 1) * (n // k) + least(i + 1, n % k)) AS end_ms FROM k, LATERAL (SELECT unnest(range(k)) AS i)""",
 )
 def fn_split_long(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns over 12 s cut into parts of nearly equal words, times by words."""
-    w = table(spark, sf, "conversations").select("conv_id", "turn", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).withColumn("n", F.size("w").cast("bigint")).withColumn("d", F.col("n") * 300)
-    k = F.when(F.col("d") <= 12000, F.lit(1)).when(F.col("d") % 12000 == 0, F.greatest(F.floor(F.col("d") / 12000), F.lit(2))).otherwise(F.floor(F.col("d") / 12000) + 1)
-    p = w.withColumn("k", k.cast("bigint")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    """Turns over 12 s cut behind commas first, then clauses still over it into parts of nearly equal words; times by words.
+
+    Parts never overlap, since a word's time follows from its place.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    t = table(spark, sf, "conversations").withColumn("text", F.trim("text", F.lit(" \t\n\x0b\x0c\r")))
+    clauses = F.when(F.size(split("text")) * 300 > 12000, F.split("text", r"(?<=,)\s+")).otherwise(F.array("text"))
+    c = t.select("conv_id", "turn", F.posexplode(clauses).alias("c", "s")).withColumn("w", split("s")).withColumn("n", F.size("w").cast("bigint")).where("n > 0")
+    before = F.sum("n").over(Window.partitionBy("conv_id", "turn").orderBy("c")) - F.col("n")
+    d = F.col("n") * 300
+    k = F.when(d <= 12000, F.lit(1)).when(d % 12000 == 0, F.greatest(F.floor(d / 12000), F.lit(2))).otherwise(F.floor(d / 12000) + 1)
+    p = c.withColumns({"before": before, "k": k.cast("bigint")}).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
     q, r = F.floor(F.col("n") / F.col("k")), F.col("n") % F.col("k")
     a, b = F.col("part") * q + F.least("part", r), (F.col("part") + 1) * q + F.least(F.col("part") + 1, r)
     text = F.array_join(F.slice("w", (a + 1).cast("int"), (b - a).cast("int")), " ")
-    return p.select("conv_id", "turn", "part", text.alias("text"), (300 * a).alias("start_ms"), (300 * b).alias("end_ms"))
+    return p.select("conv_id", "turn", (F.col("c") + 1).cast("bigint").alias("clause"), "part", text.alias("text"), (300 * (F.col("before") + a)).alias("start_ms"), (300 * (F.col("before") + b)).alias("end_ms"))
 
 
 _DIRTY = "replace(replace(replace(text, ' th', ', th'), '. ', ' ,. '), ' la ', ' : la,, ')"

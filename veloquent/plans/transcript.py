@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.islands import number_islands
-from ..session import table
 from .base import Group
+from .transcript_json import _T
+from .transcript_json import turns as speaker_turns
 
 query = Group()
 
 
 @query(
     "transcript_blocks",
-    """
-WITH t AS (SELECT * FROM conversations WHERE turn % 3 <> 1),
+    f"""
+WITH {_T},
 f AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS s
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 b AS (SELECT *, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM f),
@@ -27,7 +28,7 @@ SELECT g.*, r.role_chars FROM g JOIN r USING (conv_id, role)
 )
 def transcript_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge consecutive turns of one role into blocks and join each role's total length."""
-    turns = table(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    turns = speaker_turns(spark, sf_dir)
     blocks = (
         number_islands(turns, ["conv_id"], ["turn"], F.col("role"), "block")
         .groupBy("conv_id", "block", "role")

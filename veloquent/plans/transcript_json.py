@@ -13,11 +13,15 @@ from .base import Group
 query = Group()
 
 
+#: Who speaks: the role, but the assistant in two of five turns, so that speakers hold several turns in a row.
+SPEAKER = "CASE WHEN (turn + conv_id) % 5 < 2 THEN 'assistant' ELSE role END"
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").where("turn % 3 <> 1")
+    return table(spark, sf, "conversations").withColumn("role", F.expr(SPEAKER))
 
 
-_T = "t AS (SELECT * FROM conversations WHERE turn % 3 <> 1)"
+_T = f"t AS (SELECT * REPLACE ({SPEAKER} AS role) FROM conversations)"
 _B = "b AS (SELECT *, sum(CASE WHEN role = before THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t))"
 
 
@@ -86,10 +90,16 @@ def src_json_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("conv_id", "s.turn", "s.speaker", F.length("s.text").cast("bigint").alias("n_chars"))
 
 
-@query("snk_json_transcript")
+@query(
+    "snk_json_transcript",
+    f"""WITH {_T}, n AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY role) - 1 AS i FROM (SELECT DISTINCT conv_id, role FROM t)),
+    m AS (SELECT conv_id, '{{' || string_agg('"' || i || '":' || to_json(role), ',' ORDER BY i) || '}}' AS names FROM n GROUP BY conv_id),
+    s AS (SELECT conv_id, '[' || string_agg('{{"type":"text","text":' || to_json(text) || ',"speaker":' || to_json(role) || ',"start_time":' || turn || '.0,"segment_id":' || turn || '}}', ',' ORDER BY turn) || ']' AS segs FROM t GROUP BY conv_id)
+    SELECT conv_id, '{{"version":1,"speaker_names":' || names || ',"segments":' || segs || '}}' AS json FROM s JOIN m USING (conv_id)""",
+)
 def snk_json_transcript(spark: SparkSession, sf: str) -> DataFrame:
     """One interchange JSON per conversation."""
-    seg = F.struct(F.lit("text").alias("type"), "text", F.col("role").alias("speaker"), (F.col("turn") * 1.0).alias("start_time"), F.col("turn").alias("segment_id"))
+    seg = F.struct(F.lit("text").alias("type"), "text", F.col("role").alias("speaker"), F.col("turn").cast("double").alias("start_time"), F.col("turn").alias("segment_id"))
     g = turns(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", seg.alias("s")))).alias("l"), F.sort_array(F.collect_set("role")).alias("names"))
     body = F.struct(F.lit(1).alias("version"), F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size("names") - 1), lambda i: i.cast("string")), "names").alias("speaker_names"), F.transform("l", lambda x: x["s"]).alias("segments"))
     return g.select("conv_id", F.to_json(body).alias("json"))
@@ -105,10 +115,30 @@ def edit_rename(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", name.alias("speaker"))
 
 
-@query("edit_split", f"WITH {_T}, {_B} SELECT conv_id, turn, CASE WHEN block = 2 AND turn >= 4 THEN 'new' ELSE role END AS to_end, CASE WHEN turn = 4 THEN 'new' ELSE role END AS single FROM b")
+_IDS = "f AS (SELECT conv_id, role, min(turn) AS first FROM t GROUP BY conv_id, role), i AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS id FROM f), n AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'assistant' ELSE 'guest' END AS name, max(id) + 1 AS fresh FROM i GROUP BY conv_id), s AS (SELECT n.conv_id, n.name, coalesce(i.id, n.fresh) AS id FROM n LEFT JOIN i ON i.conv_id = n.conv_id AND i.role = n.name)"
+
+
+@query(
+    "edit_split",
+    f"""WITH {_T}, {_B}, {_IDS}, k AS (SELECT b.conv_id, b.turn, b.role, i.id, s.name, s.id AS to_id, b.turn >= 4 AND b.block = any_value(CASE WHEN b.turn = 4 THEN b.block END) OVER (PARTITION BY b.conv_id) AS tail FROM b JOIN i USING (conv_id, role) JOIN s USING (conv_id))
+    SELECT conv_id, turn, CASE WHEN tail THEN name ELSE role END AS to_end, CASE WHEN tail THEN to_id ELSE id END AS to_end_id, CASE WHEN turn = 4 THEN name ELSE role END AS single, CASE WHEN turn = 4 THEN to_id ELSE id END AS single_id FROM k""",
+)
 def edit_split(spark: SparkSession, sf: str) -> DataFrame:
-    """A new speaker from a row to the end of its block, or for that row alone."""
-    return blocks(spark, sf).select("conv_id", "turn", F.when((F.col("block") == 2) & (F.col("turn") >= 4), "new").otherwise(F.col("role")).alias("to_end"), F.when(F.col("turn") == 4, "new").otherwise(F.col("role")).alias("single"))
+    """A speaker from row 4 to the end of its block, or for that row alone with the old one restored after it.
+
+    A name that the transcript has keeps its id, a new one gets the largest id plus one; ids go by first appearance.
+    """
+    b = blocks(spark, sf)
+    first = b.groupBy("conv_id", "role").agg(F.min("turn").alias("f"))
+    ids = first.select("conv_id", "role", (F.row_number().over(Window.partitionBy("conv_id").orderBy("f")) - 1).cast("bigint").alias("id"))
+    name = F.when(F.col("conv_id") % 2 == 0, "assistant").otherwise("guest")
+    new = ids.groupBy("conv_id").agg((F.max("id") + 1).alias("fresh"), F.max(F.when(F.col("role") == name, F.col("id"))).alias("known"))
+    new = new.select("conv_id", name.alias("name"), F.coalesce("known", "fresh").alias("to_id"))
+    split = F.max(F.when(F.col("turn") == 4, F.col("block"))).over(Window.partitionBy("conv_id"))
+    rows = b.withColumn("tail", F.coalesce((F.col("turn") >= 4) & (F.col("block") == split), F.lit(False))).join(ids, ["conv_id", "role"]).join(new, "conv_id")
+    pick = lambda where, a, c: F.when(where, F.col(a)).otherwise(F.col(c))
+    one = F.col("turn") == 4
+    return rows.select("conv_id", "turn", pick(F.col("tail"), "name", "role").alias("to_end"), pick(F.col("tail"), "to_id", "id").alias("to_end_id"), pick(one, "name", "role").alias("single"), pick(one, "to_id", "id").alias("single_id"))
 
 
 @query(

@@ -44,12 +44,15 @@ def endpoints(frames: DataFrame, quiet: int = 11, longest: int = 240) -> DataFra
 
 
 def changed_partials(events: DataFrame, least: int = 1_000) -> DataFrame:
-    """Of ``(stream_id, at_ms, text, is_final)`` the finals, and partials that changed and come ``least`` behind the last one."""
+    """Of ``(stream_id, at_ms, event_id, text, is_final)`` the finals, and partials that changed and come ``least`` behind the last one.
+
+    Rows of one time are taken by ``event_id``.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         text, sent = state.get if state.exists else ("", -(1 << 60))
         out = []
-        for row in pd.concat(list(batches)).sort_values("at_ms").itertuples():
+        for row in pd.concat(list(batches)).sort_values(["at_ms", "event_id"]).itertuples():
             if row.is_final:
                 out.append((key[0], row.at_ms, row.text, True))
                 text, sent = "", -(1 << 60)

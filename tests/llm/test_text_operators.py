@@ -1,13 +1,18 @@
 """HTML extraction, license scans and URL filters on hand-made pages, texts and addresses."""
 
+import random
 import re
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veloquent.llm import url_filter as U
 from veloquent.llm.html_extract import extract_text, main_text
-from veloquent.llm.license_scan import BASE_PHRASES, resolve, scan, scan_licenses, signatures
-from veloquent.llm.url_filter import RULES, UrlModel, judge_urls, parts, rule_of, train
+from veloquent.llm.license_scan import BASE_PHRASES, SIGNATURES, resolve, scan, scan_licenses, signatures
+from veloquent.llm.url_filter import RULES, judge_urls, parts, rule_of, train
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, really, many of them, for all sorts of things.</p></div>
@@ -121,7 +126,66 @@ def test_verdicts(spark):
     assert judge_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
-def test_model_is_a_distribution(spark):
-    urls = spark.createDataFrame([("ab", 0), ("ac", 0), ("zz", 1)], "url string, kind int")
-    model = train(urls, 2)
-    assert isinstance(model, UrlModel) and model.ratio(["ab"])[0] < 0 < model.ratio(["zz"])[0]
+@pytest.mark.parametrize("n, prune", [(30, U.PRUNE), (3000, U.PRUNE), (3000, 200)])
+def test_model_is_a_distribution(spark, n, prune):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefgh/-.0123") for _ in range(rng.randint(1, 30)))
+    rows = [(f"http://{word()}", k % 2) for k in range(n)] + [("zz", 1)] * 3 + [("ab", 0)] * 3
+    model = train(spark.createDataFrame(rows, "url string, kind int"), prune=prune)
+    for kind in (0, 1):
+        for before in ("http://", "a", "http://abc", "never-seen-%%"):
+            keys = U._grams([before + "x"], model.order)[0][:, -2]
+            every = np.stack([(keys & ~np.int64(255)) | b for b in range(256)], axis=1)
+            p = model.probabilities(every, kind)
+            assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
+    assert model.ratio(["ab"])[0] < model.ratio(["zz"])[0]
+    if prune == U.PRUNE:
+        keys, owner = U._grams([u for u, k in rows if k == 0], model.order)
+        want = Counter(keys.ravel().tolist())
+        assert dict(zip(*(x.tolist() for x in model.grams[0]))) == want
+
+
+P = "<p>" + "This is a real paragraph of the article, with commas, and enough words to count. " * 3 + "</p>"
+ARTICLE = P[3:-4].strip()
+ODD_PAGES = {
+    f'<body><div class="layout has-sidebar">{P}<div class="sidebar"><a href=x>Link</a></div></div>': ARTICLE,
+    f'<body><div id="content-with-comments">{P}<div class="comments"><p>{"I disagree with you, friend. " * 20}</p></div></div>': ARTICLE,
+    f"<body><form id=f>{P}<input></form>": ARTICLE,
+    f'<body><article><h2 class="section-header">Head</h2><p class="notice-of-article">{ARTICLE}</p><section id="related-work">{P}</section></article>': f"Head\n{ARTICLE}\n{ARTICLE}",
+    f'<body><div class="x"">{P}</div>': ARTICLE,
+    f"<body><p data=O'Brien>First, one.</p>{P}<p>It's last, here.</p>": f"First, one.\n{ARTICLE}\nIt's last, here.",
+    f"<!--><body><div>{P}</div>": ARTICLE,
+    f"<body><main><article><p>Short one here, yes.</p></article><article>{P * 4}</article></main>": "\n".join(["Short one here, yes.", *[ARTICLE] * 4]),
+    f'<body><div class="post">{P}</div><div id="comments">{P * 30}</div>': ARTICLE,
+    f'<body><div class="cookie-consent"><p>{"We use cookies, ok. " * 20}</p></div>': "",
+    "<body><nav><a href=1>One</a><a href=2>Two</a></nav>": "",
+}
+
+
+@pytest.mark.parametrize("page", ODD_PAGES)
+def test_odd_pages(page):
+    assert main_text(page) == ODD_PAGES[page]
+
+
+def test_deep_and_stray_tags_take_time_in_proportion():
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert main_text("<div>" * n + "</b></span></zz>" * n + P) == ARTICLE
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_halves_of_a_notice_may_lie_far_apart():
+    notice = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    far = notice + "clause " * 5000 + "neither the name of the holder"
+    assert [d[2] for d in scan(far)[5]] == ["bsd-3-clause"]
+    assert [d[2] for d in scan(notice + notice + "neither the name of")[5]] == ["bsd-2-clause", "bsd-3-clause"]
+    assert len(SIGNATURES) > 200
+    for s in signatures():  # every alternative holds its gate
+        for words in re.sub(r"\(\?:([^()]*)\)\?", "", s.pattern.pattern).split("|"):
+            assert s.keyword in s.pattern.pattern
+
+
+def test_license_scan_of_an_empty_table(spark):
+    assert scan_licenses(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0

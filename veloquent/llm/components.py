@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
 
     Returns ``(node, component)``. Self-loops, repeated edges and nulls are allowed; a null end makes
     no edge. Every round aggregates with map-side combine, joins on node ids (AQE splits hot hubs) and
-    writes its edges to the shared folder; only a count and a checksum reach the driver.
+    writes its edges to the shared folder and drops the last round's; only a count and a checksum reach the driver.
     """
     pairs = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y")
     now = materialize(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        now = materialize(_stars(now))
+        last, now = now, materialize(_stars(now))
+        discard(last)
         after = now.select(mark.alias("m")).first()["m"]
         if after == before:
             break

@@ -10,7 +10,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 from .text_stats import with_base_stats
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -185,9 +185,12 @@ def mcd_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -
     best = materialize(_factor(_start(rows)))
     groups = best.count()
     for _ in range(steps):
-        new = materialize(_factor(_concentrated(_ranked(rows, best, groups), subset)))
+        ranked = _ranked(rows, best, groups)
+        new = materialize(_factor(_concentrated(ranked, subset)))
+        discard(ranked)
         old = best.select(F.col("grp").alias("__g"), F.col("logdet").alias("__old"))
         moved = new.join(old, F.col("grp") == F.col("__g")).agg(F.max(F.abs(F.col("logdet") - F.col("__old"))).alias("x")).first()["x"]
+        discard(best)
         best = new
         if moved is None or moved < SETTLED:
             break

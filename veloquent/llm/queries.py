@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from .embed_dedup import near_duplicates
 from .html_extract import extract_text
-from .license_scan import scan_licenses
+from .license_scan import BASE_PHRASES, scan_licenses
 from .mixing import TARGETS, mix
 from .ngram_lm import score_texts
 from .packing import pack_documents
 from .quality_rules import BASE, quality_stats
 from .rule_ensemble import THRESHOLD, bucket, fit_quality, score_quality
 from .simhash import hex_bits, simhash_components
-from .url_filter import judge_urls
+from .url_filter import RULES, judge_urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,10 +80,42 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def base_quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of op3 that SQL can tell."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", *BASE, "base_failed")
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of op4's base phrases."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts, paths and rules of op6, with the verdicts that the rules give."""
+    return op6_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLACES = " || ".join(f"list_transform(list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'), lambda i: {{'at': i - 1, 'l': '{label}'}})" for p, label in BASE_PHRASES.items())
+_FITS = " ".join(f"WHEN (host = '{r.split('/')[0]}' OR ends_with(host, '.{r.split('/')[0]}')) AND starts_with(path, '{r[r.index('/'):]}') THEN '{r}'" for r in sorted(RULES, key=len, reverse=True))
+SQL = {
+    "base_quality_statistics": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+    g AS (SELECT doc_id, i, hash(w[i:i + 7]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+    c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS m FROM g), range(8) r(k) WHERE m > 1 GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+      coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN c USING (doc_id)""",
+    "base_license_places": f"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), p AS (SELECT doc_id, len(w) AS n, {_PLACES} AS p FROM d)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word, array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.l))), ',') AS base_labels FROM p""",
+    "base_url_rules": f"""WITH r AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages), h AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+    f AS (SELECT *, CASE {_FITS} END AS rule FROM h) SELECT page_id, host, path, rule, CASE rule {' '.join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())} END AS verdict FROM f""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op5_mixing, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier)
+    found = (op1_simhash, op2_html_extract, op3_quality_rules, op4_license_scan, op5_mixing, op6_url_filter, op7_embed_dedup, op8_best_fit_packing, op9_lm_scoring, op10_quality_classifier, base_quality_statistics, base_license_places, base_url_rules)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the base columns; fitted models, link closures, searches, XXH64, CRC-32 and tokenizers are beyond it."""
+    return SQL

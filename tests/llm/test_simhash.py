@@ -77,6 +77,15 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_hubs_connect_as_brute_force(spark):
+    from veloquent.llm.components import FLOOR
+
+    pairs = [(1000, i) for i in range(1001, 1003 + 2 * FLOOR)] + [(i, 5000) for i in range(3000, 3003 + FLOOR)]
+    pairs += [(1500 + i, 6000) for i in range(3 * FLOOR)] + [(6000, 3001), (7, 1000), (9000, 9001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == closure(pairs, {x for p in pairs for x in p})
+
+
 def test_rows_nulls_copies_and_clashing_columns(spark):
     text = " ".join(f"w{i}" for i in range(400))
     near = text.replace("w399", "other")

@@ -8,14 +8,32 @@ from pyspark.sql import functions as F
 from .scratch import discard, materialize
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges ``(a, b)`` with ``a > b``."""
+#: Nodes of at most this many edges are never split.
+FLOOR = 100
+#: Hubs are fewer than this: they hold more than this share of all edge ends each.
+HUBS = 10_000
+
+
+def _meet(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+    """``(a, b, m)``: edges with the ``m`` that ``least`` (``u, m, n``) has for ``a``.
+
+    Nodes of more than ``hub`` edges are fewer than ``HUBS`` and are broadcast, so that their edges stay where they are.
+    """
+    hubs = least.where(F.col("n") > hub).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+    marked = edges.join(F.broadcast(hubs), F.col("a") == F.col("h"), "left")
+    rest = marked.where("h is null").select("a", "b").join(least.where(F.col("n") <= hub), F.col("a") == F.col("u"))
+    return rest.select("a", "b", "m").unionByName(marked.where("h is not null").select("a", "b", F.col("hm").alias("m")))
+
+
+def _stars(edges: DataFrame, count: int) -> DataFrame:
+    """One large-star and one small-star step over ``count`` edges ``(a, b)`` with ``a > b``."""
+    hub = max(FLOOR, 2 * count // HUBS)
+    some = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = both.groupBy("a").agg(*some).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+    large = _meet(both.where("b > a"), low, hub).select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.where("a > b").distinct()
-    root = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-    small = large.join(root, F.col("a") == F.col("u"))
+    small = _meet(large, large.groupBy("a").agg(*some).withColumnRenamed("a", "u"), hub)
     return (
         small.select(F.col("b").alias("a"), F.col("m").alias("b"))
         .unionByName(small.select("a", F.col("m").alias("b")))
@@ -28,7 +46,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     """Smallest reachable node for every node that an edge touches.
 
     Returns ``(node, component)``. Self-loops, repeated edges and nulls are allowed; a null end makes
-    no edge. Every round aggregates with map-side combine, joins on node ids (AQE splits hot hubs) and
+    no edge. Every round aggregates with map-side combine, joins on node ids, hubs apart, and
     writes its edges to the shared folder and drops the last round's; only a count and a checksum reach the driver.
     """
     pairs = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y")
@@ -38,7 +56,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        last, now = now, materialize(_stars(now))
+        last, now = now, materialize(_stars(now, before[0]))
         discard(last)
         after = now.select(mark.alias("m")).first()["m"]
         if after == before:

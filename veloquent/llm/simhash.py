@@ -130,7 +130,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with a null id stay. Of rows that repeat a kept id, one stays.
     """
-    found = materialize(simhash_components(docs, id_col, text_col, shingle, radius))
+    return keep_smallest(docs, materialize(simhash_components(docs, id_col, text_col, shingle, radius)), id_col)
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is null or the smallest of its component in ``found`` (``id, component``); of rows that repeat a kept id, one."""
     gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     repeated = found.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias("__again"))

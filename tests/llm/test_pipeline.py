@@ -84,7 +84,7 @@ def test_discarded_tables_are_gone(spark):
 def test_base_columns_against_sql(spark, name):
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     got = Q.queries()[name](spark, data)
     cur = con.execute(Q.SQL[name])

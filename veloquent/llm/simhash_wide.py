@@ -1,9 +1,10 @@
-"""SimHash near-dedup by similarity: wide fingerprints, many segments, verified distances."""
+"""SimHash near-dedup by similarity: wide fingerprints, many segments, verified distances, exact Jaccard similarities."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from .simhash import SEED, keep_smallest
 #: Bits of a wide fingerprint, in words of 64.
 WIDTH = 256
 WORDS = [f"w{i}" for i in range(WIDTH // 64)]
-#: Chance that a pair exactly at the distance limit shares a segment; closer pairs do better.
-RECALL = 0.9
+#: Chance that a pair at the distance expected of the similarity shares a segment; closer pairs do better.
+RECALL = 0.95
+#: Candidates may lie this many standard deviations beyond the expected distance.
+DEVIATIONS = 2.33
 #: Segment values with more fingerprints than this are linked through one of them first.
 BUCKET_LIMIT = 64
 #: Rows of a large bucket that meet in one task come from parts of about this size.
@@ -35,21 +38,31 @@ def distance_limit(similarity: float) -> int:
     return int(WIDTH * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def plan(n: int, limit: int) -> tuple[int, int]:
-    """Bits of a segment and number of segments: bits grow with the logarithm of the fingerprints, segments keep ``RECALL``."""
+def reach(similarity: float) -> int:
+    """Differing bits up to which a pair is a candidate: of pairs at the similarity one in a hundred lies beyond."""
+    expected = distance_limit(similarity)
+    return math.ceil(expected + DEVIATIONS * math.sqrt(expected * (1 - expected / WIDTH)))
+
+
+def plan(n: int, distance: int) -> tuple[int, int]:
+    """Bits of a segment and number of segments: bits grow with the logarithm of the fingerprints, segments keep ``RECALL`` at ``distance``."""
     bits = min(max(math.ceil(math.log2(max(n, 2))) + 2, 12), 48)
-    share = math.prod((WIDTH - limit - i) / (WIDTH - i) for i in range(bits))
+    share = math.prod((WIDTH - distance - i) / (WIDTH - i) for i in range(bits))
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-share)))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """SimHash of a text's distinct shingles as four unsigned words; zeros without words."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """XXH64 of a text's distinct shingles; of a shorter text's whole sequence, and none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(len(WORDS), "<u8")
+        return np.empty(0, "<u8")
     some = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in some), "<u8", len(some))
+    return np.fromiter((digest(s, SEED) for s in some), "<u8", len(some))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of distinct shingles' hashes as four unsigned words; zeros without shingles."""
     ones = np.zeros(WIDTH, np.int64)
     for at in range(0, len(hashes), BLOCK):
         mixed = hashes[at : at + BLOCK, None] * STREAMS
@@ -60,17 +73,39 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(id, w0..w3)`` for every row; a null text has no words."""
+    """``(id, n, w0..w3)`` for every row, ``n`` the number of distinct shingles; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.zeros((batch.num_rows, len(WORDS)), "<u8")
+            prints, sizes = np.zeros((batch.num_rows, len(WORDS)), "<u8"), np.zeros(batch.num_rows, np.int32)
             for at, text in enumerate(batch.column(1)):
-                prints[at] = wide_fingerprint(text.as_py(), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, prints.view("<i8").T.copy())], names=["id", *WORDS])
+                hashes = shingle_hashes(text.as_py(), shingle)
+                prints[at], sizes[at] = wide_fingerprint(hashes), len(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, prints.view("<i8").T.copy())], names=["id", "n", *WORDS])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"id bigint, {', '.join(f'{w} bigint' for w in WORDS)}")
+    return kept.mapInArrow(run, f"id bigint, n int, {', '.join(f'{w} bigint' for w in WORDS)}")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """``(id, s)``: the shingles' hashes of the rows of ``docs`` whose id is in ``ids`` (``id``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(shingle_hashes(text.as_py(), shingle)).view("<i8") for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return kept.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, s array<bigint>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets reach the Jaccard similarity, counted in whole numbers."""
+    share = Fraction(similarity).limit_denominator(10_000)
+    left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    both, all_ = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    met = pairs.join(left, "a").join(right, "b")
+    return met.where(both * (share.numerator + share.denominator) >= all_ * share.numerator).select("a", "b").distinct()
 
 
 def _segments(table: DataFrame, bits: int, count: int) -> DataFrame:
@@ -95,20 +130,28 @@ def _within(limit: int) -> Column:
 
 
 def _other(table: DataFrame, name: str) -> DataFrame:
-    """``table`` with its id called ``name`` and its words ``v0..v3``."""
-    return table.withColumnsRenamed({"id": name, **{w: w.replace("w", "v") for w in WORDS}})
+    """``table`` with its id called ``name``, its size ``m`` and its words ``v0..v3``."""
+    return table.withColumnsRenamed({"id": name, "n": "m", **{w: w.replace("w", "v") for w in WORDS}})
+
+
+def _alike(similarity: float) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can reach the similarity."""
+    return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6
 
 
-def wide_links(table: DataFrame, limit: int, bucket_limit: int = BUCKET_LIMIT, part: int = PART) -> DataFrame:
-    """Edges ``(a, b)`` that connect the fingerprints of ``table`` (distinct, ``id, w0..w3``) within ``limit`` bits.
+def wide_links(table: DataFrame, docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bucket_limit: int = BUCKET_LIMIT, part: int = PART) -> DataFrame:
+    """Edges ``(a, b)`` that connect the rows of ``table`` (distinct fingerprints: ``id, n, w0..w3``) whose texts reach the similarity.
 
-    Whoever shares a segment is compared by whole distance. A pair at the limit shares one of the segments with a
-    chance of ``RECALL``. In a segment value shared by more than ``bucket_limit`` fingerprints all are compared with the one of
-    smallest id; those in reach of it are connected by that, so only the others still meet the whole bucket, in
-    blocks of parts. No pair that shares a segment loses its connection.
+    Whoever shares a segment is compared by whole distance, and whoever is in reach by the shingles of the texts: every edge
+    is a pair of that Jaccard similarity. A pair at the expected distance shares one of the segments with a chance of ``RECALL``.
+    Of the candidates, each row's one of smallest id is verified first; candidates that this connects already need no
+    verification. In a segment value shared by more than ``bucket_limit`` fingerprints all are compared with the one of
+    smallest id; those similar to it are connected by that, so only the others still meet the whole bucket, in
+    blocks of parts. No similar pair in reach that shares a segment loses its connection.
     """
-    count = table.count()
-    bits, segments = plan(count, limit)
+    limit, count = reach(similarity), table.count()
+    bits, segments = plan(count, distance_limit(similarity))
+    columns = ["n", *WORDS]
     index = _segments(table, bits, segments)
     sizes = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     # Keys above this size are fewer than HUBS, so they are broadcast and their rows stay where they are.
@@ -117,40 +160,51 @@ def wide_links(table: DataFrame, limit: int, bucket_limit: int = BUCKET_LIMIT, p
     marked = index.join(F.broadcast(hubs), F.col("key") == F.col("hub_key"), "left")
     rest = marked.where("hub_key is null").join(sizes.where(F.col("size") <= hub), "key").select("id", "key", "size")
     met = materialize(rest.unionByName(marked.where("hub_key is not null").select("id", "key", F.col("hub_size").alias("size"))))
+    near = _within(limit) & _alike(similarity)
     cold = met.where(F.col("size") <= bucket_limit).select("id", "key").join(table, "id")
-    links = cold.join(_other(cold, "b"), "key").where((F.col("id") < F.col("b")) & _within(limit)).select(F.col("id").alias("a"), "b")
+    pairs = materialize(cold.join(_other(cold, "b"), "key").where((F.col("id") > F.col("b")) & near).select(F.col("id").alias("a"), "b").distinct())
     large = met.where(F.col("size") > bucket_limit)
-    if large.isEmpty():
-        return links
-    dealt = large.withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("q", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = materialize(dealt.select("id", "key", "parts", "q").join(table, "id"))
-    first = dealt.groupBy("key").agg(F.min_by(F.struct("id", *WORDS), "id").alias("r"), F.max("parts").alias("parts"))
-    first = first.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), "r.*")
-    told = materialize(dealt.join(_other(first, "b"), ["key", "q"]).where("id <> b").select("id", "key", "parts", "q", *WORDS, "b", _within(limit).alias("near")))
-    links = links.unionByName(told.where("near").select(F.col("id").alias("a"), "b"))
-    apart = told.where("not near").select("id", "key", "parts", *WORDS)
-    if apart.isEmpty():
-        return links
-    shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("shares"), F.max("parts").alias("parts"))
-    shares = materialize(shares.select("key", "shares", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")))
-    whole = dealt.join(shares, ["key", "q"]).select("id", "key", "q", *WORDS, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p"))
-    mine = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(shares, ["key", "q"])
-    mine = mine.select("id", "key", "q", *WORDS, F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("p"))
-    across = mine.join(_other(whole, "b"), ["key", "p", "q"]).where((F.col("id") != F.col("b")) & _within(limit))
-    return links.unionByName(across.select(F.col("id").alias("a"), "b"))
+    crowded = not large.isEmpty()
+    touched = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    ids = (touched.unionByName(large.select("id")) if crowded else touched).distinct()
+    sets = materialize(shingle_sets(docs, ids, id_col, text_col, shingle))
+    first = materialize(similar(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, similarity))
+    if crowded:
+        dealt = large.withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("q", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        dealt = materialize(dealt.select("id", "key", "parts", "q").join(table, "id"))
+        least = dealt.groupBy("key").agg(F.min_by(F.struct("id", *columns), "id").alias("r"), F.max("parts").alias("parts"))
+        least = least.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), "r.*")
+        told = materialize(dealt.join(_other(least, "b"), ["key", "q"]).where("id <> b").select("id", "key", "parts", *columns, "b", near.alias("near")))
+        stars = materialize(similar(told.where("near").select(F.col("id").alias("a"), "b").distinct(), sets, similarity))
+        first = first.unionByName(stars)
+        apart = materialize(told.join(stars.select(F.col("a").alias("id"), "b"), ["id", "b"], "left_anti").select("id", "key", "parts", *columns))
+        if not apart.isEmpty():
+            shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("shares"), F.max("parts").alias("parts"))
+            shares = materialize(shares.select("key", "shares", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")))
+            whole = dealt.join(shares, ["key", "q"]).select("id", "key", "q", *columns, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p"))
+            mine = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(shares, ["key", "q"])
+            mine = mine.select("id", "key", "q", *columns, F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("p"))
+            across = mine.join(_other(whole, "b"), ["key", "p", "q"]).where((F.col("id") != F.col("b")) & near)
+            pairs = pairs.unionByName(across.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")))
+    known = materialize(connected_components(first))
+    one, other = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    joined = pairs.join(one, "a", "left").join(other, "b", "left")
+    open_ = joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
+    return first.unionByName(similar(open_, sets, similarity))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id, component)`` for every row of ``docs``: the smallest id reachable over links of the given similarity.
 
-    Similarity is what the distance of 256-bit SimHash fingerprints of distinct shingles tells of the Jaccard
-    similarity of the shingle sets (``distance_limit``). Equal fingerprints collapse before the search. Null and empty texts have the fingerprint zero and are copies of
-    each other; rows with a null id carry their group's component but name none. An empty table gives
+    Two rows link if the sets of their shingles reach that Jaccard similarity; the search by 256-bit SimHash
+    fingerprints finds at least ``RECALL`` of such pairs by plan, most of them far above. Equal fingerprints collapse before the search (sets of less similarity have
+    them with a chance below 1e-18). Words are what ASCII white space divides, A-Z lower-cased. Null and empty texts have the fingerprint zero and are copies of
+    each other; rows with a null id carry their group's component but name none. Of rows that repeat an id with other texts any may link it. An empty table gives
     an empty result; other columns are ignored.
     """
     prints = materialize(wide_fingerprints(docs, id_col, text_col, shingle))
-    groups = materialize(prints.groupBy(*WORDS).agg(F.min("id").alias("id")))
-    found = connected_components(wide_links(groups.where("id is not null"), distance_limit(similarity)))
+    groups = materialize(prints.groupBy(*WORDS).agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n")))
+    found = connected_components(wide_links(groups.where("id is not null"), docs, similarity, id_col, text_col, shingle))
     named = groups.join(found, F.col("id") == F.col("node"), "left").select(*WORDS, F.coalesce("component", "id").alias("component"))
     out = materialize(prints.join(named, WORDS).select("id", "component"))
     discard(prints)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import scores, sequential, service, text, timeline, transcript, transcript_json
+from . import policies, scores, sequential, service, text, timeline, transcript, transcript_json
 from .base import Query
 
-GROUPS = (transcript.query, service.query, timeline.query, text.query, scores.query, transcript_json.query, sequential.query)
+GROUPS = (transcript.query, service.query, timeline.query, text.query, scores.query, transcript_json.query, sequential.query, policies.query)
 
 
 def queries() -> dict[str, Query]:

@@ -274,21 +274,6 @@ def str_endpoint_model(spark: SparkSession, sf: str) -> DataFrame:
     return drain(endpoints(e, quiet=0, longest=12))
 
 
-@query("str_backpressure", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS n FROM events) WHERE r <= 2 AND NOT (n > 4 AND event_type = 'view')")
-def str_backpressure(spark: SparkSession, sf: str) -> DataFrame:
-    """Bounded queue per stream and day: the oldest are dropped, and partials while it is long."""
-    day = Window.partitionBy("user_id", F.to_date("ts"))
-    e = table(spark, sf, "events").withColumns({"r": F.row_number().over(day.orderBy(F.desc("ts"), F.desc("event_id"))), "n": F.count(F.lit(1)).over(day)})
-    return e.where("r <= 2 and not (n > 4 and event_type = 'view')").select("event_id")
-
-
-@query("str_cache", "SELECT event_id, coalesce(ts < lag(ts) OVER w + INTERVAL 2 HOUR, false) AS hit FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
-def str_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Lookups that find their key looked up within its time to live."""
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").withColumn("b", before).select("event_id", F.coalesce(F.expr("ts < b + interval 2 hours"), F.lit(False)).alias("hit"))
-
-
 @query("str_endpoint", _endpoint_sql("value >= 20", 2, 12))
 def str_endpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Utterances of live streams, one per user: speech where the value is high."""

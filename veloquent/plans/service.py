@@ -343,8 +343,8 @@ _EXPIRY = """CASE WHEN last_heartbeat < {now} - INTERVAL 7 DAY THEN 'purged' WHE
   WHEN created_at < {now} - INTERVAL 24 HOUR AND last_heartbeat < {now} - INTERVAL 24 HOUR THEN 'killed' WHEN last_heartbeat < {now} - INTERVAL 1 HOUR AND b IS NULL THEN 'expired' ELSE 'live' END"""
 
 
-@query("str_heartbeat_expiry", _with(_SESSIONS, _BUSY) + f"SELECT session_id, {_EXPIRY.format(now=NOW)} AS state FROM sessions LEFT JOIN busy ON session_id = b")
-def str_heartbeat_expiry(spark: SparkSession, sf: str) -> DataFrame:
+@query("flt_expired_sessions", _with(_SESSIONS, _BUSY) + f"SELECT session_id, {_EXPIRY.format(now=NOW)} AS state FROM sessions LEFT JOIN busy ON session_id = b")
+def flt_expired_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """State of each session by its last heartbeat: what is connected stays, anonymous ones expire by timeout, logged-in ones
     when idle without queued work or, past a day, whatever they run; a week later the row goes."""
     busy = table(spark, sf, "events").where("event_type = 'purchase' and ts >= TIMESTAMP_NTZ '2024-01-29 00:00:00'").select(F.col("user_id").alias("b")).distinct()

@@ -408,14 +408,3 @@ def win_best_partial(spark: SparkSession, sf: str) -> DataFrame:
     t = t.withColumn("before", F.lag("t").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     grew = F.coalesce(F.startswith("t", "before"), F.lit(False))
     return t.select("event_id", "user_id", F.when(grew, F.substring(F.col("t"), F.length("before") + 1, F.lit(1 << 30))).otherwise(F.col("t")).alias("fresh"), (~grew).alias("reset"))
-
-
-@query(
-    "str_throttle",
-    "SELECT event_id FROM (SELECT *, lag(ts) OVER w AS b, lag(event_type) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE b IS NULL OR m <> event_type OR ts >= b + INTERVAL 6 HOUR",
-)
-def str_throttle(spark: SparkSession, sf: str) -> DataFrame:
-    """Progress messages that pass: the first, changed ones, and those late enough behind the one before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").withColumns({"b": F.lag("ts").over(w), "m": F.lag("event_type").over(w)})
-    return e.where(F.expr("b is null or m <> event_type or ts >= b + interval 6 hours")).select("event_id")

@@ -31,11 +31,22 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name.replace('.parquet', '.parquet*')}")
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all available input once and return what was written."""
+#: State stores by name; a query takes the session's when it starts.
+STORES = {"rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drain(stream: DataFrame, mode: str = "append", state_store: str | None = None) -> DataFrame:
+    """Process all available input once and return what was written; ``state_store`` names another store than the session's."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    running = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+    before = spark.conf.get(_PROVIDER)
+    if state_store:
+        spark.conf.set(_PROVIDER, STORES[state_store])
+    try:
+        running = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veloquent.llm import html_extract as H
 from veloquent.llm import url_filter as U
 from veloquent.llm.html_extract import extract_text, main_text
 from veloquent.llm.license_scan import BASE_PHRASES, SIGNATURES, resolve, scan, scan_licenses, signatures
@@ -34,6 +35,59 @@ def test_container_without_an_article_element():
     assert main_text(page).split("\n")[-1] == "Tiny" and main_text(page).count("prose") == 6
 
 
+LONG = "Long text, with commas, that reads like prose. " * 20
+
+
+def test_parts_of_an_article_stay_however_short():
+    three = f"<body><div><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>A short one.</p></section><section><h2>Three</h2><p>{LONG}</p></section></div></body>"
+    assert main_text(three) == "\n".join(["One", LONG.strip(), "Two", "A short one.", "Three", LONG.strip()])
+    post = f"<body><div class=post><div><p>{LONG}</p></div><div><p>Closing words.</p></div><div><a href=1>More links than words here</a> x</div></div></body>"
+    assert main_text(post) == f"{LONG.strip()}\nClosing words."
+    named = f"<body><article><h1>T</h1></article><footer>Some <b>footer</b> that outweighs the article by far, with commas, and words.</footer></body>"
+    assert main_text(named) == "T"
+
+
+def test_equal_scores_and_equal_prose_give_one_text():
+    equal = "<body>" + "".join(f"<div class=sidebar><p>{LONG}</p></div>" for _ in range(6)) + "</body>"
+    twins = "<body><div><section>" + f"<p>{LONG}</p></section><section><p>{LONG}</p></section></div><div><section><p>{LONG}</p></section><section><p>{LONG}</p></section></div></body>"
+    for page in (equal, twins):
+        assert len({main_text(page) for _ in range(500)}) == 1
+
+
+def plain_score(node):
+    """Points by the plain rule, from every scored block of the tree, one ancestor at a time."""
+    total = 0.0
+    stack = [(p, 1) for p in node.parts if not isinstance(p, str) and not p.chrome]
+    while stack:
+        child, depth = stack.pop()
+        text = H._own_text(child).strip() if child.tag in H.SCORED else ""
+        if text:
+            total += (1 + text.count(",") + min(len(text) / 100, 30)) * (1 - H._density(child)) * [1, 0.5, 0.3, 0.18][depth - 1]
+        if depth < 4:
+            stack += [(p, depth + 1) for p in child.parts if not isinstance(p, str) and not p.chrome]
+    return total
+
+
+def test_scores_against_the_plain_rule():
+    rng = random.Random(8)
+
+    def tree(depth):
+        kind = rng.choice(["div", "section", "p", "ul", "article", "td"]) if depth else "body"
+        inner = "".join(tree(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 and kind != "p" else ""
+        return f"<{kind}>{'word, ' * rng.randint(0, 40)}<a href=1>{'x' * rng.randint(0, 20)}</a>{inner}</{kind}>"
+
+    for _ in range(60):
+        root = H.parse(tree(0))
+        H._weigh(root)
+        order = H._measure(root)
+        best = H._score(order)
+        for node in order:
+            assert node.score == pytest.approx(plain_score(node))
+        if best and best.tag not in ("article", "main"):
+            value = lambda n: n.score * (1 - H._density(n)) * (1.5 if n.tag in ("article", "main") else 1)
+            assert value(best) == pytest.approx(max(map(value, order)))
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- never ends", "<script>x", "</p></div>", "<nav>only</nav>", "&am", "<p>" * 3000 + "deep" + "<div>" * 3000, "<b><i></b></i>text", "\x00<p>\x00"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(main_text(page), str)

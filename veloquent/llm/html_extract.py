@@ -6,6 +6,7 @@ import heapq
 import html
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ NEUTRAL = re.compile(
 #: In front of a word these say that the element has such a part, not that it is one.
 HAVING = frozenset("has have with no without show hide enable enabled disable disabled is not".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of linked characters from which a sibling of the best container is a list of links.
+LINKED = 0.5
 #: Elements dropped however much text they hold.
 SILENT = DROPPED - frozenset("nav header footer aside form dialog menu label".split())
 #: A quote counts behind an equals sign alone; a comment may end at once.
@@ -44,13 +47,15 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its parts are texts and child elements in page order."""
 
-    __slots__ = ("tag", "parent", "parts", "mark", "score", "chars", "linked", "prose")
+    __slots__ = ("tag", "parent", "parts", "mark", "score", "chars", "linked", "prose", "back")
 
     def __init__(self, tag: str, parent: Node | None, mark: int = 0):
         self.tag, self.parent, self.mark = tag, parent, mark
         self.parts: list = []
         self.score = 0.0
         self.chars = self.linked = self.prose = 0
+        #: Chrome by name that came back for want of other prose.
+        self.back = False
 
     @property
     def chrome(self) -> bool:
@@ -205,13 +210,14 @@ def _weigh(root: Node) -> None:
     kept, gone = split(root)
     heap = [(-g.prose, i, g) for i, g in enumerate(gone)]
     heapq.heapify(heap)
+    turn = count(len(heap))
     while heap and heap[0][2].prose > 0 and kept < 0.2 * heap[0][2].prose:
         node = heapq.heappop(heap)[2]
-        node.mark = KEEP
+        node.mark, node.back = KEEP, True
         more, inside = split(node)
         kept += more
         for g in inside:
-            heapq.heappush(heap, (-g.prose, len(heap) + id(g), g))
+            heapq.heappush(heap, (-g.prose, next(turn), g))
     for node in order:
         node.chars = node.linked = 0
 
@@ -283,18 +289,14 @@ def _score(order: list[Node]) -> Node | None:
 
 
 def _roots(best: Node) -> list[Node]:
-    """The best container and the siblings that read like it, in page order."""
+    """The best container and its siblings, in page order; only what is chrome by name or mostly links goes, however little a sibling holds.
+
+    Headings stay whatever they link to.
+    """
     if not best.parent or best.tag in ("#root", "html", "body"):
         return [best]
-    least = best.score * 0.2
-    kept = []
-    for part in best.parent.parts:
-        if isinstance(part, str) or part.chrome:
-            continue
-        text_like = part.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6") and part.chars and (_density(part) < 0.25 or part.tag[0] == "h")
-        if part is best or part.tag == best.tag and (part.tag == "article" and part.score > 0 and _density(part) < 0.5 or part.score * (1 - _density(part)) >= least) or text_like:
-            kept.append(part)
-    return kept
+    told = [p for p in best.parent.parts if not isinstance(p, str) and not p.chrome and p.chars]
+    return [p for p in told if p is best or not p.back and (p.tag in HEADINGS or _density(p) < LINKED)]
 
 
 def _blocks(nodes: list[Node]) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
-from ..operators import alignment, clustering, scans
+from ..operators import alignment, clustering, density, scans
 from ..session import table
 from ..streaming.endpoint import changed_partials, endpoints
 from ..streaming.run import drain, drain_updates, read_stream
@@ -233,6 +233,12 @@ def clu_spectral(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.cluster(vectors(spark, sf), "spectral")
 
 
+@query("clu_density")
+def clu_density(spark: SparkSession, sf: str) -> DataFrame:
+    """Speakers of all vectors as one long recording, by the stable clusters of their density hierarchy; those of no dense place are noise."""
+    return density.density_clusters(vectors(spark, sf).withColumn("file_id", F.lit(0).cast("bigint")))
+
+
 @query("clu_merge_cos")
 def clu_merge_cos(spark: SparkSession, sf: str) -> DataFrame:
     """Speakers by joining similar centroids."""

@@ -3,7 +3,6 @@
 import random
 import re
 import time
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,7 +12,7 @@ from veloquent.llm import html_extract as H
 from veloquent.llm import url_filter as U
 from veloquent.llm.html_extract import extract_text, main_text
 from veloquent.llm.license_scan import BASE_PHRASES, SIGNATURES, resolve, scan, scan_licenses, signatures
-from veloquent.llm.url_filter import RULES, judge_urls, parts, rule_of, train
+from veloquent.llm.url_filter import RULES, judge_urls, parts, rule_of
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies, really, many of them, for all sorts of things.</p></div>
@@ -180,23 +179,38 @@ def test_verdicts(spark):
     assert judge_urls(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
-@pytest.mark.parametrize("n, prune", [(30, U.PRUNE), (3000, U.PRUNE), (3000, 200)])
-def test_model_is_a_distribution(spark, n, prune):
+def counted(rows, order=U.ORDER):
+    """The model of rows (url, kind) from all their n-grams."""
+    out = []
+    for kind in (0, 1):
+        keys, n = np.unique(U._grams([u for u, k in rows if k == kind], order)[0].ravel(), return_counts=True)
+        out.append((keys, n.astype(float)))
+    return U.UrlModel.build(out, order)
+
+
+@pytest.mark.parametrize("n, scored", [(30, U.SCORED), (3000, 2000)])
+def test_model_is_a_distribution_and_holds_every_gram(spark, monkeypatch, n, scored):
+    monkeypatch.setattr(U, "SCORED", scored)
     rng = random.Random(n)
     word = lambda: "".join(rng.choice("abcdefgh/-.0123") for _ in range(rng.randint(1, 30)))
     rows = [(f"http://{word()}", k % 2) for k in range(n)] + [("zz", 1)] * 3 + [("ab", 0)] * 3
-    model = train(spark.createDataFrame(rows, "url string, kind int"), prune=prune)
+    model = counted(rows)
     for kind in (0, 1):
         for before in ("http://", "a", "http://abc", "never-seen-%%"):
             keys = U._grams([before + "x"], model.order)[0][:, -2]
             every = np.stack([(keys & ~np.int64(255)) | b for b in range(256)], axis=1)
             p = model.probabilities(every, kind)
             assert (p > 0).all() and abs(p.sum() - 1) < 1e-9
-    assert model.ratio(["ab"])[0] < model.ratio(["zz"])[0]
-    if prune == U.PRUNE:
-        keys, owner = U._grams([u for u, k in rows if k == 0], model.order)
-        want = Counter(keys.ravel().tolist())
-        assert dict(zip(*(x.tolist() for x in model.grams[0]))) == want
+    counts = U.count_grams(spark.createDataFrame(rows, "url string, kind int"))
+    held = {(r.what, r.key): (r.n0, r.n1) for r in counts.collect()}
+    for what, tables in enumerate((model.grams, model.contexts)):
+        for kind in (0, 1):
+            assert {k: v[kind] for (w, k), v in held.items() if w == what and v[kind]} == dict(zip(*(x.tolist() for x in tables[kind])))
+    others = [u for u, _ in rows] + ["ab", "zz", "", None, "never/seen", "http://" + "x" * 5000]
+    got = {r.url: r.ratio for r in U.ratios(spark.createDataFrame([(u,) for u in others], "url string"), counts).collect()}
+    want = dict(zip(others, model.ratio(others).tolist()))
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u]) < 1e-12 for u in want)
+    assert got["ab"] < got["zz"]
 
 
 P = "<p>" + "This is a real paragraph of the article, with commas, and enough words to count. " * 3 + "</p>"

@@ -8,27 +8,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 # The rules (host and path prefix) and their verdicts.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 #: Longest context in characters; shorter ones are backed off to.
 ORDER = 5
-#: An n-gram stays in its model if it makes up at least one in so many of the kind's characters: a bound on the model's size
-#: that is the same share of any input. Where the characters are fewer, all n-grams stay.
-PRUNE = 1 << 18
 #: Strength of the shorter context's estimate in each step of the smoothing.
 BACKOFF = 2.0
-#: N-gram occurrences that a task counts at once.
+#: N-gram occurrences that a task counts or asks for at once.
 CHUNK = 4_000_000
+#: Characters of URLs that are scored together, with the n-grams that they need.
+SCORED = 1_000_000
 #: One in so many URLs that rules decide is kept from training, for calibration.
 CALIBRATION = 5
 
@@ -79,16 +78,13 @@ class UrlModel:
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
     order: int
-    slope: float = 1.0
-    offset: float = 0.0
 
     @classmethod
     def build(cls, counts: list[tuple[np.ndarray, np.ndarray]], order: int) -> UrlModel:
         """From each kind's sorted keys and counts. A context counts what its n-grams in the model count, so probabilities add up to one."""
         contexts = []
         for keys, n in counts:
-            above = keys >> 56 << 56 | (keys & ((1 << 56) - 1)) >> 8  # the order stays, the last character goes
-            names, at = np.unique(above, return_inverse=True)
+            names, at = np.unique(_contexts(keys), return_inverse=True)
             contexts.append((names, np.bincount(at, weights=n, minlength=len(names))))
         return cls(counts, contexts, order)
 
@@ -96,8 +92,7 @@ class UrlModel:
         """Smoothed probability of each character after its context, from the shortest context to the longest."""
         p = np.full(keys.shape[1], 1 / 256)
         for o in range(self.order + 1):
-            above = np.int64(o + 1) << 56 | (keys[o] & ((1 << 56) - 1)) >> 8
-            p = (_looked_up(self.grams[kind], keys[o]) + BACKOFF * p) / (_looked_up(self.contexts[kind], above) + BACKOFF)
+            p = (_looked_up(self.grams[kind], keys[o]) + BACKOFF * p) / (_looked_up(self.contexts[kind], _contexts(keys[o])) + BACKOFF)
         return p
 
     def ratio(self, urls: list[str | None]) -> np.ndarray:
@@ -107,10 +102,6 @@ class UrlModel:
         n = np.bincount(owner, minlength=len(urls))
         return np.bincount(owner, weights=logs[1] - logs[0], minlength=len(urls)) / np.maximum(n, 1)
 
-    def rejected(self, urls: list[str | None]) -> np.ndarray:
-        """Calibrated probability that a URL belongs to the rejected ones."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratio(urls) + self.offset, -50, 50)))
-
 
 def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
     """Counts of keys in a sorted table, zero where it lacks one."""
@@ -121,12 +112,10 @@ def _looked_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.nda
     return np.where(names[at] == keys, n[at], 0.0)
 
 
-def train(urls: DataFrame, order: int = ORDER, prune: int = PRUNE) -> UrlModel:
-    """Fit on rows ``(url, kind)`` with kind 0 accepted, 1 rejected; all rows count.
+def count_grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(what, key, n0, n1)``: how often each n-gram (``what`` 0) and each context (1) stands in the rows ``(url, kind)`` of kind 0, accepted, and 1, rejected.
 
-    Tasks count n-grams exactly, Spark sums them, and those that make up at least one in ``prune`` of the
-    kind's characters come back: at most ``prune`` n-grams a kind and order, whatever the input. Without any row of a kind its model
-    is the uniform one.
+    All rows and n-grams count. Tasks count before the shuffle; a context counts what its n-grams count.
     """
     if not 0 <= order <= 6:
         raise ValueError("order must be 0 to 6")
@@ -143,24 +132,18 @@ def train(urls: DataFrame, order: int = ORDER, prune: int = PRUNE) -> UrlModel:
                     continue
             if held:
                 keys, kinds = (np.concatenate(x) for x in zip(*held))
-                for kind in (0, 1):
-                    names, n = np.unique(keys[kinds == kind], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names), pa.array(n)], names=["kind", "gram", "n"])
+                names, at = np.unique(keys, return_inverse=True)
+                sums = [np.bincount(at[kinds == kind], minlength=len(names)) for kind in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(names), *map(pa.array, sums)], names=["key", "n0", "n1"])
                 held, size = [], 0
 
-    counted = urls.select("url", F.col("kind").cast("bigint")).mapInArrow(count, "kind int, gram bigint, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-    counted = materialize(counted)
-    end = 1 << 56  # order one: every character once
-    total = {r["kind"]: r["n"] for r in counted.where((F.col("gram") >= end) & (F.col("gram") < 2 * end)).groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
-    least = F.when(F.col("kind") == 0, total.get(0, 0) / prune).otherwise(total.get(1, 0) / prune)
-    got = counted.where(F.col("n") >= least).toArrow()  # bounded: order + 1 times prune a kind
-    kinds, keys, n = (got[c].to_numpy() for c in ("kind", "gram", "n"))
-    counts = []
-    for kind in (0, 1):
-        mine = np.flatnonzero(kinds == kind)
-        mine = mine[np.argsort(keys[mine])]
-        counts.append((keys[mine], n[mine].astype(np.float64)))
-    return UrlModel.build(counts, order)
+    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    counted = urls.select("url", F.col("kind").cast("bigint")).mapInArrow(count, "key bigint, n0 bigint, n1 bigint")
+    grams = counted.groupBy("key").agg(*sums).select(F.lit(0).alias("what"), "key", "n0", "n1")
+    # The order stays, the last character goes.
+    above = F.shiftleft(F.shiftright("key", 56), 56).bitwiseOR(F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 56) - 1)), 8))
+    contexts = counted.groupBy(above.alias("key")).agg(*sums).select(F.lit(1).alias("what"), "key", "n0", "n1")
+    return grams.unionByName(contexts)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -169,26 +152,50 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _scored(urls: DataFrame, model: UrlModel, what: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the model's ``ratio`` or ``rejected`` of column ``url``."""
-    shared = urls.sparkSession.sparkContext.broadcast(model)
+def _contexts(keys: np.ndarray) -> np.ndarray:
+    return keys >> 56 << 56 | (keys & ((1 << 56) - 1)) >> 8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            value = getattr(shared.value, what)(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(value, pa.float64())], names=[*keep, what])
 
-    wanted = urls.select("url", *keep)
-    types = ", ".join(f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in keep)
-    return wanted.mapInArrow(run, f"{types}, {what} double")
+def ratios(urls: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(url, ratio)`` for each distinct ``url`` of ``urls`` by the written table ``counts``.
 
+    The model stays a table of any size: URLs are dealt into chunks of about ``SCORED`` characters, each chunk asks once for every n-gram and context
+    that it needs, and what the table knows of them meets the chunk.
+    """
+    known = materialize(urls.select("url").distinct())
+    length = known.agg(F.sum(F.length("url") + 2).alias("n")).first()["n"] or 0
+    chunk = F.pmod(F.xxhash64("url"), F.lit(max(1, math.ceil(length / SCORED)))).alias("chunk")
+    dealt = known.select(chunk, "url")
 
-def calibrate(model: UrlModel, held: DataFrame, bins: int = 4096, steps: int = 200) -> UrlModel:
-    """Set slope and offset by logistic regression on held rows ``(url, kind)``, over a histogram of fixed size."""
-    ratio = _scored(held, model, "ratio", ["kind"]).withColumn("bin", F.least(F.greatest(F.floor(F.col("ratio") * 256), F.lit(-bins // 2)), F.lit(bins // 2)))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for number in np.unique(chunks):
+                keys = np.unique(_grams([texts[k] for k in np.flatnonzero(chunks == number)], order)[0].ravel())
+                above = np.unique(_contexts(keys))
+                what = np.repeat(np.array([0, 1], np.int32), [len(keys), len(above)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(what), number)), pa.array(what), pa.array(np.concatenate((keys, above)))], names=["chunk", "what", "key"])
+
+    asked = dealt.mapInArrow(ask, "chunk bigint, what int, key bigint").distinct()
+    told = asked.join(counts, ["what", "key"]).select("chunk", "what", "key", "n0", "n1")
+
+    def score(mine: pa.Table, told: pa.Table) -> pa.Table:
+        what, key, sums = told["what"].to_numpy(), told["key"].to_numpy(), [told[c].to_numpy().astype(np.float64) for c in ("n0", "n1")]
+        rank = np.argsort(key, kind="stable")
+        parts = [rank[what[rank] == w] for w in (0, 1)]
+        grams, contexts = ([(key[at], n[at]) for n in sums] for at in parts)
+        texts = mine["url"].to_pylist()
+        return pa.table([mine["url"], pa.array(UrlModel(grams, contexts, order).ratio(texts), pa.float64())], names=["url", "ratio"])
+
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "url string, ratio double")
+
+
+def calibrate(held: DataFrame, bins: int = 4096, steps: int = 200) -> tuple[float, float]:
+    """Slope and offset by logistic regression on held rows ``(ratio, kind)``, over a histogram of fixed size."""
+    ratio = held.withColumn("bin", F.least(F.greatest(F.floor(F.col("ratio") * 256), F.lit(-bins // 2)), F.lit(bins // 2)))
     got = ratio.groupBy("bin", "kind").count().toArrow()  # bounded by the bins
     if not got.num_rows:
-        return model
+        return 1.0, 0.0
     x = (got["bin"].to_numpy().astype(float) + 0.5) / 256
     y, w = got["kind"].to_numpy().astype(float), got["count"].to_numpy().astype(float)
     w = w / np.where(y == 1, max(w[y == 1].sum(), 1.0), max(w[y == 0].sum(), 1.0))  # both kinds weigh the same
@@ -201,7 +208,7 @@ def calibrate(model: UrlModel, held: DataFrame, bins: int = 4096, steps: int = 2
         theta = theta - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return replace(model, slope=float(theta[0]), offset=float(theta[1]))
+    return float(theta[0]), float(theta[1])
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, order: int = ORDER) -> DataFrame:
@@ -219,9 +226,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = F.when(F.col("rule").isin([r for r, v in rules.items() if v == "block"]), 1).otherwise(0)
     decided = rows.where("rule is not null").select("url", kind.alias("kind"))
     held = F.crc32(F.col("url").cast("binary")) % CALIBRATION == 0
-    model = calibrate(train(decided.where(~held), order), decided.where(held))
-    if not all(len(keys) for keys, _ in model.grams):
-        model = replace(model, slope=0.0, offset=-math.inf)
-    judged = _scored(rows, model, "rejected", ["page_id", "host", "path", "rule"])
+    counts = materialize(count_grams(decided.where(~held), order))
+    both = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
+    scored = materialize(ratios(rows, counts, order))
+    discard(counts)
+    measured = rows.join(scored.withColumnRenamed("url", "__url"), F.col("url").eqNullSafe(F.col("__url")), "left").drop("__url")
+    slope, offset = calibrate(measured.where(F.col("rule").isNotNull() & held).select("ratio", kind.alias("kind")))
+    if not both["n0"] or not both["n1"]:
+        slope, offset = 0.0, -math.inf
+    rejected = 1 / (1 + F.exp(-F.greatest(F.least(F.lit(slope) * F.col("ratio") + offset, F.lit(50.0)), F.lit(-50.0))))
+    judged = measured.withColumn("rejected", rejected)
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin([r for r, v in rules.items() if v == "block"]), "block").otherwise("allow")).when(F.col("rejected") > 0.5, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "rejected")

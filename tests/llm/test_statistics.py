@@ -108,6 +108,7 @@ def test_many_groups_meet_their_estimates_by_salt(spark, monkeypatch):
     docs = spark.createDataFrame(corpus()[0], SCHEMA)
     near = {r["doc_id"]: (r["kept"], round(r["d2"], 6)) for r in Q.quality_stats(docs).collect()}
     monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(Q, "FEW_GROUPS", 0)
     far = {r["doc_id"]: (r["kept"], round(r["d2"], 6)) for r in Q.quality_stats(docs).collect()}
     assert near == far
 

@@ -31,6 +31,8 @@ FLOORS = [0.3, 0.1, 0.05, 0.12, 0.3]
 BIN = 0.02
 #: Groups up to which their table of estimates, some 500 bytes a group, is broadcast; beyond, rows and estimates meet by group and salt.
 BROADCAST_GROUPS, SALTS = 20_000, 64
+#: Groups up to which tables of sums by group and bin, at most some thousand rows a group, are worked on in one partition, which needs no exchange.
+FEW_GROUPS = 256
 #: Median of a chi-square with five degrees of freedom.
 MEDIAN = 4.351
 
@@ -76,6 +78,11 @@ def _estimate() -> Column:
     return F.expr(f"array({', '.join(means + covs)})").alias("e")
 
 
+def _gathered(sums: DataFrame, groups: int) -> DataFrame:
+    """``sums`` in one partition if it is of few groups, so that what follows is planned without exchanges; the rows are the same."""
+    return sums.coalesce(1) if groups <= FEW_GROUPS else sums
+
+
 def _drawn(own: str, n: str, other: str) -> str:
     """``own``, an array from ``n`` documents, drawn to ``other``, which counts as ``PRIOR`` documents."""
     return f"zip_with({own}, {other}, (x, y) -> ({n} * x + {PRIOR}D * y) / ({n} + {PRIOR}D))"
@@ -86,7 +93,7 @@ def _shrunk(own: DataFrame) -> DataFrame:
 
     The rows of the other levels carry null keys: ``(null, lang, n, e)`` for a language, ``(null, null, n, e)`` for all.
     """
-    lang = own.where("grp is null and lang is not null").select(F.col("lang").alias("__l"), F.col("n").alias("l_n"), F.col("e").alias("l_e"))
+    lang = own.where("grp is null and lang is not null").select(F.col("lang").alias("__l"), F.col("n").alias("l_n"), F.col("e").alias("l_e")).hint("merge")
     everything = own.where("lang is null").select(F.col("e").alias("a_e"))
     both = own.where("grp is not null").join(lang, F.col("lang") == F.col("__l")).crossJoin(F.broadcast(everything))  # one row
     return both.selectExpr("grp", "lang", _drawn("e", "n", _drawn("l_e", "l_n", "a_e")) + " AS e")
@@ -129,13 +136,15 @@ def _quantiles(counts: DataFrame, keys: list[str], at: list[float]) -> DataFrame
     return upto.groupBy(*keys).agg(F.max("__t").cast("double").alias("n"), F.array(*cuts).alias("q"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Estimates to start from: medians, and spreads from the middle half, off-diagonals zero, drawn together like all later ones.
+def _start(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Estimates to start from, and the number of groups: medians, and spreads from the middle half, off-diagonals zero, drawn together like all later ones.
 
     Quantiles come from fixed bins of a thousandth, so they are the same under any partitioning.
     """
     long = rows.select("grp", "lang", F.posexplode(F.array(*FEATURES)).alias("i", "x")).withColumn("bin", F.floor(F.col("x") / 0.001).cast("bigint"))
     own = materialize(long.groupBy("grp", "lang", "i", "bin").agg(F.count(F.lit(1)).alias("n")))
+    groups = own.select("grp").distinct().count()
+    own = _gathered(own, groups)
     none = F.lit(None).cast("string")
     lang = own.groupBy(none.alias("grp"), "lang", "i", "bin").agg(F.sum("n").alias("n"))
     everything = own.groupBy(none.alias("grp"), none.alias("lang"), "i", "bin").agg(F.sum("n").alias("n"))
@@ -143,7 +152,8 @@ def _start(rows: DataFrame) -> DataFrame:
     pick = lambda c, i: f"max(if(i = {i}, {c}, null))"
     spread = f"pow((q[2] - q[0]) * {0.001 / 1.349}D, 2D)"
     numbers = [*(pick("q[1] * 0.001D", i) for i in range(len(FEATURES))), *(pick(spread, i) if i == j else "0D" for i, j in PAIRS)]
-    return _shrunk(materialize(q.groupBy("grp", "lang").agg(F.max("n").alias("n"), F.expr(f"array({', '.join(numbers)})").alias("e"))))
+    drawn = materialize(q.groupBy("grp", "lang").agg(F.max("n").alias("n"), F.expr(f"array({', '.join(numbers)})").alias("e")))
+    return _shrunk(_gathered(drawn, groups)), groups
 
 
 def _ranked(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
@@ -160,10 +170,10 @@ def _cuts(bins: DataFrame, share: float) -> DataFrame:
     return own.select("grp", F.expr(f"ceil({_drawn('q', 'n', 'a_q')}[0])").alias("cut"))
 
 
-def _concentrated(bins: DataFrame, share: float) -> DataFrame:
+def _concentrated(bins: DataFrame, share: float, groups: int) -> DataFrame:
     """Shrunk estimates from the rows of each group up to its cut; a group without any has its language's."""
-    within = bins.join(_cuts(bins, share), "grp").withColumn("s", F.expr(f"if(bin <= cut, s, array_repeat(0D, {NUMBERS + 1}))"))
-    own = materialize(within.groupBy("grp", "lang").agg(_added()))
+    within = bins.join(_cuts(bins, share).hint("merge"), "grp").withColumn("s", F.expr(f"if(bin <= cut, s, array_repeat(0D, {NUMBERS + 1}))"))
+    own = _gathered(materialize(within.groupBy("grp", "lang").agg(_added())), groups)
     none = F.lit(None).cast("string")
     lang = own.groupBy(none.alias("grp"), "lang").agg(_added())
     everything = own.groupBy(none.alias("grp"), none.alias("lang")).agg(_added())
@@ -182,14 +192,14 @@ def mcd_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -
     by group and bin where they are read; the rest works on a few hundred rows a group. What returns to
     the driver is two numbers a step.
     """
-    best = materialize(_factor(_start(rows)))
-    groups = best.count()
+    started, groups = _start(rows)
+    best = materialize(_factor(started))
     for _ in range(steps):
         ranked = _ranked(rows, best, groups)
-        new = materialize(_factor(_concentrated(ranked, subset)))
+        new = materialize(_factor(_concentrated(_gathered(ranked, groups), subset, groups)))
         discard(ranked)
-        old = best.select(F.col("grp").alias("__g"), F.col("logdet").alias("__old"))
-        moved = new.join(old, F.col("grp") == F.col("__g")).agg(F.max(F.abs(F.col("logdet") - F.col("__old"))).alias("x")).first()["x"]
+        old = _gathered(best, groups).select(F.col("grp").alias("__g"), F.col("logdet").alias("__old")).hint("merge")
+        moved = _gathered(new, groups).join(old, F.col("grp") == F.col("__g")).agg(F.max(F.abs(F.col("logdet") - F.col("__old"))).alias("x")).first()["x"]
         discard(best)
         best = new
         if moved is None or moved < SETTLED:
@@ -197,9 +207,9 @@ def mcd_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -
     else:
         warnings.warn(f"estimates still moved after {steps} steps: a log determinant by {moved:.3g}", stacklevel=2)
     # The median of the squared distances is set to that of a chi-square.
-    mid = _cuts(_ranked(rows, best, groups), 0.5)
+    mid = _cuts(_gathered(_ranked(rows, best, groups), groups), 0.5)
     scale = mid.select("grp", F.greatest(F.exp((F.col("cut") + 1) * BIN) / MEDIAN, F.lit(1.0)).alias("scale"))
-    return materialize(best.join(scale, "grp"))
+    return materialize(_gathered(best, groups).join(scale.hint("merge"), "grp"))
 
 
 def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

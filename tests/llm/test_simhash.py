@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
+from veloquent.llm import components
 from veloquent.llm.components import connected_components
 from veloquent.llm.simhash import fingerprint, hamming_links, hex_bits, simhash_components, simhash_dedup
 
@@ -67,7 +68,9 @@ def test_links_connect_as_brute_force(spark, radius, limit):
         assert {tuple(sorted(e)) for e in edges} == set(near)
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(7, 7), (900, 901), (901, 900)]
     pairs += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)]
@@ -77,9 +80,10 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_hubs_connect_as_brute_force(spark):
-    from veloquent.llm.components import FLOOR
-
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_hubs_connect_as_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    FLOOR = components.FLOOR
     pairs = [(1000, i) for i in range(1001, 1003 + 2 * FLOOR)] + [(i, 5000) for i in range(3000, 3003 + FLOOR)]
     pairs += [(1500 + i, 6000) for i in range(3 * FLOOR)] + [(6000, 3001), (7, 1000), (9000, 9001)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}

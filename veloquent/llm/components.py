@@ -12,6 +12,8 @@ from .scratch import discard, materialize
 FLOOR = 100
 #: Hubs are fewer than this: they hold more than this share of all edge ends each.
 HUBS = 10_000
+#: Edges, of two numbers each, up to which a round is one task's work: planned without exchanges, with the same result.
+FEW = 100_000
 
 
 def _meet(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
@@ -27,19 +29,18 @@ def _meet(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
 
 def _stars(edges: DataFrame, count: int) -> DataFrame:
     """One large-star and one small-star step over ``count`` edges ``(a, b)`` with ``a > b``."""
+    few = count <= FEW
+    edges = edges.coalesce(1) if few else edges
     hub = max(FLOOR, 2 * count // HUBS)
+    meet = (lambda e, least: e.join(least.hint("merge"), F.col("a") == F.col("u")).select("a", "b", "m")) if few else (lambda e, least: _meet(e, least, hub))
     some = [F.min("b").alias("m"), F.count(F.lit(1)).alias("n")]
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
     low = both.groupBy("a").agg(*some).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
-    large = _meet(both.where("b > a"), low, hub).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = meet(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.where("a > b").distinct()
-    small = _meet(large, large.groupBy("a").agg(*some).withColumnRenamed("a", "u"), hub)
-    return (
-        small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .unionByName(small.select("a", F.col("m").alias("b")))
-        .where("a > b")
-        .distinct()
-    )
+    small = meet(large, large.groupBy("a").agg(*some).withColumnRenamed("a", "u"))
+    ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+    return small.select(F.explode(ends).alias("e")).select("e.*").where("a > b").distinct()
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -64,8 +65,5 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return (
-        now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        .unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")))
-        .distinct()
-    )
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("component")), F.struct(F.col("b").alias("node"), F.col("b").alias("component")))
+    return now.select(F.explode(ends).alias("e")).select("e.*").distinct()

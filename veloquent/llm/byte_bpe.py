@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of text whose matches are encoded together.
-CHARS = 1 << 22
-#: Bytes of matrix cells that merge at once.
-CELLS = 1 << 22
+CHARS = 1 << 21
+#: Cells of a matrix that merge at once.
+CELLS = 1 << 19
 #: Matches over this many bytes merge by a heap: a round costs a row's width, so a row costs its square.
 LONG = 1024
 #: Rank of a pair that does not merge, and the id of padding, which is in no pair.

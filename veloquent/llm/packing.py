@@ -63,7 +63,11 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Pieces ``(doc_id, piece, start, length, ids_crc32[, ids])`` of every row; a null text holds the end id alone."""
+    """Pieces ``(doc_id, piece, start, length, ids_crc32[, ids])`` of every row; a null or empty text holds the end id alone.
+
+    Texts of any length are encoded whole. Repeated rows and null ids are pieces like any other, an empty table gives none, and
+    other columns are ignored.
+    """
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     ranks = ranks or public_tokenizers.path(RANKS)
 
@@ -240,5 +244,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Tokenize every row of ``docs`` once, cut what is too long and pack the pieces into sequences."""
+    """Tokenize every row of ``docs`` once, cut what is too long and pack the pieces into sequences.
+
+    Null and empty texts are one piece of one id. Repeated rows and null ids are packed each; equal lengths are placed in a fixed order. An empty table gives no sequence and
+    other columns are ignored.
+    """
     return pack(materialize(tokenized(docs, capacity, id_col, text_col, vocabulary, ranks, with_ids)), capacity)

@@ -139,13 +139,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
 
 
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score)`` for every row of ``docs``, in one pass without a shuffle."""
+    """``(doc_id, score)`` for every row of ``docs``, in one pass without a shuffle.
+
+    A null text counts as empty, and an empty one has a score like any other. Texts of any length count whole; repeated rows and null ids are scored each; an empty
+    table gives an empty result; other columns are ignored, also those named like a statistic.
+    """
     rows = with_features(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", *FEATURES)
     return rows.select("doc_id", model.score().alias("score"))
 
 
 def filter_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with the columns of ``docs`` alone."""
+    """The rows of ``docs`` that score at least ``threshold``, with the columns of ``docs`` alone.
+
+    Rows are judged one by one: repeated rows stay or go together, null and empty texts are scored like any other, an empty table stays empty.
+    """
     own = docs.select(*(F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(docs.columns)))
     text = f"__c{docs.columns.index(text_col)}"
     kept = with_features(own, text).where(model.score() >= threshold)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
-from ..operators import alignment, clustering, density, scans
+from ..operators import alignment, clustering, density, scans, spectral
 from ..session import table
 from ..streaming.endpoint import changed_partials, endpoints
 from ..streaming.run import drain, drain_updates, read_stream
@@ -230,7 +230,13 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("clu_spectral")
 def clu_spectral(spark: SparkSession, sf: str) -> DataFrame:
     """Speakers by spectral clustering."""
-    return clustering.cluster(vectors(spark, sf), "spectral")
+    return spectral.clusters(vectors(spark, sf))
+
+
+@query("clu_spectral_long")
+def clu_spectral_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Speakers of all vectors as one long recording, by a sparse neighbour matrix in pieces and its eigenvectors by block iteration."""
+    return spectral.clusters(vectors(spark, sf).withColumn("file_id", F.lit(0).cast("bigint")), size=256)
 
 
 @query("clu_density")
@@ -242,7 +248,7 @@ def clu_density(spark: SparkSession, sf: str) -> DataFrame:
 @query("clu_merge_cos")
 def clu_merge_cos(spark: SparkSession, sf: str) -> DataFrame:
     """Speakers by joining similar centroids."""
-    return clustering.cluster(vectors(spark, sf), "merge")
+    return spectral.clusters(vectors(spark, sf), "merge")
 
 
 @query("clu_ahc_vbx")

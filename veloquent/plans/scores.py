@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.vectors import cosine, softmax, total, unit
+from ..operators.assignment import SILENT, assign
 from ..session import table
 from .base import Group
 from .text import WORDS, words
@@ -293,6 +294,29 @@ def join_assign_optimal(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("chunk").agg(best.alias("b")).select("chunk", "b.partner", (-F.col("b.cost")).alias("total"))
 
 
+@query(
+    "join_assign_clusters",
+    f"""WITH e AS (SELECT vec_id // 128 AS file_id, vec_id % 128 // {SIDES} AS chunk, CAST(vec_id % 128 % {SIDES} AS INTEGER) AS side, vec_id % 7 = 0 AS silent, label, {_E} AS v FROM embeddings WHERE embedding IS NOT NULL),
+    x AS (SELECT file_id, label, unnest(list_transform(v, lambda v, i: {{'v': v, 'i': i}})) AS s FROM e WHERE label IS NOT NULL), m AS (SELECT file_id, label, s.i AS i, avg(s.v) AS v FROM x GROUP BY ALL), c AS (SELECT file_id, label, list(v ORDER BY i) AS c FROM m GROUP BY ALL),
+    p AS (SELECT e.file_id, chunk, side, CAST(c.label AS BIGINT) AS cluster, CASE WHEN silent THEN -3000000 ELSE CAST(round((list_cosine_similarity(v, c) + 1) * 1000000) AS BIGINT) END AS s FROM e JOIN c USING (file_id)),
+    n AS (SELECT file_id, chunk, g.side, CASE WHEN e.side IS NULL THEN 0 ELSE -10000000 END AS s, e.side IS NOT NULL AS present FROM (SELECT DISTINCT file_id, chunk, CAST(r.side AS INTEGER) AS side FROM e, range({SIDES}) r(side)) g LEFT JOIN e USING (file_id, chunk, side)),
+    o AS (SELECT *, true AS present FROM p UNION ALL SELECT file_id, chunk, side, -2, s, present FROM n),
+    a AS (SELECT x.file_id, x.chunk, [x, y, z] AS picks, row_number() OVER (PARTITION BY x.file_id, x.chunk ORDER BY x.s + y.s + z.s DESC, x.cluster, y.cluster, z.cluster) AS r
+      FROM o x JOIN o y ON (y.file_id, y.chunk) = (x.file_id, x.chunk) AND x.side = 0 AND y.side = 1 AND (x.cluster = -2 OR x.cluster <> y.cluster) JOIN o z ON (z.file_id, z.chunk) = (x.file_id, x.chunk) AND z.side = 2 AND (z.cluster = -2 OR z.cluster NOT IN (x.cluster, y.cluster)))
+    SELECT file_id, chunk, k.side AS side, k.cluster AS cluster FROM (SELECT file_id, chunk, unnest(picks) AS k FROM a WHERE r = 1) WHERE k.present""",
+)
+def join_assign_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk's speakers to the clusters of its recording, no cluster twice, by the largest summed cosine with the clusters' centroids; speakers without activity take what is left."""
+    at = F.col("vec_id") % 128
+    e = table(spark, sf, "embeddings").where("embedding is not null").select(F.floor(F.col("vec_id") / 128).alias("file_id"), F.floor(at / SIDES).alias("chunk"), (at % SIDES).cast("int").alias("side"), (F.col("vec_id") % 7 == 0).alias("silent"), "label", "embedding")
+    x = e.where("label is not null").select("file_id", "label", F.posexplode("embedding").alias("i", "v"))
+    m = x.groupBy("file_id", "label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    c = m.groupBy("file_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("c"))
+    close = F.round((cosine(F.col("embedding"), F.col("c")) + 1) * 1000000).cast("bigint")
+    scores = e.drop("label").join(c, "file_id").select("file_id", "chunk", "side", F.col("label").cast("bigint").alias("cluster"), F.when(F.col("silent"), SILENT).otherwise(close).alias("score"))
+    return assign(scores, ["file_id", "chunk"], SIDES)
+
+
 @query("agg_masked_stats", f"WITH x AS (SELECT label, s.i AS i, s.v AS v, CAST(vec_id % 3 AS DOUBLE) AS w FROM (SELECT label, vec_id, unnest(list_transform({_E}, lambda v, i: {{'v': v, 'i': i}})) AS s FROM embeddings)), m AS (SELECT label, i, sum(w) AS v1, sum(w * w) AS v2, sum(w * v) / (sum(w) + 1e-8) AS mean, sum(w * v * v) AS q, sum(w * v) AS l FROM x GROUP BY ALL) SELECT label, CAST(i AS BIGINT) AS dim, round(mean, 5) AS mean, round(sqrt(greatest(q - 2 * mean * l + mean * mean * v1, 0) / (v1 - v2 / (v1 + 1e-8) + 1e-8)), 4) AS std FROM m")
 def agg_masked_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted mean and spread of each dimension."""

@@ -86,7 +86,7 @@ def test_sentences(spark):
     assert (got[0]["first_word"], got[0]["after_word"], got[0]["matched"]) == (1, 4, True) and got[1]["first_word"] == 4
 
 
-@pytest.mark.parametrize("method", ["spectral", "merge", "bayes"])
+@pytest.mark.parametrize("method", ["spectral", "merge"])
 def test_clusters_of_clear_groups(spark, method):
     rng = random.Random(1)
     rows = [(1, i, [(1.0 if j == i % 3 else 0.0) + rng.gauss(0, 0.02) for j in range(8)]) for i in range(45)] + [(1, 99, None)]

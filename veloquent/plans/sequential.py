@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
-from ..operators import alignment, clustering, density, scans, spectral
+from ..operators import alignment, density, scans, spectral, variational
 from ..session import table
 from ..streaming.endpoint import changed_partials, endpoints
 from ..streaming.run import drain, drain_updates, read_stream
@@ -253,8 +253,9 @@ def clu_merge_cos(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("clu_ahc_vbx")
 def clu_ahc_vbx(spark: SparkSession, sf: str) -> DataFrame:
-    """Speakers by centroid linkage, then soft memberships."""
-    return clustering.cluster(vectors(spark, sf), "bayes")
+    """Speakers by centroid linkage, then variational Bayes in the space of a model fitted to the labelled vectors."""
+    fitted = variational.fit_projection(table(spark, sf, "embeddings").select("label", F.col("embedding").alias("vec")))
+    return variational.clusters(vectors(spark, sf), fitted)
 
 
 @query("fn_affine", "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * ((i - 1) * 7 % 5 - 2))) + 0.5, 5) AS y0, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * ((i - 1) * 7 % 3 - 1))) - 0.5, 5) AS y1 FROM embeddings")

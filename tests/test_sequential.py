@@ -8,6 +8,7 @@ from veloquent.operators import alignment as A
 from veloquent.operators import clustering as C
 from veloquent.operators import scans as S
 from veloquent.operators.intervals import as_of, interval_join
+from veloquent.operators.turns import natural_turns
 from veloquent.streaming.endpoint import advance, endpoints
 from veloquent.streaming.run import drain
 
@@ -34,8 +35,53 @@ def test_lead_singleton_and_trailing_particle(spark):
 
 def test_natural_turn(spark):
     rows = [(0, 0, 4000, 20, True), (1, 2000, 2500, 1, True), (0, 4500, 9000, 20, True), (1, 12000, 16000, 20, True)]
-    assert labels(S.natural_turns(seg(spark, rows))) == [0, 0, 0, 1]
-    assert labels(S.natural_turns(seg(spark, rows[:2]))) == [0, 1]
+    assert labels(natural_turns(seg(spark, rows))) == [0, 0, 0, 1]
+    assert labels(natural_turns(seg(spark, rows[:2]))) == [0, 1]
+    assert natural_turns(seg(spark, rows).limit(0)).count() == 0
+
+
+def plain_turns(rows, words, few):
+    """Labels of one file's (pos, speaker, start, end): turns in order, each marking what it absorbs."""
+    if len(rows) < 3:
+        return {p: s for p, s, _, _ in rows}
+    turns = []
+    for who in {r[1] for r in rows}:
+        own, last = [], None
+        for p, _, a, b in sorted((r for r in rows if r[1] == who), key=lambda r: (r[2], r[0])):
+            if last is None or a - last >= 2000:
+                own.append([a, b, who, []])
+            own[-1][1], last = max(own[-1][1], b), max(own[-1][1], b)
+            own[-1][3].append(p)
+        turns += own
+    turns.sort(key=lambda t: (t[0], t[2]))
+    host = [None] * len(turns)
+    for i, t in enumerate(turns):
+        if host[i] is None:
+            for j in range(i + 1, len(turns)):
+                if host[j] is None and turns[j][1] <= t[1] and turns[j][2] != t[2]:
+                    host[j] = i
+    named = {p: s for p, s, _, _ in rows}
+    for t, h in zip(turns, host):
+        if h is not None and t[1] - t[0] < 2000 and sum(t[0] <= (a + b) / 2 <= t[1] for a, b in words) <= few:
+            named |= {p: turns[h][2] for p in t[3]}
+    return named
+
+
+def test_natural_turns_equal_a_pass_in_order(spark):
+    rng = random.Random(5)
+    rows, words, want, moved = [], [], {}, 0
+    for f in range(40):
+        count = rng.choice([1, 2, 5, 30, 80])
+        own = [(p, rng.randrange(4), s := rng.randrange(0, 500 * count, 100), s + rng.choice([100, 300, 900, 1500, 6000])) for p in range(count)]
+        said = [(s := rng.randrange(0, 500 * count, 50), s + rng.randrange(0, 400, 25)) for _ in range(2 * count)]
+        rows += [(f, *r) for r in own]
+        words += [(f, *w) for w in said]
+        named = plain_turns(own, said, 3)
+        moved += sum(named[p] != s for p, s, _, _ in own)
+        want |= {(f, p): s for p, s in named.items()}
+    table = spark.createDataFrame(rows, "file_id bigint, pos bigint, speaker bigint, start_ms bigint, end_ms bigint")
+    got = natural_turns(table, spark.createDataFrame(words, "file_id bigint, start_ms bigint, end_ms bigint"), width=1000)
+    assert {(r.file_id, r.pos): r.speaker for r in got.collect()} == want and moved > 20
 
 
 def test_chunk_plan(spark):

@@ -48,34 +48,6 @@ def smooth_speakers(rows: DataFrame, rules: tuple[str, ...] = ("island", "lead",
     return _scan(rows, step, SEGMENTS)
 
 
-def natural_turns(rows: DataFrame, max_pause: int = 2000, few_words: int = 3) -> DataFrame:
-    """Back-channels inside another speaker's turn take that turn's speaker; files under three segments stay.
-
-    Each speaker's segments within ``max_pause`` form a turn. In start order a turn inside an earlier
-    primary turn of another speaker is secondary and absorbs none. A short secondary turn of few
-    words is relabelled.
-    """
-
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        if len(p) < 3:
-            return p
-        gap = p.start_ms - p.groupby("speaker").end_ms.transform(lambda e: e.cummax().shift())
-        p = p.assign(turn=(gap.isna() | (gap >= max_pause)).groupby(p.speaker).cumsum())
-        turns = p.groupby(["speaker", "turn"]).agg(a=("start_ms", "min"), b=("end_ms", "max"), n=("n_words", "sum")).reset_index().sort_values(["a", "speaker"])
-        primary: list = []
-        new: dict = {}
-        for t in turns.itertuples():
-            host = next((h for h in primary if h.speaker != t.speaker and h.a <= t.a and t.b <= h.b), None)
-            if host is None:
-                primary.append(t)
-            elif t.b - t.a < 2000 and t.n <= few_words:
-                new[t.speaker, t.turn] = host.speaker
-        who = [new.get((s, t), s) for s, t in zip(p.speaker, p.turn)]
-        return p.assign(speaker=who).drop(columns="turn")
-
-    return _scan(rows, step, SEGMENTS)
-
-
 WORDS = "file_id bigint, pos bigint, speaker bigint, start_ms bigint, end_ms bigint, inside boolean"
 
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 from ..operators import alignment, density, scans, spectral, variational
+from ..operators.turns import natural_turns
 from ..session import table
 from ..streaming.endpoint import changed_partials, endpoints
 from ..streaming.run import drain, drain_updates, read_stream
 from .base import Group
 from .text import words
-from .timeline import diar, segs
+from .timeline import _D, _S, _W, ORDER, _gap_sql, diar, gap_merge, segs
+from .timeline import words as timed_words
 
 query = Group()
 
@@ -49,10 +51,33 @@ for _name, _rule in (("win_island_smooth", "island"), ("win_lead_singleton", "le
     query(_name, _smooth_sql(_rule))(lambda spark, sf, rule=_rule: scans.smooth_speakers(segments(spark, sf), (rule,)))
 
 
-@query("win_natural_turn")
+_TURNS = f"""WITH {_D}, {_S}, {_W},
+  o AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 2000 THEN 0 ELSE 1 END AS o FROM d),
+  k AS (SELECT *, sum(o) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, pos) AS turn, count(*) OVER (PARTITION BY file_id) AS n FROM o),
+  tn AS (SELECT file_id, speaker, turn, min(start_ms) AS a, max(end_ms) AS b FROM k GROUP BY file_id, speaker, turn),
+  m AS (SELECT file_id, (start_ms + end_ms) / 2 AS at FROM w),
+  h AS (SELECT t.*, p.speaker AS host FROM tn t JOIN tn p ON p.file_id = t.file_id AND p.speaker <> t.speaker AND p.a <= t.a AND t.b <= p.b AND (p.a < t.a OR p.speaker < t.speaker)
+    WHERE t.b - t.a < 2000 QUALIFY row_number() OVER (PARTITION BY t.file_id, t.speaker, t.turn ORDER BY p.a, p.speaker) = 1),
+  few AS (SELECT file_id, speaker, turn, host FROM h WHERE (SELECT count(*) FROM m WHERE m.file_id = h.file_id AND m.at BETWEEN h.a AND h.b) <= 3),
+  nt AS (SELECT k.file_id, k.pos, CASE WHEN n > 2 THEN coalesce(few.host, k.speaker) ELSE k.speaker END AS speaker, start_ms, end_ms, n FROM k LEFT JOIN few USING (file_id, speaker, turn)),
+  big AS (SELECT * FROM nt WHERE n > 2),"""
+
+
+@query(
+    "win_natural_turn",
+    f"""{_TURNS} {_gap_sql(500, source="big")}
+    SELECT file_id, island, min(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n FROM i GROUP BY file_id, island
+    UNION ALL SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, speaker, pos), speaker, start_ms, end_ms, 1 FROM nt WHERE n < 3""",
+)
 def win_natural_turn(spark: SparkSession, sf: str) -> DataFrame:
-    """Back-channels inside turns relabelled."""
-    return scans.natural_turns(segments(spark, sf))
+    """Back-channels inside turns relabelled, then neighbours of one speaker within half a second merged; files under three segments stay as they are."""
+    d = diar(spark, sf).drop("event_type")
+    named = natural_turns(d, timed_words(spark, sf))
+    full = d.groupBy("file_id").count().where("count > 2").select("file_id")
+    merged = gap_merge(named.join(full, "file_id", "left_semi"), 500)
+    few = named.join(full, "file_id", "left_anti").withColumn("island", F.row_number().over(Window.partitionBy("file_id").orderBy(*ORDER)).cast("bigint"))
+    rows = merged.unionByName(few.select(*merged.columns))
+    return rows.groupBy("file_id", "island").agg(F.min("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
 
 
 def short_words(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Ordered scans whose steps read what earlier steps wrote: one grouped pass per file, small steps in Python.
 
-Windows cannot express these, as each decision changes the rows that the next one reads. Rows of a file
-are few; files spread over the cluster.
+Windows cannot express these, as each decision changes the rows that the next one reads. Files spread over the
+cluster; scans that change labels alone also spread a long file (``carried``).
 """
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .carried import SIZE, scan_labels
 
 SEGMENTS = "file_id bigint, pos bigint, speaker bigint, start_ms bigint, end_ms bigint, n_words bigint, ends_sentence boolean"
 
@@ -21,56 +24,64 @@ def _scan(rows: DataFrame, step, schema: str) -> DataFrame:
     return rows.groupBy("file_id").applyInPandas(one, schema)
 
 
-def smooth_speakers(rows: DataFrame, rules: tuple[str, ...] = ("island", "lead", "trail")) -> DataFrame:
+def _island(state, row, before, earlier, behind):
+    if before and behind and state[0] == behind.speaker != row.speaker and (row.end_ms - row.start_ms <= 1500 or row.n_words <= 4):
+        return state[0]
+    return row.speaker
+
+
+def _lead(state, row, before, earlier, behind):
+    alone = behind and row.n_words == 1 and row.end_ms - row.start_ms <= 800 and not row.ends_sentence and behind.n_words >= 2
+    if alone and (not before or row.start_ms - before.end_ms >= 1200) and behind.start_ms - row.end_ms <= 2500:
+        return behind.speaker
+    return row.speaker
+
+
+def _trail(state, row, before, earlier, behind):
+    tail = row.n_words <= 2 and row.end_ms - row.start_ms <= 900 and row.ends_sentence
+    if tail and earlier and not before.ends_sentence and row.start_ms - before.end_ms <= 250 and state[1] and before.start_ms - earlier.end_ms <= 1000:
+        return state[0]
+    return row.speaker
+
+
+SMOOTHING = {"island": _island, "lead": _lead, "trail": _trail}
+
+
+def smooth_speakers(rows: DataFrame, rules: tuple[str, ...] = ("island", "lead", "trail"), size: int = SIZE) -> DataFrame:
     """Up to three left-to-right rules on speaker labels, each over the labels that the one before left.
 
     An island of at most 1.5 s or four words between two rows of one speaker joins them. A lone word
     behind a pause of 1.2 s and before a longer row within 2.5 s joins that row. Up to two words that
-    end the current row's sentence within 0.25 s stay with it.
+    end the current row's sentence within 0.25 s stay with it. Files over ``size`` rows are scanned in pieces.
     """
-
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        who, a, b, n, ends = p.speaker.tolist(), p.start_ms.tolist(), p.end_ms.tolist(), p.n_words.tolist(), p.ends_sentence.tolist()
-        span = lambda rule, first: range(first, len(p) - 1) if rule in rules else ()
-        for i in span("island", 1):
-            if who[i - 1] == who[i + 1] != who[i] and (b[i] - a[i] <= 1500 or n[i] <= 4):
-                who[i] = who[i - 1]
-        for i in span("lead", 0):
-            alone = n[i] == 1 and b[i] - a[i] <= 800 and not ends[i] and n[i + 1] >= 2
-            if alone and who[i] != who[i + 1] and (i == 0 or a[i] - b[i - 1] >= 1200) and a[i + 1] - b[i] <= 2500:
-                who[i] = who[i + 1]
-        for i in span("trail", 1):
-            tail = n[i + 1] <= 2 and b[i + 1] - a[i + 1] <= 900 and ends[i + 1] and not ends[i] and a[i + 1] - b[i] <= 250
-            if tail and who[i + 1] != who[i] == who[i - 1] and a[i] - b[i - 1] <= 1000:
-                who[i + 1] = who[i]
-        return p.assign(speaker=who)
-
-    return _scan(rows, step, SEGMENTS)
+    return scan_labels(rows, [SMOOTHING[r] for r in ("island", "lead", "trail") if r in rules], size)
 
 
 WORDS = "file_id bigint, pos bigint, speaker bigint, start_ms bigint, end_ms bigint, inside boolean"
 
 
-def move_boundary_words(rows: DataFrame, max_gap: int = 300, rules: tuple[str, ...] = ("lead", "trail")) -> DataFrame:
+def _follows(state, row, before, earlier, behind):
+    return state[0] if before and row.start_ms - before.end_ms < row.max_gap and not row.inside else row.speaker
+
+
+def _leaves(state, row, before, earlier, behind):
+    last = before and behind and row.speaker == state[0] and behind.speaker != row.speaker
+    return behind.speaker if last and not row.inside and row.speaker == row.was else row.speaker
+
+
+BOUNDARY = {"lead": _follows, "trail": _leaves}
+
+
+def move_boundary_words(rows: DataFrame, max_gap: int = 300, rules: tuple[str, ...] = ("lead", "trail"), size: int = SIZE) -> DataFrame:
     """Words at a speaker change move to the side that they belong to.
 
     ``inside`` says that a word lies in its own speaker's diarization. Leading words of the later
     block follow the earlier one while the gap stays under ``max_gap`` and they are not inside. Then
     the last word of the earlier block, if not inside and not its only one, goes to the later.
+    Files over ``size`` rows are scanned in pieces.
     """
-
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        who, a, b, inside = p.speaker.tolist(), p.start_ms.tolist(), p.end_ms.tolist(), p.inside.tolist()
-        moved = [False] * len(p)
-        for i in range(1, len(p)) if "lead" in rules else ():
-            if who[i] != who[i - 1] and a[i] - b[i - 1] < max_gap and not inside[i]:
-                who[i], moved[i] = who[i - 1], True
-        for i in range(1, len(p) - 1) if "trail" in rules else ():
-            if who[i] == who[i - 1] and who[i + 1] != who[i] and not inside[i] and not moved[i]:
-                who[i] = who[i + 1]
-        return p.assign(speaker=who)
-
-    return _scan(rows, step, WORDS)
+    told = rows.withColumns({"was": F.col("speaker"), "max_gap": F.lit(max_gap)})
+    return scan_labels(told, [BOUNDARY[r] for r in ("lead", "trail") if r in rules], size).select(*rows.columns)
 
 
 def plan_chunks(silences: DataFrame, target: int = 30_000, slack: int = 2_000, least: int = 20_000, overlap: int = 3_000) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences
 from ..operators import alignment, density, scans, spectral, variational
+from ..operators.beam import beam_search
 from ..operators.turns import natural_turns
 from ..session import table
 from ..streaming.endpoint import changed_partials, endpoints
@@ -226,6 +227,30 @@ def aln_chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.merge_token_chunks(turn_words(spark, sf).select("file_id", "pos", F.transform(starts, lambda i: F.slice("w", i * 40 + 1, F.lit(56))).alias("chunks")))
 
 
+@query(
+    "aln_beam",
+    """WITH RECURSIVE e AS (SELECT user_id AS u, event_id, CAST(abs(floor(value * 100)) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events),
+    t AS (SELECT u, f, k AS token, CAST((event_id * (k + 3) * 7919 + v * (k + 1) * 101) % 10007 AS DOUBLE) / 2500 AS cost FROM e, (VALUES (0), (1), (2), (3), (4), (5)) AS x(k)),
+    s AS (SELECT u, CAST(0 AS BIGINT) AS f, CAST(0 AS DOUBLE) AS cost, CAST([] AS BIGINT[]) AS tokens, CAST([] AS BIGINT[]) AS spots, CAST(1 AS BIGINT) AS place FROM (SELECT DISTINCT u FROM e)
+      UNION ALL SELECT u, f, min(low) - ln(sum(exp(low - cost))), tokens, arg_min(spots, rn), min(rn) FROM (
+        SELECT *, min(cost) OVER (PARTITION BY u, tokens) AS low FROM (
+          SELECT t.u, t.f, s.cost + t.cost AS cost, CASE WHEN token = 0 THEN s.tokens ELSE list_append(s.tokens, CAST(token AS BIGINT)) END AS tokens, CASE WHEN token = 0 THEN s.spots ELSE list_append(s.spots, t.f) END AS spots,
+            row_number() OVER (PARTITION BY t.u ORDER BY s.cost + t.cost, s.place, token) AS rn FROM s JOIN t ON t.u = s.u AND t.f = s.f + 1) WHERE rn <= 4) GROUP BY u, f, tokens),
+    l AS (SELECT u, max(f) AS f FROM e GROUP BY u)
+    SELECT u AS user_id, array_to_string(tokens, ',') AS tokens, array_to_string(spots, ',') AS frames, round(cost / (2 + len(tokens)), 6) AS mean_cost FROM s JOIN l USING (u, f)
+    QUALIFY row_number() OVER (PARTITION BY u ORDER BY cost / (2 + len(tokens)), place) = 1""",
+)
+def aln_beam(spark: SparkSession, sf: str) -> DataFrame:
+    """The best token history of each user's frames over a table of six costs a frame, four hypotheses wide."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, sf, "events").select("user_id", "event_id", F.abs(F.floor(F.col("value") * 100)).alias("v"), F.row_number().over(w).alias("frame"))
+    t = e.withColumn("token", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    mixed = F.col("event_id") * (F.col("token") + 3) * 7919 + F.col("v") * (F.col("token") + 1) * 101
+    best = beam_search(t.withColumn("cost", (mixed % 10007).cast("double") / 2500), "user_id", 4)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return best.select("user_id", joined("tokens").alias("tokens"), joined("at").alias("frames"), F.round(F.col("cost") / (2 + F.size("tokens")), 6).alias("mean_cost"))
+
+
 HOT = ("the of", "der die", "und")
 PHRASES = {("der", "die"): 1.5, ("die", "und"): 2.0, ("the", "of", "the"): 1.0, ("of",): 0.5}
 

@@ -31,8 +31,8 @@ def win_smooth_speakers(spark: SparkSession, sf: str) -> DataFrame:
     return scans.smooth_speakers(segments(spark, sf))
 
 
-_SEGMENTS = """g AS (SELECT user_id % 32 AS file_id, event_id AS pos, user_id // 32 % 3 AS speaker, s AS start_ms, s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0) AS end_ms, 1 + event_id % 6 AS n_words, event_id % 4 = 0 AS ends_sentence,
-  row_number() OVER (PARTITION BY user_id % 32 ORDER BY s, event_id) AS r FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
+_SEGMENTS = """g AS (SELECT user_id // 3 AS file_id, event_id AS pos, user_id % 3 AS speaker, s AS start_ms, s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0) AS end_ms, 1 + event_id % 6 AS n_words, event_id % 4 = 0 AS ends_sentence,
+  row_number() OVER (PARTITION BY user_id // 3 ORDER BY s, event_id) AS r FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
 #: What each rule gives row x, from the row a before it with its new speaker, and the row b behind it.
 _SMOOTH = {
     "island": "CASE WHEN a.who = b.speaker AND b.speaker <> x.speaker AND (x.end_ms - x.start_ms <= 1500 OR x.n_words <= 4) THEN a.who ELSE x.speaker END",
@@ -85,8 +85,8 @@ def short_words(spark: SparkSession, sf: str) -> DataFrame:
     return diar(spark, sf).select("file_id", "pos", "speaker", "start_ms", F.least("end_ms", F.col("start_ms") + 400).alias("end_ms"), (F.col("pos") % 3 != 0).alias("inside"))
 
 
-_SHORT = """d AS (SELECT user_id % 32 AS file_id, event_id AS pos, user_id // 32 % 3 AS speaker, s AS start_ms, least(s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0), s + 400) AS end_ms, event_id % 3 <> 0 AS inside,
-  row_number() OVER (PARTITION BY user_id % 32 ORDER BY s, event_id) AS r FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
+_SHORT = """d AS (SELECT user_id // 3 AS file_id, event_id AS pos, user_id % 3 AS speaker, s AS start_ms, least(s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0), s + 400) AS end_ms, event_id % 3 <> 0 AS inside,
+  row_number() OVER (PARTITION BY user_id // 3 ORDER BY s, event_id) AS r FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
 _BOUNDARY = {
     "lead": "CASE WHEN a.r > 0 AND x.speaker <> a.who AND x.start_ms - a.end_ms < 300 AND NOT x.inside THEN a.who ELSE x.speaker END",
     "trail": "CASE WHEN a.r > 0 AND x.speaker = a.who AND b.speaker <> x.speaker AND NOT x.inside THEN b.speaker ELSE x.speaker END",

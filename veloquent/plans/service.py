@@ -125,7 +125,7 @@ def agg_file_count(spark: SparkSession, sf: str) -> DataFrame:
 # What is counted, its trailing window in seconds, and the most that passes.
 LIMITS = {"ip": (300, 5), "session": (60, 10), "user": (900, 10)}
 #: Stand-ins for addresses and sessions, and real microseconds to a second of the limits.
-_KEYS = {"ip": "user_id % 16", "session": "user_id * 8 + event_id % 8", "user": "user_id"}
+_KEYS = {"ip": "user_id - user_id % 4", "session": "user_id * 8 + event_id % 8", "user": "user_id"}
 _SECOND = 288_000_000
 
 

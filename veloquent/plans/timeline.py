@@ -1,6 +1,6 @@
 """Timeline queries: interval merges, state machines over frames, interval and as-of joins.
 
-Stand-ins from ``events``: a file is ``user_id % 32``, a speaker ``user_id // 32 % 3``, one real second is a quarter
+Stand-ins from ``events``: a file holds three users, its speakers, so that files grow in number with the table, one real second is a quarter
 of a millisecond-like tick, and a segment lasts by the event's value. View and click events are transcript
 segments, all others diarization segments.
 """
@@ -22,7 +22,7 @@ BUCKET = 4000
 def diar(spark: SparkSession, sf: str) -> DataFrame:
     """All events as speaker segments: file_id, pos, speaker, start_ms, end_ms."""
     start = F.floor((F.expr("unix_micros(cast(ts as timestamp))") - 1704067200000000) / 4000000)
-    e = table(spark, sf, "events").select((F.col("user_id") % 32).alias("file_id"), F.col("event_id").alias("pos"), F.floor(F.col("user_id") / 32 % 3).cast("bigint").alias("speaker"), start.alias("start_ms"), F.floor(F.col("value") * 100).alias("d"), "event_type")
+    e = table(spark, sf, "events").select(F.floor(F.col("user_id") / 3).alias("file_id"), F.col("event_id").alias("pos"), (F.col("user_id") % 3).alias("speaker"), start.alias("start_ms"), F.floor(F.col("value") * 100).alias("d"), "event_type")
     return e.select("file_id", "pos", "speaker", "start_ms", (F.col("start_ms") + 1 + F.greatest("d", F.lit(0))).alias("end_ms"), "event_type")
 
 
@@ -39,7 +39,7 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     return segs(spark, sf).withColumn("end_ms", F.least(F.col("end_ms"), F.col("start_ms") + 400))
 
 
-_D = """d AS (SELECT user_id % 32 AS file_id, event_id AS pos, user_id // 32 % 3 AS speaker, s AS start_ms,
+_D = """d AS (SELECT user_id // 3 AS file_id, event_id AS pos, user_id % 3 AS speaker, s AS start_ms,
   s + 1 + greatest(CAST(floor(value * 100) AS BIGINT), 0) AS end_ms, event_type
   FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 4000000 AS s FROM events))"""
 _S = "s AS (SELECT file_id, pos, start_ms, end_ms FROM d WHERE event_type IN ('view', 'click'))"
@@ -481,7 +481,7 @@ def set_concat_speech(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "join_offset_map",
-    _MAP + """, q AS (SELECT user_id % 32 AS file_id, event_id, CAST(floor(value * 700) AS BIGINT) AS t FROM events)
+    _MAP + """, q AS (SELECT user_id // 3 AS file_id, event_id, CAST(floor(value * 700) AS BIGINT) AS t FROM events)
     SELECT q.file_id, q.event_id, least(greatest(coalesce((SELECT o.orig_start + least(q.t - o.concat_start, o.length) FROM o WHERE o.file_id = q.file_id AND o.concat_start <= q.t ORDER BY o.concat_start DESC LIMIT 1), 0),
       (SELECT min(orig_start) FROM o WHERE o.file_id = q.file_id)), (SELECT max(orig_start + length) FROM o WHERE o.file_id = q.file_id)) AS t_orig FROM q""",
 )
@@ -489,7 +489,7 @@ def join_offset_map(spark: SparkSession, sf: str) -> DataFrame:
     """Times on the compacted axis back on the original one, clamped to its regions."""
     o = offset_map(spark, sf).withColumn("pos", F.col("concat_start"))
     span = o.groupBy("file_id").agg(F.min("orig_start").alias("lo"), F.max(F.col("orig_start") + F.col("length")).alias("hi"))
-    q = table(spark, sf, "events").select((F.col("user_id") % 32).alias("file_id"), "event_id", F.floor(F.col("value") * 700).alias("t"))
+    q = table(spark, sf, "events").select(F.floor(F.col("user_id") / 3).alias("file_id"), "event_id", F.floor(F.col("value") * 700).alias("t"))
     got = as_of(q, o.withColumn("c", F.col("concat_start")), "file_id", "t", "c", ["concat_start", "orig_start", "length"]).join(span, "file_id")
     at = F.coalesce(F.col("orig_start") + F.least(F.col("t") - F.col("concat_start"), F.col("length")), F.lit(0))
     return got.select("file_id", "event_id", F.least(F.greatest(at, F.col("lo")), F.col("hi")).alias("t_orig"))

@@ -8,6 +8,7 @@ from veloquent.plans import registry
 
 NAMES = [
     "join_interval_vote",
+    "join_word_speaker",
 ]
 
 

@@ -9,6 +9,7 @@ from veloquent.plans import registry
 NAMES = [
     "join_interval_vote",
     "join_word_speaker",
+    "join_prefix_fix",
 ]
 
 

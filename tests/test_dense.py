@@ -10,6 +10,7 @@ NAMES = [
     "join_interval_vote",
     "join_word_speaker",
     "join_prefix_fix",
+    "join_clip_speech",
 ]
 
 

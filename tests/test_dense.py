@@ -11,6 +11,7 @@ NAMES = [
     "join_word_speaker",
     "join_prefix_fix",
     "join_clip_speech",
+    "join_mid_block",
 ]
 
 

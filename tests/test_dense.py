@@ -13,6 +13,7 @@ NAMES = [
     "join_clip_speech",
     "join_mid_block",
     "join_overlap_partner",
+    "join_participants",
 ]
 
 

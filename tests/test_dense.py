@@ -15,6 +15,7 @@ NAMES = [
     "join_overlap_partner",
     "join_participants",
     "join_closest_clean",
+    "join_dedup_supplement",
 ]
 
 

@@ -16,6 +16,7 @@ NAMES = [
     "join_participants",
     "join_closest_clean",
     "join_dedup_supplement",
+    "win_trail_particle",
 ]
 
 

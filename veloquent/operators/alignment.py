@@ -8,12 +8,19 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: Blocks whose words are Python objects at one time.
+HELD = 64
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of longest matching blocks; not an edit distance."""
@@ -81,6 +88,14 @@ def _reach(words, probs, dur: int, step: int, last: bool, reach_ms: int) -> list
     return [(w, p) for i, (w, p) in enumerate(zip(words, probs)) if (step * i >= dur - reach_ms if last else step * i < reach_ms)]
 
 
+def _listed(column: pa.ListArray, *fields: str) -> list[list[tuple]]:
+    """Lists of structs as lists of tuples."""
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(f).to_pylist() for f in fields)))
+    ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())]).tolist()
+    return [rows[i:j] for i, j in zip(ends, ends[1:])]
+
+
 def overlaps(chunks: DataFrame) -> DataFrame:
     """Matches and cuts at each boundary of chunks ``(file_id, chunk_no, tail, head)``, arrays of (text, prob): tail of the last, head of this one."""
 
@@ -178,11 +193,15 @@ def rover(pairs: DataFrame, phrases: tuple[str, ...] = ()) -> DataFrame:
     """Vote of two hypotheses per block: ``(file_id, pos, a, b)``, arrays of (text, start_ms, conf); words that differ are marked."""
 
     def run(batches):
-        for p in batches:
-            got = [vote(list(a), list(b), phrases) for a, b in zip(p.a, p.b)]
-            yield pd.DataFrame({"file_id": p.file_id, "pos": p.pos, "text": [" ".join(w for w, _ in g) for g in got], "n_disagree": [sum(d for _, d in g) for g in got]})
-
-    return pairs.select("file_id", "pos", "a", "b").mapInPandas(run, "file_id bigint, pos bigint, text string, n_disagree bigint")
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):  # words become Python objects a few blocks at a time
+                part = batch.slice(at, HELD)
+                sides = ([[{"text": t, "start_ms": s, "conf": c} for t, s, c in ws] for ws in _listed(part.column(x), "text", "start_ms", "conf")] for x in ("a", "b"))
+                got = [vote(a, b, phrases) for a, b in zip(*sides)]
+                told = [pa.array([" ".join(w for w, _ in g) for g in got], pa.string()), pa.array([sum(d for _, d in g) for g in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), part.column("pos"), *told], names=["file_id", "pos", "text", "n_disagree"])
+
+    return pairs.select("file_id", "pos", "a", "b").mapInArrow(run, "file_id bigint, pos bigint, text string, n_disagree bigint")
 
 
 def disagreements(pairs: DataFrame) -> DataFrame:

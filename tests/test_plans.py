@@ -21,3 +21,12 @@ def first(nodes: list[str], *names: str) -> int:
 
 def test_words_become_python_objects_a_few_blocks_at_a_time(spark):
     assert not any("MapInPandas" in n for n in plan(registry.queries()["aln_rover"](spark, DATA)))
+
+
+def test_far_words_are_never_compared(monkeypatch):
+    asked, alike = [], alignment.alike
+    monkeypatch.setattr(alignment, "alike", lambda *a: asked.append(a) or alike(*a))
+    tail = [(a + b, 0.5) for a in "abcde" for b in "fghij"]
+    head = [(a + b, 0.5) for a in "klmno" for b in "pqrst"]
+    assert alignment.best_overlap(tail, head + tail)[0] == 25
+    assert len(asked) < 60

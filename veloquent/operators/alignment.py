@@ -54,6 +54,29 @@ def alike(a: str, b: str, least: float = 0.8) -> bool:
     return 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= least
 
 
+@lru_cache(1 << 16)
+def _letters(word: str) -> int:
+    """One bit for each character of a word, by its code modulo 63."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 63
+    return bits
+
+
+def _pairs_alike(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of two word lists that are alike.
+
+    A character whose bit the other word lacks has no partner there, so bits bound the ratio from above as lengths do; only pairs within the bounds are compared.
+    """
+    x, y = np.array([_letters(w) for w in a], np.int64)[:, None], np.array([_letters(w) for w in b], np.int64)[None]
+    n, m = np.array([len(w) for w in a])[:, None], np.array([len(w) for w in b])[None]
+    most = np.minimum(n - np.bitwise_count(x & ~y), m - np.bitwise_count(y & ~x))
+    open_ = (2 * np.minimum(np.minimum(n, m), most) >= 0.79 * (n + m)) | ((n > 2) & (m > 2) & ((x & ~y == 0) | (y & ~x == 0)))
+    row, col = np.nonzero(open_ & (n > 0) & (m > 0))
+    hit = np.array([alike(a[i], b[j]) for i, j in zip(row.tolist(), col.tolist())], bool)
+    return row[hit], col[hit]
+
+
 def _mean(values: list[float]) -> float:
     return sum(values) / len(values) if values else 0.0
 
@@ -70,11 +93,16 @@ def best_overlap(tail: list[tuple[str, float]], head: list[tuple[str, float]], m
         return 0, 0, 0
     a, b = [norm(w) for w, _ in tail[-most:]], [norm(w) for w, _ in head[:most]]
     matches, behind, cut = 0, 0, 0
-    for shift in range(1 - len(a), len(b)):
-        span = range(max(0, -shift), min(len(a), len(b) - shift))
-        hits = [i for i in span if alike(a[i], b[i + shift])]
-        if len(hits) > matches and 2 * len(hits) >= len(span):
-            matches, behind, cut = len(hits), len(a) - 1 - hits[-1], hits[-1] + shift + 1
+    row, col = _pairs_alike(a, b)
+    if len(row):
+        shift = np.arange(1 - len(a), len(b))
+        span = np.minimum(len(a), len(b) - shift) - np.maximum(0, -shift)
+        hits = np.bincount(col - row + len(a) - 1, minlength=len(shift))
+        hits[2 * hits < span] = 0
+        top = int(hits.argmax())
+        if hits[top]:
+            last = int(row[col - row == shift[top]].max())
+            matches, behind, cut = int(hits[top]), len(a) - 1 - last, last + int(shift[top]) + 1
     if matches and not (behind and matches < min(len(a), len(b))):
         return matches, behind, cut
     old, new = (tail[-behind:], head[cut:]) if matches else (tail, head)
@@ -100,12 +128,13 @@ def overlaps(chunks: DataFrame) -> DataFrame:
     """Matches and cuts at each boundary of chunks ``(file_id, chunk_no, tail, head)``, arrays of (text, prob): tail of the last, head of this one."""
 
     def run(batches):
-        for p in batches:
-            pairs = lambda ws: [(w["text"], w["prob"]) for w in ws]
-            got = [best_overlap(pairs(t), pairs(h)) for t, h in zip(p["tail"], p["head"])]
-            yield pd.DataFrame({"file_id": p.file_id, "chunk_no": p.chunk_no, "matches": [g[0] for g in got], "drop_tail": [g[1] for g in got], "drop_head": [g[2] for g in got]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                part = batch.slice(at, HELD)
+                got = np.array([best_overlap(t, h) for t, h in zip(*(_listed(part.column(c), "text", "prob") for c in ("tail", "head")))], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), part.column("chunk_no"), *map(pa.array, got.T)], names=["file_id", "chunk_no", "matches", "drop_tail", "drop_head"])
 
-    return chunks.select("file_id", "chunk_no", "tail", "head").mapInPandas(run, "file_id bigint, chunk_no bigint, matches bigint, drop_tail bigint, drop_head bigint")
+    return chunks.select("file_id", "chunk_no", "tail", "head").mapInArrow(run, "file_id bigint, chunk_no bigint, matches bigint, drop_tail bigint, drop_head bigint")
 
 
 def merge_chunks(chunks: DataFrame, step: int = 300, reach_ms: int = 3000) -> DataFrame:

@@ -30,3 +30,8 @@ def test_far_words_are_never_compared(monkeypatch):
     head = [(a + b, 0.5) for a in "klmno" for b in "pqrst"]
     assert alignment.best_overlap(tail, head + tail)[0] == 25
     assert len(asked) < 60
+
+
+def test_chunks_of_many_texts_share_a_pass(spark):
+    for name in ("aln_merge_chunks", "set_chunk_union"):
+        assert not any("FlatMapGroupsInPandas" in n for n in plan(registry.queries()[name](spark, DATA)))

@@ -143,17 +143,26 @@ def merge_chunks(chunks: DataFrame, step: int = 300, reach_ms: int = 3000) -> Da
     Each boundary is decided from the two raw chunks; words dropped from a tail are popped from what was merged.
     """
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
+    def fold(parts: list[dict]) -> list[str]:
         out: list[str] = []
         tail: list[tuple[str, float]] = []
-        for words, probs in p.sort_values("chunk_no")[["words", "probs"]].itertuples(index=False):
-            words = list(words)
+        for part in parts:
+            words, probs = part["words"], part["probs"]
             _, drop_tail, drop_head = best_overlap(tail, _reach(words, probs, 0, step, False, reach_ms))
-            out = out[: max(len(out) - drop_tail, 0)] + words[drop_head:]
+            del out[max(len(out) - drop_tail, 0) :]
+            out += words[drop_head:]
             tail = _reach(words, probs, step * len(words), step, True, reach_ms)
-        return pd.DataFrame({"file_id": [p.file_id.iloc[0]], "n_words": [len(out)], "text": [" ".join(out)]})
+        return out
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, HELD):
+                part = batch.slice(at, HELD)
+                got = [fold(parts) for parts in part.column("parts").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.array([len(g) for g in got], pa.int64()), pa.array([" ".join(g) for g in got], pa.string())], names=["file_id", "n_words", "text"])
 
-    return chunks.groupBy("file_id").applyInPandas(fold, "file_id bigint, n_words bigint, text string")
+    files = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "words", "probs"))).alias("parts"))  # one text's chunks
+    return files.mapInArrow(run, "file_id bigint, n_words bigint, text string")
 
 
 def hot_share(words: list[str], phrases: tuple[str, ...], before: list[str] = [], after: list[str] = []) -> float:  # noqa: B006

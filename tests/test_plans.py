@@ -35,3 +35,22 @@ def test_far_words_are_never_compared(monkeypatch):
 def test_chunks_of_many_texts_share_a_pass(spark):
     for name in ("aln_merge_chunks", "set_chunk_union"):
         assert not any("FlatMapGroupsInPandas" in n for n in plan(registry.queries()[name](spark, DATA)))
+
+
+def test_words_are_neither_sorted_nor_grouped(spark):
+    for name in ("set_unique_match", "fn_words_match", "fn_words_match_native"):
+        nodes = plan(registry.queries()[name](spark, DATA))
+        assert first(nodes, "Generate") < first(nodes, "Window", "Aggregate", "Sort"), name
+
+
+def test_turns_that_share_a_number(spark, tmp_path):
+    rows = [(1, 2, "u", "a b c"), (1, 2, "v", "x"), (1, 2, "w", None), (1, 1, "u", " p  q"), (1, 3, "u", "z"), (2, 1, "u", "")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = words(spark, str(tmp_path), following=True).orderBy("pos").select("pos", "speaker", "text", "following").collect()
+    assert [tuple(r) for r in got] == [(1, "u", "p", "q"), (2, "u", "q", "a"), (3, "u", "a", "x"), (4, "v", "x", "b"), (5, "u", "b", "c"), (6, "u", "c", "z"), (7, "u", "z", None)]
+
+
+def test_following_word(spark):
+    w = words(spark, DATA, following=True)
+    w = w.withColumn("lead", F.lead("text").over(Window.partitionBy("file_id").orderBy("pos")))
+    assert w.where(~F.col("following").eqNullSafe(F.col("lead"))).count() == 0

@@ -12,14 +12,29 @@ from .base import Group
 query = Group()
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of every turn: file_id, seg_no, speaker, pos (from 1 in the file), text, times and confidences."""
+def words(spark: SparkSession, sf: str, following: bool = False) -> DataFrame:
+    """Words of every turn: file_id, seg_no, speaker, pos (from 1 in the file), text, times and confidences; with ``following``, the file's next word too.
+
+    Counts of words are summed over turns, which alone are sorted; words come apart behind that. Turns that share a number take turns word by word.
+    """
     t = table(spark, sf, "conversations")
-    w = t.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("i", "text"))
-    pos = F.row_number().over(Window.partitionBy("file_id").orderBy("seg_no", "i")).cast("bigint")
-    w = w.withColumn("pos", pos)
+    t = t.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), F.filter(F.split("text", " "), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    t = t.repartition("file_id").groupBy("file_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("speaker", "w"))).alias("rows"))
+    order = Window.partitionBy("file_id").orderBy("seg_no")
+    n = F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, r: acc + F.size(r["w"]))
+    t = t.withColumn("before", F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if following:
+        t = t.withColumn("next", F.lead(F.col("rows")[0]["w"][0]).over(order))
+    alone = F.transform(F.col("rows")[0]["w"], lambda x: F.struct(F.col("rows")[0]["speaker"].alias("speaker"), x.alias("text")))
+    dealt = F.flatten(F.transform("rows", lambda r, d: F.transform(r["w"], lambda x, i: F.struct(i.alias("i"), d.alias("d"), r["speaker"].alias("speaker"), x.alias("text")))))
+    w = t.withColumn("words", F.when(F.size("rows") == 1, alone).otherwise(F.transform(F.array_sort(dealt), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")))))
+    if following:
+        behind = F.concat(F.slice(F.col("words")["text"], F.lit(2), F.size("words")), F.array("next"))
+        w = w.withColumn("words", F.zip_with("words", behind, lambda x, y: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"), y.alias("following"))))
+    w = w.select("file_id", "seg_no", "before", F.posexplode("words").alias("i", "x")).withColumn("pos", F.col("before") + F.col("i") + 1)
     k = (F.col("file_id") * 31 + F.col("pos") * 17) % 100
-    return w.select("file_id", "seg_no", "speaker", "pos", "text", (300 * (F.col("pos") - 1)).alias("start_ms"), (300 * (F.col("pos") - 1) + 250).alias("end_ms"), k.alias("k"))
+    more = [F.col("x.following")] if following else []
+    return w.select("file_id", "seg_no", "x.speaker", "pos", "x.text", (300 * (F.col("pos") - 1)).alias("start_ms"), (300 * (F.col("pos") - 1) + 250).alias("end_ms"), k.alias("k"), *more)
 
 
 WORDS = """words AS (SELECT *, 300 * (pos - 1) AS start_ms, 300 * (pos - 1) + 250 AS end_ms, (file_id * 31 + pos * 17) % 100 AS k FROM
@@ -56,7 +71,7 @@ def fn_norm_vi(spark: SparkSession, sf: str) -> DataFrame:
 @query("fn_words_match_native", f"WITH {WORDS}, n AS (SELECT file_id, pos, lower(text) AS a, lower(lead(text) OVER (PARTITION BY file_id ORDER BY pos)) AS b FROM words) SELECT file_id, pos, coalesce(a <> '' AND b <> '' AND (a = b OR (length(a) > 2 AND length(b) > 2 AND (contains(a, b) OR contains(b, a)))), false) AS hit FROM n")
 def fn_words_match_native(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring words that are equal, or of which one holds the other: the legs without a ratio."""
-    w = words(spark, sf).select("file_id", "pos", F.lower("text").alias("a"), F.lower(F.lead("text").over(Window.partitionBy("file_id").orderBy("pos"))).alias("b"))
+    w = words(spark, sf, following=True).select("file_id", "pos", F.lower("text").alias("a"), F.lower("following").alias("b"))
     hit = (F.col("a") != "") & (F.col("b") != "") & ((F.col("a") == F.col("b")) | ((F.length("a") > 2) & (F.length("b") > 2) & (F.contains("a", "b") | F.contains("b", "a"))))
     return w.select("file_id", "pos", F.coalesce(hit, F.lit(False)).alias("hit"))
 

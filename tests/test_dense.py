@@ -25,7 +25,7 @@ def data(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("dense"))
     start = datetime.datetime(2024, 1, 1)
     kinds = ("view", "purchase", "error", "click")
-    rows = [(i, start + datetime.timedelta(seconds=8 * i), 32 * (i % 3) + 5, kinds[i % 4], 0.5 + i % 7, "{}") for i in range(24)]
+    rows = [(i, start + datetime.timedelta(seconds=800 * (i // 2)), 32 * (i % 3) + 5, kinds[i % 4], 0.5 + i // 2 % 7, "{}") for i in range(24)]
     spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
     return folder
 

@@ -54,3 +54,13 @@ def test_following_word(spark):
     w = words(spark, DATA, following=True)
     w = w.withColumn("lead", F.lead("text").over(Window.partitionBy("file_id").orderBy("pos")))
     assert w.where(~F.col("following").eqNullSafe(F.col("lead"))).count() == 0
+
+
+def test_rows_of_a_key_need_no_sorted_frame(monkeypatch):
+    import pandas as pd
+
+    from veloquent.streaming.policies import _in_order
+
+    parts = [pd.DataFrame({"at": pd.to_datetime([2, 1]), "at_ms": [2, 1], "event_id": [1, 5]}), pd.DataFrame({"at": pd.to_datetime([1]), "at_ms": [1], "event_id": [2]})]
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    assert [(r.at_ms, r.event_id) for r in _in_order(iter(parts))] == [(1, 2), (1, 5), (2, 1)]

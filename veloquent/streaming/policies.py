@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,9 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 NEVER = -(1 << 60)
 
 
+@lru_cache
+def _row(names: tuple[str, ...]) -> type:
+    return namedtuple("Row", names)
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator:
-    """A key's rows of one trigger by time; those of one time by ``event_id``."""
-    return pd.concat(list(batches)).sort_values(["at_ms", "event_id"]).itertuples()
+    """A key's rows of one trigger by time, without ``at``; those of one time by ``event_id``.
+
+    Most keys have a handful of rows, so columns become lists at once and no frame is joined or sorted for them.
+    """
+    parts = list(batches)
+    names = tuple(c for c in parts[0].columns if c != "at")
+    columns = [[v for p in parts for v in p[c].tolist()] for c in names]
+    order = np.lexsort((columns[names.index("event_id")], columns[names.index("at_ms")]))
+    rows = list(zip(*columns))
+    return (_row(names)(*rows[k]) for k in order.tolist())
 
 
 def throttled(messages: DataFrame, least: int) -> DataFrame:

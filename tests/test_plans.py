@@ -64,3 +64,12 @@ def test_rows_of_a_key_need_no_sorted_frame(monkeypatch):
     parts = [pd.DataFrame({"at": pd.to_datetime([2, 1]), "at_ms": [2, 1], "event_id": [1, 5]}), pd.DataFrame({"at": pd.to_datetime([1]), "at_ms": [1], "event_id": [2]})]
     monkeypatch.setattr(pd.DataFrame, "sort_values", None)
     assert [(r.at_ms, r.event_id) for r in _in_order(iter(parts))] == [(1, 2), (1, 5), (2, 1)]
+
+
+def test_equal_ends_of_chunks_need_no_comparison(monkeypatch):
+    """Where all words of tail and head are the same no pairs are formed, and the result is that of the pairs."""
+    side = [(a + b, 0.5) for a in "abc" for b in "xyz"]
+    monkeypatch.setattr(alignment, "_pairs_alike", lambda a, b: 1 / 0)
+    assert alignment.best_overlap(side, side) == (9, 0, 9)
+    assert alignment._reach("abcdefghijkl", range(12), 3600, 300, True, 3000) == list(zip("cdefghijkl", range(2, 12)))
+    assert alignment._reach("abcdefghijkl", range(12), 0, 300, False, 2900) == list(zip("abcdefghij", range(10)))

@@ -40,6 +40,7 @@ def words_match(rows: DataFrame, a: str, b: str, least: float = 0.8) -> DataFram
     return known.unionByName(settled.where(F.col("hit").isNull()).withColumn("hit", ratio(x, y) >= least))
 
 
+@lru_cache(1 << 16)
 def norm(word: str) -> str:
     return re.sub(r"\W", "", word.lower())
 
@@ -92,6 +93,8 @@ def best_overlap(tail: list[tuple[str, float]], head: list[tuple[str, float]], m
     if not tail or not head:
         return 0, 0, 0
     a, b = [norm(w) for w, _ in tail[-most:]], [norm(w) for w, _ in head[:most]]
+    if a == b and all(a):  # no other shift has as many words in its overlap
+        return len(a), 0, len(a)
     matches, behind, cut = 0, 0, 0
     row, col = _pairs_alike(a, b)
     if len(row):
@@ -113,7 +116,8 @@ def best_overlap(tail: list[tuple[str, float]], head: list[tuple[str, float]], m
 
 def _reach(words, probs, dur: int, step: int, last: bool, reach_ms: int) -> list[tuple[str, float]]:
     """The words that start in the last or the first ``reach_ms`` of a chunk of words ``step`` apart."""
-    return [(w, p) for i, (w, p) in enumerate(zip(words, probs)) if (step * i >= dur - reach_ms if last else step * i < reach_ms)]
+    kept = slice(max(-(-(dur - reach_ms) // step), 0), None) if last else slice(max(-(-reach_ms // step), 0))
+    return list(zip(words[kept], probs[kept]))
 
 
 def _listed(column: pa.ListArray, *fields: str) -> list[list[tuple]]:
@@ -143,11 +147,10 @@ def merge_chunks(chunks: DataFrame, step: int = 300, reach_ms: int = 3000) -> Da
     Each boundary is decided from the two raw chunks; words dropped from a tail are popped from what was merged.
     """
 
-    def fold(parts: list[dict]) -> list[str]:
+    def fold(parts: list[tuple]) -> list[str]:
         out: list[str] = []
         tail: list[tuple[str, float]] = []
-        for part in parts:
-            words, probs = part["words"], part["probs"]
+        for words, probs in parts:
             _, drop_tail, drop_head = best_overlap(tail, _reach(words, probs, 0, step, False, reach_ms))
             del out[max(len(out) - drop_tail, 0) :]
             out += words[drop_head:]
@@ -158,7 +161,7 @@ def merge_chunks(chunks: DataFrame, step: int = 300, reach_ms: int = 3000) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, HELD):
                 part = batch.slice(at, HELD)
-                got = [fold(parts) for parts in part.column("parts").to_pylist()]
+                got = [fold(parts) for parts in _listed(part.column("parts"), "words", "probs")]
                 yield pa.RecordBatch.from_arrays([part.column("file_id"), pa.array([len(g) for g in got], pa.int64()), pa.array([" ".join(g) for g in got], pa.string())], names=["file_id", "n_words", "text"])
 
     files = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "words", "probs"))).alias("parts"))  # one text's chunks

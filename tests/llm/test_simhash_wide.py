@@ -7,8 +7,9 @@ import pytest
 
 from test_simhash import DOCS, closure
 
+from veloquent.llm import simhash_wide
 from veloquent.llm.components import connected_components
-from veloquent.llm.simhash_wide import distance_limit, plan, reach, shingle_hashes, similar, similar_components, similar_dedup, wide_fingerprint, wide_fingerprints, wide_links
+from veloquent.llm.simhash_wide import MARKS, _possible, distance_limit, parities, plan, reach, shingle_hashes, similar, similar_components, similar_dedup, wide_fingerprint, wide_fingerprints, wide_links
 
 
 def words(rng, n):
@@ -55,6 +56,37 @@ def test_similarity_counts_in_whole_numbers(spark):
     assert sorted((r.a, r.b) for r in similar(pairs, sets, 0.8).collect()) == [(2, 1), (3, 4), (4, 1)]
 
 
+def test_parities_refuse_no_similar_pair(spark):
+    """Pairs around the similarity: none at 0.8 or more is refused, and of those below 0.7 none gets by."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(2**63), 2**63, 600)
+    rows = [(i, np.r_[base[: 200 - i], base[200 : 200 + i // 2], rng.integers(-(2**63), 2**63, i % 7)].tolist()) for i in range(60)] + [(60, [])]
+    marks = parities(spark.createDataFrame(rows, "id bigint, s array<bigint>"))
+    other = marks.withColumnsRenamed({"id": "b", "k": "l", **{x: x.replace("x", "y") for x in MARKS}})
+    left = {(r.id, r.b) for r in marks.join(other, marks.id > other.b).where(_possible(0.8)).select("id", "b").collect()}
+    share = {(a, b): len(set(x) & set(y)) / max(len(set(x) | set(y)), 1) for a, x in rows for b, y in rows if a > b}
+    assert {p for p, j in share.items() if j >= 0.8} <= left and not any(share[p] < 0.7 for p in left)
+    assert 100 < len(left) < len(share)
+
+
+def test_few_pairs_come_out_of_a_large_group(spark):
+    """Texts that lie within reach of one another but below the similarity: their pairs are refused where they meet."""
+    rng = random.Random(4)
+    base = words(rng, 150)
+    texts = [edited(rng, base, 0.027) for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(t), i, "x") for i, t in enumerate(texts)], DOCS)
+    near = sum(jaccard(a, b) >= 0.8 for i, a in enumerate(texts) for b in texts[:i])
+    assert near < 200 and all(0.7 < jaccard(base, t) < 0.85 for t in texts)
+    asked = []
+    similar_, simhash_wide.similar = simhash_wide.similar, lambda pairs, *rest: asked.append(pairs.count()) or similar(pairs, *rest)
+    try:
+        links = wide_links(wide_fingerprints(docs), docs, 0.8, bucket_limit=4, part=16).collect()
+    finally:
+        simhash_wide.similar = similar_
+    assert all(jaccard(texts[r.a], texts[r.b]) >= 0.8 for r in links)
+    assert asked[-1] < 2000  # of 11,175
+
+
 def test_segments_keep_the_recall_at_the_limit():
     rng = np.random.default_rng(3)
     for n in (1000, 100_000):

@@ -162,17 +162,24 @@ def _ranked(rows: DataFrame, fit: DataFrame, groups: int) -> DataFrame:
     return materialize(binned.groupBy("grp", "lang", "bin").agg(_sums()))
 
 
+def _with_cut(bins: DataFrame, share: float) -> DataFrame:
+    """``bins`` with ``cut``, the bin of the ``share`` quantile of each group's distances, drawn to that of all documents; running counts stand beside the bins, so nothing is joined."""
+    own, run = Window.partitionBy("grp"), Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    counts = bins.groupBy(F.lit(0).alias("one"), "bin").agg(F.sum(F.expr("s[0]")).alias("n"))
+    everything = _quantiles(counts, ["one"], [share]).select("q").scalar()
+    upto = bins.withColumns({"__u": F.sum(F.expr("s[0]")).over(run), "n": F.sum(F.expr("s[0]")).over(own), "a_q": everything})
+    q = F.min(F.when(F.col("__u") >= F.ceil(F.col("n") * share - 1e-9), F.col("bin"))).over(own)
+    return upto.withColumn("q", F.array(q.cast("double"))).withColumn("cut", F.expr(f"ceil({_drawn('q', 'n', 'a_q')}[0])")).drop("__u", "n", "q", "a_q")
+
+
 def _cuts(bins: DataFrame, share: float) -> DataFrame:
-    """``grp, cut``: the bin of the ``share`` quantile of each group's distances, drawn to that of all documents."""
-    counts = bins.select("grp", "bin", F.expr("s[0]").alias("n"))
-    everything = _quantiles(counts.groupBy(F.lit(0).alias("one"), "bin").agg(F.sum("n").alias("n")), ["one"], [share]).select(F.col("q").alias("a_q"))
-    own = _quantiles(counts, ["grp"], [share]).crossJoin(F.broadcast(everything))  # one row
-    return own.select("grp", F.expr(f"ceil({_drawn('q', 'n', 'a_q')}[0])").alias("cut"))
+    """``grp, cut``: each group's cut."""
+    return _with_cut(bins, share).groupBy("grp").agg(F.max("cut").alias("cut"))
 
 
 def _concentrated(bins: DataFrame, share: float, groups: int) -> DataFrame:
     """Shrunk estimates from the rows of each group up to its cut; a group without any has its language's."""
-    within = bins.join(_cuts(bins, share).hint("merge"), "grp").withColumn("s", F.expr(f"if(bin <= cut, s, array_repeat(0D, {NUMBERS + 1}))"))
+    within = _with_cut(bins, share).withColumn("s", F.expr(f"if(bin <= cut, s, array_repeat(0D, {NUMBERS + 1}))"))
     own = _gathered(materialize(within.groupBy("grp", "lang").agg(_added())), groups)
     none = F.lit(None).cast("string")
     lang = own.groupBy(none.alias("grp"), "lang").agg(_added())

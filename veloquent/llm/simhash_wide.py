@@ -29,6 +29,9 @@ BUCKET_LIMIT = 64
 PART = 512
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 14
+#: Bits that tell of each residue of the hashes whether an odd number of a text's shingles has it, in words of 64.
+PARITY = 1024
+MARKS = [f"x{i}" for i in range(PARITY // 64)]
 #: Odd multipliers that turn one hash into the words of a fingerprint (fixed values).
 STREAMS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], "<u8")
 
@@ -45,8 +48,11 @@ def reach(similarity: float) -> int:
 
 
 def plan(n: int, distance: int) -> tuple[int, int]:
-    """Bits of a segment and number of segments: bits grow with the logarithm of the fingerprints, segments keep ``RECALL`` at ``distance``."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))) + 2, 12), 48)
+    """Bits of a segment and number of segments: bits grow with the logarithm of the fingerprints, segments keep ``RECALL`` at ``distance``.
+
+    Of ``n`` fingerprints one in sixteen shares a segment's value by chance, so few rows meet that have nothing in common.
+    """
+    bits = min(max(math.ceil(math.log2(max(n, 2))) + 4, 12), 48)
     share = math.prod((WIDTH - distance - i) / (WIDTH - i) for i in range(bits))
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-share)))
 
@@ -99,9 +105,35 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
     return kept.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, s array<bigint>")
 
 
+def _share(similarity: float) -> Fraction:
+    return Fraction(similarity).limit_denominator(10_000)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """``(id, k, x0..x15)`` for sets ``(id, s)``: their sizes and parity bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, PARITY), np.uint8)
+            for at, held in enumerate(batch.column(1)):
+                hashes = held.values.to_numpy()
+                sizes[at], bits[at] = len(hashes), np.bincount(hashes & (PARITY - 1), minlength=PARITY) & 1
+            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, words.T.copy())], names=["id", "k", *MARKS])
+
+    return sets.select("id", "s").mapInArrow(run, f"id bigint, k bigint, {', '.join(f'{x} bigint' for x in MARKS)}")
+
+
+def _possible(similarity: float) -> Column:
+    """Whether sets of ``k`` and ``l`` shingles with parities ``x*`` and ``y*`` can reach the similarity: what differs in parity is held by one set alone, so no pair that reaches it is refused."""
+    share, apart = _share(similarity), sum((F.bit_count(F.col(x).bitwiseXOR(F.col(x.replace("x", "y")))) for x in MARKS), F.lit(0))
+    every = F.col("k") + F.col("l")
+    return (every - apart) * (share.numerator + share.denominator) >= 2 * every * share.numerator
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(a, b)`` whose sets reach the Jaccard similarity, counted in whole numbers."""
-    share = Fraction(similarity).limit_denominator(10_000)
+    share = _share(similarity)
     left, right = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
     both, all_ = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     met = pairs.join(left, "a").join(right, "b")
@@ -147,7 +179,7 @@ def wide_links(table: DataFrame, docs: DataFrame, similarity: float = 0.8, id_co
     Of the candidates, each row's one of smallest id is verified first; candidates that this connects already need no
     verification. In a segment value shared by more than ``bucket_limit`` fingerprints all are compared with the one of
     smallest id; those similar to it are connected by that, so only the others still meet the whole bucket, in
-    blocks of parts. No similar pair in reach that shares a segment loses its connection.
+    blocks of parts, where only pairs that are still apart and that the sets' parities leave open come out. No similar pair in reach that shares a segment loses its connection.
     """
     limit, count = reach(similarity), table.count()
     bits, segments = plan(count, distance_limit(similarity))
@@ -178,19 +210,22 @@ def wide_links(table: DataFrame, docs: DataFrame, similarity: float = 0.8, id_co
         stars = materialize(similar(told.where("near").select(F.col("id").alias("a"), "b").distinct(), sets, similarity))
         first = first.unionByName(stars)
         apart = materialize(told.join(stars.select(F.col("a").alias("id"), "b"), ["id", "b"], "left_anti").select("id", "key", "parts", *columns))
-        if not apart.isEmpty():
-            shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("shares"), F.max("parts").alias("parts"))
-            shares = materialize(shares.select("key", "shares", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")))
-            whole = dealt.join(shares, ["key", "q"]).select("id", "key", "q", *columns, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p"))
-            mine = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(shares, ["key", "q"])
-            mine = mine.select("id", "key", "q", *columns, F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("p"))
-            across = mine.join(_other(whole, "b"), ["key", "p", "q"]).where((F.col("id") != F.col("b")) & near)
-            pairs = pairs.unionByName(across.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")))
     known = materialize(connected_components(first))
     one, other = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     joined = pairs.join(one, "a", "left").join(other, "b", "left")
-    open_ = joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
-    return first.unionByName(similar(open_, sets, similarity))
+    open_ = joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    if crowded and not apart.isEmpty():
+        marks = parities(sets.join(large.select("id").distinct(), "id", "left_semi")).join(known.withColumnRenamed("node", "id"), "id", "left")
+        marks = materialize(marks.select("id", F.coalesce("component", "id").alias("c"), "k", *MARKS))
+        shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("shares"), F.max("parts").alias("parts"))
+        shares = materialize(shares.select("key", "shares", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")))
+        whole = dealt.join(shares, ["key", "q"]).select("id", "key", "q", *columns, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p")).join(marks, "id")
+        mine = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(shares, ["key", "q"])
+        mine = mine.select("id", "key", "q", *columns, F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("p")).join(marks, "id")
+        whole = _other(whole, "b").withColumnsRenamed({"c": "d", "k": "l", **{x: x.replace("x", "y") for x in MARKS}})
+        across = mine.join(whole, ["key", "p", "q"]).where((F.col("c") != F.col("d")) & near & _possible(similarity))
+        open_ = open_.unionByName(across.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")))
+    return first.unionByName(similar(open_.distinct(), sets, similarity))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

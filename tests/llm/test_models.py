@@ -3,12 +3,15 @@
 import math
 import random
 import tempfile
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -255,3 +258,34 @@ def test_language_model_without_training_rows(spark):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = L.score_texts(spark.createDataFrame([(only, "a b")], docs.schema)).first()
     assert r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("aAbZé   \t\n\x0b\x0c\r\x1c\x00"), max_size=12)), min_size=1, max_size=8))
+def test_tokens_are_those_of_the_texts(rows):
+    """Codes by the whole batch give each text's words, A-Z lower-cased and divided by ASCII white space alone, then the end mark."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.string()), pa.array([True] * len(rows))], names=["doc_id", "text", "train"])
+    (held,) = L._chunks(iter([batch]))
+    want = [[xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()] + [int(L.END_MARK)] for t in rows]
+    assert held.size.tolist() == list(map(len, want)) and held.words[held.code].tolist() == sum(want, [])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.integers(0, 3) | st.integers(0, (1 << 40) - 1)] * 3), min_size=1, max_size=50))
+def test_order_is_that_of_indirect_sorts(rows):
+    columns = np.array(rows).T
+    assert (L._order(*((c, 40) for c in columns)) == np.lexsort(columns)).all()
+
+
+def test_scores_hold_no_column_of_a_whole_chunk():
+    """A chunk's texts are scored some at a time: what is held beyond its answers does not grow with it."""
+    n, size = 1 << 21, 1 << 9
+    places = np.arange(n) % 1000
+    one = pa.table({"docs": [list(range(n // size))], "train": [[True] * (n // size)], "sizes": [[size] * (n // size)], "places": [places.astype(np.uint16).tobytes() + bytes(n)]})
+    answer = zlib.compress(np.full(1000, 7, np.uint64).tobytes() + np.full(2000, 65, np.uint16).tobytes())
+    tracemalloc.start()
+    out = L._merge(one, pa.table({"shard": [0], "answer": [answer]}), 1e6, 1e4, 1e3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n // size and len(set(out["model"].to_pylist())) == 1
+    assert peak < 40_000_000  # a column of the whole chunk takes 16,777,216

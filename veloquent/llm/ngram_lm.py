@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,6 +39,8 @@ SHARD = 1_500_000
 HOT_PART = 4
 #: Tokens that a task gathers before it deals their n-grams to the shards.
 CHUNK = 2_000_000
+#: Rows whose texts are split at once, and tokens that are scored or sorted by one more column at once.
+READ, MERGED = 1 << 11, 1 << 18
 #: Stand for the end of a text and for what precedes its first word; no word holds a line feed.
 END_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n end"))
 START_MARK = np.uint64(xxhash.xxh64_intdigest(b"\n start"))
@@ -172,13 +175,37 @@ class Trie:
         return out
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words after lower-casing A-Z, then the end mark."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out[-1] = END_MARK
-    return out
+@dataclass
+class Chunk:
+    """Texts of about ``CHUNK`` tokens: ids, whether they train, numbers of tokens, sorted hashes of the distinct words and marks, and each token's place among those."""
+
+    docs: list[int | None]
+    train: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+    code: np.ndarray
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each of ``words`` in training texts, and in all."""
+        n = len(self.words)
+        return np.bincount(self.code[np.repeat(self.train, self.size)], minlength=n), np.bincount(self.code, minlength=n)
+
+
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words after lower-casing A-Z, the end mark behind them; each token's place among those, every text ending with the end mark; numbers of tokens."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = split.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    words = np.append(np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)), END_MARK)
+    code = coded.indices.to_numpy()
+    full = (names != b"").astype(bool)[code]  # white space at either end leaves an empty word
+    upto = np.append(0, np.cumsum(full))[np.cumsum(pc.list_value_length(split).to_numpy())]
+    size = np.diff(upto, prepend=0) + 1
+    out = np.full(int(size.sum()), len(names), np.int32)
+    ends = np.zeros(len(out), bool)
+    ends[np.cumsum(size) - 1] = True
+    out[~ends] = code[full]
+    return words, out, size
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -186,12 +213,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _chunks(batches):
-            words, load = np.unique(np.concatenate([h for *_, h in held]), return_counts=True)
-            own, own_n = np.unique(np.concatenate([h[:0] if not t else h for _, t, h in held]), return_counts=True)
-            n = np.zeros(len(words), np.int64)
-            n[np.searchsorted(words, own)] = own_n
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(load)], names=["word", "n", "load"])
+            n, load = held.counts()
+            some = load > 0
+            yield pa.RecordBatch.from_arrays([pa.array(held.words[some].view(np.int64)), pa.array(n[some]), pa.array(load[some])], names=["word", "n", "load"])
 
     counted = rows.select("doc_id", "text", "train").mapInArrow(count, "word bigint, n bigint, load bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("load").alias("load"))
@@ -207,17 +231,12 @@ def hot_pairs(rows: DataFrame, big: np.ndarray, least: int) -> tuple[np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _chunks(batches):
-            size = np.array([len(h) for *_, h in held])
-            train = np.repeat([t for _, t, _ in held], size)
-            word = np.concatenate([h for *_, h in held])
-            held.clear()
-            key = _pair_keys(word, size, shared.value)
-            del word
+            key = _pair_keys(held, shared.value)
             keys, load = np.unique(key[key >= 0], return_counts=True)
-            own, own_n = np.unique(key[(key >= 0) & train], return_counts=True)
+            own, own_n = np.unique(key[(key >= 0) & np.repeat(held.train, held.size)], return_counts=True)
             n = np.zeros(len(keys), np.int64)
             n[np.searchsorted(keys, own)] = own_n
-            del key, train
+            del key
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(load)], names=["key", "n", "load"])
 
     counted = rows.select("doc_id", "text", "train").mapInArrow(count, "key bigint, n bigint, load bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("load").alias("load"))
@@ -225,21 +244,21 @@ def hot_pairs(rows: DataFrame, big: np.ndarray, least: int) -> tuple[np.ndarray,
     return got["key"].to_numpy(), got["n"].to_numpy().astype(np.float64)
 
 
-def _pair_keys(word: np.ndarray, size: np.ndarray, big: np.ndarray) -> np.ndarray:
-    """Each occurrence's key of ``hot_pairs``, -1 where a word of the pair is not in ``big``; texts of ``size`` tokens."""
-    if not len(big):
-        return np.full(len(word), -1)
-    place = np.searchsorted(big, word).astype(np.int32)
-    np.minimum(place, len(big) - 1, out=place)
-    place[big[place] != word] = -1
-    key = np.empty(len(word), np.int64)
+def _places(names: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Places of ``asked`` among sorted ``names``, -1 where there is none."""
+    if not len(names):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return np.where(names[at] == asked, at, -1)
+
+
+def _pair_keys(held: Chunk, big: np.ndarray) -> np.ndarray:
+    """Each token's key of ``hot_pairs``, -1 where a word of the pair is not in ``big``."""
+    place = _places(big, held.words)[held.code]
+    key = np.empty(len(place), np.int64)
     key[1:] = place[:-1]
-    key[np.cumsum(size) - size] = len(big)
-    none = (place < 0) | (key < 0)
-    key *= len(big)
-    key += place
-    key[none] = -1
-    return key
+    key[np.cumsum(held.size) - held.size] = len(big)
+    return np.where((place < 0) | (key < 0), -1, key * len(big) + place)
 
 
 def _with_end(batches):
@@ -247,20 +266,57 @@ def _with_end(batches):
     yield None
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bool, np.ndarray]]]:
-    """Rows ``(doc_id, text, train)`` as lists of ``(doc_id, train, hashes)`` of about ``CHUNK`` tokens."""
-    held: list = []
-    size = 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Rows ``(doc_id, text, train)`` in chunks of about ``CHUNK`` tokens."""
+    docs: list[int | None] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    tokens = 0
     for batch in _with_end(batches):
         if batch is not None:
-            for doc, text, train in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                held.append((doc, train, _hashes(text.as_py())))
-                size += len(held[-1][2])
-            if size < CHUNK and len(held) < 1 << 20:
+            docs += batch.column(0).to_pylist()
+            for at in range(0, batch.num_rows, READ):
+                part = batch.slice(at, READ)
+                parts.append((*_coded(part.column(1)), np.array(part.column(2).to_pylist(), bool)))
+                tokens += len(parts[-1][1])
+            if tokens < CHUNK and len(docs) < 1 << 20:
                 continue
-        if held:
+        if docs:
+            words = np.sort(np.concatenate([[START_MARK], *(p[0] for p in parts)]))
+            words = words[np.append(True, words[1:] != words[:-1])]
+            code = np.empty(tokens, np.int32)
+            at = 0
+            for own, mine, *_ in parts:
+                code[at : at + len(mine)] = np.searchsorted(words, own)[mine]
+                at += len(mine)
+            held = Chunk(docs, np.concatenate([p[3] for p in parts]), np.concatenate([p[2] for p in parts]), words, code)
+            docs, parts, tokens = [], [], 0
+            batch = part = own = mine = words = code = None
+            pa.default_memory_pool().release_unused()
             yield held
-            held, size = [], 0
+
+
+def _order(*columns: tuple[np.ndarray, int]) -> np.ndarray:
+    """Order of rows by columns of non-negative numbers and their bits, the last column first, as ``np.lexsort``.
+
+    Plain sorts of numbers that carry their row's place are several times as fast as indirect ones.
+    """
+    n = len(columns[0][0])
+    low = max(n - 1, 1).bit_length()
+    order = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    held: list[tuple[np.ndarray, int]] = []
+    for value, bits in (*columns, (order, 64)):
+        if sum(b for _, b in held) + bits + low > 64:
+            key, shift = np.arange(n, dtype=np.uint64), low
+            for part, b in held:
+                for a in range(0, n, MERGED):
+                    key[a : a + MERGED] |= part[order[a : a + MERGED]].astype(np.uint64) << np.uint64(shift)
+                shift += b
+            key.sort()
+            key &= np.uint64((1 << low) - 1)
+            order = order[key.view(np.int64)]
+            held = []
+        held.append((value, bits))
+    return order
 
 
 @dataclass(frozen=True)
@@ -312,50 +368,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _grams(held: list[tuple[int | None, bool, np.ndarray]], known: Frequent, shards: int) -> Grams:
+def _grams(held: Chunk, known: Frequent, shards: int) -> Grams:
     """Distinct n-grams of a chunk's texts, how often each occurs in training texts, and where.
 
     A frequent word's n-grams are dealt by the word before too, those of a hot pair by both words before.
     """
-    size = np.array([len(h[2]) for h in held])
-    word = np.concatenate([h[2] for h in held])
-    train = np.repeat(np.array([h[1] for h in held]), size)
-    begins = np.cumsum(size) - size
-    before = np.empty_like(word)
+    words, word, begins = held.words, held.code, np.cumsum(held.size) - held.size
+    before, second = np.empty_like(word), np.empty_like(word)
     before[1:] = word[:-1]
-    before[begins] = START_MARK
-    second = np.empty_like(word)
+    before[begins] = np.searchsorted(words, START_MARK)
     second[1:] = before[:-1]
-    second[begins] = START_MARK
-    hot_key = _pair_keys(word, size, known.big)
-    key = word.copy()
-    if len(known.head):
-        place = np.minimum(np.searchsorted(known.head, word), len(known.head) - 1)
-        frequent = known.head[place] == word
-        key[frequent] ^= _mixed(before[frequent])
+    second[begins] = before[begins]
+    bits = len(words).bit_length()
+    order = _order((second, bits), (before, bits), (word, bits))
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for column in (word, before, second):
+        column = column[order]
+        new[1:] |= column[1:] != column[:-1]
+    del column
+    one, two, three = (column[order[new]] for column in (word, before, second))
+    del before, second
+    number = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    trained = np.repeat(held.train, held.size)[order]
+    train = np.bincount(number[trained], minlength=len(one)).astype(np.uint32)
+    del new, trained
+    key = words[one]
+    frequent = (_places(known.head, words) >= 0)[one]
+    key[frequent] ^= _mixed(words)[two[frequent]]
     if len(known.hot):
-        at = np.minimum(np.searchsorted(known.hot, hot_key), len(known.hot) - 1)
-        hot = known.hot[at] == hot_key
-        key[hot] = _mixed(word[hot] ^ _mixed(before[hot])) ^ second[hot]
-    del hot_key
+        place = _places(known.big, words)
+        left = np.where(words == START_MARK, len(known.big), place)[two]
+        hot = (left >= 0) & (place[one] >= 0)
+        hot[hot] = _places(known.hot, left[hot] * len(known.big) + place[one[hot]]) >= 0
+        key[hot] = _mixed(words[one[hot]] ^ _mixed(words)[two[hot]]) ^ words[three[hot]]
     shard = ((_mixed(key) >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
+    dealt = _order((shard, max(shards - 1, 1).bit_length()))
+    rank = np.empty(len(dealt), np.int32)
+    rank[dealt] = np.arange(len(dealt), dtype=np.int32)
     del key
-    both = before >> np.uint64(32)
-    del before
-    both <<= np.uint64(24)
-    second >>= np.uint64(40)
-    both |= second
-    del second
-    order = np.lexsort((both, word, shard))
-    shard, word, both = shard[order], word[order], both[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (shard[1:] != shard[:-1]) | (word[1:] != word[:-1]) | (both[1:] != both[:-1])
-    number = np.cumsum(new) - 1
     place = np.empty(len(order), np.int32)
-    place[order] = number
-    n = np.bincount(number, weights=train[order], minlength=int(number[-1]) + 1).astype(np.uint32)
-    both = both[new]
-    return Grams(shard[new], word[new], ((both >> np.uint64(24)).astype(np.uint32), (both & np.uint64(0xFFFFFF)).astype(np.uint32)), n, place)
+    place[order] = rank[number]
+    del order, number, rank
+    labels = (words[two[dealt]] >> np.uint64(32)).astype(np.uint32), (words[three[dealt]] >> np.uint64(40)).astype(np.uint32)
+    return Grams(shard[dealt], words[one[dealt]], labels, train[dealt], place)
 
 
 def _dealt(rows: DataFrame, known, shards: int) -> DataFrame:
@@ -365,7 +421,7 @@ def _dealt(rows: DataFrame, known, shards: int) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         for chunk, held in enumerate(_chunks(batches), first):
             g = _grams(held, known.value, shards)
-            held.clear()
+            del held
             ends = np.flatnonzero(np.append(g.shard[1:] != g.shard[:-1], True)) + 1
             for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
                 runs = np.flatnonzero(np.append(True, g.word[a + 1 : b] != g.word[a : b - 1]))
@@ -378,12 +434,11 @@ def _dealt(rows: DataFrame, known, shards: int) -> DataFrame:
 
 
 def _unpacked(n: int, grams: bytes) -> tuple[np.ndarray, ...]:
-    """``(word, first label, second label, occurrences in training)`` of one packet."""
+    """``(words, lengths of their runs, first label, second label, occurrences in training)`` of one packet."""
     runs = (len(grams) - 11 * n) // 12
     cut = np.cumsum([0, 8 * runs, 4 * runs, 4 * n, 4 * n, 2 * n]).tolist()
     at = lambda k, kind, m: np.frombuffer(grams, kind, m, cut[k])
-    word = np.repeat(at(0, np.uint64, runs), at(1, np.uint32, runs))
-    return word, at(3, np.uint32, n), at(4, np.uint16, n).astype(np.uint32) | at(5, np.uint8, n).astype(np.uint32) << np.uint32(16), at(2, np.uint32, n)
+    return at(0, np.uint64, runs), at(1, np.uint32, runs), at(3, np.uint32, n), at(4, np.uint16, n).astype(np.uint32) | at(5, np.uint8, n).astype(np.uint32) << np.uint32(16), at(2, np.uint32, n)
 
 
 def _placed(rows: DataFrame, known, shards: int) -> DataFrame:
@@ -395,11 +450,9 @@ def _placed(rows: DataFrame, known, shards: int) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for chunk, held in enumerate(_chunks(batches), first):
-            docs = pa.array([h[0] for h in held], pa.int64())
-            train = pa.array([h[1] for h in held], pa.bool_())
-            sizes = pa.array([len(h[2]) for h in held], pa.int64())
+            docs, train, sizes = pa.array(held.docs, pa.int64()), pa.array(held.train), pa.array(held.size)
             at = _grams(held, known.value, shards).place
-            held.clear()
+            del held
             payload = (at & 0xFFFF).astype(np.uint16).tobytes() + (at >> 16).astype(np.uint8 if len(at) < 1 << 24 else np.uint16).tobytes()
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, train, sizes)]
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([payload], pa.binary())], names=["chunk", "docs", "train", "sizes", "places"])
@@ -428,30 +481,37 @@ def _build(folder: str, word: np.ndarray, labels: tuple[np.ndarray, np.ndarray],
     return trie, words, count
 
 
-def _answers(table: pa.Table, trie: Trie, words: np.ndarray, count: np.ndarray, unpacked: list[tuple[np.ndarray, ...]], order: np.ndarray, columns: tuple[np.ndarray, ...], known: Frequent) -> pa.Table:
+def _answers(table: pa.Table, trie: Trie, words: np.ndarray, count: np.ndarray, sizes: list[int], order: np.ndarray, columns: tuple[np.ndarray, ...], known: Frequent) -> pa.Table:
     """Per packet: exact counts of its n-grams' words, and the codes of their pairs and triples, in the packet's order."""
     word, first, second = columns
     codes = trie.find(word, (first, second))
+    runs = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     # A shard may hold no training text with a frequent word or a hot pair of its n-grams.
-    exact = known.of_words(word, _told(words, count, word, np.zeros(len(word)))).astype(np.uint64)
-    pairs = to_codes(known.of_pairs(word, first, np.zeros(len(word))))
-    pairs = np.where(pairs > 0, pairs, codes[1])
+    told = known.of_words(word[runs], _told(words, count, word[runs], np.zeros(len(runs)))).astype(np.uint64)
+    exact = np.repeat(told, np.diff(np.append(runs, len(word))))
+    pairs = codes[1]
+    if len(known.hot):
+        hot = np.flatnonzero(np.repeat(_places(known.big, word[runs]) >= 0, np.diff(np.append(runs, len(word)))))
+        own = to_codes(known.of_pairs(word[hot], first[hot], np.zeros(len(hot))))
+        pairs[hot] = np.where(own > 0, own, pairs[hot])
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     out, begin = [], 0
-    for packet in unpacked:
-        mine = back[begin : begin + len(packet[0])]
-        begin += len(packet[0])
+    for size in sizes:
+        mine = back[begin : begin + size]
+        begin += size
         out.append(zlib.compress(exact[mine].tobytes() + pairs[mine].tobytes() + codes[2][mine].tobytes(), 1))
     return pa.table({"chunk": table["chunk"], "shard": table["shard"], "answer": pa.array(out, pa.binary())})
 
 
 def _read_packets(table: pa.Table):
-    """The packets' n-grams, their common sorted order, and the columns in it."""
-    unpacked = [_unpacked(n, g) for n, g in zip(table["n"].to_pylist(), table["grams"].to_pylist())]
-    word, first, second, n = (np.concatenate(x) for x in zip(*unpacked))
-    order = np.lexsort((second, first, word))
-    return unpacked, order, (word[order], first[order], second[order]), n[order]
+    """The packets' sizes, the common sorted order of their n-grams, and the columns in it."""
+    sizes = table["n"].to_pylist()
+    held, runs, first, second, n = (np.concatenate(x) for x in zip(*(_unpacked(n, g) for n, g in zip(sizes, table["grams"].to_pylist()))))
+    words, code = np.unique(held, return_inverse=True)
+    code = np.repeat(code, runs)
+    order = _order((second, 24), (first, 32), (code, len(words).bit_length()))
+    return sizes, order, (words[code[order]], first[order], second[order]), n[order]
 
 
 ANSWER = "chunk bigint, shard bigint, answer binary"
@@ -461,10 +521,10 @@ def _asked(dealt: DataFrame, known) -> DataFrame:
     """Every shard's trie built from its n-grams, and all of them answered from it."""
 
     def run(table: pa.Table) -> pa.Table:
-        unpacked, order, columns, n = _read_packets(table)
+        sizes, order, columns, n = _read_packets(table)
         with tempfile.TemporaryDirectory() as folder:
             trie, words, count = _build(folder, columns[0], columns[1:], n, known.value)
-            return _answers(table, trie, words, count, unpacked, order, columns, known.value)
+            return _answers(table, trie, words, count, sizes, order, columns, known.value)
 
     return dealt.groupBy("shard").applyInArrow(run, ANSWER)
 
@@ -485,15 +545,28 @@ def _merge(one: pa.Table, answers: pa.Table, total: float, distinct: float, star
     tokens = int(size.sum())
     raw = one["places"][0].as_py()
     high = np.frombuffer(raw, np.uint8 if len(raw) == 3 * tokens else np.uint16, tokens, 2 * tokens)
-    place = np.frombuffer(raw, np.uint16, tokens).astype(np.int64) | high.astype(np.int64) << 16
-    exact = np.concatenate(exact).astype(np.float64)
-    first = np.cumsum(size) - size
-    c1 = exact[place]
-    c2 = from_codes(np.concatenate(pairs))[place]
-    c3 = from_codes(np.concatenate(triples))[place]
-    p, base = smoothed(c1, c2, c3, first, total, distinct, starts)
-    per = lambda x: np.add.reduceat(x, first)
-    return pa.table({"doc_id": docs, "train": train, "tokens": sizes, "known": pa.array(per((c1 > 0).astype(np.int64))), "base": pa.array(per(base)), "model": pa.array(per(np.log10(p)))})
+    low = np.frombuffer(raw, np.uint16, tokens)
+    exact, pairs, triples = (np.concatenate(x) for x in (exact, pairs, triples))
+    ends = np.cumsum(size)
+    sums = []
+    for a, b in _runs(ends, MERGED):  # some texts at a time, so that no column of the whole chunk is held
+        start = int(ends[a] - size[a])
+        place = low[start : ends[b - 1]] | high[start : ends[b - 1]].astype(np.int32) << 16
+        first = ends[a:b] - size[a:b] - start
+        c1 = exact[place].astype(np.float64)
+        p, base = smoothed(c1, from_codes(pairs[place]), from_codes(triples[place]), first, total, distinct, starts)
+        sums.append([np.add.reduceat(x, first) for x in ((c1 > 0).astype(np.int64), base, np.log10(p))])
+    known, base, model = (pa.array(np.concatenate(x)) for x in zip(*sums))
+    return pa.table({"doc_id": docs, "train": train, "tokens": sizes, "known": known, "base": base, "model": model})
+
+
+def _runs(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, which end at ``ends``, of about ``size`` tokens each, one text at least."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield a, b
+        a = b
 
 
 def smoothed(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, first: np.ndarray, total: float, distinct: float, starts: float) -> tuple[np.ndarray, np.ndarray]:
@@ -595,7 +668,7 @@ class LanguageModel:
         def run(table: pa.Table, files: pa.Table) -> pa.Table:
             if not len(table):
                 return pa.table({"chunk": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "answer": pa.array([], pa.binary())})
-            unpacked, order, columns, _ = _read_packets(table)
+            sizes, order, columns, _ = _read_packets(table)
             with tempfile.TemporaryDirectory() as folder:
                 for name, data in zip(files["file"].to_pylist(), files["data"].to_pylist()):
                     with open(os.path.join(folder, name), "wb") as f:
@@ -606,7 +679,7 @@ class LanguageModel:
                     np.empty(0).tofile(os.path.join(folder, "counts"))
                 trie = Trie(folder)
                 words = trie.words.slice(0, trie.words.n)
-                return _answers(table, trie, words, np.fromfile(os.path.join(folder, "counts")), unpacked, order, columns, known.value)
+                return _answers(table, trie, words, np.fromfile(os.path.join(folder, "counts")), sizes, order, columns, known.value)
 
         answers = _dealt(rows, known, self.shards).groupBy("shard").cogroup(self.files.groupBy("shard")).applyInArrow(run, ANSWER)
         return _finished(rows, answers, known, self.shards, self.totals)

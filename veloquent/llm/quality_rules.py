@@ -10,6 +10,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .membership import without_ids
 from .scratch import discard, materialize
 from .text_stats import with_base_stats
 
@@ -243,5 +244,5 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The verdict of an id is that of its worst row, so repeated ids stay or go together; rows with a
     null id stay only if no row with a null id fails.
     """
-    bad = quality_stats(docs, id_col, text_col, lang_col, source_col).where("not kept").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = quality_stats(docs, id_col, text_col, lang_col, source_col).where("not kept").select("doc_id")
+    return without_ids(docs, bad, id_col)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .membership import without_ids
 from .scratch import materialize
 
 #: Seed of the shingles' XXH64.
@@ -135,8 +136,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_smallest(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``docs`` whose id is null or the smallest of its component in ``found`` (``id, component``); of rows that repeat a kept id, one."""
-    gone = found.where("id <> component").select(F.col("id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    kept = without_ids(docs, found.where("id <> component").select("id"), id_col)
     repeated = found.where("id = component").groupBy("id").count().where("count > 1").select(F.col("id").alias("__again"))
     if repeated.isEmpty():
         return kept

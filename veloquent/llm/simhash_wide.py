@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import HUBS, connected_components
+from .membership import with_ids
 from .scratch import discard, materialize
 from .simhash import SEED, keep_smallest
 
@@ -102,7 +103,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return kept.join(ids, "id", "left_semi").mapInArrow(run, "id bigint, s array<bigint>")
+    return with_ids(kept, ids, "id").mapInArrow(run, "id bigint, s array<bigint>")
 
 
 def _share(similarity: float) -> Fraction:

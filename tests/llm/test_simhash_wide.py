@@ -9,6 +9,7 @@ from test_simhash import DOCS, closure
 
 from veloquent.llm import simhash_wide
 from veloquent.llm.components import connected_components
+from veloquent.llm.scratch import materialize
 from veloquent.llm.simhash_wide import MARKS, _possible, distance_limit, parities, plan, reach, shingle_hashes, similar, similar_components, similar_dedup, wide_fingerprint, wide_fingerprints, wide_links
 
 
@@ -87,6 +88,20 @@ def test_few_pairs_come_out_of_a_large_group(spark):
     assert asked[-1] < 2000  # of 11,175
 
 
+def test_few_pairs_come_out_of_small_buckets(spark, monkeypatch):
+    """The same texts in buckets of the usual limit: the parities refuse pairs in the join of the buckets' rows, before any set is read."""
+    rng = random.Random(4)
+    base = words(rng, 150)
+    texts = [edited(rng, base, 0.027) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t), i, "x") for i, t in enumerate(texts)], DOCS)
+    near = {(i, j) for i, a in enumerate(texts) for j in range(i) if jaccard(a, texts[j]) >= 0.8}
+    seen = []
+    monkeypatch.setattr(simhash_wide, "materialize", lambda df: seen.append(df) or materialize(df))
+    links = {(r.a, r.b) for r in wide_links(wide_fingerprints(docs), docs, 0.8).collect()}
+    met = [{(r.a, r.b) for r in df.collect()} for df in seen if df.columns == ["a", "b"]][0]
+    assert links <= near and links <= met and len(met) < 300  # of 1,770
+
+
 def test_segments_keep_the_recall_at_the_limit():
     rng = np.random.default_rng(3)
     for n in (1000, 100_000):

@@ -79,19 +79,25 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity bits of distinct shingles' hashes as sixteen unsigned words."""
+    held = hashes.view("<i8") & (PARITY - 1)
+    return np.packbits((np.bincount(held, minlength=PARITY) & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(id, n, w0..w3)`` for every row, ``n`` the number of distinct shingles; a null text has no words."""
+    """``(id, n, w0..w3, x0..x15)`` for every row, ``n`` the number of distinct shingles, ``x`` their parity bits; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes = np.zeros((batch.num_rows, len(WORDS)), "<u8"), np.zeros(batch.num_rows, np.int32)
+            prints, sizes = np.zeros((batch.num_rows, len(WORDS) + len(MARKS)), "<u8"), np.zeros(batch.num_rows, np.int32)
             for at, text in enumerate(batch.column(1)):
                 hashes = shingle_hashes(text.as_py(), shingle)
-                prints[at], sizes[at] = wide_fingerprint(hashes), len(hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, prints.view("<i8").T.copy())], names=["id", "n", *WORDS])
+                prints[at], sizes[at] = np.r_[wide_fingerprint(hashes), parity(hashes)], len(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, prints.view("<i8").T.copy())], names=["id", "n", *WORDS, *MARKS])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"id bigint, n int, {', '.join(f'{w} bigint' for w in WORDS)}")
+    return kept.mapInArrow(run, f"id bigint, n int, {', '.join(f'{w} bigint' for w in [*WORDS, *MARKS])}")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -115,20 +121,19 @@ def parities(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, bits = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, PARITY), np.uint8)
+            sizes, words = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(MARKS)), "<u8")
             for at, held in enumerate(batch.column(1)):
                 hashes = held.values.to_numpy()
-                sizes[at], bits[at] = len(hashes), np.bincount(hashes & (PARITY - 1), minlength=PARITY) & 1
-            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, words.T.copy())], names=["id", "k", *MARKS])
+                sizes[at], words[at] = len(hashes), parity(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, words.view("<i8").T.copy())], names=["id", "k", *MARKS])
 
     return sets.select("id", "s").mapInArrow(run, f"id bigint, k bigint, {', '.join(f'{x} bigint' for x in MARKS)}")
 
 
-def _possible(similarity: float) -> Column:
+def _possible(similarity: float, k: str = "k", l: str = "l") -> Column:  # noqa: E741
     """Whether sets of ``k`` and ``l`` shingles with parities ``x*`` and ``y*`` can reach the similarity: what differs in parity is held by one set alone, so no pair that reaches it is refused."""
     share, apart = _share(similarity), sum((F.bit_count(F.col(x).bitwiseXOR(F.col(x.replace("x", "y")))) for x in MARKS), F.lit(0))
-    every = F.col("k") + F.col("l")
+    every = F.col(k).cast("bigint") + F.col(l)
     return (every - apart) * (share.numerator + share.denominator) >= 2 * every * share.numerator
 
 
@@ -163,8 +168,8 @@ def _within(limit: int) -> Column:
 
 
 def _other(table: DataFrame, name: str) -> DataFrame:
-    """``table`` with its id called ``name``, its size ``m`` and its words ``v0..v3``."""
-    return table.withColumnsRenamed({"id": name, "n": "m", **{w: w.replace("w", "v") for w in WORDS}})
+    """``table`` with its id called ``name``, its size ``m``, its words ``v0..v3`` and its parities ``y0..y15``."""
+    return table.withColumnsRenamed({"id": name, "n": "m", **{w: w.replace("w", "v") for w in WORDS}, **{x: x.replace("x", "y") for x in MARKS}})
 
 
 def _alike(similarity: float) -> Column:
@@ -173,18 +178,18 @@ def _alike(similarity: float) -> Column:
 
 
 def wide_links(table: DataFrame, docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bucket_limit: int = BUCKET_LIMIT, part: int = PART) -> DataFrame:
-    """Edges ``(a, b)`` that connect the rows of ``table`` (distinct fingerprints: ``id, n, w0..w3``) whose texts reach the similarity.
+    """Edges ``(a, b)`` that connect the rows of ``table`` (distinct fingerprints: ``id, n, w0..w3, x0..x15``) whose texts reach the similarity.
 
-    Whoever shares a segment is compared by whole distance, and whoever is in reach by the shingles of the texts: every edge
+    Whoever shares a segment is compared by whole distance and by the sets' parities where they meet, and what both leave open by the shingles of the texts: every edge
     is a pair of that Jaccard similarity. A pair at the expected distance shares one of the segments with a chance of ``RECALL``.
     Of the candidates, each row's one of smallest id is verified first; candidates that this connects already need no
     verification. In a segment value shared by more than ``bucket_limit`` fingerprints all are compared with the one of
     smallest id; those similar to it are connected by that, so only the others still meet the whole bucket, in
-    blocks of parts, where only pairs that are still apart and that the sets' parities leave open come out. No similar pair in reach that shares a segment loses its connection.
+    blocks of parts, where only pairs that are still apart come out. No similar pair in reach that shares a segment loses its connection.
     """
     limit, count = reach(similarity), table.count()
     bits, segments = plan(count, distance_limit(similarity))
-    columns = ["n", *WORDS]
+    columns = ["n", *WORDS, *MARKS]
     index = _segments(table, bits, segments)
     sizes = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     # Keys above this size are fewer than HUBS, so they are broadcast and their rows stay where they are.
@@ -193,7 +198,7 @@ def wide_links(table: DataFrame, docs: DataFrame, similarity: float = 0.8, id_co
     marked = index.join(F.broadcast(hubs), F.col("key") == F.col("hub_key"), "left")
     rest = marked.where("hub_key is null").join(sizes.where(F.col("size") <= hub), "key").select("id", "key", "size")
     met = materialize(rest.unionByName(marked.where("hub_key is not null").select("id", "key", F.col("hub_size").alias("size"))))
-    near = _within(limit) & _alike(similarity)
+    near = _within(limit) & _alike(similarity) & _possible(similarity, "n", "m")
     cold = met.where(F.col("size") <= bucket_limit).select("id", "key").join(table, "id")
     pairs = materialize(cold.join(_other(cold, "b"), "key").where((F.col("id") > F.col("b")) & near).select(F.col("id").alias("a"), "b").distinct())
     large = met.where(F.col("size") > bucket_limit)
@@ -216,15 +221,14 @@ def wide_links(table: DataFrame, docs: DataFrame, similarity: float = 0.8, id_co
     joined = pairs.join(one, "a", "left").join(other, "b", "left")
     open_ = joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     if crowded and not apart.isEmpty():
-        marks = parities(sets.join(large.select("id").distinct(), "id", "left_semi")).join(known.withColumnRenamed("node", "id"), "id", "left")
-        marks = materialize(marks.select("id", F.coalesce("component", "id").alias("c"), "k", *MARKS))
+        named = lambda rows: rows.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         shares = apart.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("shares"), F.max("parts").alias("parts"))
         shares = materialize(shares.select("key", "shares", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")))
-        whole = dealt.join(shares, ["key", "q"]).select("id", "key", "q", *columns, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p")).join(marks, "id")
-        mine = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(shares, ["key", "q"])
-        mine = mine.select("id", "key", "q", *columns, F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("p")).join(marks, "id")
-        whole = _other(whole, "b").withColumnsRenamed({"c": "d", "k": "l", **{x: x.replace("x", "y") for x in MARKS}})
-        across = mine.join(whole, ["key", "p", "q"]).where((F.col("c") != F.col("d")) & near & _possible(similarity))
+        whole = named(dealt).join(shares, ["key", "q"]).select("id", "key", "q", *columns, "c", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("p"))
+        mine = named(apart).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(shares, ["key", "q"])
+        mine = mine.select("id", "key", "q", *columns, "c", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).cast("int").alias("p"))
+        whole = _other(whole, "b").withColumnRenamed("c", "d")
+        across = mine.join(whole, ["key", "p", "q"]).where((F.col("c") != F.col("d")) & near)
         open_ = open_.unionByName(across.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")))
     return first.unionByName(similar(open_.distinct(), sets, similarity))
 
@@ -239,10 +243,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty result; other columns are ignored.
     """
     prints = materialize(wide_fingerprints(docs, id_col, text_col, shingle))
-    groups = materialize(prints.groupBy(*WORDS).agg(F.min("id").alias("id"), F.min_by("n", "id").alias("n")))
+    least = F.min_by(F.struct("n", *MARKS), "id").alias("r")
+    groups = materialize(prints.groupBy(*WORDS).agg(F.min("id").alias("id"), least).select(*WORDS, "id", "r.*"))
     found = connected_components(wide_links(groups.where("id is not null"), docs, similarity, id_col, text_col, shingle))
     named = groups.join(found, F.col("id") == F.col("node"), "left").select(*WORDS, F.coalesce("component", "id").alias("component"))
-    out = materialize(prints.join(named, WORDS).select("id", "component"))
+    out = materialize(prints.select("id", *WORDS).join(named, WORDS).select("id", "component"))
     discard(prints)
     return out
 

@@ -50,6 +50,22 @@ def test_turns_that_share_a_number(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "u", "p", "q"), (2, "u", "q", "a"), (3, "u", "a", "x"), (4, "v", "x", "b"), (5, "u", "b", "c"), (6, "u", "c", "z"), (7, "u", "z", None)]
 
 
+def test_texts_are_neither_sorted_nor_held(spark):
+    """Texts meet the counts of words in a hash join; windows lie below it, on the counts' side."""
+    for following in (True, False):
+        nodes = plan(words(spark, DATA, following=following))
+        at = first(nodes, "Join")
+        assert at < first(nodes, "Window", "Sort") and "strategy=shuffle_hash" in nodes[at]
+
+
+def test_words_of_null_keys_and_texts(spark, tmp_path):
+    rows = [(None, 1, "u", "a b"), (None, None, "u", "c"), (3, None, None, "d"), (3, 1, "v", None), (3, 2, "v", "  "), (3, 2, "w", "e")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = words(spark, str(tmp_path), following=True).select("file_id", "pos", "speaker", "text", "following").collect()
+    want = [(None, 1, "u", "c", "a"), (None, 2, "u", "a", "b"), (None, 3, "u", "b", None), (3, 1, None, "d", "e"), (3, 2, "w", "e", None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_following_word(spark):
     w = words(spark, DATA, following=True)
     w = w.withColumn("lead", F.lead("text").over(Window.partitionBy("file_id").orderBy("pos")))

@@ -15,21 +15,25 @@ query = Group()
 def words(spark: SparkSession, sf: str, following: bool = False) -> DataFrame:
     """Words of every turn: file_id, seg_no, speaker, pos (from 1 in the file), text, times and confidences; with ``following``, the file's next word too.
 
-    Counts of words are summed over turns, which alone are sorted; words come apart behind that. Turns that share a number take turns word by word.
+    Counts of words are summed over turns without their texts and meet the texts in a hash join, so no task sorts or holds texts. Turns that share a number take turns word by word; they alone are grouped.
     """
-    t = table(spark, sf, "conversations")
-    t = t.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), F.filter(F.split("text", " "), lambda x: x != "").alias("w")).where(F.size("w") > 0)
-    t = t.repartition("file_id").groupBy("file_id", "seg_no").agg(F.array_sort(F.collect_list(F.struct("speaker", "w"))).alias("rows"))
-    order = Window.partitionBy("file_id").orderBy("seg_no")
-    n = F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, r: acc + F.size(r["w"]))
-    t = t.withColumn("before", F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    t = table(spark, sf, "conversations").where("text is not null")
+    t = t.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_no"), F.col("role").alias("speaker"), "text")
+    split = F.filter(F.split("text", " "), lambda x: x != "")
+    counts = t.select("file_id", "seg_no", F.size(split).alias("n"), *([F.struct("speaker", F.get(split, F.lit(0)).alias("word")).alias("first")] if following else [])).where("n > 0")
+    counts = counts.groupBy(F.col("file_id").alias("f"), F.col("seg_no").alias("s")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), *([F.min("first").alias("first")] if following else []))
+    order = Window.partitionBy("f").orderBy("s")
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if following:
-        t = t.withColumn("next", F.lead(F.col("rows")[0]["w"][0]).over(order))
-    alone = F.transform(F.col("rows")[0]["w"], lambda x: F.struct(F.col("rows")[0]["speaker"].alias("speaker"), x.alias("text")))
+        counts = counts.withColumn("next", F.lead(F.col("first")["word"]).over(order))
+    held = ["file_id", "seg_no", "before", *(["next"] if following else [])]
+    met = t.join(counts.drop("n", "first").hint("shuffle_hash"), F.col("file_id").eqNullSafe(F.col("f")) & F.col("seg_no").eqNullSafe(F.col("s"))).withColumn("w", split)
+    alone = met.where("rows = 1").select(*held, F.transform("w", lambda x: F.struct("speaker", x.alias("text"))).alias("words"))
+    shared = met.where("rows > 1").groupBy(*held).agg(F.array_sort(F.collect_list(F.struct("speaker", "w"))).alias("rows"))
     dealt = F.flatten(F.transform("rows", lambda r, d: F.transform(r["w"], lambda x, i: F.struct(i.alias("i"), d.alias("d"), r["speaker"].alias("speaker"), x.alias("text")))))
-    w = t.withColumn("words", F.when(F.size("rows") == 1, alone).otherwise(F.transform(F.array_sort(dealt), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text")))))
+    w = alone.unionByName(shared.select(*held, F.transform(F.array_sort(dealt), lambda x: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"))).alias("words")))
     if following:
-        behind = F.concat(F.slice(F.col("words")["text"], F.lit(2), F.size("words")), F.array("next"))
+        behind = F.slice(F.concat(F.slice(F.col("words")["text"], F.lit(2), F.size("words")), F.array("next")), F.lit(1), F.size("words"))
         w = w.withColumn("words", F.zip_with("words", behind, lambda x, y: F.struct(x["speaker"].alias("speaker"), x["text"].alias("text"), y.alias("following"))))
     w = w.select("file_id", "seg_no", "before", F.posexplode("words").alias("i", "x")).withColumn("pos", F.col("before") + F.col("i") + 1)
     k = (F.col("file_id") * 31 + F.col("pos") * 17) % 100

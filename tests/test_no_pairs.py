@@ -9,7 +9,7 @@ import pytest
 
 from veloquent.plans import registry
 
-NAMES = ["join_interval_vote"]
+NAMES = ["join_interval_vote", "join_prefix_fix"]
 
 
 @pytest.fixture(scope="module")

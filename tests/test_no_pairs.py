@@ -9,7 +9,7 @@ import pytest
 
 from veloquent.plans import registry
 
-NAMES = ["join_interval_vote", "join_prefix_fix", "join_word_speaker", "join_mid_block", "join_participants"]
+NAMES = ["join_interval_vote", "join_prefix_fix", "join_word_speaker", "join_mid_block", "join_participants", "join_closest_clean"]
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from veloquent.operators.intervals import interval_join
 from veloquent.plans import registry
 
 NAMES = ["join_interval_vote", "join_prefix_fix", "join_word_speaker", "join_mid_block", "join_participants", "join_closest_clean"]
@@ -44,3 +46,14 @@ def test_no_segments_meet_in_pairs(spark, data, name):
     nodes = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [n for n in nodes if re.match(r"[\s:+-]*Join", n)]
     assert not [n for n in joins if " < " in n or " > " in n or "<=" in n or ">=" in n]
+
+
+def test_speech_is_dealt_to_few_buckets(spark, monkeypatch):
+    """join_clip_speech's rows are pairs; what it shuffles is segments, fewer than two copies of each."""
+    from veloquent.plans import timeline
+
+    asked, sf = [], "/root/testdata/sf0.01"
+    monkeypatch.setattr(timeline, "interval_join", lambda *a, **k: asked.append(a[3]) or interval_join(*a, **k))
+    assert registry.queries()["join_clip_speech"](spark, sf).columns == ["file_id", "pos", "region", "speaker", "start_ms", "end_ms"]
+    copies = F.floor((F.col("end_ms") - 1) / asked[0]) - F.floor(F.col("start_ms") / asked[0]) + 1
+    assert timeline.diar(spark, sf, dense=True).select(F.avg(copies)).first()[0] < 2

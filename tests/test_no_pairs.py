@@ -40,6 +40,19 @@ def test_crowded_files_give_the_rows_of_sql(spark, data, name):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("name", ["join_interval_vote", "join_participants"])
+def test_segments_without_a_number_or_with_the_same_one(spark, tmp_path, name):
+    start, rows = datetime.datetime(2024, 1, 1), []
+    for i, (number, tick, user, kind, value) in enumerate([(1, 0, 0, "error", 3.0), (2, 100, 32, "error", 9.0), (3, 50, 0, "view", 2.0), (3, 400, 0, "view", 4.0), (None, 30, 0, "click", 1.0), (None, 31, 0, "click", 1.0), (4, 5000, 0, "view", 1.0)]):
+        rows.append((number, start + datetime.timedelta(seconds=4 * tick), user, kind, value, "{}"))
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    db.execute(f"CREATE TABLE o AS {registry.oracle_sql()[name]}")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(db.execute(f"SELECT {', '.join(got.columns)} FROM o").fetchall(), key=str)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_no_segments_meet_in_pairs(spark, data, name):
     """No join compares times: a join's condition names equal keys alone."""
